@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from opalyx.llm import bpe, ogg, token_store, topk
+from opalyx.llm import bpe, langid, ogg, packing, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op2_bpe": bpe.op2_bpe,
+    "op4_langid": langid.op4_langid,
+    "op6_packing": packing.op6_packing,
     "op9_top_k": topk.op9_top_k,
     "op10_media": ogg.op10_media,
 }

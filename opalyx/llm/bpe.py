@@ -3,8 +3,8 @@
 Encoding. A text is cut into chunks that overlap. Chunks are pre-tokenised in parallel; a chunk's
 first boundaries may be wrong, as its start may lie inside a pre-token, and its last ones too, as
 its end may cut one off. Two chunks are stitched at the first place in their overlap where both
-have a boundary: the pattern keeps no state between matches, so from a common boundary on both
-go on alike. The pieces between these places are encoded in parallel and their ids joined. Where
+have a boundary, not after white space, whose split depends on what follows: the pattern keeps no
+state between matches, so from a common boundary on both go on alike. The pieces between these places are encoded in parallel and their ids joined. Where
 an overlap holds no common boundary (a run longer than the overlap), the left chunk's text is
 carried on from its last certain boundary until the two meet. A text of one chunk is one piece.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opalyx.llm.common import COARSE, Memo, encode_pieces, load_ranks, texts, tiktoken_encoding
+from opalyx.llm.common import COARSE, Memo, load_ranks, texts, tiktoken_encoding
 from opalyx.runtime import ship
 
 CHUNK, OVERLAP = 16_384, 512
@@ -65,9 +65,10 @@ def stitch(parts: list[tuple[int, str, bool, np.ndarray]], pattern) -> list[str]
     trusted = parts[0][3]
     held = parts[0][1]
     for offset, text, last, own in parts[1:]:
-        common = np.intersect1d(trusted[trusted >= offset], own, assume_unique=True)
-        if len(common):
-            cut = int(common[0])
+        common = np.intersect1d(trusted[trusted >= offset], own, assume_unique=True).tolist()
+        # a run of white space before the cut would be split in another way at a piece's end
+        cut = next((c for c in common if c > at and not held[c - at - 1].isspace()), -1)
+        if cut >= 0:
             pieces.append(held[: cut - at])
             held, at, trusted = text[cut - offset :], cut, own[own >= cut]
         else:  # go on from the last certain boundary over the next chunk's text as well
@@ -82,7 +83,7 @@ def piece_memo(ranks_path: str, pattern: str) -> Memo:
     key = (ranks_path, pattern)
     if key not in _memos:
         encode = tiktoken_encoding(ranks_path, pattern).encode_ordinary
-        _memos[key] = Memo(lambda piece: np.asarray(encode(piece), "<u4").tobytes())
+        _memos[key] = Memo(lambda pieces: [np.asarray(encode(p), "<u4").tobytes() for p in pieces])
     return _memos[key]
 
 
@@ -118,7 +119,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = CHUNK
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = piece_memo(ranks_path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_pieces(memo, COARSE.findall(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([memo.join(COARSE.findall(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,7 +149,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = CHUNK
     def encode_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = piece_memo(ranks_path, pattern)
         for batch in batches:
-            ids = [encode_pieces(memo, COARSE.findall(t)) for t in batch.column(3).to_pylist()]
+            ids = [memo.join(COARSE.findall(t)) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["uid", "doc_id", "at", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:

@@ -19,25 +19,43 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_to
     return df.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(text, F.lit("")) if null_to_empty else text).alias("text"))
 
 
-class Memo(dict):
-    """piece -> little-endian ids as bytes. Bounded: emptied when full; long pieces are not kept."""
-
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 300_000, longest: int = 48):
-        super().__init__()
-        self.encode, self.limit, self.longest = encode, limit, longest
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self.encode(piece)
-        if len(piece) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = got
-        return got
-
-
-#: Splits a text so that byte-level pre-token boundaries fall on every cut: the white-space rules of
-#: the pre-token pattern with every run of other characters as one piece.
-COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+class Memo:
+    """piece -> little-endian ids as bytes, encoded many pieces at a time.
+
+    Bounded: two generations of at most so many entries; a full young one becomes the old one, and
+    what is used again comes back. Long pieces are not kept.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 600_000, longest: int = 48):
+        self.encode_many, self.limit, self.longest = encode_many, limit, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def join(self, pieces: list[str]) -> bytes:
+        """The ids of all pieces, one after the other."""
+        found = list(map(self.young.get, pieces))
+        if None not in found:
+            return b"".join(found)
+        old, new = self.old, {}
+        for p in {p for p, f in zip(pieces, found, strict=True) if f is None}:
+            if (was := old.get(p)) is not None:
+                new[p] = was
+        missing = list({p for p, f in zip(pieces, found, strict=True) if f is None and p not in new})
+        if missing:
+            new.update(zip(missing, self.encode_many(missing), strict=True))
+        out = b"".join([new[p] if f is None else f for p, f in zip(pieces, found, strict=True)])
+        if len(self.young) + len(new) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update((p, ids) for p, ids in new.items() if len(p) <= self.longest)
+        return out
+
+
+_LATIN, _STOP = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", ".,!?;:"
+#: Cuts a text where byte-level pre-tokens end: the white-space rules of the pre-token pattern with
+#: every run of other characters as one piece, but for stops after a Latin word, pieces of their own.
+COARSE = re.compile(f" ?[{_LATIN}]+(?=[{_STOP}]*+(?:[{SPACE}]|\\Z))|(?<=[{_LATIN}])[{_STOP}]++(?=[{SPACE}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: The same for a word tokenizer that drops white space and whose pre-tokens never span it.
+WORDS = re.compile(f"[{_LATIN}]+(?=[{_STOP}]*+(?:[ \\n]|\\Z))|(?<=[{_LATIN}])[{_STOP}]++(?=[ \\n]|\\Z)|[^ \\n]+")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +79,7 @@ def tokenizer_memo(path: str, dtype: str) -> Memo:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _encoders[key] = Memo(lambda piece: np.asarray(t.encode(piece, add_special_tokens=False).ids, dtype).tobytes())
+        _encoders[key] = Memo(lambda pieces: [np.asarray(e.ids, dtype).tobytes() for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
     return _encoders[key]
 
 
@@ -72,7 +90,3 @@ def tiktoken_encoding(path: str, pattern: str):
 
         _encoders[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
     return _encoders[key]
-
-
-def encode_pieces(memo: Memo, pieces: list[str]) -> bytes:
-    return b"".join(map(memo.__getitem__, pieces))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from opalyx.llm.common import COARSE, encode_pieces, texts, tokenizer_memo
+from opalyx.llm.common import COARSE, texts, tokenizer_memo
 from opalyx.runtime import ship
 
 WINDOW, BLOCK_DOCS, TRIPLES = 1024, 4096, 8
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
         packer = Packer(put, window, block)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode_pieces(memo, COARSE.findall(text)) + end, "<u4")
+                ids = np.frombuffer(memo.join(COARSE.findall(text)) + end, "<u4")
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
                     packer.add((doc_id, len(ids)), start, part if len(part) == window else part.copy(), len(part))

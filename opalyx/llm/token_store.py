@@ -19,7 +19,6 @@ gives no files and no rows; other columns are not read.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -30,12 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opalyx.llm.common import encode_pieces, texts, tokenizer_memo
+from opalyx.llm.common import WORDS, texts, tokenizer_memo
 from opalyx.runtime import shared_dir, ship
 
 SEEK_MAGIC, SKIP_MAGIC = 0x8F92EAB1, 0x184D2A5E
-#: Cuts where no pre-token of the word tokenizer can span; other white space stays inside a piece.
-_WORD = re.compile("[^ \\n]+")
 
 
 def checksum(content: bytes) -> int:
@@ -146,7 +143,7 @@ def _open(uri: str):
 
 def encode_words(text: str, memo) -> bytes:
     """Ids of a text. The word tokenizer folds white space and no pre-token spans it, so a text's ids are those of its words."""
-    return encode_pieces(memo, _WORD.findall(text))
+    return memo.join(WORDS.findall(text))
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, *, width: int = 2, partitions: int | None = None, file_docs: int = 1 << 20) -> list[dict]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from opalyx.llm import bpe, html_crf, jaccard, langid, ogg, packing, pii, token_store, topk
+from opalyx.llm import bpe, html_crf, jaccard, langid, lm, ogg, packing, pii, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op2_bpe": bpe.op2_bpe,
     "op3_html": html_crf.op3_html,
     "op4_langid": langid.op4_langid,
+    "op5_lm_score": lm.op5_lm_score,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
     "op8_jaccard_join": jaccard.op8_jaccard_join,

@@ -1,3 +1,83 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus pipeline: language ID, near duplicates, personal data, packing.
+
+Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again
+as the docs of the next one. All but the last return the columns of documents.
+
+* language: documents without a language that could be named (no letter, or null) go; so do those
+  whose two likeliest languages can't be told apart.
+* near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more on shingles of five
+  words, the one with the least id stays. Documents without words have no links and stay.
+* personal_data: personal data and what discloses it are masked in the text; n_chars follows.
+* packing: what is left is packed into sequences of 1024 tokens; a row for each piece.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opalyx.llm import jaccard, langid, packing, pii
+from opalyx.runtime import written
+
+#: Least lead of the likeliest language over the second, as shares.
+LEAD = 0.02
+WORDS, SHARE = 5, 80
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs)
+    p = _free(docs, "_language")
+    named = langid.predict(docs, model, p)
+    return named.filter((F.col(f"{p}.lang_pred") != "und") & (F.col(f"{p}.lead") >= LEAD)).select(*_columns(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = written(jaccard.near_duplicates(docs, WORDS, SHARE), "groups")
+    # The least (id, class) of each component; rows without words are components of their own.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"))
+    members = groups.filter(F.col("fp").isNotNull())
+    kept = members.groupBy("node_component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.fp").alias("_kept_fp"))
+    fp = _free(docs, "_fp")
+    own = docs.withColumn(fp, jaccard.class_of(F.col("text"), WORDS))
+    met = own.filter(F.col(fp).isNotNull()).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col(fp) == F.col("_kept_fp")), "left_semi")
+    # Rows that repeat both id and class: one stays.
+    return met.dropDuplicates(["doc_id", fp]).unionByName(own.filter(F.col(fp).isNull())).select(*_columns(docs))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    s = _free(docs, "_spans")
+    found = pii.find(docs, "text", s)
+    clean = pii.masked(F.col("text"), F.col(s))
+    out = [clean.alias("text") if c == "text" else F.length(clean).cast(docs.schema[c].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return found.select(*out)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: Language ID and the packing can't be stated in SQL; tests compare each stage with brute force.
+ORACLE_SQL = None

@@ -59,6 +59,11 @@ def _fingerprint(hashes: Column) -> Column:
     return F.concat_ws(":", F.xxhash64(F.lit(1), hashes).cast("string"), F.xxhash64(F.lit(2), hashes).cast("string"))
 
 
+def class_of(text: Column, words: int) -> Column:
+    """The class of a text: fingerprint of its shingle set, null without words."""
+    return F.transform(F.array(shingle_set(F.coalesce(text.cast("string"), F.lit("")), words)), lambda s: F.when(F.size(s) > 0, _fingerprint(s)))[0]
+
+
 def required(n: np.ndarray | int, share: int) -> np.ndarray | int:
     return -((-n * share) // 100)
 
@@ -269,15 +274,15 @@ def true_links(docs: DataFrame, reps: DataFrame, pieces: DataFrame, words: int,
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """A row for each document: doc_id, fp (of its set, null if empty), n_shingles, component_id."""
+    """A row for each document: doc_id, fp (of its set, null if empty), n_shingles, component_id, node_component (a component's own key)."""
     ship(docs.sparkSession)
     members, reps = classes(docs, words, share)
     pieces = components(chain_edges(docs, reps, words, share))
     linked = components(true_links(docs, reps, pieces, words, share))
     named = reps.select("node", "fp", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = written(named.join(least, "component").select("fp", "component_id"), "components")
-    return members.join(by_class, "fp", "left").select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_class = written(named.join(least, "component").select("fp", "component_id", F.col("component").alias("node_component")), "components")
+    return members.join(by_class, "fp", "left").select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node_component")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

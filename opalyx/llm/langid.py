@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from opalyx.runtime import ship
 
-GRAMS, BUCKETS_LOG2, SCALE_STEPS = (2, 3, 4), 15, 60
+GRAMS, BUCKETS_LOG2, SCALE_STEPS, AMBIGUOUS = (2, 3, 4), 15, 60, 0.1
 _FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -96,12 +96,12 @@ def fit(texts: list[str], labels: list[str], smooth: float = 0.5) -> Model:
     return Model(languages, codes, weights, np.maximum(scale, 1.0), shift)
 
 
-def decode(model: Model, text: str | None) -> tuple[str, float, bool]:
-    """(language, score, ambiguous) of a whole text."""
+def decode(model: Model, text: str | None) -> tuple[str, float, float]:
+    """(language, score, lead over the second) of a whole text."""
     if text is None or not model.languages or not any(map(str.isalpha, text)):
-        return "und", 0.0, False
+        return "und", 0.0, 0.0
     if len(model.languages) == 1:
-        return model.languages[0], 1.0, False
+        return model.languages[0], 1.0, 1.0
     total, n = np.zeros(model.weights.shape[1]), 0
     for at in range(0, len(text), 1 << 18):  # parts keep the memory of a very long text bounded
         g = grams(text[at : at + (1 << 18)])
@@ -113,7 +113,7 @@ def decode(model: Model, text: str | None) -> tuple[str, float, bool]:
     share /= share.sum()
     best = int(share.argmax())
     second = float(np.partition(share, -2)[-2])
-    return model.languages[best], float(share[best]), float(share[best]) - second < 0.1
+    return model.languages[best], float(share[best]), float(share[best]) - second
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -139,15 +139,16 @@ def train(docs: DataFrame, per_language: int = 500, longest: int = 6000) -> Mode
 
 
 def predict(docs: DataFrame, model: Model, to: str = "prediction", text_col: str = "text") -> DataFrame:
-    """Adds a struct (lang_pred, score, ambiguous). The model's size is fixed by its buckets and bits."""
+    """Adds a struct (lang_pred, score, lead, ambiguous: whether the lead is small). The model's size is fixed by its buckets and bits."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    @F.pandas_udf("lang_pred string, score double, lead double, ambiguous boolean")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([decode(shared.value, t) for t in part], columns=["lang_pred", "score", "ambiguous"])
+            out = pd.DataFrame([decode(shared.value, t) for t in part], columns=["lang_pred", "score", "lead"])
+            yield out.assign(ambiguous=(out["lead"] < AMBIGUOUS) & (out["lang_pred"] != "und"))
 
     return docs.withColumn(to, run(F.col(text_col).cast("string")))
 

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from opalyx.runtime import ship, written
 
-LISTS = 4
+#: Two lists keep the cutoff of one list, t / m, far enough out to collect few entries.
+LISTS = 2
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _shipped: set[str] = set()
 _fallback: dict[str, str] = {}
@@ -52,4 +53,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what written() wrote, once nothing reads it any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of keys up to which a key table is sent to every task.
+BROADCAST_KEYS = 1_000_000
+
+
+def with_keys(df: DataFrame, keys: DataFrame, on, how: str) -> DataFrame:
+    """df left_semi or left_anti joined to distinct keys: sent to the tasks where they are counted to be few, else dealt by key."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(broadcast(keys) if few else keys, on, how)

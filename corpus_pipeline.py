@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalyx.llm import jaccard, langid, packing, pii
-from opalyx.runtime import written
+from opalyx.runtime import with_keys, written
 
 #: Least lead of the likeliest language over the second, as shares.
 LEAD = 0.02
@@ -44,15 +44,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = written(jaccard.near_duplicates(docs, WORDS, SHARE), "groups")
-    # The least (id, class) of each component; rows without words are components of their own.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"))
     members = groups.filter(F.col("fp").isNotNull())
-    kept = members.groupBy("node_component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.fp").alias("_kept_fp"))
+    # The least (id, class) of each component stays.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"))
+    kept = members.groupBy("node_component").agg(F.min(order).alias("k"))
+    marked = members.join(kept, "node_component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("fp") == F.col("k.fp")))
+    marked = written(marked.select("doc_id", "fp", "stays"), "marked")
+    # An id that one row has decides by itself; rows that share an id, or have none, are told apart by class.
+    shared = written(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_shared")), "shared")
+    dropped = marked.filter(~F.col("stays") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_dropped")).distinct()
+    own = F.col("doc_id").cast("long")
+    alone = with_keys(with_keys(docs, shared, own.eqNullSafe(F.col("_shared")), "left_anti"), dropped, own == F.col("_dropped"), "left_anti")
     fp = _free(docs, "_fp")
-    own = docs.withColumn(fp, jaccard.class_of(F.col("text"), WORDS))
-    met = own.filter(F.col(fp).isNotNull()).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col(fp) == F.col("_kept_fp")), "left_semi")
-    # Rows that repeat both id and class: one stays.
-    return met.dropDuplicates(["doc_id", fp]).unionByName(own.filter(F.col(fp).isNull())).select(*_columns(docs))
+    several = with_keys(docs, shared, own.eqNullSafe(F.col("_shared")), "left_semi").withColumn(fp, jaccard.class_of(F.col("text"), WORDS))
+    stay = marked.filter("stays").select(F.col("doc_id").alias("_kept_id"), F.col("fp").alias("_kept_fp")).distinct()
+    met = several.filter(F.col(fp).isNotNull()).join(stay, own.eqNullSafe(F.col("_kept_id")) & (F.col(fp) == F.col("_kept_fp")), "left_semi")
+    # Rows that repeat both id and class: one stays. Rows without words all stay.
+    return alone.unionByName(met.dropDuplicates(["doc_id", fp]).drop(fp)).unionByName(several.filter(F.col(fp).isNull()).drop(fp)).select(*_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

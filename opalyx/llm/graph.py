@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalyx.runtime import written
+from opalyx.runtime import discard, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -19,12 +19,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     left = written(_tidy(edges), "edges")
     labels: DataFrame | None = None
-    for _ in range(max_rounds):
+    for rounds in range(max_rounds):
         if left.isEmpty():
             break
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
         least = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("up"))
         least = written(least, "pointers")
+        done = [left, least]
         hop = least.select(F.col("node").alias("up"), F.col("up").alias("up2"))
         jumped = least.join(hop, "up").select("node", F.col("up2").alias("up"))
         jumped = written(jumped.join(hop, "up").select("node", F.col("up2").alias("up")), "pointers")
@@ -33,9 +34,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         else:
             moved = jumped.select(F.col("node").alias("component"), "up")
             labels = labels.join(moved, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        labels = written(labels, "labels")
+        if rounds:
+            done.append(before)
+        labels = before = written(labels, "labels")
         a, b = jumped.select(F.col("node").alias("a"), F.col("up").alias("ua")), jumped.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         left = written(_tidy(left.join(a, "a").join(b, "b").select(F.col("ua").alias("a"), F.col("ub").alias("b"))), "edges")
+        discard(*done, jumped)
     else:
         raise RuntimeError("components did not settle")
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from opalyx.llm.common import texts
 from opalyx.llm.graph import components
-from opalyx.runtime import ship, written
+from opalyx.runtime import discard, ship, with_keys, written
 
 WORDS, SHARE = 3, 90
 BLOCK_ROWS, BLOCK_SHINGLES = 192, 400_000
@@ -155,28 +155,34 @@ def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[Da
     s = texts(docs).select("doc_id", shingle_set(F.col("text"), words).alias("s"))
     n = F.size("s")
     keep = (n - F.ceil(n * share / 100) + 1) * 3 / 2 + 8
-    members = written(s.select("doc_id", F.when(n > 0, _fingerprint(F.col("s"))).alias("fp"), n.cast("long").alias("n"), F.slice("s", 1, F.least(n, keep.cast("int"))).alias("first")), "members")
-    reps = members.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first")).withColumn("node", F.monotonically_increasing_id())
-    return members.select("doc_id", "fp", "n"), written(reps, "classes")
+    every = written(s.select("doc_id", F.when(n > 0, _fingerprint(F.col("s"))).alias("fp"), n.cast("long").alias("n"), F.slice("s", 1, F.least(n, keep.cast("int"))).alias("first")), "sets")
+    reps = every.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first")).withColumn("node", F.monotonically_increasing_id())
+    reps, members = written(reps, "classes"), written(every.select("doc_id", "fp", "n"), "members")
+    discard(every)
+    return members, reps
 
 
 def frequent(reps: DataFrame, above: int = 48, most_frequent: int = 1_000_000) -> np.ndarray:
     """Sorted hashes of shingles that more than so many classes hold among their first ones; the most frequent where they are too many to send."""
     counted = reps.select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > above)
-    counted = written(counted, "frequent")
+    counted = table = written(counted, "frequent")
     n = counted.count()
     if n > most_frequent:
         cut = counted.approxQuantile("c", [1 - most_frequent / n], 0.0005)[0]
         counted = counted.filter(F.col("c") > cut).limit(2 * most_frequent)
-    got = counted.select("h").toArrow()
-    return np.sort(np.asarray(got.column("h"), "i8"))
+    got = np.sort(np.asarray(counted.select("h").toArrow().column("h"), "i8"))
+    discard(table)
+    return got
 
 
 def with_text_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """wanted (node, fp, doc_id, ...) with the set s of their text; only these texts are shuffled."""
     own = texts(docs).withColumnRenamed("doc_id", "own_id")
+    keys = wanted.select(F.col("doc_id").alias("_key")).distinct()
+    own = with_keys(own, keys, F.col("own_id").eqNullSafe(F.col("_key")), "left_semi")
     met = own.join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).withColumn("s", shingle_set(F.col("text"), words))
-    return met.filter((F.size("s") > 0) & (_fingerprint(F.col("s")) == F.col("fp"))).drop("text", "own_id")
+    # compared with the other side, so that no set is made before the join
+    return met.filter(_fingerprint(F.col("s")) == F.col("fp")).drop("text", "own_id")
 
 
 _ENTRY = "h long, low long, high long, node long, other long"
@@ -237,7 +243,7 @@ def chain_edges(docs: DataFrame, reps: DataFrame, words: int, share: int) -> Dat
         col = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()), y])
         return pa.RecordBatch.from_arrays([col(h, nul), col(low, nul), col(high, nul), col(first, pa.array(pairs[:, 0], pa.int64())), pa.concat_arrays([pa.nulls(len(h), pa.int64()), pa.array(pairs[:, 1], pa.int64())])], ["h", "low", "high", "node", "other"])
 
-    wanted = reps.select("node", "fp", "n", "first", "doc_id").mapInArrow(deep, "node long, fp string, n long, doc_id long")
+    wanted = written(reps.select("node", "fp", "n", "first", "doc_id").mapInArrow(deep, "node long, fp string, n long, doc_id long"), "deep")
     full = with_text_sets(docs, wanted, words).select("node", "n", "s")
     all_entries = written(reps.select("node", "n", F.col("first").alias("s")).unionByName(full).mapInArrow(entries, _ENTRY), "entries")
     own = all_entries.filter("h IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
@@ -245,7 +251,9 @@ def chain_edges(docs: DataFrame, reps: DataFrame, words: int, share: int) -> Dat
     w = Window.partitionBy("h").orderBy("low", "node")
     furthest = F.max(F.struct("high", "node")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     between = all_entries.filter("h IS NOT NULL").withColumn("p", furthest).filter(F.col("p").isNotNull() & (100 * F.col("p.high") >= share * F.col("low"))).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-    return own.unionByName(between).filter("a <> b").distinct()
+    edges = written(own.unionByName(between).filter("a <> b").distinct(), "chains")
+    discard(all_entries, wanted)
+    return edges
 
 
 def true_links(docs: DataFrame, reps: DataFrame, pieces: DataFrame, words: int, share: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:

@@ -1,22 +1,23 @@
 """N-gram Jaccard self-join by T-occurrence search, with the components of its links.
 
-Documents with one set of word shingles form a class, met once. A link needs an overlap of at least
-t = ceil(share * n) of a class's n shingles. In one order of all shingles (the frequent ones last,
-then by hash) two linked classes share one of their first n - t + 1 shingles: their short lists.
-
-1. Classes: hash of the set, least document, n, and the first hashes of the set.
-2. Frequent shingles are counted over all classes' first hashes. The most frequent are sent to the
-   tasks, at most `most_frequent` of them: any choice of them gives a right order, it only
-   decides how short the lists are.
-3. Short-list entries that share a shingle are chained in order of size wherever sizes can link
-   (the smaller at least `share` of the larger). Tasks chain their own first and pass on one
-   interval of sizes for each chain, so a shingle's entries number the tasks, not the documents.
-   The connected pieces of these chains hold all links between them.
-4. A piece is dealt out in blocks; a pair of blocks is a search (DivideSkip): a document's longest
-   lists are set aside, its short ones are merged by a heap, and the candidates are looked up by
-   binary search in the long ones. Pairs already connected in that block pair are skipped; what is
-   returned is a forest of true links, no list of pairs.
-5. Components of the links; each gets its least document.
+Documents with one set of word shingles form a class, met once. A link between classes needs an
+overlap of at least T = ceil(share * (n + m) / (1 + share)) of their n and m shingles.
+
+1. Classes: fingerprint of the set, least document, n.
+2. Which classes can meet (signatures). Linked sets differ in few shingles: at most d of the larger
+   one's size band. Shingles are dealt by hash into M > d buckets, the same for all sets of a band;
+   linked sets then hold some bucket alike. Empty buckets say nothing, so M leaves room for them; a
+   set with more empty buckets than that room also gives these, as only two such sets could meet in
+   nothing else. A set gives the contents of its buckets, as hashes, in its own band and the next.
+   Sets with a signature in common are chained, tasks chaining their own first and passing on one
+   set for each signature, so a signature's rows number the tasks, not the documents. The connected
+   pieces of the chains hold all links between them.
+3. A piece is dealt out in blocks; a pair of blocks is a search (DivideSkip): a document's longest
+   inverted lists are set aside, its short ones are merged by a heap, and what occurs there is
+   looked up by binary search in the long ones; documents that reach T are linked. Pairs already
+   connected in that block pair are skipped; what is returned is a forest of true links, no list of
+   pairs.
+4. Components of the links; each gets its least document.
 
 Defined results: null or empty text, or white space alone: no shingles, n_shingles 0, component_id
 the own doc_id; rows that repeat an id keep a row each; a null doc_id counts after all others, and
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from opalyx.llm.common import texts
 from opalyx.llm.graph import components
-from opalyx.runtime import discard, ship, with_keys, written
+from opalyx.runtime import ship, with_keys, written
 
 WORDS, SHARE = 3, 90
 BLOCK_ROWS, BLOCK_SHINGLES = 192, 400_000
@@ -140,39 +141,120 @@ def divide_skip(sets: list[np.ndarray], queries: list[int], indexed: list[int],
     return links
 
 
-def _chains(token: np.ndarray, low: np.ndarray, high: np.ndarray, node: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows by (token, low) and, in it, whether a row goes on the chain before it."""
-    order = np.lexsort((node, low, token))
-    t, lo, hi = token[order], low[order], high[order]
-    goes = np.zeros(len(order), bool)
-    if len(order):
-        goes[1:] = (t[1:] == t[:-1]) & (100 * hi[:-1] >= share * lo[1:])
-    return order, goes
+def bands(longest: int, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size bands up to a size: first size, buckets and room for empty buckets of each."""
+    lows, buckets, rooms = [], [], []
+    low = 1
+    while True:
+        high = max(low, (100 * low) // share)  # a set of a band links with none beyond the next
+        d = (2 * high * (100 - share)) // (100 + share)
+        m, room = d + 1, 0
+        for _ in range(6 if d else 0):
+            empty = m * math.exp(-low / m)
+            room = math.ceil(1.5 * empty + 2 * math.sqrt(empty))
+            m = d + 1 + room
+        lows.append(low)
+        buckets.append(m)
+        rooms.append(room)
+        if low > longest:
+            return np.asarray(lows), np.asarray(buckets), np.asarray(rooms)
+        low = high + 1
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A finaliser that spreads 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def signatures(s: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Signatures of a set of 64-bit hashes, in its own band and the next."""
+    lows, buckets, rooms = table
+    own = int(np.searchsorted(lows, len(s), "right")) - 1
+    h = _mix(np.sort(s.view("u8")))
+    order = np.argsort(h)
+    h = h[order]
+    out = []
+    for band in (own, own + 1):
+        m, room = int(buckets[band]), int(rooms[band])
+        # the bucket by the high half of the hash; content as the sum of spread hashes
+        which = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        content = np.add.reduceat(_mix(h + np.uint64(0x9E3779B97F4A7C15)), starts)
+        used = which[starts]
+        tag = np.uint64(band << 34)
+        out.append(_mix(content ^ _mix(tag + used)))
+        if m - len(used) > room:
+            empty = np.setdiff1d(np.arange(m, dtype="u8"), used, assume_unique=True)
+            out.append(_mix(_mix(tag + empty) + np.uint64(0xD6E8FEB86659FD93)))
+    return np.concatenate(out).view("i8")
 
 
 def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(members, reps). members: doc_id, fp, n for each row. reps: node, fp, n, doc_id (the least), first (hashes)."""
+    """(members, reps). members: doc_id, fp, h, n, sigs for each row, sigs once for each class and task.
+    reps: node, fp, h, n, doc_id (the least). h is half a fingerprint."""
+    ship(docs.sparkSession)
+
+    def sign(batches: Iterator[pa.RecordBatch], remembered: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+        table, seen = bands(1 << 12, share), set()
+        for batch in batches:
+            fps, ns, sigs = batch.column(1).to_pylist(), batch.column(3).to_pylist(), []
+            for fp, n, s in zip(fps, ns, batch.column(4), strict=True):
+                if n == 0 or fp in seen:
+                    sigs.append(None)
+                    continue
+                if n > table[0][-2]:
+                    table = bands(2 * n, share)
+                sigs.append(signatures(np.asarray(s.values, "i8"), table))
+                if len(seen) < remembered:
+                    seen.add(fp)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "fp", "h", "n", "sigs"])
+
     s = texts(docs).select("doc_id", shingle_set(F.col("text"), words).alias("s"))
     n = F.size("s")
-    keep = (n - F.ceil(n * share / 100) + 1) * 3 / 2 + 8
-    every = written(s.select("doc_id", F.when(n > 0, _fingerprint(F.col("s"))).alias("fp"), n.cast("long").alias("n"), F.slice("s", 1, F.least(n, keep.cast("int"))).alias("first")), "sets")
-    reps = every.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first")).withColumn("node", F.monotonically_increasing_id())
-    reps, members = written(reps, "classes"), written(every.select("doc_id", "fp", "n"), "members")
-    discard(every)
-    return members, reps
-
-
-def frequent(reps: DataFrame, above: int = 48, most_frequent: int = 1_000_000) -> np.ndarray:
-    """Sorted hashes of shingles that more than so many classes hold among their first ones; the most frequent where they are too many to send."""
-    counted = reps.select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > above)
-    counted = table = written(counted, "frequent")
-    n = counted.count()
-    if n > most_frequent:
-        cut = counted.approxQuantile("c", [1 - most_frequent / n], 0.0005)[0]
-        counted = counted.filter(F.col("c") > cut).limit(2 * most_frequent)
-    got = np.sort(np.asarray(counted.select("h").toArrow().column("h"), "i8"))
-    discard(table)
-    return got
+    made = s.select("doc_id", F.when(n > 0, _fingerprint(F.col("s"))).alias("fp"), F.xxhash64(F.lit(1), "s").alias("h"), n.cast("long").alias("n"), "s")
+    members = written(made.mapInArrow(sign, "doc_id long, fp string, h long, n long, sigs array<long>"), "members")
+    reps = members.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("h").alias("h")).withColumn("node", F.monotonically_increasing_id())
+    return members, written(reps, "classes")
+
+
+def chain_edges(members: DataFrame) -> DataFrame:
+    """Edges (a, b) between halves of fingerprints, whose connected pieces hold all links."""
+
+    def combine(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+        sigs: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            order = np.lexsort((node, sig))
+            sig, node = sig[order], node[order]
+            head = np.concatenate([[True], sig[1:] != sig[:-1]])
+            again = ~head & np.concatenate([[False], node[1:] != node[:-1]])
+            pairs = np.stack([node[:-1][again[1:]], node[1:][again[1:]]], 1)
+            pairs = np.unique(pairs, axis=0)
+            none = pa.nulls(int(head.sum()), pa.int64())
+            key = np.concatenate([sig[head], pairs[:, 0]])  # an edge goes by its own node
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.concatenate([node[head], pairs[:, 0]]), pa.int64()), pa.concat_arrays([none, pa.array(pairs[:, 1], pa.int64())])], ["key", "node", "other"])
+
+        for batch in batches:
+            column = batch.column(1)
+            lens = np.asarray(column.value_lengths().fill_null(0), "i8")
+            sigs.append(np.asarray(column.flatten(), "i8"))
+            nodes.append(np.repeat(np.asarray(batch.column(0), "i8"), lens))
+            size += len(sigs[-1])
+            if size >= limit:
+                yield flush()
+                sigs, nodes, size = [], [], 0
+        if size:
+            yield flush()
+
+    rows = members.filter("sigs IS NOT NULL").select("h", "sigs").mapInArrow(combine, "key long, node long, other long")
+    w = Window.partitionBy("key", F.col("other").isNull()).orderBy("node")
+    linked = rows.withColumn("b", F.coalesce(F.col("other"), F.lag("node").over(w))).filter(F.col("b").isNotNull() & (F.col("b") != F.col("node")))
+    return linked.select(F.col("node").alias("a"), "b")
 
 
 def with_text_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -185,81 +267,9 @@ def with_text_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return met.filter(_fingerprint(F.col("s")) == F.col("fp")).drop("text", "own_id")
 
 
-_ENTRY = "h long, low long, high long, node long, other long"
-
-
-def chain_edges(docs: DataFrame, reps: DataFrame, words: int, share: int) -> DataFrame:
-    """Edges (a, b) between classes whose connected pieces hold all links."""
-    spark = docs.sparkSession
-    ship(spark)
-    common = spark.sparkContext.broadcast(frequent(reps))
-
-    def prefix(s: np.ndarray, n: int) -> np.ndarray | None:
-        """The first shingles in the common order; None where s, the first hashes alone, doesn't reach."""
-        p = n - int(required(n, share)) + 1
-        f = common.value
-        at = np.searchsorted(f, s)
-        at[at == len(f)] = 0
-        rare = s if not len(f) else s[f[at] != s]
-        if len(rare) >= p:
-            return rare[:p]
-        if len(s) < n:
-            return None
-        return np.concatenate([rare, s[~np.isin(s, rare)]])[:p]
-
-    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([prefix(np.asarray(s.values, "i8"), n) is None for s, n in zip(batch.column(3), batch.column(2).to_pylist(), strict=True)], pa.bool_())).select([0, 1, 2, 4])
-
-    def entries(batches: Iterator[pa.RecordBatch], limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int, int]] = []
-        size = 0
-        for batch in batches:
-            for node, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                p = prefix(np.asarray(s.values, "i8"), n)
-                if p is not None:
-                    held.append((p, n, node))
-                    size += len(p)
-            if size >= limit:
-                yield chained(held)
-                held, size = [], 0
-        if held:
-            yield chained(held)
-
-    def chained(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-        lens = [len(p) for p, _, _ in held]
-        token = np.concatenate([p for p, _, _ in held])
-        size, node = (np.repeat(np.asarray([x[i] for x in held], "i8"), lens) for i in (1, 2))
-        order, goes = _chains(token, size, size, node, share)
-        heads = np.flatnonzero(~goes)
-        run = np.cumsum(~goes) - 1
-        ends = np.append(heads[1:], len(order)) - 1
-        o = order
-        # one interval for each chain, standing for it by its first node
-        h, low, high, first = token[o][heads], size[o][heads], size[o][ends], node[o][heads]
-        pairs = np.stack([first[run][goes], node[o][goes]], 1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0) if len(pairs) else np.zeros((0, 2), "i8")
-        nul = pa.nulls(len(pairs), pa.int64())
-        col = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()), y])
-        return pa.RecordBatch.from_arrays([col(h, nul), col(low, nul), col(high, nul), col(first, pa.array(pairs[:, 0], pa.int64())), pa.concat_arrays([pa.nulls(len(h), pa.int64()), pa.array(pairs[:, 1], pa.int64())])], ["h", "low", "high", "node", "other"])
-
-    wanted = written(reps.select("node", "fp", "n", "first", "doc_id").mapInArrow(deep, "node long, fp string, n long, doc_id long"), "deep")
-    full = with_text_sets(docs, wanted, words).select("node", "n", "s")
-    all_entries = written(reps.select("node", "n", F.col("first").alias("s")).unionByName(full).mapInArrow(entries, _ENTRY), "entries")
-    own = all_entries.filter("h IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    # Between tasks: chain intervals of one shingle in order of their low end, with the furthest high end so far.
-    w = Window.partitionBy("h").orderBy("low", "node")
-    furthest = F.max(F.struct("high", "node")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    between = all_entries.filter("h IS NOT NULL").withColumn("p", furthest).filter(F.col("p").isNotNull() & (100 * F.col("p.high") >= share * F.col("low"))).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-    edges = written(own.unionByName(between).filter("a <> b").distinct(), "chains")
-    discard(all_entries, wanted)
-    return edges
-
-
 def true_links(docs: DataFrame, reps: DataFrame, pieces: DataFrame, words: int, share: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(a, b): links between classes that connect what is linked within each piece (node, component)."""
-    size = pieces.join(reps.select("node", "fp", "n", "doc_id"), "node")
-    size = written(size, "pieces")
+    """(a, b): links between classes that connect what is linked within each piece (half fingerprints, component)."""
+    size = written(pieces.withColumnRenamed("node", "h").join(reps, "h"), "pieces")
     per = size.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
     members = with_text_sets(docs, size.join(per, "component"), words).select("component", "blocks", "node", "s")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -285,7 +295,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     """A row for each document: doc_id, fp (of its set, null if empty), n_shingles, component_id, node_component (a component's own key)."""
     ship(docs.sparkSession)
     members, reps = classes(docs, words, share)
-    pieces = components(chain_edges(docs, reps, words, share))
+    pieces = components(chain_edges(members))
     linked = components(true_links(docs, reps, pieces, words, share))
     named = reps.select("node", "fp", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalyx.llm.common import texts
@@ -219,8 +219,34 @@ def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[Da
     return members, written(reps, "classes")
 
 
-def chain_edges(members: DataFrame) -> DataFrame:
-    """Edges (a, b) between halves of fingerprints, whose connected pieces hold all links."""
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of integers by place, so that leading zeros lie together and compress."""
+    return x.view("u1").reshape(-1, x.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(width, -1).T).view(dtype).ravel()
+
+
+def _chained(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures in order, the first node of each, and edges from each node to the next of its signature."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    head = np.concatenate([[True], sig[1:] != sig[:-1]])
+    again = np.flatnonzero(~head[1:] & (node[1:] != node[:-1]))
+    pairs = np.unique(np.stack([node[again], node[again + 1]], 1), axis=0)
+    return sig[head], node[head], pairs
+
+
+def chain_edges(members: DataFrame, per_part: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) between halves of fingerprints, whose connected pieces hold all links.
+
+    Signatures are dealt into parts by range. A task sends each part one row of sorted signatures,
+    as differences, with their nodes, about 8 bytes for a signature."""
+    spark = members.sparkSession
+    total = members.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // per_part))
 
     def combine(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
         sigs: list[np.ndarray] = []
@@ -228,16 +254,18 @@ def chain_edges(members: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            head = np.concatenate([[True], sig[1:] != sig[:-1]])
-            again = ~head & np.concatenate([[False], node[1:] != node[:-1]])
-            pairs = np.stack([node[:-1][again[1:]], node[1:][again[1:]]], 1)
-            pairs = np.unique(pairs, axis=0)
-            none = pa.nulls(int(head.sum()), pa.int64())
-            key = np.concatenate([sig[head], pairs[:, 0]])  # an edge goes by its own node
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.concatenate([node[head], pairs[:, 0]]), pa.int64()), pa.concat_arrays([none, pa.array(pairs[:, 1], pa.int64())])], ["key", "node", "other"])
+            sig, node, pairs = _chained(np.concatenate(sigs).view("u8"), np.concatenate(nodes))
+            part = (sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            cuts = np.searchsorted(part, np.arange(parts + 1, dtype="u8"))
+            rows = []
+            for k in range(parts):
+                own, at = slice(cuts[k], cuts[k + 1]), k * len(pairs) // parts
+                edges = pairs[at : (k + 1) * len(pairs) // parts]
+                if cuts[k] == cuts[k + 1] and not len(edges):
+                    continue
+                names, index = np.unique(node[own], return_inverse=True)
+                rows.append((k, _planes(np.diff(sig[own], prepend=np.uint64(0))), _planes(index.astype("<u4")), names.tobytes(), np.ascontiguousarray(edges).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4), strict=True)], ["part", "sigs", "index", "names", "edges"])
 
         for batch in batches:
             column = batch.column(1)
@@ -251,10 +279,15 @@ def chain_edges(members: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    rows = members.filter("sigs IS NOT NULL").select("h", "sigs").mapInArrow(combine, "key long, node long, other long")
-    w = Window.partitionBy("key", F.col("other").isNull()).orderBy("node")
-    linked = rows.withColumn("b", F.coalesce(F.col("other"), F.lag("node").over(w))).filter(F.col("b").isNotNull() & (F.col("b") != F.col("node")))
-    return linked.select(F.col("node").alias("a"), "b")
+    def meet(table: pa.Table) -> pa.Table:
+        sig = [np.cumsum(_from_planes(x.as_py(), "<u8"), dtype="u8") for x in table.column("sigs")]
+        node = [np.frombuffer(n.as_py(), "i8")[_from_planes(i.as_py(), "<u4")] for n, i in zip(table.column("names"), table.column("index"), strict=True)]
+        pairs = [np.frombuffer(e.as_py(), "i8").reshape(-1, 2) for e in table.column("edges")]
+        pairs = np.unique(np.concatenate([_chained(np.concatenate(sig), np.concatenate(node))[2], *pairs]), axis=0) if sum(map(len, sig)) else np.unique(np.concatenate(pairs), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    packed = members.filter("sigs IS NOT NULL").select("h", "sigs").mapInArrow(combine, "part long, sigs binary, index binary, names binary, edges binary")
+    return packed.groupBy("part").applyInArrow(meet, "a long, b long")
 
 
 def with_text_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:

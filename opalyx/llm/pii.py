@@ -5,7 +5,7 @@ Their matches are the protected entities. A term (a word beside a span) disclose
 the corpus says so: it stands beside that entity in several differing contexts, and that entity
 makes up much of the term's documents,
 
-    share = contexts(term, entity) / documents(term)
+    share = contexts(term, entity) / max(documents(term), contexts(term))
     information = log2(share * contexts / contexts(entity))   (pointwise, in bits)
 
 Above `generalise` a term's occurrences become spans of the kind term (to be replaced by a
@@ -122,12 +122,15 @@ def disclosing_terms(docs: DataFrame, spans: str = "base", *, beside: int = 4, l
     contexts = contexts.groupBy("entity", "context").agg(F.first("words").alias("words"))
     entities = contexts.groupBy("entity").agg(F.count("*").alias("of_entity")).filter(F.col("of_entity") >= least_contexts)
     pairs = contexts.join(entities, "entity").select("entity", "of_entity", F.explode(F.array_distinct("words")).alias("term")).filter(F.length("term") >= 3)
-    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("of_entity").alias("of_entity")).filter(F.col("both") >= least_contexts), "pairs")
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("of_entity").alias("of_entity")).filter(F.col("both") >= least_contexts)
+    # A term beside many entities can't disclose one of them: contexts bound its documents before these are counted.
+    of_term = contexts.select("context", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
+    pairs = written(pairs.join(of_term, "term").filter(F.col("both") >= generalise * F.col("of_term")), "pairs")
     total = contexts.agg(F.count("*").alias("all_contexts"))
     # Documents of these terms alone, each text once.
     words = docs.select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.split(F.lower(F.col("text")), _WORDS))).alias("term"))
     held = words.join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.count_distinct("t").alias("documents"))
-    share = F.col("both") / F.greatest("documents", "both")
+    share = F.col("both") / F.greatest("documents", "of_term")
     info = F.log2(share * F.col("all_contexts") / F.col("of_entity"))
     best = pairs.join(held, "term").crossJoin(F.broadcast(total)).select("term", share.alias("share"), info.alias("info"))
     return best.filter((F.col("share") >= generalise) & (F.col("info") > bits)).groupBy("term").agg(F.max("share").alias("share")).select("term", F.when(F.col("share") >= remove, "reveal").otherwise("term").alias("kind"))

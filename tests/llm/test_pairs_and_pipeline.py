@@ -49,8 +49,7 @@ def near_copies(seed=5):
             w = w[:]
             for _ in range(rng.randrange(0, 4)):
                 at = rng.randrange(len(w))
-                w[at : at + 1] = rng.choice([[], ["new%d" % rng.randrange(9)], [w[at].upper()], [w[at], "added"]])
-            w = w or ["left"]
+                w[at : at + 1] = rng.choice([[], ["new%d" % rng.randrange(9)], [w[at].upper()], [w[at], "added"]]) or (["left"] if len(w) == 1 else [])
     rng.shuffle(out)
     return out
 

@@ -18,6 +18,14 @@ from opalyx.runtime import shared_dir
 SF = "/root/testdata/sf0.001"
 
 
+def tokenizer(name):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(name))
+    t.encode_special_tokens = True  # in a text they are ordinary text
+    return t
+
+
 def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
@@ -28,9 +36,7 @@ def key(row):
 
 @pytest.fixture(scope="module")
 def words():
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    return tokenizer("word_bpe_49k.json")
 
 
 # 1 ------------------------------------------------------------------------------------------
@@ -181,9 +187,7 @@ def test_scores_of_odd_rows(spark):
 
 def check_pieces(rows, docs, window=1024):
     """Each id in exactly one piece, sequences gapless and within the window."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t = tokenizer("byte_bpe_50k.json")
     want = sorted(((i, [*t.encode(x or "", add_special_tokens=False).ids, 0]) for i, x in docs), key=lambda r: (r[0] is None, r[0] or 0, len(r[1])))
     pieces, left = {}, sorted(rows, key=lambda r: r.start)
     for r in left:

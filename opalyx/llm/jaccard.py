@@ -8,8 +8,10 @@ overlap of at least T = ceil(share * (n + m) / (1 + share)) of their n and m shi
    one's size band. Shingles are dealt by hash into M > d buckets, the same for all sets of a band;
    linked sets then hold some bucket alike. Empty buckets say nothing, so M leaves room for them; a
    set with more empty buckets than that room also gives these, as only two such sets could meet in
-   nothing else. A set gives the contents of its buckets, as hashes, in its own band and the next.
-   Sets with a signature in common are chained, tasks chaining their own first and passing on one
+   nothing else. A set gives the contents of its buckets, as hashes, in its own band and the next,
+   where it is a node of its own: linked sets have one of the two bands in common, and chains that
+   ran on from band to band would tie most sets together.
+   Nodes with a signature in common are chained, tasks chaining their own first and passing on one
    set for each signature, so a signature's rows number the tasks, not the documents. The connected
    pieces of the chains hold all links between them.
 3. A piece is dealt out in blocks; a pair of blocks is a search (DivideSkip): a document's longest
@@ -168,15 +170,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(s: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Signatures of a set of 64-bit hashes, in its own band and the next."""
+def signatures(s: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The band of a set of 64-bit hashes, its signatures there and in the next band."""
     lows, buckets, rooms = table
     own = int(np.searchsorted(lows, len(s), "right")) - 1
     h = _mix(np.sort(s.view("u8")))
     order = np.argsort(h)
     h = h[order]
-    out = []
+    made = []
     for band in (own, own + 1):
+        out = []
         m, room = int(buckets[band]), int(rooms[band])
         # the bucket by the high half of the hash; content as the sum of spread hashes
         which = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -188,34 +191,41 @@ def signatures(s: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray])
         if m - len(used) > room:
             empty = np.setdiff1d(np.arange(m, dtype="u8"), used, assume_unique=True)
             out.append(_mix(_mix(tag + empty) + np.uint64(0xD6E8FEB86659FD93)))
-    return np.concatenate(out).view("i8")
+        made.append(np.concatenate(out).view("i8"))
+    return own, *made
+
+
+def _in_band(h: Column, band: Column) -> Column:
+    """A class as a node of a band."""
+    return F.xxhash64(h, band)
 
 
 def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(members, reps). members: doc_id, fp, h, n, sigs for each row, sigs once for each class and task.
-    reps: node, fp, h, n, doc_id (the least). h is half a fingerprint."""
+    """(members, reps). members: doc_id, fp, h, n, band, sigs, next for each row, the last three once for each class and task.
+    reps: node, fp, h, n, band, doc_id (the least). h is half a fingerprint."""
     ship(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch], remembered: int = 2_000_000) -> Iterator[pa.RecordBatch]:
         table, seen = bands(1 << 12, share), set()
         for batch in batches:
-            fps, ns, sigs = batch.column(1).to_pylist(), batch.column(3).to_pylist(), []
+            fps, ns, made = batch.column(1).to_pylist(), batch.column(3).to_pylist(), []
             for fp, n, s in zip(fps, ns, batch.column(4), strict=True):
                 if n == 0 or fp in seen:
-                    sigs.append(None)
+                    made.append((None, None, None))
                     continue
                 if n > table[0][-2]:
                     table = bands(2 * n, share)
-                sigs.append(signatures(np.asarray(s.values, "i8"), table))
+                made.append(signatures(np.asarray(s.values, "i8"), table))
                 if len(seen) < remembered:
                     seen.add(fp)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "fp", "h", "n", "sigs"])
+            band, sigs, after = zip(*made) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(band, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), pa.array(after, pa.list_(pa.int64()))], ["doc_id", "fp", "h", "n", "band", "sigs", "next"])
 
     s = texts(docs).select("doc_id", shingle_set(F.col("text"), words).alias("s"))
     n = F.size("s")
     made = s.select("doc_id", F.when(n > 0, _fingerprint(F.col("s"))).alias("fp"), F.xxhash64(F.lit(1), "s").alias("h"), n.cast("long").alias("n"), "s")
-    members = written(made.mapInArrow(sign, "doc_id long, fp string, h long, n long, sigs array<long>"), "members")
-    reps = members.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("h").alias("h")).withColumn("node", F.monotonically_increasing_id())
+    members = written(made.mapInArrow(sign, "doc_id long, fp string, h long, n long, band int, sigs array<long>, next array<long>"), "members")
+    reps = members.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("h").alias("h"), F.max("band").alias("band")).withColumn("node", F.monotonically_increasing_id())
     return members, written(reps, "classes")
 
 
@@ -240,12 +250,12 @@ def _chained(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def chain_edges(members: DataFrame, per_part: int = 1_000_000) -> DataFrame:
-    """Edges (a, b) between halves of fingerprints, whose connected pieces hold all links.
+    """Edges (a, b) between nodes of bands, whose connected pieces hold all links.
 
     Signatures are dealt into parts by range. A task sends each part one row of sorted signatures,
     as differences, with their nodes, about 8 bytes for a signature."""
     spark = members.sparkSession
-    total = members.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
+    total = members.agg(F.coalesce(F.sum(F.size("sigs") + F.size("next")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // per_part))
 
     def combine(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -286,7 +296,8 @@ def chain_edges(members: DataFrame, per_part: int = 1_000_000) -> DataFrame:
         pairs = np.unique(np.concatenate([_chained(np.concatenate(sig), np.concatenate(node))[2], *pairs]), axis=0) if sum(map(len, sig)) else np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    packed = members.filter("sigs IS NOT NULL").select("h", "sigs").mapInArrow(combine, "part long, sigs binary, index binary, names binary, edges binary")
+    held = members.filter("sigs IS NOT NULL").select("h", F.explode(F.array(F.struct("band", "sigs"), F.struct((F.col("band") + 1).alias("band"), F.col("next").alias("sigs")))).alias("x"))
+    packed = held.select(_in_band(F.col("h"), F.col("x.band")).alias("node"), "x.sigs").mapInArrow(combine, "part long, sigs binary, index binary, names binary, edges binary")
     return packed.groupBy("part").applyInArrow(meet, "a long, b long")
 
 
@@ -301,8 +312,9 @@ def with_text_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def true_links(docs: DataFrame, reps: DataFrame, pieces: DataFrame, words: int, share: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(a, b): links between classes that connect what is linked within each piece (half fingerprints, component)."""
-    size = written(pieces.withColumnRenamed("node", "h").join(reps, "h"), "pieces")
+    """(a, b): links between classes that connect what is linked within each piece (nodes of bands, component)."""
+    banded = reps.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).withColumn("key", _in_band(F.col("h"), F.col("band"))).drop("band", "h")
+    size = written(pieces.withColumnRenamed("node", "key").join(banded, "key"), "pieces")
     per = size.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
     members = with_text_sets(docs, size.join(per, "component"), words).select("component", "blocks", "node", "s")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

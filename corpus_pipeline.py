@@ -22,6 +22,8 @@ from opalyx.runtime import with_keys, written
 #: Least lead of the likeliest language over the second, as shares.
 LEAD = 0.02
 WORDS, SHARE = 5, 80
+#: Documents of a block of the join: a piece's sets are sent to each of its blocks, so fewer blocks shuffle less.
+BLOCK_ROWS = 1024
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -43,7 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = written(jaccard.near_duplicates(docs, WORDS, SHARE), "groups")
+    groups = written(jaccard.near_duplicates(docs, WORDS, SHARE, BLOCK_ROWS), "groups")
     members = groups.filter(F.col("fp").isNotNull())
     # The least (id, class) of each component stays.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from opalyx.llm.common import texts
 from opalyx.llm.graph import components
-from opalyx.runtime import ship, with_keys, written
+from opalyx.runtime import discard, ship, with_keys, written
 
 WORDS, SHARE = 3, 90
 BLOCK_ROWS, BLOCK_SHINGLES = 192, 400_000
@@ -336,12 +336,16 @@ def true_links(docs: DataFrame, reps: DataFrame, pieces: DataFrame, words: int,
     return dealt.groupBy("component", "i", "j").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A row for each document: doc_id, fp (of its set, null if empty), n_shingles, component_id, node_component (a component's own key)."""
     ship(docs.sparkSession)
     members, reps = classes(docs, words, share)
     pieces = components(chain_edges(members))
-    linked = components(true_links(docs, reps, pieces, words, share))
+    # the signatures are used up
+    slim = written(members.select("doc_id", "fp", "n"), "documents")
+    discard(members)
+    members = slim
+    linked = components(true_links(docs, reps, pieces, words, share, block_rows))
     named = reps.select("node", "fp", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = written(named.join(least, "component").select("fp", "component_id", F.col("component").alias("node_component")), "components")

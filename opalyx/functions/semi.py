@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from opalyx.functions.text import compact, or_null
 
@@ -63,7 +64,8 @@ def codes_in(payload: Column) -> Column:
     return eight_digit_codes(payload)
 
 
-@F.pandas_udf("struct<amount:double,currency:string>")
+# Types as objects: a type given as text needs a session when the module is imported.
+@F.pandas_udf(StructType().add("amount", DoubleType()).add("currency", StringType()))
 def first_money(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Depth-first search for the first node that has an amount and a currency. Nesting has no fixed depth, so Python."""
 
@@ -94,7 +96,7 @@ def first_money(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["amount", "currency"])
 
 
-@F.pandas_udf("array<struct<street:string,locality:string,region:string,postal_code:string,country:string>>")
+@F.pandas_udf(ArrayType(StructType().add("street", StringType()).add("locality", StringType()).add("region", StringType()).add("postal_code", StringType()).add("country", StringType())))
 def linked_addresses(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Postal addresses in the linked-data scripts of pages, at any depth."""
     import re

@@ -7,7 +7,10 @@ from opalyx.operators import review, store
 from opalyx.plans import query as Q
 from opalyx.plans import schema
 
-NOW = F.lit("2026-01-02").cast("timestamp")
+
+def now():  # a Column needs a session
+    return F.lit("2026-01-02").cast("timestamp")
+
 
 
 def table(spark, rows, ddl):
@@ -51,11 +54,11 @@ def test_expiry_and_sweep(spark):
 def test_saved_search_is_idempotent(spark):
     saved = table(spark, [], "id long, workspace_key string, name string, filters_json string, created_at timestamp, updated_at timestamp")
     text = Q.Query(jurisdiction="france").to_json()
-    once = store.save_search(saved, "w", " mine ", text, NOW)
-    twice = store.save_search(once, "w", "mine", text, NOW)
+    once = store.save_search(saved, "w", " mine ", text, now())
+    twice = store.save_search(once, "w", "mine", text, now())
     assert [(r["id"], r["name"]) for r in twice.collect()] == [(1, "mine")]
     with pytest.raises(ValueError):
-        store.save_search(saved, "w", "x", "{}", NOW)
+        store.save_search(saved, "w", "x", "{}", now())
 
 
 def test_decisions(spark):

@@ -29,6 +29,10 @@ from opalyx.runtime import ship
 CHUNK, OVERLAP = 16_384, 512
 #: No alternative of the pattern looks further than this beyond the end of its match.
 LOOK = 3
+#: Pieces a generation of the memo keeps; a task's encoding and decoding run in two processes, each with its own tables.
+MEMO = 150_000
+#: Rows whose ids are made at a time.
+ROWS = 500
 
 _memos: dict = {}
 
@@ -83,7 +87,7 @@ def piece_memo(ranks_path: str, pattern: str) -> Memo:
     key = (ranks_path, pattern)
     if key not in _memos:
         encode = tiktoken_encoding(ranks_path, pattern).encode_ordinary
-        _memos[key] = Memo(lambda pieces: [np.asarray(encode(p), "<u4").tobytes() for p in pieces])
+        _memos[key] = Memo(lambda pieces: [np.asarray(encode(p), "<u4").tobytes() for p in pieces], MEMO)
     return _memos[key]
 
 
@@ -119,7 +123,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = CHUNK
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = piece_memo(ranks_path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([memo.join(COARSE.findall(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([memo.join(COARSE.findall(t)) for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -169,8 +175,8 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table(ranks_path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([decode_bytes(x, table) for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

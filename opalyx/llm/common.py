@@ -36,11 +36,9 @@ class Memo:
         found = list(map(self.young.get, pieces))
         if None not in found:
             return b"".join(found)
-        old, new = self.old, {}
-        for p in {p for p, f in zip(pieces, found, strict=True) if f is None}:
-            if (was := old.get(p)) is not None:
-                new[p] = was
-        missing = list({p for p, f in zip(pieces, found, strict=True) if f is None and p not in new})
+        absent = {p for p, f in zip(pieces, found, strict=True) if f is None}
+        new = {p: was for p in absent if (was := self.old.get(p)) is not None}
+        missing = [p for p in absent if p not in new]
         if missing:
             new.update(zip(missing, self.encode_many(missing), strict=True))
         out = b"".join([new[p] if f is None else f for p, f in zip(pieces, found, strict=True)])

@@ -429,7 +429,12 @@ def first_regex(spark, sf):
 @query("code_extract", "SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(n_chars || ' 71200000-0 7124' || lpad(CAST(doc_id AS VARCHAR), 4, '0'), '\\b(\\d{8})(?:-\\d)?\\b', 1)), ' ') AS codes FROM documents WHERE doc_id < 1000000".replace("list_distinct(", "list_sort(list_distinct(").replace(", 1)), ' ')", ", 1))), ' ')"))
 def code_extract(spark, sf):
     raw = F.concat(F.col("n_chars").cast("string"), F.lit(" 71200000-0 7124"), F.lpad(F.col("doc_id").cast("string"), 4, "0"))
-    return table(spark, sf, "documents").filter("doc_id < 1000000").select("doc_id", F.array_join(F.array_sort(text.eight_digit_codes(raw)), " ").alias("codes"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(text.eight_digit_codes(raw)), " ").alias("codes"))
+
+
+@query("code_extract_text", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b(\\d{8})(?:-\\d)?\\b', 1))), ' ') AS codes FROM documents")
+def code_extract_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(text.eight_digit_codes(F.col("text"))), " ").alias("codes"))
 
 
 @query("url_parts", "SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '') AS host, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")

@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from opalyx import queries
 from opalyx.operators import review, store
 from opalyx.plans import query as Q
 from opalyx.plans import schema
@@ -101,3 +102,12 @@ def test_pushed_filters(spark):
 def test_conflict_signal(spark):
     got = spark.createDataFrame([("A  MISMATCH of dates",), ("fine",), (None,)], "n string").select(review.conflict_signal(F.col("n")).alias("c")).collect()
     assert [bool(r["c"]) for r in got] == [True, False, False]
+
+
+def test_codes_of_every_row(spark, tmp_path):
+    rows = [(7, "first 71200000-0 then 45000000, 71200000 again", 10), (1_000_000, "late 71240000-3", 20), (12_345_678_901, "no code 123456789", 30), (None, "no id 98341000", 40)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made = {r.doc_id: r.codes for r in queries.QUERIES["code_extract"](spark, str(tmp_path)).collect()}
+    assert made == {7: "71200000 71240007", 1_000_000: "71200000 71241000", 12_345_678_901: "71200000 71241234", None: None}
+    found = {r.doc_id: r.codes for r in queries.QUERIES["code_extract_text"](spark, str(tmp_path)).collect()}
+    assert found == {7: "45000000 71200000", 1_000_000: "71240000", 12_345_678_901: "", None: "98341000"}

@@ -8,9 +8,9 @@ its share of the corpus counts:
 
     log P(word | both sides) = log P(class | window) + log(count / count of the class)
 
-Training is spread over the corpus. In each round every partition trains a copy from the common
-parameters on each stride-th window of all its documents (another phase in each round); the copies
-are averaged by their windows, in groups on the executors, and the groups on the driver. Parameters
+Training is spread over the corpus and meets every token once. In each round every partition trains
+a copy from the common parameters on the windows of that round in all its documents (the places of a
+document are dealt to the rounds in turn, from each document's start); the copies are averaged by their windows, in groups on the executors, and the groups on the driver. Parameters
 and counts have a fixed size; what is gathered grows with partitions and buckets in them.
 
 Defined results: null or empty text has 0 tokens, log_prob 0 and no mean (null); rows that repeat an
@@ -106,6 +106,13 @@ def padded(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, place
 
 
+def places_of_round(offsets: np.ndarray, rounds: int, r: int) -> np.ndarray:
+    """Which tokens a round trains on: each token of each document is in exactly one round."""
+    lens = np.diff(offsets)
+    within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lens)
+    return np.flatnonzero(within % rounds == r)
+
+
 def _lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     ids = batch.column(column)
     lens = np.asarray(ids.value_lengths().fill_null(0), "i8")
@@ -128,7 +135,7 @@ class Scorer:
             x = self.places[0][rows[at + PLACES[0]]]
             for e, p in zip(self.places[1:], PLACES[1:], strict=True):
                 x += e[rows[at + p]]
-            z = np.tanh(x) @ self.out + self.bias
+            z = np.einsum("kw,wc->kc", np.tanh(x), self.out) + self.bias  # unlike @, the same for a window wherever it stands
             own = values[a : a + STEP]
             cls = self.tables.cls[own]
             top = z.max(1)
@@ -155,14 +162,13 @@ def corpus_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def train(ids: DataFrame, tables: Tables, rounds: int = 2, stride: int = 16, batch_windows: int = 4096, groups: int = 16) -> list[np.ndarray]:
+def train(ids: DataFrame, tables: Tables, rounds: int = 2, batch_windows: int = 512, groups: int = 16) -> list[np.ndarray]:
     spark = ids.sparkSession
     params = fresh(tables.prior)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((params, tables.cls))
-        phase = r * stride // rounds
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, phase=phase) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             start, cls = shared.value
@@ -170,13 +176,14 @@ def train(ids: DataFrame, tables: Tables, rounds: int = 2, stride: int = 16, bat
 
             def windows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 held_ctx, held_cls, size = [], [], 0
-                for batch in batches:
-                    values, offsets = _lists(batch, 0)
+                for part in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
+                    values, offsets = _lists(part, 0)
                     line, place = padded(values, offsets)
-                    at = place[phase::stride]
+                    met = places_of_round(offsets, rounds, r)
+                    at = place[met]
                     rows = rows_of(line)
                     held_ctx.append(np.stack([rows[at + p] for p in PLACES], 1))
-                    held_cls.append(cls[values[phase::stride]])
+                    held_cls.append(cls[values[met]])
                     size += len(at)
                     if size >= batch_windows:
                         c, y = np.concatenate(held_ctx), np.concatenate(held_cls)

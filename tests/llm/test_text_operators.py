@@ -175,6 +175,14 @@ def test_scores_tell_order_from_disorder(spark):
     assert abs(got[9000].mean_log_prob * len(base) - got[9000].log_prob) < 1e-6
 
 
+def test_every_token_is_trained_on(spark):
+    offsets = np.asarray([0, 8, 8, 24, 25])
+    assert sorted(np.concatenate([lm.places_of_round(offsets, 2, r) for r in range(2)]).tolist()) == list(range(25))
+    rows = [(k, "one plain text that has just eight words") for k in range(4000)]  # a stride of 8 meets only "one"
+    got = lm.score(table(spark, rows)).first()
+    assert got.mean_log_prob > np.log(1 / 8) + 0.5  # above the words' shares of the corpus
+
+
 def test_scores_of_odd_rows(spark):
     got = lm.score(table(spark, EDGES)).collect()
     assert len(got) == len(EDGES) and all(r.log_prob <= 0 and np.isfinite(r.log_prob) for r in got)

@@ -1,17 +1,20 @@
 """Masked pseudo-likelihood: every token predicted from both sides, log-probabilities summed.
 
-Words (lower case, between white space) are hashed to 2**18 buckets; counts of the buckets over the
-whole corpus give each a class: the commonest have classes of their own, the others share the rest
-by hash. A window network, written in numpy, predicts a token's class from the two tokens on each
-side (embeddings scaled by place and added, tanh, softmax); within a class a bucket's probability is
-its share of the corpus counts:
+Words (lower case, between white space) are hashed to 2**18 buckets. The buckets that the corpus
+holds are the leaves of a Huffman tree made from their counts; a window network, written in numpy,
+predicts a token itself as the chain of turns from the root to its leaf. Each turn sees the two
+tokens on each side (embeddings scaled by place and added, tanh, with a constant: h):
 
-    log P(word | both sides) = log P(class | window) + log(count / count of the class)
+    log P(token | both sides) = sum over its turns of log sigmoid(+-(log odds + h . node))
+
+The log odds are those of the counts below the node, so that a node that nothing was learned of
+gives the corpus shares. The OWN nodes that most tokens pass have a vector each; the others share
+SHARED vectors by hash, besides their own log odds.
 
 Training is spread over the corpus and meets every token once. In each round every partition trains
 a copy from the common parameters on the windows of that round in all its documents (the places of a
-document are dealt to the rounds in turn, from each document's start); the copies are averaged by their windows, in groups on the executors, and the groups on the driver. Parameters
-and counts have a fixed size; what is gathered grows with partitions and buckets in them.
+document are dealt to the rounds in turn, from each document's start); the copies are averaged by their windows on the executors, in groups and then the groups. Parameters and the
+tree have a fixed size; what is gathered grows with partitions and buckets in them.
 
 Defined results: null or empty text has 0 tokens, log_prob 0 and no mean (null); rows that repeat an
 id have a row each; an empty table gives no rows.
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 from opalyx.llm.common import texts
 from opalyx.runtime import ship, written
 
-BUCKETS, ROWS, WIDTH, CLASSES = 1 << 18, 1 << 13, 24, 64
+BUCKETS, ROWS, WIDTH = 1 << 18, 1 << 13, 24
+OWN, SHARED, TOP = 1 << 15, 1 << 14, 128
 PLACES = (-2, -1, 1, 2)
 PAD = BUCKETS
-STEP = 32_768
+STEP = 4_096
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -43,57 +47,137 @@ def tokens(docs: DataFrame) -> DataFrame:
     return written(texts(docs).select("doc_id", ids.alias("ids")), "tokens")
 
 
-class Tables:
-    """From the corpus counts: class of each bucket and log of its share in the class."""
-
-    def __init__(self, counts: np.ndarray, classes: int = CLASSES):
-        own = classes // 2
-        order = np.argsort(-counts, kind="stable")
-        self.cls = (own + (np.arange(len(counts)) * 2654435761 % (1 << 32)) % (classes - own)).astype("i4")
-        self.cls[order[:own]] = np.arange(own)
-        c = counts + 0.5
-        total = np.bincount(self.cls, c, classes)
-        self.log_share = np.log(c / total[self.cls]).astype("f4")
-        self.prior = np.log(total / total.sum()).astype("f4")
-
-
-def fresh(prior: np.ndarray, seed: int = 3) -> list[np.ndarray]:
-    """Embeddings (the last row, for places outside the text, included), scales by place, output weights and biases."""
+class Tree:
+    """Huffman tree of the buckets that occur. The node with the most tokens, the root, is node 0."""
+
+    def __init__(self, counts: np.ndarray):
+        leaves = np.flatnonzero(counts)
+        leaves = leaves[np.argsort(counts[leaves], kind="stable")]
+        n = len(leaves)
+        inner = max(0, n - 1)
+        weight = counts[leaves].tolist() + [0.0] * inner
+        up, side = np.zeros(n + inner, "i4"), np.zeros(n + inner, "i1")
+        leaf, node = 0, n
+        for new in range(n, n + inner):  # leaves and nodes both come in order of their counts
+            pair = []
+            for _ in range(2):
+                if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                    pair.append(leaf)
+                    leaf += 1
+                else:
+                    pair.append(node)
+                    node += 1
+            weight[new] = weight[pair[0]] + weight[pair[1]]
+            up[pair], side[pair[1]] = new, 1
+        self.leaves, self.up, self.side = leaves, up, side
+        odds = np.zeros(inner, "f4")
+        w, one = np.asarray(weight), np.flatnonzero(side)
+        odds[n + inner - 1 - up[one]] = np.log(w[one] / (w[up[one]] - w[one]))
+        self.odds = odds
+
+    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length) of each bucket's turns, and all turns: twice the node, and 1 where the turn is to the second side."""
+        n, last = len(self.leaves), len(self.up) - 1
+        at, turns, whose = np.arange(n), [], []
+        live = np.arange(n)
+        while len(live := live[at[live] < last]):
+            turns.append(2 * (last - self.up[at[live]]) + self.side[at[live]])
+            whose.append(live)
+            at[live] = self.up[at[live]]
+        start, length = np.zeros(BUCKETS, "i8"), np.zeros(BUCKETS, "i8")
+        if not turns:
+            return start, length, np.zeros(0, "i4")
+        who = np.concatenate(whose)
+        length[self.leaves] = each = np.bincount(who, minlength=n)
+        start[self.leaves] = np.cumsum(each) - each
+        return start, length, np.concatenate(turns)[np.argsort(who, kind="stable")].astype("i4")
+
+
+class Turns:
+    """The turns of tokens, with what they need of the tree."""
+
+    def __init__(self, tree: Tree):
+        self.start, self.length, self.all = tree.paths()
+        self.odds = tree.odds
+        node = np.arange(len(tree.odds))
+        self.row = np.where(node < OWN, node, OWN + (node * 2654435761 % (1 << 32) >> 8) % SHARED).astype("u2")
+
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(turns of each token, rows, log odds, sides) of their turns one after another."""
+        lens = self.length.take(tokens)
+        first = np.cumsum(lens) - lens
+        turns = self.all.take(np.arange(lens.sum()) + np.repeat(self.start.take(tokens) - first, lens))
+        node = turns >> 1
+        return lens, self.row.take(node), self.odds.take(node), (turns & 1).astype("f4")
+
+
+def fresh(seed: int = 3) -> list[np.ndarray]:
+    """Embeddings (the last row, for places outside the text, included), scales by place, vectors of the nodes with a constant's."""
     rng = np.random.default_rng(seed)
-    return [rng.normal(0, 0.3, (ROWS + 1, WIDTH)).astype("f4"), np.ones((len(PLACES), WIDTH), "f4"), rng.normal(0, 0.1, (WIDTH, len(prior))).astype("f4"), prior.copy()]
+    return [rng.normal(0, 0.3, (ROWS + 1, WIDTH)).astype("f4"), np.ones((len(PLACES), WIDTH), "f4"), np.zeros((OWN + SHARED, WIDTH + 1), "f4")]
 
 
 def rows_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids == PAD, ROWS, ids & (ROWS - 1))
 
 
-def train_windows(params: list[np.ndarray], windows: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.1) -> int:
-    """Adaptive gradient steps in place, one for each (context rows, classes) batch; the number of windows."""
-    emb, scale, out, bias = params
-    g_emb, g_scale, g_out, g_bias = (np.full_like(p, 1e-4) for p in params)
+def hidden(x: np.ndarray) -> np.ndarray:
+    h = np.ones((len(x), WIDTH + 1), "f4")
+    np.tanh(x, out=h[:, :WIDTH])
+    return h
+
+
+def _add_up(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their values)."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows.take(order)
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])[: len(rows)])
+    return rows.take(first), np.add.reduceat(values.take(order, axis=0), first, axis=0) if len(rows) else values
+
+
+def train_windows(params: list[np.ndarray], turns: Turns, windows: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.1) -> int:
+    """Adaptive gradient steps in place, one for each (context rows, tokens) batch; the number of windows."""
+    emb, scale, out = params
+    g_emb, g_scale, g_out = np.full(len(emb), 0.1, "f4"), np.full_like(scale, 0.1), np.full(len(out), 0.1, "f4")
     n = 0
-    for ctx, cls in windows:
-        k = len(cls)
-        n += k
-        e = emb[ctx]  # windows x places x width
-        h = np.tanh((e * scale).sum(1))
-        z = h @ out + bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(k), cls] -= 1
-        p /= k
-        d_out, d_bias = h.T @ p, p.sum(0)
-        d_x = (p @ out.T) * (1 - h * h)
+    for ctx, tokens in windows:
+        n += len(tokens)
+        less = -turns.length.take(tokens)
+        by = np.argsort(less, kind="stable")  # longest first, so that a step of all paths is a slice
+        ctx, less, start = ctx.take(by, axis=0), less.take(by), turns.start.take(tokens.take(by))
+        e = emb.take(ctx, axis=0)  # windows x places x width
+        h = hidden(np.einsum("kpw,pw->kw", e, scale))
+        d_h, steps = np.zeros_like(h), []
+        for j in range(-less[0]):
+            m = int(np.searchsorted(less, -j))
+            turn = turns.all.take(start[:m] + j)
+            node = turn >> 1
+            row = turns.row.take(node)
+            w = out.take(row, axis=0)
+            z = np.einsum("kw,kw->k", h[:m], w) + turns.odds.take(node)
+            wrong = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (turn & 1).astype("f4")
+            w *= wrong[:, None]
+            d_h[:m] += w
+            steps.append((np.arange(m), row, wrong))
+        if not steps:
+            continue
+        who, rows, wrong = (np.concatenate(x) for x in zip(*steps, strict=True))
+        top = rows < TOP
+        table = np.zeros((len(ctx), TOP), "f4")
+        table.ravel()[who[top] * TOP + rows[top]] = wrong[top]
+        who, rows, wrong = who[~top], rows[~top], wrong[~top]
+        below = h.take(who, axis=0)
+        below *= wrong[:, None]
+        d_x = d_h[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
+        d_e = (d_x[:, None, :] * scale).reshape(-1, WIDTH)
         d_scale = np.einsum("kpw,kw->pw", e, d_x)
-        used, back = np.unique(ctx, return_inverse=True)
-        d_emb = np.zeros((len(used), emb.shape[1]), "f4")
-        np.add.at(d_emb, back.ravel(), (d_x[:, None, :] * scale).reshape(-1, emb.shape[1]))
-        for w, g, d in ((scale, g_scale, d_scale), (out, g_out, d_out), (bias, g_bias, d_bias)):
-            g += d * d
-            w -= rate * d / np.sqrt(g)
-        g_emb[used] += d_emb * d_emb
-        emb[used] -= rate * d_emb / np.sqrt(g_emb[used])
+        g_scale += d_scale * d_scale
+        scale -= rate * d_scale / np.sqrt(g_scale)
+        for w, g, used, d in ((out, g_out, np.arange(TOP), table.T @ h), (out, g_out, *_add_up(rows, below)), (emb, g_emb, *_add_up(ctx.ravel().astype("u2"), d_e))):
+            own = g.take(used) + np.einsum("uw,uw->u", d, d) / d.shape[1]  # one rate for a row
+            g[used] = own
+            d *= (rate / np.sqrt(own))[:, None]
+            w[used] = w.take(used, axis=0) - d
     return n
 
 
@@ -120,26 +204,27 @@ def _lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scorer:
-    def __init__(self, params: list[np.ndarray], tables: Tables):
-        emb, scale, self.out, self.bias = params
+    def __init__(self, params: list[np.ndarray], tree: Tree):
+        emb, scale, self.out = params
         self.places = [emb * s for s in scale]
-        self.tables = tables
+        self.turns = Turns(tree)
 
     def log_probs(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of each token, given both sides."""
         line, place = padded(values, offsets)
         rows = rows_of(line)
-        got = np.empty(len(values), "f4")
+        got = np.zeros(len(values), "f4")
         for a in range(0, len(values), STEP):
             at = place[a : a + STEP]
-            x = self.places[0][rows[at + PLACES[0]]]
+            x = self.places[0].take(rows.take(at + PLACES[0]), axis=0)
             for e, p in zip(self.places[1:], PLACES[1:], strict=True):
-                x += e[rows[at + p]]
-            z = np.einsum("kw,wc->kc", np.tanh(x), self.out) + self.bias  # unlike @, the same for a window wherever it stands
-            own = values[a : a + STEP]
-            cls = self.tables.cls[own]
-            top = z.max(1)
-            got[a : a + STEP] = z[np.arange(len(at)), cls] - top - np.log(np.exp(z - top[:, None]).sum(1)) + self.tables.log_share[own]
+                x += e.take(rows.take(at + p), axis=0)
+            lens, own, odds, side = self.turns.of(values[a : a + STEP])
+            if len(own):
+                z = np.einsum("dw,dw->d", np.repeat(hidden(x), lens, axis=0), self.out.take(own, axis=0)) + odds
+                z *= 1 - 2 * side  # against the turn that was taken
+                cost = np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
+                got[a : a + STEP] = -np.add.reduceat(cost, np.cumsum(lens) - lens)
         return got
 
 
@@ -162,57 +247,61 @@ def corpus_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def train(ids: DataFrame, tables: Tables, rounds: int = 2, batch_windows: int = 512, groups: int = 16) -> list[np.ndarray]:
+def train(ids: DataFrame, tree: Tree, rounds: int = 2, batch_windows: int = 2048, groups: int = 16) -> list[np.ndarray]:
     spark = ids.sparkSession
-    params = fresh(tables.prior)
+    params = fresh()
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((params, tables.cls))
+        shared = spark.sparkContext.broadcast((params, tree))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            start, cls = shared.value
+            start, tree = shared.value
             own = [p.copy() for p in start]
 
             def windows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                held_ctx, held_cls, size = [], [], 0
+                held_ctx, held_own, size, step = [], [], 0, 64  # steps grow, so that few windows are several steps
                 for part in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
                     values, offsets = _lists(part, 0)
                     line, place = padded(values, offsets)
                     met = places_of_round(offsets, rounds, r)
                     at = place[met]
                     rows = rows_of(line)
-                    held_ctx.append(np.stack([rows[at + p] for p in PLACES], 1))
-                    held_cls.append(cls[values[met]])
+                    held_ctx.append(np.stack([rows.take(at + p) for p in PLACES], 1))
+                    held_own.append(values[met])
                     size += len(at)
                     if size >= batch_windows:
-                        c, y = np.concatenate(held_ctx), np.concatenate(held_cls)
-                        mixed = np.random.default_rng(len(c)).permutation(len(c))
-                        whole = len(c) - len(c) % batch_windows
-                        for k in range(0, whole, batch_windows):
-                            yield c[mixed[k : k + batch_windows]], y[mixed[k : k + batch_windows]]
-                        held_ctx, held_cls, size = [c[mixed[whole:]]], [y[mixed[whole:]]], len(c) - whole
+                        c, y = np.concatenate(held_ctx), np.concatenate(held_own)
+                        mixed, k = np.random.default_rng(len(c)).permutation(len(c)), 0
+                        while len(c) - k >= step:
+                            yield c.take(mixed[k : k + step], axis=0), y.take(mixed[k : k + step])
+                            k, step = k + step, min(2 * step, batch_windows)
+                        held_ctx, held_own, size = [c[mixed[k:]]], [y[mixed[k:]]], len(c) - k
                 if size:
-                    yield np.concatenate(held_ctx), np.concatenate(held_cls)
+                    c, y = np.concatenate(held_ctx), np.concatenate(held_own)
+                    mixed, k = np.random.default_rng(len(c)).permutation(len(c)), 0
+                    while k < len(c):
+                        yield c[mixed[k : k + step]], y[mixed[k : k + step]]
+                        k, step = k + step, min(2 * step, batch_windows)
 
-            n = train_windows(own, windows())
+            n = train_windows(own, Turns(tree), windows())
             if n:
                 yield pa.RecordBatch.from_pydict({"g": pa.array([TaskContext.get().partitionId() % groups], pa.int32()), "n": [n], "p": pa.array([packed(own)], pa.binary())})
 
-        def average(table: pa.Table) -> pa.Table:
-            n = table.column("n").to_pylist()
-            total = None
-            for k, data in zip(n, table.column("p"), strict=True):
-                part = [x.astype("f8") * k for x in unpacked(data.as_py())]
-                total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
-            return pa.table({"n": [sum(n)], "p": pa.array([packed([x / sum(n) for x in total])], pa.binary())})
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total = 0, None
+            for batch in batches:
+                for k, data in zip(batch.column("n").to_pylist(), batch.column("p"), strict=True):
+                    part = [x.astype("f8") * k for x in unpacked(data.as_py())]
+                    n, total = n + k, part if total is None else [a + b for a, b in zip(total, part, strict=True)]
+            if n:
+                yield pa.RecordBatch.from_pydict({"n": [n], "p": pa.array([packed([(x / n).astype("f4") for x in total])], pa.binary())})
 
-        copies = ids.select("ids").mapInArrow(run, "g int, n long, p binary").groupBy("g").applyInArrow(average, "n long, p binary").collect()
+        copies = ids.select("ids").mapInArrow(run, "g int, n long, p binary").repartition(groups, "g").mapInArrow(average, "n long, p binary")
+        copies = copies.repartition(1).mapInArrow(average, "n long, p binary").collect()
         if not copies:
             break
-        every = sum(c["n"] for c in copies)
-        parts = [[x * (c["n"] / every) for x in unpacked(bytes(c["p"]))] for c in copies]
-        params = [sum(p[i] for p in parts).astype("f4") for i in range(len(params))]
+        params = unpacked(bytes(copies[0]["p"]))
     return params
 
 
@@ -221,8 +310,8 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     ids = tokens(docs)
-    tables = Tables(corpus_counts(ids))
-    shared = spark.sparkContext.broadcast((train(ids, tables), tables))
+    tree = Tree(corpus_counts(ids))
+    shared = spark.sparkContext.broadcast((train(ids, tree), tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)

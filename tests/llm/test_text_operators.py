@@ -183,6 +183,32 @@ def test_every_token_is_trained_on(spark):
     assert got.mean_log_prob > np.log(1 / 8) + 0.5  # above the words' shares of the corpus
 
 
+def test_order_counts_for_words_that_are_not_the_commonest(spark):
+    rng = random.Random(5)
+    vocabulary = [f"word{k}" for k in range(2000)]  # all equally common
+    chains = [vocabulary[k : k + 20] for k in range(0, 2000, 20)]
+    rows = [(k, " ".join(c)) for k, c in enumerate(chains * 120)]
+    mixed = []
+    for c in chains:  # the words of a text with the places of another: all fit into the corpus, not into the text
+        other = rng.sample([w for w in vocabulary if w not in c], 4)
+        mixed.append([other[k // 4] if k % 4 == 2 and k < 16 else w for k, w in enumerate(c)])
+    rows += [(100_000 + k, " ".join(m)) for k, m in enumerate(mixed)]
+    got = {r.doc_id: r.mean_log_prob for r in lm.score(table(spark, rows)).collect()}
+    apart = [got[k] - got[100_000 + k] for k in range(len(chains))]
+    assert sum(d > 0.5 for d in apart) >= 90, (np.mean(apart), np.mean([got[k] for k in range(100)]))
+    assert np.mean([got[k] for k in range(len(chains))]) > np.log(1 / 2000) + 1
+
+
+def test_probabilities_of_a_tree_add_up_to_one():
+    counts = np.zeros(lm.BUCKETS)
+    counts[np.arange(7) * 31] = [1, 1, 2, 3, 5, 8, 13]
+    tree, rng = lm.Tree(counts), np.random.default_rng(1)
+    emb, scale, out = lm.fresh()
+    for params, same in (([emb, scale, out], True), ([emb, scale, rng.normal(0, 1, out.shape).astype("f4")], False)):
+        p = [np.exp(lm.Scorer(params, tree).log_probs(np.asarray([31, k * 31, 62]), np.asarray([0, 3]))[1]) for k in range(7)]
+        assert abs(sum(p) - 1) < 1e-5 and np.allclose(p, counts[np.arange(7) * 31] / 33, atol=1e-5) == same
+
+
 def test_scores_of_odd_rows(spark):
     got = lm.score(table(spark, EDGES)).collect()
     assert len(got) == len(EDGES) and all(r.log_prob <= 0 and np.isfinite(r.log_prob) for r in got)

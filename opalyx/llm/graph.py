@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 from opalyx.runtime import discard, written
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of an edge (a, b of type long).
 
-    Each round every node points at its least neighbour (or itself), pointers are followed twice,
-    and edges are rewritten to what their ends point at; loops and repeats go. The edges at least
-    halve in nodes, so rounds follow the logarithm of the largest component. A node with very many
-    edges is one key of an aggregation that tasks prepare in part, and of joins whose other side
-    has one row for it, which Spark can split.
+    Each round orders the nodes anew by a hash. Every node points at the first of its neighbours and
+    itself, pointers are followed twice, and edges are rewritten to what their ends point at; loops
+    and repeats go. A node with an edge is as likely as not to come after one of its neighbours,
+    whatever the graph, and is then contracted away: the nodes that are left are expected to halve at
+    least, so rounds follow the logarithm of the largest component, and they go on until no edge is
+    left. A node with very many edges is one key of an aggregation that tasks prepare in part, and
+    of joins whose other side has one row for it, which Spark can split.
     """
     left = written(_tidy(edges), "edges")
     labels: DataFrame | None = None
-    for rounds in range(max_rounds):
-        if left.isEmpty():
-            break
+    rounds = 0
+    while not left.isEmpty():
+        place = lambda c, r=rounds: F.struct(F.xxhash64(F.col(c), F.lit(r)).alias("h"), F.col(c).alias("up"))
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
-        least = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("up"))
-        least = written(least, "pointers")
-        done = [left, least]
-        hop = least.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        jumped = least.join(hop, "up").select("node", F.col("up2").alias("up"))
+        first = both.groupBy("node").agg(F.min(place("to")).alias("m")).select("node", F.least(place("node"), "m")["up"].alias("up"))
+        first = written(first, "pointers")
+        done = [left, first]
+        hop = first.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+        jumped = first.join(hop, "up").select("node", F.col("up2").alias("up"))
         jumped = written(jumped.join(hop, "up").select("node", F.col("up2").alias("up")), "pointers")
         if labels is None:
             labels = jumped.select("node", F.col("up").alias("component"))
@@ -40,9 +42,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         a, b = jumped.select(F.col("node").alias("a"), F.col("up").alias("ua")), jumped.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         left = written(_tidy(left.join(a, "a").join(b, "b").select(F.col("ua").alias("a"), F.col("ub").alias("b"))), "edges")
         discard(*done, jumped)
-    else:
-        raise RuntimeError("components did not settle")
-    return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        rounds += 1
+    if labels is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    named = written(labels.join(least, "component").select("node", F.col("least").alias("component")), "labels")
+    discard(labels)
+    return named
 
 
 def _tidy(edges: DataFrame) -> DataFrame:

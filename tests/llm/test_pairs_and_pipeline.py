@@ -103,6 +103,13 @@ def test_divide_skip_finds_what_all_pairs_find():
     assert [mine.root(x) for x in every] == [up.root(x) for x in every]
 
 
+def test_components_of_a_long_ascending_path(spark):
+    path = spark.range(9_999).selectExpr("id + 5 AS a", "id + 6 AS b")
+    star = spark.range(500).selectExpr("id + 20000 AS a", "CAST(30000 AS long) AS b")  # every leaf before the hub
+    got = graph.components(path.union(star)).groupBy("component").count().collect()
+    assert {r["component"]: r["count"] for r in got} == {5: 10_000, 20_000: 501}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100)] + [(500, 500 + k) for k in range(1, 300)] + [(900, 900)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

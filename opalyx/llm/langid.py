@@ -6,8 +6,8 @@ scale) gives a margin. Decoding weighs the bits by their loss: the language whos
 least sum of log(1 + exp(-bit * margin)) wins. The score is the winner's share under
 softmax(-loss); a text is flagged as ambiguous where the runner-up comes close.
 
-The classifiers are fitted on a sample bounded by per_language texts of at most longest characters
-for each language, drawn by a hash from all labelled rows; predictions read whole texts and nothing
+The classifiers are fitted on a sample bounded by per_language texts for each language, drawn by a
+hash from all labelled rows, and the first longest characters of each; predictions read whole texts and nothing
 but texts.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where there is
@@ -123,7 +123,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, per_language: int = 500, longest: int = 6000) -> Model:
     """Fit on the rows that are not held out. Counts for each language come to the driver, then the bounded sample."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    usable = rows.filter(F.length("text") <= longest)
+    usable = rows.withColumn("text", F.substring("text", 1, longest))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((0, 0)), np.zeros((1, 0), "f4"), np.zeros(0), np.zeros(0))

@@ -155,6 +155,13 @@ def test_language_of_odd_rows(spark):
     assert langid.predict(table(spark, []), model).count() == 0
 
 
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    long = "les pierres de la rivière et les maisons grises du village " * 120
+    rows = [(k, f"the old stones of the river {k} and the grey houses", "en") for k in range(40)] + [(100 + k, f"{k} {long}", "fr") for k in range(40)]
+    model = langid.train(table(spark, rows))
+    assert model.languages == ["en", "fr"] and langid.decode(model, "les maisons de la rivière")[0] == "fr"
+
+
 def test_codewords_differ():
     for k in (2, 3, 4, 5, 9, 17):
         codes = langid.codewords(k)

@@ -234,7 +234,7 @@ def scored_search(hits: DataFrame, details: DataFrame, source: Source, limit: in
     score = rules.weighted_score(F.lower("title"), title_weights) + rules.weighted_score(body, body_weights) - rules.weighted_score(body, negative)
     kept = met.withColumn("score", score).filter(F.col("score") >= F.when(F.col("html").isNotNull(), threshold[0]).otherwise(threshold[1]))
     top = kept.orderBy(F.desc("score"), F.desc("published"), "id").limit(limit)
-    return documents(top, source, F.col("url"), title=F.col("title"), noticeId=F.col("id").cast("string"), summary=F.substring(body, 1, 2000), officialUrl=F.col("url"), publishedAt=F.col("published"), evidenceLevel=F.lit("official_notice"))
+    return documents(top, source, F.col("url"), title=F.col("title"), noticeId=F.col("id").cast("string"), summary=F.substring(body, 1, 4000), officialUrl=F.col("url"), publishedAt=F.col("published"), evidenceLevel=F.lit("official_notice"))
 
 
 def scaffold(spark: SparkSession, source: Source, *_args, **_more) -> DataFrame:

@@ -136,3 +136,10 @@ def test_official_pages(spark):
     rec = spark.createDataFrame([("a", "Extension municipal library quarter", None, None)], "id string, title string, official_url string, evidence_note string")
     pages = spark.createDataFrame([("a", "https://x/extension-municipal-library.html", "<p>Extension of the municipal library quarter</p>"), ("a", "https://x/other", "<p>none</p>")], "id string, url string, html string")
     assert parsers.official_pages(rec, pages).first()["official_url"].endswith("library.html")
+
+
+def test_scored_search_keeps_4000_characters(spark):
+    hits = spark.createDataFrame([("n1", "Museum", "https://s.org/n1", "2026-01-02")], "id string, title string, url string, published string")
+    details = spark.createDataFrame([("n1", "<p>" + "museum " * 400 + "deadline</p>" + "x" * 2000)], "id string, html string")
+    got = payloads(connectors.scored_search(hits, details, S, 5, title_weights={"museum": 9}, body_weights={}, negative={}))
+    assert len(got[0]["summary"]) == 4000 and "deadline" in got[0]["summary"]

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opalyx.functions.text import compact, or_null
+from opalyx.functions.text import bind, compact
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
@@ -22,33 +22,32 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
     return F.when(m >= 1, F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def _groups(c: Column, pattern: str, order: tuple[int, int, int]) -> Column:
-    y, m, d = (or_null(F.regexp_extract(c, pattern, i)).try_cast("int") for i in order)
-    return _ymd(y, m, d)
+def _form(c: Column, pattern: str, order: tuple[int, int, int], named: bool = False) -> Column:
+    """The date of a pattern's groups, given as places of year, month and day; groups are read where it matches."""
+    y, m, d = (F.regexp_extract(c, pattern, i) for i in order)
+    return F.when(c.rlike(pattern), _ymd(y.try_cast("int"), _month(m) if named else m.try_cast("int"), d.try_cast("int")))
 
 
 def parse_date(raw: Column) -> Column:
     """The first of these that gives a date: ISO (also with slashes, or before a T or space), `12 March 2026`
     (with a weekday before and a time after), and anywhere in the text dd/mm/yyyy, dd.mm.yyyy, `March 12, 2026`."""
-    c = compact(raw)
-    day_first = r"^(?:[A-Za-z]{3}, )?(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})(?: \d{2}:\d{2}:\d{2}.*)?$"
-    month_first = r"([A-Za-z]{3,9}) (\d{1,2}), (\d{4})"
-    named = _ymd(or_null(F.regexp_extract(c, day_first, 3)), _month(or_null(F.regexp_extract(c, day_first, 2))), or_null(F.regexp_extract(c, day_first, 1)))
-    american = _ymd(or_null(F.regexp_extract(c, month_first, 3)), _month(or_null(F.regexp_extract(c, month_first, 1))), or_null(F.regexp_extract(c, month_first, 2)))
-    return F.coalesce(
-        _groups(c, r"^(\d{4})[-/](\d{2})[-/](\d{2})(?:[T ].*)?$", (1, 2, 3)),
-        _groups(c, r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)),
-        named,
-        _groups(c, r"(\d{2})/(\d{2})/(\d{4})", (3, 2, 1)),
-        _groups(c, r"(\d{2})\.(\d{2})\.(\d{4})", (3, 2, 1)),
-        american,
+    return bind(
+        compact(raw),
+        lambda c: F.coalesce(
+            _form(c, r"^(\d{4})[-/](\d{2})[-/](\d{2})(?:[T ].*)?$", (1, 2, 3)),
+            _form(c, r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)),
+            _form(c, r"^(?:[A-Za-z]{3}, )?(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})(?: \d{2}:\d{2}:\d{2}.*)?$", (3, 2, 1), named=True),
+            _form(c, r"(\d{2})/(\d{2})/(\d{4})", (3, 2, 1)),
+            _form(c, r"(\d{2})\.(\d{2})\.(\d{4})", (3, 2, 1)),
+            _form(c, r"([A-Za-z]{3,9}) (\d{1,2}), (\d{4})", (3, 1, 2), named=True),
+        ),
     )
 
 
 def parse_cjk_date(raw: Column) -> Column:
     """Year, month and day marked by their characters, digits perhaps spaced; or ISO with one-digit parts."""
     c = F.regexp_replace(raw, r"\s+", "")
-    return F.coalesce(_groups(c, r"(\d{4})年(\d{1,2})月(\d{1,2})日", (1, 2, 3)), _groups(raw, r"(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3)))
+    return F.coalesce(_form(c, r"(\d{4})年(\d{1,2})月(\d{1,2})日", (1, 2, 3)), _form(raw, r"(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3)))
 
 
 def iso_or_none(value: str | None) -> str | None:
@@ -92,3 +91,9 @@ def best_deadline(candidates: Column, published: Column, early: int = -7, late:
     """Of candidates (array of score, day): the highest score, then the latest day, within days of the publication."""
     fit = F.filter(candidates, lambda x: x["day"].isNotNull() & (published.isNull() | F.datediff(x["day"], published).between(early, late)))
     return F.array_max(fit)["day"]
+
+
+def best_deadline_in_group(score: Column, day: Column, published: Column, early: int = -7, late: int = 365) -> Column:
+    """The same over the rows of a group, as an aggregate that tasks prepare in part."""
+    fit = day.isNotNull() & (published.isNull() | F.datediff(day, published).between(early, late))
+    return F.max(F.when(fit, F.struct(score.alias("score"), day.alias("day"))))["day"]

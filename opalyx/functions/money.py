@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opalyx.functions.text import compact, or_null
+from opalyx.functions.text import bind, compact, or_null
 
+# The notations of a number.
 _GROUPED = r"(?<!\d)(\d{1,3}(?:[.,\s\x{a0}\x{202f}'’]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?!\d)"
 _SCIENTIFIC = r"(\d+(?:\.\d+)?[eE][+-]?\d+)"
 
 
 def _number(token: Column) -> Column:
     """One number: the rightmost of both separators is decimal; one that repeats, or has three digits after it, groups."""
-    t = F.regexp_replace(token, r"['’ \x{a0}\x{202f}]", "")
+    return bind(F.regexp_replace(token, r"['’ \x{a0}\x{202f}]", ""), _decimal)
+
+
+def _decimal(t: Column) -> Column:
     commas, dots = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))), F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
     no_comma, no_dot = F.replace(t, F.lit(","), F.lit("")), F.replace(t, F.lit("."), F.lit(""))
     comma_last = F.locate(",", F.reverse(t)) < F.locate(".", F.reverse(t))
@@ -31,8 +35,7 @@ def _number(token: Column) -> Column:
 
 def parse_amount(raw: Column) -> Column:
     """The first number in a text; scientific notation first."""
-    text = compact(raw)
-    return F.coalesce(or_null(F.regexp_extract(text, _SCIENTIFIC, 1)).try_cast("double"), _number(or_null(F.regexp_extract(text, _GROUPED, 1))))
+    return bind(compact(raw), lambda t: F.coalesce(F.regexp_extract(t, _SCIENTIFIC, 1).try_cast("double"), _number(F.regexp_extract(t, _GROUPED, 1))))
 
 
 def amount_text(amount: Column, currency: Column, raw: Column) -> Column:

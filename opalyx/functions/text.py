@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,27 +14,41 @@ from pyspark.sql import functions as F
 WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def _folding_table() -> tuple[str, str]:
-    """Letters of the Latin blocks and the base letters that remain when marks are taken off."""
-    pairs = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _folding_table() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form without marks is one ASCII character, with that character;
+    the marks themselves, which go, after them; and characters that become several ASCII characters."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0x10000)):
+        form = "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
+        if form != c and form and form.isascii():
+            (one if len(form) == 1 else several)[c] = form
+    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c))
+    return "".join(one) + marks, "".join(one.values()), several
 
 
-FOLD_FROM, FOLD_TO = _folding_table()
+FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _folding_table()
 
 
 def or_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def compact(c: Column) -> Column:
     """Runs of white space as one space, trimmed; empty becomes null."""
     return or_null(F.trim(F.regexp_replace(c, f"{WS}+", " ")))
 
 
 def fold(c: Column) -> Column:
-    """Latin letters without their marks, lower case; other scripts stay."""
-    return F.lower(F.translate(c, FOLD_FROM, FOLD_TO))
+    """Compatibility forms as ASCII, Latin letters without their marks, lower case; other scripts stay."""
+    spelled = F.lit(json.dumps(FOLD_SEVERAL))
+    expanded = bind(F.from_json(spelled, "map<string,string>"), lambda m: F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(m[x], x)), ""))
+    plain = F.when(c.rlike(f"[{''.join(FOLD_SEVERAL)}]"), expanded).otherwise(c)
+    return F.lower(F.translate(plain, FOLD_FROM, FOLD_TO))
 
 
 def match_text(c: Column) -> Column:
@@ -78,8 +94,23 @@ ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos":
 
 
 def unescape(c: Column) -> Column:
-    """The named entities above; the ampersand last, so that nothing is decoded twice."""
-    return reduce(lambda out, kv: F.replace(out, F.lit(f"&{kv[0]};"), F.lit(kv[1])), ENTITIES.items(), c)
+    """Numeric references and the named entities above; the ampersand last, so that nothing is decoded twice."""
+    numeric = F.when(F.contains(c, F.lit("&#")), _numeric(c)).otherwise(c)
+    return reduce(lambda out, kv: F.replace(out, F.lit(f"&{kv[0]};"), F.lit(kv[1])), ENTITIES.items(), numeric)
+
+
+def _numeric(c: Column) -> Column:
+    """Decimal and hexadecimal references decoded; those of no character stay."""
+    reference = r"^(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"
+
+    def decoded(part: Column) -> Column:
+        hexed = F.regexp_extract(part, reference, 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(part, reference, 2)).cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = bind(code, lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE"))
+        return F.when(part.rlike(reference) & valid, F.concat(char, F.regexp_replace(part, reference, ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    return bind(F.split(c, "&#"), lambda p: F.concat(p[0], F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decoded), "")))
 
 
 def strip_html(c: Column) -> Column:

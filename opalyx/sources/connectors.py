@@ -37,10 +37,10 @@ def since(published: Column, start: date | None) -> Column:
     return F.lit(True) if start is None else published.isNull() | (published >= F.lit(start))
 
 
-def documents(df: DataFrame, source: Source, url: Column, **values: Column) -> DataFrame:
+def documents(df: DataFrame, source: Source, page: Column, /, **values: Column) -> DataFrame:
     """Rows to documents; null fields are left out of the payload."""
     fields = [v.cast("string").alias(k) if k == "deadline" or k == "publishedAt" else v.alias(k) for k, v in values.items()]
-    return df.select(F.lit(source.source_id).alias("source_id"), F.coalesce(text.or_null(F.trim(url)), F.lit(source.base_url)).alias("source_url"), F.to_json(F.struct(*fields)).alias("payload"))
+    return df.select(F.lit(source.source_id).alias("source_id"), F.coalesce(text.or_null(F.trim(page)), F.lit(source.base_url)).alias("source_url"), F.to_json(F.struct(*fields)).alias("payload"))
 
 
 def buyer_allowed(buyer: Column, allowed: list[str]) -> Column:
@@ -252,7 +252,7 @@ def sitemap_urls(robots: Column, host: Column) -> Column:
 
 def sitemap_pages(fetched: DataFrame, depth: int = 2, nested: int = 20) -> DataFrame:
     """(root, url) of the pages that landed sitemaps (url, xml, root) list, through indexes up to a depth."""
-    locs = lambda c: F.transform(text.all_matches(c, r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.trim)
+    locs = lambda c: F.transform(text.all_matches(c, r"(?i)<loc>\s*([^<]+?)\s*</loc>"), lambda u: F.trim(u))
     is_index = F.lower(F.substring("xml", 1, 500)).contains("<sitemapindex")
     level, out = fetched.filter("root = url").select("root", "url", "xml"), []
     for at in range(depth + 1):

@@ -73,7 +73,7 @@ def raw_fields(parser: Parser, payload: Column) -> dict[str, Column]:
 
     names = {*parser.json, *parser.page, *parser.defaults}
     out = {n: one(n) for n in names | {"title", "authority", "notice_id", "deadline", "value", "value_text", "eligibility", "procedure", "location", "official_url", "documents_url", "brief_url", "prize", "evidence_level", "evidence_note", "opportunity_type", "implementation"}}
-    from_page = F.filter(F.transform(F.split(text.first_match(payload, parser.page["cpv"]), ","), F.trim), lambda c: c != "") if "cpv" in parser.page else F.array().cast("array<string>")
+    from_page = F.filter(F.transform(F.split(text.first_match(payload, parser.page["cpv"]), ","), lambda x: F.trim(x)), lambda c: c != "") if "cpv" in parser.page else F.array().cast("array<string>")
     out["cpv"] = F.when(is_json, semi.list_value(v, parser.json["cpv"])).otherwise(F.coalesce(from_page, F.array().cast("array<string>")))
     out |= {k: F.when(is_json, semi.list_value(v, paths)).otherwise(F.array().cast("array<string>")) for k, paths in _LISTS.items()}
     out["status"] = archived_status(v) if parser.archives else F.lit("discovered")
@@ -85,7 +85,7 @@ def parse(docs: DataFrame, sources: DataFrame, parser: Parser) -> DataFrame:
 
     sources: source_id, name, jurisdiction, source_tier, regions, languages (a small table)."""
     raw = raw_fields(parser, F.col("payload"))
-    base = docs.select("source_id", "source_url", "payload", *(c.alias(f"r_{n}") for n, c in raw.items())).join(F.broadcast(sources.select("source_id", "name", "jurisdiction", "source_tier", "regions", "languages")), "source_id", "left")
+    base = docs.select("source_id", "source_url", "payload", *(c.alias(f"r_{n}") for n, c in raw.items())).join(sources.select("source_id", "name", "jurisdiction", "source_tier", "regions", "languages"), "source_id", "left")
     r = lambda n: F.col(f"r_{n}")
     kind = F.coalesce(classify.opportunity_type(r("opportunity_type")), text.compact(r("opportunity_type")), F.lit("unknown"))
     procedure = classify.procedure_type(r("procedure"))

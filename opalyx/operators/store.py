@@ -87,10 +87,14 @@ def update(state: DataFrame, changes: DataFrame, key: str, columns: list[str]) -
     return state.join(new, key, "left").withColumns({c: F.coalesce(f"_n_{c}", c) for c in columns}).select(*state.columns)
 
 
+def missing(rows: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't present."""
+    return rows.join(present.select(key), key, "left_anti")
+
+
 def insert_missing(current: DataFrame, legacy: DataFrame, key: str) -> DataFrame:
     """current with legacy's rows of other keys, absent columns null."""
-    missing = legacy.join(current.select(key), key, "left_anti")
-    return current.unionByName(missing, allowMissingColumns=True).select(*current.columns)
+    return current.unionByName(missing(legacy, current, key), allowMissingColumns=True).select(*current.columns)
 
 
 def expired(df: DataFrame, today: date, retention_days: int) -> Column:

@@ -21,7 +21,7 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders with their customers and nations as opportunities."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     k = F.col("o_orderkey")
-    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     every = lambda n, c: F.when(k % n != 0, c)
     return joined.select(
         k.alias("id"),

@@ -191,9 +191,10 @@ def latest_decision(spark, sf):
     return review.with_latest_decision(c.select("queue_id").distinct(), c).select("queue_id", "latest_decision.id", "latest_decision.decision")
 
 
-@query("anti_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_missing", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.08)")
 def anti_missing(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    orders, dear = table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").filter("l_discount > 0.08")
+    return store.missing(orders, dear.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
 @query("semi_duplicates", "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
@@ -426,7 +427,7 @@ def first_regex(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.first_match(F.col("html"), ["<h2[^>]*>([^<]+)</h2>", 'lang="([a-z]+)"']).alias("value"))
 
 
-@query("code_extract", "SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(n_chars || ' 71200000-0 7124' || lpad(CAST(doc_id AS VARCHAR), 4, '0'), '\\b(\\d{8})(?:-\\d)?\\b', 1)), ' ') AS codes FROM documents WHERE doc_id < 1000000".replace("list_distinct(", "list_sort(list_distinct(").replace(", 1)), ' ')", ", 1))), ' ')"))
+@query("code_extract", "SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(n_chars || ' 71200000-0 7124' || lpad(CAST(doc_id AS VARCHAR), 4, '0'), '\\b(\\d{8})(?:-\\d)?\\b', 1)), ' ') AS codes FROM documents".replace("list_distinct(", "list_sort(list_distinct(").replace(", 1)), ' ')", ", 1))), ' ')"))
 def code_extract(spark, sf):
     raw = F.concat(F.col("n_chars").cast("string"), F.lit(" 71200000-0 7124"), F.lpad(F.col("doc_id").cast("string"), 4, "0"))
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(text.eight_digit_codes(raw)), " ").alias("codes"))
@@ -462,9 +463,9 @@ def date_labels(spark, sf):
 
 @query("best_candidate_date", "SELECT l_orderkey, arg_max(CAST(l_shipdate AS DATE), (l_quantity, l_shipdate)) AS best FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) BETWEEN -7 AND 60 GROUP BY l_orderkey")
 def best_candidate_date(spark, sf):
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("score"), F.col("l_shipdate").cast("date").alias("day"))).alias("c"))
-    met = li.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("p")), "l_orderkey")
-    return met.select("l_orderkey", dates.best_deadline(F.col("c"), F.col("p"), -7, 60).alias("best")).filter("best IS NOT NULL")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("p"))
+    met = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", F.col("l_shipdate").cast("date").alias("day")).join(orders, "l_orderkey")
+    return met.groupBy("l_orderkey").agg(dates.best_deadline_in_group(F.col("l_quantity"), F.col("day"), F.col("p"), -7, 60).alias("best")).filter("best IS NOT NULL")
 
 
 _PRICE = "CAST(floor(l_extendedprice) AS BIGINT)"
@@ -566,7 +567,8 @@ def xml_feed_parse(spark, sf):
     from opalyx.sources.connectors import rss_items
 
     item = F.concat(F.lit("<item><title>"), F.col("p_name"), F.lit("</title><link>"), F.col("p_brand"), F.lit("</link><category>a</category><category>b</category></item>"))
-    feeds = table(spark, sf, "part").groupBy("p_brand").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("payload"))
+    # a feed holds the parts of a brand in a range of keys, so none grows with the table
+    feeds = table(spark, sf, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("payload"))
     return rss_items(feeds).groupBy(F.col("link").alias("p_brand")).agg(F.count("*").alias("items"), F.min("title").alias("first_title"))
 
 
@@ -630,19 +632,21 @@ def stream_latest_state(spark, sf):
     from opalyx.streaming import jobs
 
     ship(spark)
-    return jobs.latest_state(spark, *_folder(sf), "user_id", "event_id").select("user_id", "event_type", "event_id")
+    return jobs.latest_state(spark, *_folder(spark, sf), "user_id", "event_id").select("user_id", "event_type", "event_id")
 
 
 @query("stream_seen_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_seen_dedup(spark, sf):
     from opalyx.streaming import jobs
 
-    return jobs.seen_once(spark, *_folder(sf), ["user_id", "event_type"]).select("user_id", "event_type")
+    return jobs.seen_once(spark, *_folder(spark, sf), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
-def _folder(sf: str) -> tuple[str, str, str]:
-    """Folder, schema and pattern of the events: a file beside the other tables or a folder of parts."""
-    return sf, _EVENTS, "events.parquet"
+def _folder(spark: SparkSession, sf: str) -> tuple[str, str, str]:
+    """Folder, schema and pattern of the events: a file beside the other tables, or a folder of parts."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
+    parts = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return (f"{sf}/events.parquet", _EVENTS, "*.parquet") if parts else (sf, _EVENTS, "events.parquet")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,11 +35,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, removed when the application ends.
 
-    Where the setting is missing (tests on one machine) a temporary folder is set.
+    Where the setting is missing on a local master (tests) a temporary folder is set; elsewhere that is an error,
+    as other machines could not see the folder.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None) or _fallback.get(app)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = _fallback[app] = "file://" + tempfile.mkdtemp(prefix="opalyx-shared-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/opalyx/{name}-{uuid.uuid4().hex}"

@@ -19,6 +19,14 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_to
     return df.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(text, F.lit("")) if null_to_empty else text).alias("text"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Memo:
     """piece -> little-endian ids as bytes, encoded many pieces at a time.
 

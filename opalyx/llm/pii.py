@@ -1,23 +1,29 @@
 """Personal data: base patterns, and terms that disclose what the patterns protect.
 
 All of it is DataFrame and SQL functions. Patterns give the base spans (email, ip, card, phone).
-Their matches are the protected entities. A term (a word beside a span) discloses an entity where
-the corpus says so: it stands beside that entity in several differing contexts, and that entity
-makes up much of the term's documents,
+Their matches are the protected entities. A term (a word outside the spans, anywhere in a text)
+discloses an entity where the corpus says so: it stands in several differing texts with that
+entity, and that entity makes up much of the term's texts,
 
-    share = contexts(term, entity) / max(documents(term), contexts(term))
-    information = log2(share * contexts / contexts(entity))   (pointwise, in bits)
+    share = texts(term, entity) / texts(term)
+    information = log2(share * rows / texts(entity))   (pointwise, in bits)
 
-Above `generalise` a term's occurrences become spans of the kind term (to be replaced by a
-placeholder), above `remove` of the kind reveal (to be removed). Contexts count once however often
-they are copied, so copies of one document disclose nothing by themselves; documents count once for
-each text.
+From share `generalise` on, a term's occurrences become spans of the kind term (to be replaced by a
+placeholder), from `remove` on of the kind reveal (to be removed). Of an entity's texts those count
+once that have the same characters beside it, so copies and near copies of one text disclose
+nothing by themselves. An entity or a pair met in fewer than least_texts of these isn't judged: one
+or two texts are no estimate of a share.
+
+Spans are made once and written. Terms are found inside the row, from the hashes of the disclosing
+terms in one row that goes to every task, where they are counted to be at most FEW_TERMS; beyond
+that, words meet terms by a join, and what is found meets the rows by the hash of their text.
 
 Patterns are written without backtracking (possessive, with look-behind for the start of a run) so
 that long runs cost linear time and no stack; each is equal to the plain form of its contract.
 
 Defined results: null text counts as empty and has no spans; each row has its own result whether or
-not its id or text is repeated; an empty table gives no rows; other columns are kept by sanitise().
+not its id or text is repeated; texts of any length are read whole; an empty table gives no rows;
+find() keeps other columns, whatever their names, and a null text stays null.
 """
 
 from __future__ import annotations
@@ -25,8 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opalyx.llm.common import texts
-from opalyx.runtime import written
+from opalyx.llm.common import free, texts
+from opalyx.runtime import with_keys, written
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("term", "reveal")
@@ -43,6 +49,8 @@ NEEDLE = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "reveal": ""}
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 _WORDS = r"[^\p{L}\p{N}]+"
+#: Terms up to which their hashes are one row for every task (8 bytes each).
+FEW_TERMS = 2_000
 
 
 def _bind(value: Column, use) -> Column:
@@ -111,60 +119,95 @@ def _key(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.when(span["kind"].isin("card", "phone"), F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"])))
 
 
-def disclosing_terms(docs: DataFrame, spans: str = "base", *, beside: int = 4, least_contexts: int = 3, generalise: float = 0.5, remove: float = 0.9, bits: float = 0.0, reach: int = 120) -> DataFrame:
-    """(term, kind) of the terms to generalise (term) or remove (reveal). docs has text and the base spans."""
-    # Contexts: the words on either side of each span, within reach characters.
-    seen = docs.filter(F.size(spans) > 0).select("text", F.explode(spans).alias("s"))
-    s = F.col("s")
-    before = F.slice(F.reverse(F.filter(F.split(F.lower(F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] + 1 - reach), F.least(s["start"], F.lit(reach)))), _WORDS), lambda w: w != "")), 1, beside)
-    after = F.slice(F.filter(F.split(F.lower(F.substring(F.col("text"), s["end"] + 1, F.lit(reach))), _WORDS), lambda w: w != ""), 1, beside)
-    contexts = seen.select(_key(s).alias("entity"), F.concat(before, after).alias("words")).select("entity", "words", F.xxhash64("words").alias("context"))
-    contexts = contexts.groupBy("entity", "context").agg(F.first("words").alias("words"))
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("of_entity")).filter(F.col("of_entity") >= least_contexts)
-    pairs = contexts.join(entities, "entity").select("entity", "of_entity", F.explode(F.array_distinct("words")).alias("term")).filter(F.length("term") >= 3)
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("of_entity").alias("of_entity")).filter(F.col("both") >= least_contexts)
-    # A term beside many entities can't disclose one of them: contexts bound its documents before these are counted.
-    of_term = contexts.select("context", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with each span as a space."""
+    return F.when(F.size(spans) > 0, masked(text, spans, dict.fromkeys(MASKS, " "))).otherwise(text)
+
+
+def _terms_of(text: Column) -> Column:
+    """Distinct words in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), _WORDS), lambda w: w != ""))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _few(terms: DataFrame) -> bool:
+    return terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+
+
+def disclosing_terms(docs: DataFrame, spans: str = "base", *, least_texts: int = 3, generalise: float = 0.5, remove: float = 0.9, bits: float = 0.0, beside: int = 60) -> DataFrame:
+    """(term, kind): hashes of the terms to generalise (term) or remove (reveal). docs has text and the base spans."""
+    text, s = F.col("text"), F.col(spans)
+
+    def entities(keys: Column, contexts: Column) -> Column:
+        """Each entity of a text once, with the context of its first span."""
+        return F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("entity"), F.element_at(contexts, F.array_position(keys, k).cast("int")).alias("context")))
+
+    def context(x: Column) -> Column:
+        return F.xxhash64(F.lower(F.substring(text, F.greatest(F.lit(1), x["start"] + 1 - beside), F.least(x["start"], F.lit(beside)))), F.lower(F.substring(text, x["end"] + 1, F.lit(beside))))
+
+    own = _bind(F.transform(s, lambda x: F.xxhash64(_key(x))), lambda k: _bind(F.transform(s, context), lambda c: entities(k, c)))
+    seen = docs.filter(F.size(spans) > 0).select(F.xxhash64("text").alias("t"), "text", spans)
+    met = written(seen.select("t", F.explode(own).alias("e")).select("e.entity", "e.context", "t").groupBy("entity", "context").agg(F.min("t").alias("t")), "entities")
+    several = met.groupBy("entity").agg(F.count("*").alias("of_entity")).filter(F.col("of_entity") >= least_texts)
+    chosen = met.join(several, "entity").groupBy("t").agg(F.collect_list(F.struct("entity", "of_entity")).alias("entities"))
+    words = written(seen.groupBy("t").agg(F.first(_hashes(_terms_of(_outside(text, s)))).alias("words")), "words")
+    both = chosen.join(words, "t").select(F.explode("entities").alias("e"), "words").select("e.*", F.explode("words").alias("term"))
+    pairs = written(both.groupBy("entity", "of_entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= least_texts), "pairs")
+    # The texts with spans alone bound a term's texts from below: a term of many can't disclose one entity.
+    of_term = with_keys(words.select(F.explode("words").alias("term")), pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
     pairs = written(pairs.join(of_term, "term").filter(F.col("both") >= generalise * F.col("of_term")), "pairs")
-    total = contexts.agg(F.count("*").alias("all_contexts"))
-    # Documents of these terms alone, each text once.
-    words = docs.select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.split(F.lower(F.col("text")), _WORDS))).alias("term"))
-    held = words.join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.count_distinct("t").alias("documents"))
-    share = F.col("both") / F.greatest("documents", "of_term")
-    info = F.log2(share * F.col("all_contexts") / F.col("of_entity"))
-    best = pairs.join(held, "term").crossJoin(F.broadcast(total)).select("term", share.alias("share"), info.alias("info"))
+    # All texts of the terms that are left, each text once.
+    held = _met(docs, text, s, pairs.select("term").distinct()).groupBy("term").agg(F.count_distinct("t").alias("texts"))
+    share = F.col("both") / F.col("texts")
+    info = F.log2(share * F.lit(docs.count()) / F.col("of_entity"))
+    best = pairs.join(held, "term").select("term", share.alias("share"), info.alias("info"))
     return best.filter((F.col("share") >= generalise) & (F.col("info") > bits)).groupBy("term").agg(F.max("share").alias("share")).select("term", F.when(F.col("share") >= remove, "reveal").otherwise("term").alias("kind"))
 
 
+def _met(docs: DataFrame, text: Column, spans: Column, terms: DataFrame) -> DataFrame:
+    """(t: hash of the text, term) of the terms that stand in a text; rows of one text repeat them."""
+    words = docs.select(F.xxhash64(text).alias("t"), F.explode(_hashes(_terms_of(_outside(text, spans)))).alias("term"))
+    return with_keys(words, terms, "term", "left_semi")
+
+
 def add_term_spans(docs: DataFrame, terms: DataFrame, text: str, spans: str) -> DataFrame:
-    """docs with the spans of disclosing terms added to the column spans. Terms meet documents by word, then by text."""
-    h = F.xxhash64(F.col(text))
-    words = docs.select(h.alias("__t"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), _WORDS))).alias("term"))
-    found = words.join(terms, "term").groupBy("__t").agg(F.collect_set(F.struct("kind", "term")).alias("__terms"))
+    """docs with the spans of disclosing terms added to the column spans; none lies in a base span. terms: (term, kind)."""
+    t, s, at = F.coalesce(F.col(text), F.lit("")), F.col(spans), free(docs, "_terms")
+    if _few(terms):
+        one = terms.agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in EXTRA)).select(F.struct(*EXTRA).alias(at))
+        joined = docs.crossJoin(F.broadcast(one))
+        own = _bind(_hashes(_terms_of(_outside(t, s))), lambda w: F.struct(*(F.array_intersect(w, F.col(at)[k]).alias(k) for k in EXTRA)))
+        joined = joined.withColumn(at, own)
+    else:
+        key = free(docs, "_text")
+        found = _met(docs, t, s, terms.select("term")).distinct().join(terms, "term")
+        found = found.groupBy(F.col("t").alias(key)).agg(F.struct(*(F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in EXTRA)).alias(at))
+        joined = docs.withColumn(key, F.xxhash64(t)).join(found, key, "left").drop(key)
 
     def of(kind: str) -> Column:
-        own = F.transform(F.filter("__terms", lambda x: x["kind"] == kind), lambda x: x["term"])
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(own, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        matched = _bind(F.regexp_extract_all(F.col(text), pattern, F.lit(0)), lambda m: _positions(F.col(text), pattern, F.lit(kind), m))
-        return F.when(F.size(own) > 0, matched).otherwise(F.array().cast(_SPANS))
+        hits = F.coalesce(F.col(at)[kind], F.array().cast("array<long>"))
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.filter(_terms_of(t), lambda w: F.array_contains(hits, F.xxhash64(w))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        matched = _bind(pattern, lambda p: _bind(F.regexp_extract_all(t, p, F.lit(0)), lambda m: _positions(t, p, F.lit(kind), m)))
+        apart = F.filter(matched, lambda x: ~F.exists(s, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
+        return F.when(F.size(hits) > 0, apart).otherwise(F.array().cast(_SPANS))
 
-    joined = docs.withColumn("__t", h).join(found, "__t", "left")
-    extra = F.when(F.col("__terms").isNotNull(), F.concat(of("term"), of("reveal"))).otherwise(F.array().cast(_SPANS))
-    return joined.withColumn(spans, F.concat(F.col(spans), extra)).drop("__t", "__terms")
+    return joined.withColumn(spans, F.concat(s, *map(of, EXTRA))).drop(at)
 
 
 def find(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """docs with a column of all spans: base ones by kind and start, then those of disclosing terms."""
-    plain = docs.withColumn(spans, base_spans(F.coalesce(F.col(text), F.lit(""))))
-    terms = disclosing_terms(plain.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(spans).alias("base")))
-    terms = written(terms, "terms")
+    plain = written(docs.withColumn(spans, base_spans(F.coalesce(F.col(text), F.lit("")))), "spans")
+    terms = written(disclosing_terms(plain.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(spans).alias("base"))), "terms")
     return plain if terms.isEmpty() else add_term_spans(plain, terms, text, spans)
 
 
-def masked(text: Column, spans: Column) -> Column:
+def masked(text: Column, spans: Column, masks: dict[str, str] = MASKS) -> Column:
     """The text with each span replaced by the mask of its kind; of overlapping spans the first names the mask."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    mask = F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv])
+    mask = F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, p: Column) -> Column:

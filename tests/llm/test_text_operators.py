@@ -323,6 +323,20 @@ def test_terms_that_disclose(spark):
     assert pii.find(table(spark, [])).count() == 0
 
 
+def test_terms_beyond_the_few_are_found_by_a_join(spark, monkeypatch):
+    secret = [(20 + k, f"{prose(k, 6)} zanzibarino number{k} writes to boss@zanzibarino.com often. {'pad ' * 80} Qux-{k % 2}") for k in range(6)]
+    # far from the span, of two letters, and in another document than the entity
+    far = [(50 + k, f"xy {prose(50 + k, 40)} reach me at +49 30 1234567{k // 3} any day{k}") for k in range(3)]
+    docs = table(spark, [*EDGES, *secret, *far, (99, "the Zanzibarino alone")]).withColumns({c: F.lit("x") for c in ("_terms", "_text", "t", "found", "words")})
+    read = lambda: sorted(map(str, pii.find(docs, "text", "_all").select("doc_id", "text", F.col("_all").alias("s"), "__t", "_terms", "t").collect()))
+    few = read()
+    by = {r.doc_id: {s.value.lower() for s in r.s if s.kind in pii.EXTRA} for r in pii.find(docs, "text", "_all").select("doc_id", F.col("_all").alias("s")).collect()}
+    assert all({"zanzibarino", "writes", "often", "qux"} <= by[20 + k] for k in range(6)) and by[99] == {"zanzibarino"}
+    assert all("xy" in by[50 + k] for k in range(3))
+    monkeypatch.setattr(pii, "FEW_TERMS", 0)
+    assert read() == few
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 

@@ -11,13 +11,19 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _shipped: set[str] = set()
 _fallback: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, once per application."""
+    """Make this package importable in the executors' Python workers, once per application.
+
+    Arrow batches are kept to BATCH_BYTES in the session, unless the application sets that itself: a worker
+    holds a batch and what it makes of it."""
     app = spark.sparkContext.applicationId
+    if spark.sparkContext.getConf().get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     if app in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))

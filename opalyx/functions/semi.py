@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,8 +32,14 @@ def is_object(payload: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(payload)).startswith("OBJECT"), F.lit(False))
 
 
+def _path(path: str) -> str:
+    """A dotted path as Spark reads it: names may hold hyphens, items are [0], [1]."""
+    steps = (re.fullmatch(r"([^\[]*)((?:\[\d+\])*)", part) for part in path.split("."))
+    return "$" + "".join(f'["{m[1]}"]{m[2]}' for m in steps)
+
+
 def at(variant: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(variant, f"$.{path}", kind)
+    return F.try_variant_get(variant, _path(path), kind)
 
 
 def first_value(variant: Column, paths: list[str]) -> Column:
@@ -53,8 +60,9 @@ def list_value(variant: Column, paths: list[str]) -> Column:
 
 def localized(variant: Column, path: str, languages: tuple[str, ...] = ("en", "eng", "fr", "de", "it")) -> Column:
     """A text in the preferred language: a plain text, the first item of a list, or a member of an object."""
-    plain = F.when(F.schema_of_variant(F.try_variant_get(variant, f"$.{path}", "variant")) == "STRING", at(variant, path))
-    return F.coalesce(or_null(F.trim(plain)), *(or_null(F.trim(at(variant, f"{path}.{x}"))) for x in languages), *(or_null(F.trim(at(variant, f"{path}.{x}[0]"))) for x in languages), or_null(F.trim(at(variant, f"{path}[0]"))))
+    plain = F.when(F.schema_of_variant(F.try_variant_get(variant, _path(path), "variant")) == "STRING", at(variant, path))
+    members = [at(variant, f"{path}.{x}{item}") for x in languages for item in ("[0]", "")]
+    return F.coalesce(or_null(F.trim(plain)), *(or_null(F.trim(m)) for m in members), or_null(F.trim(at(variant, f"{path}[0]"))))
 
 
 def codes_in(payload: Column) -> Column:
@@ -128,6 +136,78 @@ def linked_addresses(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(page)
 
 
+@F.pandas_udf(StringType())
+def class_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Text of a page's elements of the class detail_content: one line for each block, white space within it as one
+    space, without scripts, styles, heads and tags of other name spaces. Elements nest to any depth, so Python."""
+    import re
+    from html.parser import HTMLParser
+
+    blocks = {"article", "blockquote", "br", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "section", "table", "td", "th", "tr"}
+    silent = {"head", "link", "meta", "noscript", "script", "style", "title", "xml"}
+    empty = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open: list[tuple[str, bool]] = []  # tags from the captured element on, and whether they silence
+            self.lines: list[list[str]] = [[]]
+
+        def handle_starttag(self, tag, attrs):
+            held = any(k == "class" and "detail_content" in (v or "").split() for k, v in attrs)
+            if not self.open and not held:
+                return
+            if tag in blocks:
+                self.lines.append([])
+            if tag not in empty:
+                self.open.append((tag, tag in silent or ":" in tag))
+
+        def handle_endtag(self, tag):
+            names = [t for t, _ in self.open]
+            if tag in names:
+                while self.open.pop()[0] != tag:
+                    pass
+            if tag in blocks and (self.open or tag in names):
+                self.lines.append([])
+
+        def handle_data(self, data):
+            if self.open and not any(quiet for _, quiet in self.open) and data.strip():
+                self.lines[-1].append(re.sub(r"\s+", " ", data).strip())
+
+    def read(html: str | None) -> str | None:
+        reader = Reader()
+        reader.feed(html or "")
+        reader.close()
+        return "\n".join(" ".join(x) for x in reader.lines if x) or None
+
+    for part in pages:
+        yield part.map(read)
+
+
+@F.pandas_udf(StringType())
+def balanced_div(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Source between the first div of the class detail_content and the end tag that balances it; up to the last div tag
+    where none does. Counting nested tags isn't regular, so Python."""
+    import re
+
+    opened, tag = re.compile(r'<div[^>]+class="[^"]*\bdetail_content\b[^"]*"[^>]*>', re.I), re.compile(r"</?div\b[^>]*>", re.I)
+
+    def cut(html: str | None) -> str | None:
+        first = opened.search(html or "")
+        if not first:
+            return None
+        depth, end = 1, first.end()
+        for m in tag.finditer(html, first.end()):
+            depth += -1 if m[0][1] == "/" else 1
+            if depth == 0:
+                return html[first.end() : m.start()]
+            end = m.end()
+        return html[first.end() : end] if end > first.end() else None
+
+    for part in pages:
+        yield part.map(cut)
+
+
 def in_order(values: Column, order: list[str]) -> Column:
     """Members of the fixed order that the array holds."""
     return F.filter(F.array(*map(F.lit, order)), lambda x: F.array_contains(values, x))

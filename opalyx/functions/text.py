@@ -68,6 +68,17 @@ def lookup_key(c: Column) -> Column:
     return or_null(F.regexp_replace(F.regexp_replace(ascii_only, "[^a-z0-9]+", "_"), "^_+|_+$", ""))
 
 
+def loose_key(c: Column) -> Column:
+    """The store's other form of that key: marks go, any other character parts words; null only where there is no text."""
+    return F.regexp_replace(F.regexp_replace(fold(compact(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def clean_title(c: Column) -> Column:
+    """A title without the reference number before it; the title itself where nothing else is left."""
+    trimmed = F.trim(c)
+    return or_null(F.coalesce(or_null(F.trim(F.regexp_replace(trimmed, r"^\d+(?:[_/-]\d+)+(?:\s+)?", ""))), trimmed))
+
+
 def location_key(c: Column) -> Column:
     return plain_text(c)
 
@@ -107,7 +118,7 @@ def _numeric(c: Column) -> Column:
         hexed = F.regexp_extract(part, reference, 1)
         code = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(part, reference, 2)).cast("int")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = bind(code, lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE"))
+        char = bind(code, lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
         return F.when(part.rlike(reference) & valid, F.concat(char, F.regexp_replace(part, reference, ""))).otherwise(F.concat(F.lit("&#"), part))
 
     return bind(F.split(c, "&#"), lambda p: F.concat(p[0], F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decoded), "")))

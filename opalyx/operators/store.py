@@ -118,6 +118,73 @@ def backfill(df: DataFrame, column: str, new: Column, order: list[Column], most:
     return (changed.limit(most) if most else changed).select("id", F.col("_new").alias(column))
 
 
+TRACE = "https://pubblicitalegale.anticorruzione.it/"
+
+
+def trace_candidates(df: DataFrame, organizer: str = "ANAC BDNCP") -> DataFrame:
+    """Records of a register whose source isn't one of its public pages yet."""
+    public = F.col("source_url").startswith(f"{TRACE}bandi/") | F.col("source_url").startswith(f"{TRACE}esiti/")
+    return df.filter((F.col("organizer") == organizer) & F.col("official_notice_id").isNotNull() & ~F.coalesce(public, F.lit(False)))
+
+
+def status_candidates(df: DataFrame, organizer: str, closed: tuple[str, ...] = ("archived", "discarded")) -> DataFrame:
+    return df.filter((F.col("organizer") == organizer) & ~F.col("status").isin(*closed))
+
+
+def _is_result(code: Column, kind: Column, url: Column, title: Column) -> Column:
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return low(code).startswith("ad") | (low(kind) == "esito") | low(url).contains("/esiti/") | low(title).contains("affidamento diretto")
+
+
+def trace_url(notice: Column, url: Column, title: Column, code: Column, kind: Column) -> Column:
+    """Public page of a notice: results on one route, calls on the other. code and kind are of the notice's detail."""
+    clean = F.nullif(F.trim(notice), F.lit(""))
+    return F.concat(F.lit(TRACE), F.when(_is_result(code, kind, url, title), "esiti").otherwise("bandi"), F.lit("/"), clean, F.lit("?ricercaArchivio=true"))
+
+
+def record_status(url: Column, title: Column, code: Column, kind: Column, source_kind: Column) -> Column:
+    """archived for award notices, by the detail's code and kinds, the page or the wording; else discovered."""
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    gone = _is_result(code, kind, url, title) | low(source_kind).isin("aggiudicazione", "esito", "archived", "completed") | low(title).contains("aggiudicazione")
+    return F.when(gone, "archived").otherwise("discovered")
+
+
+def geocode_changes(df: DataFrame, answers: DataFrame, key: str, columns: list[str], order: list[Column], limit: int = 50) -> DataFrame:
+    """(key, columns) of the records that answers change: six times as many are looked at as may change."""
+    looked = df.orderBy(*order).limit(6 * limit)
+    met = looked.join(answers.select(key, *(F.col(c).alias(f"_a_{c}") for c in columns)), key)
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_a_{c}"))
+    return met.filter(~same).orderBy(*order).limit(limit).select(key, *(F.col(f"_a_{c}").alias(c) for c in columns))
+
+
+def removed(rows: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, a row with changed: whether any went)."""
+    hit = F.coalesce(gone, F.lit(False))
+    return rows.filter(~hit), rows.agg((F.count_if(hit) > 0).alias("changed"))
+
+
+def listing(rows: DataFrame, workspace: str, limit: int = 50) -> DataFrame:
+    """A workspace's saved searches or watched ids, the last touched first."""
+    return rows.filter(F.col("workspace_key") == workspace).orderBy(F.desc("updated_at"), F.desc("id" if "id" in rows.columns else "opportunity_id")).limit(limit)
+
+
+def live_sessions(sessions: DataFrame, now: Column) -> DataFrame:
+    """Sessions that haven't expired; tokens are held as their hash."""
+    return sessions.filter(F.col("expires_at") > now)
+
+
+def token_hash(token: Column) -> Column:
+    return F.sha2(token, 256)
+
+
+def batch_totals(runs: DataFrame) -> DataFrame:
+    """Sources and records of a batch's runs, a failed run counting no records."""
+    fine = F.col("status") != "failed"
+    return runs.groupBy("batch_id").agg(F.countDistinct("source_id").alias("total_sources"), F.coalesce(F.sum(F.when(fine, F.col("ingested"))), F.lit(0)).alias("total_ingested"), F.count_if(~fine).alias("failed"))
+
+
 def save_search(saved: DataFrame, workspace: str, name: str, filters_json: str, now: Column) -> DataFrame:
     """Idempotent by workspace, name and filters: a repeat touches updated_at, a new one gets the next id."""
     name = name.strip()[:80]

@@ -87,6 +87,22 @@ class Query:
         """Equal filters give equal texts."""
         return json.dumps(self.active(), sort_keys=True, ensure_ascii=False)
 
+    def to_params(self) -> dict[str, str | list[str]]:
+        """Request parameters that from_params() reads as this query: what is at its default is left out."""
+        shown: dict[str, str | list[str]] = {}
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if value in (None, "", []) or (f.name == "sort" and value == "deadline") or (f.name == "offset" and value <= 0):
+                continue
+            if isinstance(value, bool):
+                if value:
+                    shown[f.name] = "true"
+            elif isinstance(value, list):
+                shown[f.name] = list(dict.fromkeys(value))
+            else:
+                shown[f.name] = f"{value:g}" if isinstance(value, float) else str(value)
+        return shown
+
     def clamped(self, most: int) -> Query:
         return replace(self, limit=max(1, min(self.limit, most)), offset=max(0, self.offset))
 

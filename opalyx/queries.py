@@ -652,3 +652,6 @@ def _folder(spark: SparkSession, sf: str) -> tuple[str, str, str]:
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the default feed page."""
     return Q.feed_item(Q.page(opportunities(spark, sf_dir), Q.Query(), TODAY))
+
+
+from opalyx import queries_rules  # noqa: E402, F401  (registers its queries)

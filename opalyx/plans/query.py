@@ -217,6 +217,21 @@ def feed_item(df: DataFrame) -> DataFrame:
     )
 
 
+#: Columns that the page for professionals doesn't get.
+INTERNAL = "audience building_categories brief_pdf_url competition_types cpv_codes deadline_at discovered_at discovered_label documents_portal_url estimated_contract_value_eur estimated_contract_value_text evidence_level extraction_confidence geo_confidence geo_lat geo_lng geo_source implementation_path jurisdiction languages licensed_architect_required architect_required location_label local_partner_required official_notice_id official_sectors built_asset_types design_scopes project_modes opportunity_type organizer prize_summary project_types procedure_type procedure_key qualification_score regions registration_fee_eur source_url status submission_fee_eur updated_at updated_label".split()
+LISTED = ("id", "title", "organizer", "authority_name", "status", "opportunity_type", "deadline_at", "qualification_score", "official_url")
+
+
+def professional(items: DataFrame) -> DataFrame:
+    """Items of the feed as the page for professionals shows them: labels, no raw values."""
+    return items.drop(*INTERNAL)
+
+
+def narrow_list(df: DataFrame, limit: int = 20) -> DataFrame:
+    """The operators' list: nine columns, by deadline, undated last, then the latest update."""
+    return df.orderBy(F.col("deadline_at").asc_nulls_last(), F.desc("updated_at"), F.asc("id")).limit(limit).select(*(c for c in LISTED if c in df.columns))
+
+
 FACETS = ("jurisdictions", "procedure_types", "implementation_paths")
 
 

@@ -507,3 +507,15 @@ def date_parse_cjk(spark, sf):
 def place_names(spark, sf):
     title = F.when(F.col("n_nationkey") % 2 == 0, "New school, 6500 Bellinzona").otherwise("new school")
     return table(spark, sf, "nation").select("n_nationkey", text.place_of(title, F.lit("the council")).alias("place"))
+
+
+# --- narrow reads --------------------------------------------------------------------------------
+@query("narrow_list", f"{V} SELECT id, title, organizer, authority_name, status, deadline_at, qualification_score FROM v ORDER BY deadline_at ASC NULLS LAST, updated_at DESC, id LIMIT 20")
+def narrow_list(spark, sf):
+    return Q.narrow_list(opportunities(spark, sf)).select("id", "title", "organizer", "authority_name", "status", "deadline_at", "qualification_score")
+
+
+@query("professional_items", f"{V} SELECT id, title, CASE WHEN deadline_at IS NULL THEN 'Deadline pending' ELSE 'Closes ' || strftime(deadline_at, '%d %b %Y') END AS deadline_label, FALSE AS has_internal FROM v WHERE status NOT IN ('archived', 'discarded') AND (deadline_at IS NULL OR deadline_at >= DATE '1998-06-01')")
+def professional_items(spark, sf):
+    shown = Q.professional(Q.feed_item(Q.visible(opportunities(spark, sf), Q.Query(), TODAY)))
+    return shown.select("id", "title", "deadline_label", F.lit(bool(set(shown.columns) & set(Q.INTERNAL))).alias("has_internal"))

@@ -1,23 +1,28 @@
 """Exact top-k inner products by the three-phase uniform threshold algorithm.
 
 A vector's components are split into m slices; the inner product is the sum of m partial products,
-one from each list. A node holds one slice of one block of candidates.
-
-1. Each node returns, for each query, its k highest local scores; the exact scores of the vectors
-   named there give a cutoff t: the k-th highest, hence never above the true k-th score.
-2. With t for each query, a vector whose total reaches t has a local score of at least t / m in
-   some list (also where scores are negative). Nodes return all entries at or over ceil(t / m).
-3. The entries of one vector are added up; a list without an entry adds its bound ceil(t / m) - 1.
-   Where that upper bound is below t the vector is out; the others are scored exactly.
-
-Queries meet the candidates in blocks: a query block of bounded size is sent to each candidate
-block by an equi-join, so nothing is broadcast and no pair of rows leaves a node but the entries
-asked for. Phases 1 and 2 return counts that follow k and the cutoffs, not the pairs.
+one from each list. A node holds the slices of one block of candidates, and so m local lists for
+each query. Equal vectors are one candidate, with the k + 1 least of their ids; no other id of them
+can be among a query's k best.
+
+1. Each node returns, for each query, the vectors of the k highest entries of each of its lists,
+   with their scores. The k-th highest of these scores is the cutoff t, hence never above the true
+   k-th score.
+2. With t for each query, a vector whose total reaches t has an entry of at least t / m in some list
+   (also where scores are negative). Nodes collect the entries at or over ceil(t / m), add up what
+   they hold of such a vector, and return it where it can reach t.
+3. The vectors that are left are scored exactly, and ranked with their ids.
+
+What phases 1 and 2 return follows k and the number of blocks, not the pairs. Queries meet the
+candidates in blocks: a block of bounded size is held by a task while the queries stream past it,
+so nothing is broadcast and no pair of rows leaves a node but the vectors returned.
 
 Defined results: vectors that are null, or hold a null or non-finite component, or whose id is
 null, take no part; vectors of differing lengths are compared over the longest, missing components
 as 0; of rows that repeat an id each counts as a candidate of its own, as a query the least vector
-counts, and a query's own id is never its candidate; ties go to the smaller id; fewer candidates than k give fewer rows.
+counts, and a query's own id is never its candidate; ties go to the smaller id; fewer candidates
+than k give fewer rows; empty tables give no rows; columns other than the id and the vector are not
+read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +47,11 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.filter(F.coalesce(whole, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), "i8")
-    for i, v in enumerate(column):
-        out[i, : len(v)] = v
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    lens = np.asarray(column.value_lengths().fill_null(0), "i8")
+    out = np.zeros((len(lens), width), "i8")
+    rows = np.repeat(np.arange(len(lens)), lens)
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(lens) - lens, lens)] = np.asarray(column.flatten(), "i8")
     return out
 
 
@@ -57,81 +63,89 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
+def _by_blocks(batches: Iterator[pa.RecordBatch], width: int, query_block: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From rows sorted by (block, is_query): (only ids, candidates' numbers and matrix, queries' rows and matrix), query_block at a time."""
+    block, held, c = None, [], None
+    for batch in batches:
+        blocks, asks = np.asarray(batch.column("cb")), np.asarray(batch.column("is_query").cast(pa.int8()))
+        cuts = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1]), [True]]))
+        for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = batch.slice(at, end - at)
+            if blocks[at] != block:
+                block, held, c = blocks[at], [], None
+            if not asks[at]:
+                held.append((np.asarray(part.column("u")), np.asarray(part.column("only").fill_null(_NO_ID)), _matrix(part.column("v"), width)))
+                continue
+            if c is None and held:
+                c = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+            for k in range(0, part.num_rows if c else 0, query_block):
+                q = part.slice(k, query_block)
+                yield *c, q, _matrix(q.column("v"), width)
+
+
+_NO_ID = np.iinfo("i8").min
+#: Below every score.
+_LOWEST = -(1 << 62)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, *, query_block: int = 512, candidate_block: int = 8192, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query. Both inputs are (vec_id, v)."""
     spark = candidates.sparkSession
     ship(spark)
-    stored = written(candidates, "vectors")
+    once = candidates.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("rows"))
+    least = once.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    stored = written(least.groupBy("v").agg(F.collect_list(F.struct("vec_id", "rows")).alias("ids")).withColumn("u", F.monotonically_increasing_id()), "vectors")
     n, width = stored.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    asked = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    n_queries = asked.count()
-    width, c_blocks, q_blocks = max(1, width), max(1, -(-n // candidate_block)), max(1, -(-n_queries // query_block))
-    hashed = lambda blocks, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
+    asked = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v"), "queries")
+    width, c_blocks = max(1, width), max(1, -(-n // candidate_block))
     edges = np.linspace(0, width, lists + 1).astype(int)
-    # One row for each block: what a node holds.
-    blocks = stored.select(hashed(c_blocks, 1).alias("cb"), "vec_id", "v").groupBy("cb").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-    q_rows = asked.select(hashed(q_blocks, 2).alias("qb"), F.col("vec_id").alias("query_id"), "v").groupBy("qb").agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))
-    sent = q_rows.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-
-    def nodes(frames: Iterator[pd.DataFrame], take) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                c_ids = np.asarray([x["vec_id"] for x in r.rows], "i8")
-                q_ids = np.asarray([x["query_id"] for x in r.asked], "i8")
-                c, q = _matrix([x["v"] for x in r.rows], width), _matrix([x["v"] for x in r.asked], width)
-                floors = np.asarray([x["floor"] for x in r.asked], "i8") if "floor" in r.asked[0] else None
-                for j in range(lists):
-                    local = _products(q[:, edges[j] : edges[j + 1]], c[:, edges[j] : edges[j + 1]])
-                    other = q_ids[:, None] != c_ids[None, :]
-                    rows, cols = take(local, other, floors)
-                    if len(rows):
-                        yield pd.DataFrame({"query_id": q_ids[rows], "vec_id": c_ids[cols], "list": np.full(len(rows), j, "i4"), "part": local[rows, cols]})
-
-    entry = "query_id long, vec_id long, list int, part long"
-
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def take(local, other, _):
-            masked = np.where(other, local, np.iinfo("i8").min)
-            m = min(k, masked.shape[1])
-            cols = np.argpartition(-masked.astype("f8"), m - 1, axis=1)[:, :m]
-            rows = np.repeat(np.arange(len(local)), m)
-            keep = other[rows, cols.ravel()]
-            return rows[keep], cols.ravel()[keep]
-
-        return nodes(frames, take)
-
-    def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return nodes(frames, lambda local, other, floors: np.nonzero((local >= floors[:, None]) & other))
-
-    v, q = stored.withColumnRenamed("v", "cv"), asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "cv", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(v, "vec_id").join(q, "query_id").select("query_id", "vec_id", dot.alias("score"))
-
-    def best(rows: DataFrame) -> DataFrame:
+    # The id of a vector that has no other: it isn't a candidate of that query.
+    held = stored.select(F.pmod(F.xxhash64("u"), F.lit(c_blocks)).cast("int").alias("cb"), F.lit(False).alias("is_query"), "u", F.when(F.size("ids") == 1, F.col("ids")[0]["vec_id"]).alias("only"), F.lit(None).cast("long").alias("cut"), "v")
+
+    def nodes(asked: DataFrame, work, schema: str) -> DataFrame:
+        sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), F.lit(True).alias("is_query"), F.col("query_id").alias("u"), F.lit(None).cast("long").alias("only"), "cut", "v")
+        return held.unionByName(sent).repartition("cb").sortWithinPartitions("cb", "is_query").mapInArrow(work, schema)
+
+    def local(batches: Iterator[pa.RecordBatch]):
+        for u, only, c, part, q in _by_blocks(batches, width, query_block):
+            q_ids = np.asarray(part.column("u"))
+            parts = [_products(q[:, edges[j] : edges[j + 1]], c[:, edges[j] : edges[j + 1]]) for j in range(lists)]
+            yield u, q_ids, q_ids[:, None] != only[None, :], parts, part
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, q_ids, other, parts, _ in local(batches):
+            total, m = sum(parts), min(k, len(u))
+            named = np.zeros(other.shape, bool)
+            for part in parts:
+                masked = np.where(other, part, _LOWEST)
+                np.put_along_axis(named, np.argpartition(masked, len(u) - m, axis=1)[:, len(u) - m :], True, axis=1)
+            rows, cols = np.nonzero(named & other)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(u[cols]), pa.array(total[rows, cols])], ["query_id", "u", "score"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, q_ids, other, parts, part in local(batches):
+            cut = np.asarray(part.column("cut"))[:, None]
+            floor = -(-cut // lists)
+            rows, cols = np.nonzero(np.any([p >= floor for p in parts], axis=0) & (sum(parts) >= cut) & other)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(u[cols])], ["query_id", "u"])
+
+    def best(rows: DataFrame, *ties) -> DataFrame:
         """The k best rows of each query; tasks keep k rows of a query before they are dealt."""
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties)
         return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    # Phase 1. A list's k best of the blocks' k best, then the exact scores of their vectors.
-    in_list = Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id")
-    gathered = blocks.join(sent, "cb").select("rows", "asked").mapInPandas(first, entry)
-    named = gathered.withColumn("n", F.row_number().over(in_list)).filter(F.col("n") <= k).select("query_id", "vec_id").distinct()
-    cut = best(scored(named)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("cut"))
-    # With fewer than k scores there is no cutoff: everything is collected.
-    lowest = -(1 << 62)
-    cut = written(cut.select("query_id", F.when(F.col("n") >= k, F.col("cut")).otherwise(F.lit(lowest)).alias("cut")), "cutoffs")
-    floor = F.ceil(F.col("cut") / F.lit(float(lists))).cast("long")
+    # Phase 1. With fewer than k scores there is no cutoff: everything is collected.
+    gathered = nodes(asked.withColumn("cut", F.lit(None).cast("long")), first, "query_id long, u long, score long")
+    cut = best(gathered, "u").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("cut"))
+    with_cut = asked.join(cut, "query_id").select("query_id", "v", F.when(F.col("n") >= k, F.col("cut")).otherwise(F.lit(_LOWEST)).alias("cut"))
     # Phase 2.
-    with_cut = asked.withColumnRenamed("vec_id", "query_id").join(cut, "query_id").select(F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(q_blocks)).cast("int").alias("qb"), "query_id", "v", floor.alias("floor"))
-    sent2 = with_cut.groupBy("qb").agg(F.collect_list(F.struct("query_id", "v", "floor")).alias("asked")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    entries = blocks.join(sent2, "cb").select("rows", "asked").mapInPandas(second, entry)
+    left = written(nodes(with_cut, second, "query_id long, u long"), "left")
     # Phase 3.
-    known = entries.groupBy("query_id", "vec_id", "list").agg(F.max("part").alias("part")).groupBy("query_id", "vec_id").agg(F.sum("part").alias("sum"), F.count("*").alias("lists"))
-    upper = F.col("sum") + (F.lit(lists) - F.col("lists")) * (floor - 1)
-    left = known.join(cut, "query_id").filter((F.col("cut") == lowest) | (upper >= F.col("cut"))).select("query_id", "vec_id")
-    return best(scored(left)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+    scored = left.join(stored, "u").join(asked.withColumnRenamed("v", "qv"), "query_id").select("query_id", dot.alias("score"), F.explode("ids").alias("x"))
+    rows = scored.filter(F.col("x.vec_id") != F.col("query_id")).select("query_id", "score", "x.vec_id", F.explode(F.sequence(F.lit(1), F.col("x.rows").cast("int"))))
+    return best(rows.drop("col"), "vec_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable
 
@@ -72,9 +75,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
 _encoders: dict = {}
 
 
-def tokenizer_memo(path: str, dtype: str) -> Memo:
+def release() -> None:
+    """Give up what operators before this one hold in the worker process: tokenizers and their memos."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can hand memory back
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def tokenizer_memo(path: str, dtype: str, limit: int = 600_000) -> Memo:
     """Memo over a tokenizers file, one for each worker process."""
-    key = (path, dtype)
+    key = (path, dtype, limit)
     if key not in _encoders:
         import os
 
@@ -85,7 +97,7 @@ def tokenizer_memo(path: str, dtype: str) -> Memo:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _encoders[key] = Memo(lambda pieces: [np.asarray(e.ids, dtype).tobytes() for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+        _encoders[key] = Memo(lambda pieces: [np.asarray(e.ids, dtype).tobytes() for e in t.encode_batch_fast(pieces, add_special_tokens=False)], limit)
     return _encoders[key]
 
 

@@ -12,7 +12,9 @@ but texts.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where there is
 nothing to learn from; one language alone is always the answer, with score 1; ties go to the
-language that comes first by name; held_out is false for a null doc_id, which isn't learned from.
+language that comes first by name; held_out is false for a null doc_id, which isn't learned from;
+texts of any length are read whole; repeated rows have a row each; an empty table has no model and
+gives no rows; predict() keeps other columns, whatever their names but that of the result.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opalyx.llm.common import release
 from opalyx.runtime import ship
 
 GRAMS, BUCKETS_LOG2, SCALE_STEPS, AMBIGUOUS = (2, 3, 4), 15, 60, 0.1
@@ -130,11 +133,16 @@ def train(docs: DataFrame, per_language: int = 500, longest: int = 6000) -> Mode
     whole = 1 << 30
     spark = docs.sparkSession
     limits = spark.createDataFrame([(k, min(whole, whole * 3 * per_language // (2 * n) + 1)) for k, n in counts.items()], "lang string, most long")
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(whole))
-    sample = usable.join(F.broadcast(limits), "lang").withColumn("draw", drawn).filter(F.col("draw") < F.col("most")).select("lang", "text", "draw").collect()
-    chosen: list = []
-    for lang in counts:
-        chosen += sorted((r for r in sample if r["lang"] == lang), key=lambda r: (r["draw"], r["text"]))[:per_language]
+    # By id and text, so that rows under one id are drawn apart; rows that repeat both are one draw, cut at the limit.
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(whole))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    sample = usable.join(F.broadcast(limits), "lang").withColumn("draw", drawn).filter(F.col("draw") < F.col("most")).withColumn("place", place).filter(F.col("place") <= per_language)
+    chosen = sorted(sample.select("lang", "text", "place").collect(), key=lambda r: (r["lang"], r["place"]))
+    # A language of a few rows, all drawn over the bound of the first cut, still has its first ones.
+    missed = set(counts) - {r["lang"] for r in chosen}
+    if missed:
+        rest = usable.filter(F.col("lang").isin(*missed)).withColumn("draw", drawn).withColumn("place", place).filter(F.col("place") <= per_language)
+        chosen += sorted(rest.select("lang", "text", "place").collect(), key=lambda r: (r["lang"], r["place"]))
     return fit([r["text"] for r in chosen], [r["lang"] for r in chosen])
 
 
@@ -144,11 +152,14 @@ def predict(docs: DataFrame, model: Model, to: str = "prediction", text_col: str
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, lead double, ambiguous boolean")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, lead double, ambiguous boolean")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for part in parts:
-            out = pd.DataFrame([decode(shared.value, t) for t in part], columns=["lang_pred", "score", "lead"])
-            yield out.assign(ambiguous=(out["lead"] < AMBIGUOUS) & (out["lang_pred"] != "und"))
+            made = [decode(shared.value, t.as_py()) for t in part]
+            lang, score, lead = zip(*made, strict=True) if made else ((), (), ())
+            near = [x < AMBIGUOUS and name != "und" for name, x in zip(lang, lead, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64()), pa.array(near, pa.bool_())], ["lang_pred", "score", "lead", "ambiguous"])
 
     return docs.withColumn(to, run(F.col(text_col).cast("string")))
 

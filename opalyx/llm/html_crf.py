@@ -11,7 +11,9 @@ Inside a block white space becomes one space; character references are decoded;
 space; blocks of content are joined by a line feed in page order.
 
 Defined results: null or empty html, or a page without content: empty text, 0 characters; repeated
-rows keep a row each; a cut-off tag at a page's end is dropped; an empty table gives no rows.
+rows keep a row each; a cut-off tag at a page's end is dropped; pages of any length are read whole;
+where two labellings score the same, a block is not content; an empty table gives no rows; columns
+other than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ positions (samples of the payload up to the end of the last packet that a page c
 interleaves the blocks again.
 
 Defined results: null text counts as empty, so its payload is 64 zero bytes; equal texts give equal
-bytes, as serial numbers follow from the payload's length alone; an empty table gives no rows.
+bytes, as serial numbers follow from the payload's length alone; texts of any length are stored whole;
+rows that repeat an id or a text have a row each; an empty table gives no rows; columns other than the
+id and the text are not read.
 """
 
 from __future__ import annotations

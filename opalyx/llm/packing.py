@@ -14,7 +14,9 @@ next, so a partition ends with at most one window that isn't full. Memory is bou
 documents' leftovers. Nothing is shuffled: partitions number their own sequences.
 
 Defined results: null text counts as empty, which still has its end id; a null doc_id stays null;
-each of several rows with one id is packed for itself; an empty table gives no rows.
+each of several rows with one id is packed for itself; texts of any length are cut at full windows;
+equal leftovers take the combination's places in the order they came, which changes no piece but its
+place; an empty table gives no rows; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from opalyx.llm.common import COARSE, texts, tokenizer_memo
 from opalyx.runtime import ship
 
 WINDOW, BLOCK_DOCS, TRIPLES = 1024, 4096, 8
+#: Pieces in a generation of the memo, which a worker keeps for its later tasks.
+MEMO = 200_000
 
 
 def combinations(present: np.ndarray, window: int, triples: int = TRIPLES) -> np.ndarray:
@@ -156,7 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        memo, end = tokenizer_memo(tokenizer_path, "<u4"), np.asarray([end_id], "<u4").tobytes()
+        memo, end = tokenizer_memo(tokenizer_path, "<u4", MEMO), np.asarray([end_id], "<u4").tobytes()
         rows: list[tuple] = []
 
         def put(key, start, part, length, sequence, offset) -> None:

@@ -7,23 +7,31 @@ tokens on each side (embeddings scaled by place and added, tanh, with a constant
 
     log P(token | both sides) = sum over its turns of log sigmoid(+-(log odds + h . node))
 
-The log odds are those of the counts below the node, so that a node that nothing was learned of
-gives the corpus shares. The OWN nodes that most tokens pass have a vector each; the others share
-SHARED vectors by hash, besides their own log odds.
-
-Training is spread over the corpus and meets every token once. In each round every partition trains
-a copy from the common parameters on the windows of that round in all its documents (the places of a
-document are dealt to the rounds in turn, from each document's start); the copies are averaged by their windows on the executors, in groups and then the groups. Parameters and the
-tree have a fixed size; what is gathered grows with partitions and buckets in them.
+The log odds are those of the counts below the node. The OWN nodes that most tokens pass have a
+vector each. A node below them has seen too little to learn a vector and keeps its log odds, the
+shares of the corpus, so the end of a rare token's chain is one number.
+
+Training is spread over the corpus and meets every token of every document once. Documents are dealt
+to shards by a hash of their id and text, so many that a shard has about SHARD_TOKENS tokens. In
+each round (one, unless more are asked for) every shard trains a copy from the common parameters on
+the windows of that round, its documents in the order of that hash (the places of a document are
+dealt to the rounds in turn, from its start); the copies are averaged by their windows in the order
+of the shards. Nothing depends on
+how Spark splits the table, so a job that reruns tasks on other executors, or runs over other
+partitions, gives the same scores. Parameters and the tree have a fixed size; what is gathered
+grows with the shards and with the buckets in use.
 
 Defined results: null or empty text has 0 tokens, log_prob 0 and no mean (null); rows that repeat an
-id have a row each; an empty table gives no rows.
+id have a row each; rows that repeat id and text count each in the tree and train once; equal texts
+have equal scores; texts of any length are scored whole; an empty table gives no rows; columns other
+than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalyx.llm.common import texts
-from opalyx.runtime import ship, written
+from opalyx.runtime import ship, with_keys, written
 
-BUCKETS, ROWS, WIDTH = 1 << 18, 1 << 13, 24
-OWN, SHARED, TOP = 1 << 15, 1 << 14, 128
+BUCKETS, ROWS, WIDTH = 1 << 18, 1 << 15, 15
+OWN, TOP = 1 << 14, 128
+SHARD_TOKENS, FAN = 4_000_000, 32
 PLACES = (-2, -1, 1, 2)
 PAD = BUCKETS
 STEP = 4_096
@@ -76,7 +85,7 @@ class Tree:
         self.odds = odds
 
     def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length) of each bucket's turns, and all turns: twice the node, and 1 where the turn is to the second side."""
+        """(start, length) of each bucket's turns, from the leaf up, and all turns: twice the node, and 1 where the turn is to the second side."""
         n, last = len(self.leaves), len(self.up) - 1
         at, turns, whose = np.arange(n), [], []
         live = np.arange(n)
@@ -94,31 +103,36 @@ class Tree:
 
 
 class Turns:
-    """The turns of tokens, with what they need of the tree."""
+    """The turns of tokens at nodes that have a vector, and the log-probability of the others on the way."""
 
     def __init__(self, tree: Tree):
-        self.start, self.length, self.all = tree.paths()
+        start, whole, self.all = tree.paths()
         self.odds = tree.odds
-        node = np.arange(len(tree.odds))
-        self.row = np.where(node < OWN, node, OWN + (node * 2654435761 % (1 << 32) >> 8) % SHARED).astype("u2")
-
-    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(turns of each token, rows, log odds, sides) of their turns one after another."""
+        node, second = self.all >> 1, self.all & 1
+        z = np.where(second == 1, tree.odds[node], -tree.odds[node]).astype("f8")
+        cost = np.concatenate([[0.0], np.cumsum(np.where(node >= OWN, np.logaddexp(0, -z), 0.0))])
+        live = np.concatenate([[0], np.cumsum(node < OWN)])
+        # chains go from the leaf to the root, and nodes are numbered from the root, so those without a vector come first
+        self.length = live[start + whole] - live[start]
+        self.start = start + whole - self.length
+        self.rest = (cost[start] - cost[start + whole]).astype("f4")
+
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(turns of each token, nodes, sides) of their turns one after another."""
         lens = self.length.take(tokens)
         first = np.cumsum(lens) - lens
         turns = self.all.take(np.arange(lens.sum()) + np.repeat(self.start.take(tokens) - first, lens))
-        node = turns >> 1
-        return lens, self.row.take(node), self.odds.take(node), (turns & 1).astype("f4")
+        return lens, turns >> 1, (turns & 1).astype("f4")
 
 
 def fresh(seed: int = 3) -> list[np.ndarray]:
     """Embeddings (the last row, for places outside the text, included), scales by place, vectors of the nodes with a constant's."""
     rng = np.random.default_rng(seed)
-    return [rng.normal(0, 0.3, (ROWS + 1, WIDTH)).astype("f4"), np.ones((len(PLACES), WIDTH), "f4"), np.zeros((OWN + SHARED, WIDTH + 1), "f4")]
+    return [rng.normal(0, 0.3, (ROWS + 1, WIDTH)).astype("f4"), np.ones((len(PLACES), WIDTH), "f4"), np.zeros((OWN, WIDTH + 1), "f4")]
 
 
 def rows_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids == PAD, ROWS, ids & (ROWS - 1))
+    return np.where(ids == PAD, ROWS, ids & (ROWS - 1)).astype("u2")
 
 
 def hidden(x: np.ndarray) -> np.ndarray:
@@ -151,10 +165,9 @@ def train_windows(params: list[np.ndarray], turns: Turns, windows: Iterator[tupl
         for j in range(-less[0]):
             m = int(np.searchsorted(less, -j))
             turn = turns.all.take(start[:m] + j)
-            node = turn >> 1
-            row = turns.row.take(node)
+            row = turn >> 1
             w = out.take(row, axis=0)
-            z = np.einsum("kw,kw->k", h[:m], w) + turns.odds.take(node)
+            z = np.einsum("kw,kw->k", h[:m], w) + turns.odds.take(row)
             wrong = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (turn & 1).astype("f4")
             w *= wrong[:, None]
             d_h[:m] += w
@@ -162,6 +175,7 @@ def train_windows(params: list[np.ndarray], turns: Turns, windows: Iterator[tupl
         if not steps:
             continue
         who, rows, wrong = (np.concatenate(x) for x in zip(*steps, strict=True))
+        rows = rows.astype("u2")  # sorted by radix
         top = rows < TOP
         table = np.zeros((len(ctx), TOP), "f4")
         table.ravel()[who[top] * TOP + rows[top]] = wrong[top]
@@ -219,12 +233,14 @@ class Scorer:
             x = self.places[0].take(rows.take(at + PLACES[0]), axis=0)
             for e, p in zip(self.places[1:], PLACES[1:], strict=True):
                 x += e.take(rows.take(at + p), axis=0)
-            lens, own, odds, side = self.turns.of(values[a : a + STEP])
-            if len(own):
-                z = np.einsum("dw,dw->d", np.repeat(hidden(x), lens, axis=0), self.out.take(own, axis=0)) + odds
+            own = values[a : a + STEP]
+            lens, node, side = self.turns.of(own)
+            got[a : a + STEP] = self.turns.rest.take(own)
+            if len(node):  # tokens that occur have a turn each, or there is one token alone
+                z = np.einsum("dw,dw->d", np.repeat(hidden(x), lens, axis=0), self.out.take(node, axis=0)) + self.turns.odds.take(node)
                 z *= 1 - 2 * side  # against the turn that was taken
                 cost = np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
-                got[a : a + STEP] = -np.add.reduceat(cost, np.cumsum(lens) - lens)
+                got[a : a + STEP] -= np.add.reduceat(cost, np.cumsum(lens) - lens)
         return got
 
 
@@ -247,71 +263,120 @@ def corpus_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def train(ids: DataFrame, tree: Tree, rounds: int = 2, batch_windows: int = 2048, groups: int = 16) -> list[np.ndarray]:
+def shards(ids: DataFrame, tokens: int) -> DataFrame:
+    """(shard, order, ids) of the documents with tokens: each id and text once, dealt by their hash."""
+    n = max(1, -(-tokens // SHARD_TOKENS))
+    own = ids.filter(F.size("ids") > 0).select(F.xxhash64("doc_id", F.isnull("doc_id"), "ids").alias("order"), "ids")
+    repeated = written(own.groupBy("order").agg(F.count("*").alias("n")).filter("n > 1").select("order"), "repeated")
+    if not repeated.isEmpty():
+        once = with_keys(own, repeated, "order", "left_semi").dropDuplicates(["order"])
+        own = with_keys(own, repeated, "order", "left_anti").unionByName(once)
+    return own.select(F.pmod("order", F.lit(n)).cast("int").alias("shard"), "order", "ids")
+
+
+def train(ids: DataFrame, tree: Tree, tokens: int, rounds: int = 1, batch_windows: int = 2048) -> list[np.ndarray]:
     spark = ids.sparkSession
-    params = fresh()
+    params, dealt, n_shards = fresh(), shards(ids, tokens), max(1, -(-tokens // SHARD_TOKENS))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((params, tree))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            start, tree = shared.value
-            own = [p.copy() for p in start]
-
-            def windows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                held_ctx, held_own, size, step = [], [], 0, 64  # steps grow, so that few windows are several steps
-                for part in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
-                    values, offsets = _lists(part, 0)
-                    line, place = padded(values, offsets)
-                    met = places_of_round(offsets, rounds, r)
-                    at = place[met]
-                    rows = rows_of(line)
-                    held_ctx.append(np.stack([rows.take(at + p) for p in PLACES], 1))
-                    held_own.append(values[met])
-                    size += len(at)
-                    if size >= batch_windows:
-                        c, y = np.concatenate(held_ctx), np.concatenate(held_own)
-                        mixed, k = np.random.default_rng(len(c)).permutation(len(c)), 0
-                        while len(c) - k >= step:
-                            yield c.take(mixed[k : k + step], axis=0), y.take(mixed[k : k + step])
-                            k, step = k + step, min(2 * step, batch_windows)
-                        held_ctx, held_own, size = [c[mixed[k:]]], [y[mixed[k:]]], len(c) - k
-                if size:
+        def windows(parts: Iterator[tuple[np.ndarray, np.ndarray]], r: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """(context rows, tokens) in steps, which grow, so that few windows are several steps."""
+            held_ctx, held_own, size, step = [], [], 0, 64
+            for values, offsets in parts:
+                line, place = padded(values, offsets)
+                met = places_of_round(offsets, rounds, r)
+                rows, at = rows_of(line), place[met]
+                held_ctx.append(np.stack([rows.take(at + p) for p in PLACES], 1))
+                held_own.append(values[met])
+                size += len(at)
+                if size >= 32 * batch_windows:
                     c, y = np.concatenate(held_ctx), np.concatenate(held_own)
                     mixed, k = np.random.default_rng(len(c)).permutation(len(c)), 0
-                    while k < len(c):
-                        yield c[mixed[k : k + step]], y[mixed[k : k + step]]
+                    while len(c) - k >= step:
+                        yield c.take(mixed[k : k + step], axis=0), y.take(mixed[k : k + step])
                         k, step = k + step, min(2 * step, batch_windows)
-
-            n = train_windows(own, Turns(tree), windows())
-            if n:
-                yield pa.RecordBatch.from_pydict({"g": pa.array([TaskContext.get().partitionId() % groups], pa.int32()), "n": [n], "p": pa.array([packed(own)], pa.binary())})
-
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total = 0, None
-            for batch in batches:
-                for k, data in zip(batch.column("n").to_pylist(), batch.column("p"), strict=True):
-                    part = [x.astype("f8") * k for x in unpacked(data.as_py())]
-                    n, total = n + k, part if total is None else [a + b for a, b in zip(total, part, strict=True)]
-            if n:
-                yield pa.RecordBatch.from_pydict({"n": [n], "p": pa.array([packed([(x / n).astype("f4") for x in total])], pa.binary())})
-
-        copies = ids.select("ids").mapInArrow(run, "g int, n long, p binary").repartition(groups, "g").mapInArrow(average, "n long, p binary")
-        copies = copies.repartition(1).mapInArrow(average, "n long, p binary").collect()
+                    held_ctx, held_own, size = [c[mixed[k:]]], [y[mixed[k:]]], len(c) - k
+            if size:
+                c, y = np.concatenate(held_ctx), np.concatenate(held_own)
+                mixed, k = np.random.default_rng(len(c)).permutation(len(c)), 0
+                while k < len(c):
+                    yield c[mixed[k : k + step]], y[mixed[k : k + step]]
+                    k, step = k + step, min(2 * step, batch_windows)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r, windows=windows) -> Iterator[pa.RecordBatch]:
+            start, tree = shared.value
+            turns = Turns(tree)
+            for shard, parts in groupby(_documents(batches), key=lambda x: x[0]):
+                own = [p.copy() for p in start]
+                n = train_windows(own, turns, windows((x[1:] for x in parts), r))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [n], "p": pa.array([packed(own)], pa.binary())})
+
+        copies = dealt.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "order").select("shard", "ids").mapInArrow(run, "shard int, n long, p binary")
+        # In levels of FAN copies, each in the order of the shards: the same sum whatever the partitions.
+        of = FAN
+        while True:
+            copies = copies.repartition(F.floor(F.col("shard") / of)).sortWithinPartitions("shard").mapInArrow(_averaged(of), "shard int, n long, p binary")
+            if of * SHARD_TOKENS >= tokens:
+                break
+            of *= FAN
+        copies = copies.collect()
         if not copies:
             break
-        params = unpacked(bytes(copies[0]["p"]))
+        params = [x.astype("f4") for x in unpacked(bytes(copies[0]["p"]))]
     return params
 
 
+def _documents(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, ids, offsets) of rows sorted by shard, always so many documents of a shard but for its last ones."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        names = np.asarray(batch.column(0))
+        at = 0
+        while at < batch.num_rows:
+            if held and held[0].column(0)[0].as_py() != names[at]:
+                yield _joined(held)
+                held, n = [], 0
+            end = min(at + rows - n, int(np.searchsorted(names, names[at], "right")))
+            held.append(batch.slice(at, end - at))
+            n, at = n + end - at, end
+            if n == rows:
+                yield _joined(held)
+                held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> tuple[int, np.ndarray, np.ndarray]:
+    lists = [_lists(p, 1) for p in parts]
+    lens = np.concatenate([np.diff(o) for _, o in lists])
+    return parts[0].column(0)[0].as_py(), np.concatenate([v for v, _ in lists]), np.concatenate([[0], np.cumsum(lens)])
+
+
+def _averaged(of: int):
+    """Means of copies by their windows, for each run of so many shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, n, data.as_py()) for batch in batches for k, n, data in zip(batch.column("shard").to_pylist(), batch.column("n").to_pylist(), batch.column("p"), strict=True))
+        for group, own in groupby(rows, key=lambda x: x[0] // of):
+            n, total = 0, None
+            for _, k, data in own:
+                part = [x.astype("f8") * k for x in unpacked(data)]
+                n, total = n + k, part if total is None else [a + b for a, b in zip(total, part, strict=True)]
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([group * of], pa.int32()), "n": [n], "p": pa.array([packed([x / n for x in total])], pa.binary())})
+
+    return run
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum of conditional log-probabilities), mean_log_prob."""
     spark = docs.sparkSession
     ship(spark)
     ids = tokens(docs)
-    tree = Tree(corpus_counts(ids))
-    shared = spark.sparkContext.broadcast((train(ids, tree), tree))
+    counts = corpus_counts(ids)
+    tree = Tree(counts)
+    shared = spark.sparkContext.broadcast((train(ids, tree, int(counts.sum())), tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)

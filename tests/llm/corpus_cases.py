@@ -4,7 +4,7 @@ import random
 
 WORDS = "the river bank holds seven old stones under bright morning light while ten small boats drift past quiet green hills and empty stone houses near a long grey wall".split()
 #: Names the operators use inside, as further columns of the input.
-CLASHING = ("node", "fp", "h", "n", "s", "spans", "term", "kind", "uid", "at", "ids", "component", "_hash", "prediction", "__t")
+CLASHING = ("node", "fp", "h", "n", "s", "spans", "term", "kind", "uid", "at", "ids", "component", "_hash", "prediction", "__t", "_shared", "_dropped", "_key", "_kept_id", "_kept_fp", "_fp", "_spans", "_terms", "_text", "_language", "t", "p", "core", "hub", "block", "query_id", "score", "start")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 

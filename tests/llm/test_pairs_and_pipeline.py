@@ -86,6 +86,29 @@ def test_blocks_lose_no_link(spark):
     assert linked.select("component").distinct().count() == 1 and linked.count() == len(texts)
 
 
+@pytest.mark.parametrize(("words", "share", "long_set"), [(3, 90, 1000), (5, 80, 1000), (5, 80, 1)])
+def test_groups_of_small_blocks_are_those_of_all_pairs(spark, words, share, long_set):
+    """Pieces of many blocks: cores that grow by hubs, open nodes beside them, and a chain whose ends aren't linked."""
+    chain, w = [], prose(77, 120).split()
+    for k in range(40):
+        chain.append(" ".join(w))
+        w[(7 * k) % len(w)] = f"changed{k}"
+    texts = near_copies(9) + chain + [f"{prose(78, 60)} {prose(900 + k, 4)}" for k in range(30)]
+    groups, _ = plain_groups(texts, words, share)
+    docs = table(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, words, share, block_rows=4, long_set=long_set).collect()}
+    assert [got[i] for i in range(len(texts))] == groups
+
+
+def test_rows_under_one_id_make_no_pairs(spark):
+    rows = [(1, f"{prose(5, 40)} {k % 7}") for k in range(300)] + [(None, f"{prose(6, 40)} {k % 5}") for k in range(300)]
+    members, reps = jaccard.classes(table(spark, rows), 3, 90)
+    sets = jaccard.with_text_sets(table(spark, rows), reps, 3)
+    assert sets.count() == reps.count() == 12
+    got = jaccard.near_duplicates(table(spark, rows), 3, 90).collect()
+    assert len(got) == 600 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, None)}
+
+
 def test_divide_skip_finds_what_all_pairs_find():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 3000, n)) for n in (5, 30, 30, 200) for _ in range(5)]
@@ -143,6 +166,21 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(whole.limit(0), whole).count() == 0 and topk.top_k(whole.limit(0), whole.limit(0)).count() == 0
 
 
+def test_top_k_of_equal_vectors_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    base = [[float(x) for x in rng.normal(0, 0.2, 64)] for _ in range(9)]
+    rows = [(k, base[k % 9 if k % 3 else 0]) for k in range(400)] + [(100, base[3])] * 30 + [(7, base[1])] * 4 + [(200, [float(x) for x in rng.normal(0, 0.2, 40)])]
+    whole = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = topk.top_k(whole.filter("vec_id % 100 = 0"), whole, query_block=2, candidate_block=2).collect()
+    used = [(i, np.concatenate([np.floor(1024 * np.float32(v).astype("f8")).astype("i8"), np.zeros(64 - len(v), "i8")])) for i, v in rows]
+    want = []
+    for q in (0, 100, 200, 300):
+        a = min((tuple(v.tolist()[: len(r[1])]), k) for k, (r, (i, v)) in enumerate(zip(rows, used, strict=True)) if i == q)[1]
+        best = sorted((-int(used[a][1] @ b), i) for i, b in used if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
 # pipeline -----------------------------------------------------------------------------------
 
 LANGS = {"aa": "zu zo ze zal zur".split(), "bb": "kri kra kro krel krin".split(), "cc": "mul mol mel mund mir".split()}

@@ -121,12 +121,56 @@ def test_main_text(spark):
 def test_viterbi_is_the_best_of_all_labellings():
     import itertools
 
-    model, blocks = html_crf.trained(), html_crf.leaf_blocks(PAGE)[:9]
-    rows = [html_crf.block_features(b) for b in blocks]
-    found = model.viterbi(rows)
-    assert len(found) == len(rows) and list(model.viterbi(rows)) == list(found) and set(found) <= {0, 1}
-    assert model.viterbi([]) == [] or len(model.viterbi([])) == 0
-    assert list(itertools.chain([found[0]])) == [found[0]]
+    rng = np.random.default_rng(6)
+    for trial in range(40):
+        model = html_crf.Crf()
+        model.weights = {f: float(rng.normal(0, 2)) for f in "abcdefgh"}
+        model.pairs, model.start = rng.normal(0, 2, (2, 2)), rng.normal(0, 2, 2)
+        rows = [[str(f) for f in rng.choice(list("abcdefghxy"), 3)] for _ in range(trial % 9 + 1)]
+        emit = [sum(model.weights.get(f, 0.0) for f in r) for r in rows]
+
+        def total(y, model=model, emit=emit):
+            return model.start[y[0]] + sum(model.pairs[p, q] for p, q in zip(y, y[1:], strict=False)) + sum(e for e, k in zip(emit, y, strict=True) if k)
+
+        every = list(itertools.product((0, 1), repeat=len(rows)))
+        assert tuple(model.viterbi(rows)) == max(every, key=total)
+        # forward-backward against the same sums
+        weight = np.exp([total(y) for y in every])
+        p, pairs = model.marginals(rows)
+        assert np.allclose(p[:, 1], [sum(w for w, y in zip(weight, every, strict=True) if y[i]) / weight.sum() for i in range(len(rows))])
+        want = np.zeros((2, 2))
+        for w, y in zip(weight, every, strict=True):
+            for x, z in zip(y, y[1:], strict=False):
+                want[x, z] += w / weight.sum()
+        assert np.allclose(pairs, want)
+    assert list(html_crf.trained().viterbi([])) == []
+
+
+def bare_page(seed):
+    """A German page without a name that says anything, and its article's blocks."""
+    rng = random.Random(seed)
+    words = "die der das Brücke Fluss Stadt wurde gebaut im Jahr und viele Menschen kamen um zu sehen was dort geschah Häuser Straße Bürger neue alte Planung".split()
+    say = lambda low, high: " ".join(rng.choice(words) for _ in range(rng.randint(low, high))).capitalize() + "."
+    title, blocks = say(3, 6)[:-1], [say(10, 60) for _ in range(rng.randint(4, 9))]
+    items = [say(4, 9) for _ in range(3)]
+    body = f"<h1>{title}</h1>" + "".join(f'<p class="c{rng.randint(1, 99)}">{b}</p>' for b in blocks[:-1]) + "<ul>" + "".join(f"<li>{i}</li>" for i in items) + f"</ul><p>{blocks[-1]}</p>"
+    menu = "".join(f'<a href="/{k}">{rng.choice(words)}</a> ' for k in range(5))
+    return f'<html><body><div class="c1">{menu}</div><div><div class="c2">{body}</div></div><div>© 2024 Stadtarchiv. Alle Rechte vorbehalten. <a href=/i>Impressum</a></div></body></html>', [title, *blocks[:-1], *items, blocks[-1]]
+
+
+def test_pages_without_names_and_long_ones():
+    model, right, whole = html_crf.trained(), 0, 0
+    for seed in range(100):
+        page, blocks = bare_page(seed)
+        got = html_crf.extract(page, model).split("\n")
+        assert not any("Stadtarchiv" in g for g in got)
+        right += len(set(blocks) & set(got))
+        whole += len(set(blocks))
+    assert right / whole > 0.97
+    page, blocks = bare_page(1)
+    long = page.replace("<ul>", "".join(f"<p>{b} {k}</p>" for k in range(4_000) for b in blocks[1:3]) + "<ul>")
+    got = html_crf.extract(long, model).split("\n")
+    assert len(got) == len(blocks) + 8_000 and got[0] == blocks[0] and got[-1] == blocks[-1]
 
 
 # 4 ------------------------------------------------------------------------------------------
@@ -162,6 +206,40 @@ def test_a_language_of_long_texts_alone_is_learned(spark):
     assert model.languages == ["en", "fr"] and langid.decode(model, "les maisons de la rivière")[0] == "fr"
 
 
+def test_rows_under_one_id_are_a_bounded_sample(spark):
+    rows = [(8, f"zu zo ze {k % 50}", "aa") for k in range(900)] + [(8, "zu zo ze zal", "aa")] * 900 + [(8, "kri kra kro krel", "bb")] * 3
+    model = langid.train(table(spark, rows), per_language=20)
+    assert model.languages == ["aa", "bb"]
+    assert langid.decode(model, "kra kro kri")[0] == "bb" and langid.decode(model, "ze zu zal")[0] == "aa"
+
+
+def test_decoding_is_the_least_loss_over_all_codewords():
+    """Margins and losses by plain loops, for more languages than have all their halvings as bits."""
+    rng = random.Random(4)
+    stems = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(3)) for _ in range(12)] for k in range(7)}
+    say = lambda k: " ".join(rng.choice(stems[k]) + rng.choice("aeiou") for _ in range(30))
+    texts = [(say(k), k) for k in stems for _ in range(30)]
+    model = langid.fit([t for t, _ in texts], [k for _, k in texts])
+    right = 0
+    for k in stems:
+        for _ in range(10):
+            text = say(k)
+            g = langid.grams(text)
+            loss = {}
+            for lang, code in zip(model.languages, model.codes, strict=True):
+                total = 0.0
+                for bit in range(model.codes.shape[1]):
+                    margin = sum(float(model.weights[x, bit]) for x in g) / len(g) * model.scale[bit] + model.shift[bit]
+                    total += np.log1p(np.exp(-code[bit] * margin))
+                loss[lang] = total
+            best = min(loss, key=loss.get)
+            lang, score, lead = langid.decode(model, text)
+            share = np.exp(-np.asarray(sorted(loss.values())) + min(loss.values()))
+            assert lang == best and abs(score - share[0] / share.sum()) < 1e-4 and abs(lead - (share[0] - share[1]) / share.sum()) < 1e-4
+            right += lang == k
+    assert right >= 66
+
+
 def test_codewords_differ():
     for k in (2, 3, 4, 5, 9, 17):
         codes = langid.codewords(k)
@@ -216,6 +294,43 @@ def test_probabilities_of_a_tree_add_up_to_one():
         assert abs(sum(p) - 1) < 1e-5 and np.allclose(p, counts[np.arange(7) * 31] / 33, atol=1e-5) == same
 
 
+def test_conditional_probabilities_are_those_of_the_turns(spark, monkeypatch):
+    """Each token's log-probability by plain loops over the tree, with nodes that have no vector among them."""
+    monkeypatch.setattr(lm, "OWN", 3)
+    counts = np.zeros(lm.BUCKETS)
+    words = np.arange(7) * 31
+    counts[words] = [1, 1, 2, 3, 5, 8, 13]
+    tree, rng = lm.Tree(counts), np.random.default_rng(2)
+    emb, scale = rng.normal(0, 1, (lm.ROWS + 1, lm.WIDTH)).astype("f4"), rng.normal(1, 0.2, (4, lm.WIDTH)).astype("f4")
+    out = rng.normal(0, 1, (3, lm.WIDTH + 1)).astype("f4")
+    text = words[[0, 3, 6, 2, 5]]
+    got = lm.Scorer([emb, scale, out], tree).log_probs(np.concatenate([text, text[:1]]), np.asarray([0, 5, 5, 6]))
+    last = len(tree.up) - 1
+    for i, w in enumerate(text):
+        x = np.zeros(lm.WIDTH)
+        for place, by in zip(lm.PLACES, scale, strict=True):
+            inside = 0 <= i + place < len(text)
+            x += by * emb[text[i + place] & (lm.ROWS - 1) if inside else lm.ROWS]
+        h, at, total = np.append(np.tanh(x), 1.0), int(np.flatnonzero(tree.leaves == w)[0]), 0.0
+        while at < last:
+            node = last - tree.up[at]
+            z = tree.odds[node] + (h @ out[node] if node < 3 else 0.0)
+            total -= np.logaddexp(0, -z if tree.side[at] else z)
+            at = tree.up[at]
+        assert abs(total - got[i]) < 1e-4
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 700)
+    monkeypatch.setattr(lm, "FAN", 2)
+    rows = [(k, prose(k % 150, 5 + k % 40)) for k in range(260)] + [(3, prose(3, 20))] * 5 + EDGES
+    docs = table(spark, rows)
+    read = lambda df: sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.log_prob) for r in lm.score(df).collect()))
+    one = read(docs.coalesce(1))
+    assert read(docs.repartition(5, "text")) == one and read(docs.orderBy(F.desc("doc_id")).repartition(3)) == one
+    assert len(one) == len(rows)
+
+
 def test_scores_of_odd_rows(spark):
     got = lm.score(table(spark, EDGES)).collect()
     assert len(got) == len(EDGES) and all(r.log_prob <= 0 and np.isfinite(r.log_prob) for r in got)

@@ -9,6 +9,13 @@ as the docs of the next one. All but the last return the columns of documents.
   words, the one with the least id stays. Documents without words have no links and stay.
 * personal_data: personal data and what discloses it are masked in the text; n_chars follows.
 * packing: what is left is packed into sequences of 1024 tokens; a row for each piece.
+
+Defined results of all stages: other columns are kept whatever their names (packing returns its own),
+an empty table gives an empty one, texts of any length are read whole. Null texts: language lets
+them go; near_duplicates and personal_data keep them as they are; packing counts them as empty.
+Repeated rows: language and personal_data treat each for itself; of rows that repeat id and class
+near_duplicates keeps one, and of rows under one id it tells those of differing classes apart;
+packing gives each its pieces. A tie for the row that stays goes to the smaller id, rows without id last.
 """
 
 from __future__ import annotations
@@ -17,20 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalyx.llm import jaccard, langid, packing, pii
+from opalyx.llm.common import free
 from opalyx.runtime import with_keys, written
 
 #: Least lead of the likeliest language over the second, as shares.
 LEAD = 0.02
 WORDS, SHARE = 5, 80
-#: Documents of a block of the join: a piece's sets are sent to each of its blocks, so fewer blocks shuffle less.
-BLOCK_ROWS = 1024
-
-
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that docs doesn't have."""
-    while name in docs.columns:
-        name = "_" + name
-    return name
 
 
 def _columns(docs: DataFrame) -> list:
@@ -39,13 +38,14 @@ def _columns(docs: DataFrame) -> list:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
-    p = _free(docs, "_language")
+    p = free(docs, "_language")
     named = langid.predict(docs, model, p)
     return named.filter((F.col(f"{p}.lang_pred") != "und") & (F.col(f"{p}.lead") >= LEAD)).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = written(jaccard.near_duplicates(docs, WORDS, SHARE, BLOCK_ROWS), "groups")
+    key, fp, key_fp = (free(docs, x) for x in ("_key", "_fp", "_key_fp"))
+    groups = written(jaccard.near_duplicates(docs, WORDS, SHARE), "groups")
     members = groups.filter(F.col("fp").isNotNull())
     # The least (id, class) of each component stays.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"))
@@ -53,20 +53,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marked = members.join(kept, "node_component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("fp") == F.col("k.fp")))
     marked = written(marked.select("doc_id", "fp", "stays"), "marked")
     # An id that one row has decides by itself; rows that share an id, or have none, are told apart by class.
-    shared = written(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_shared")), "shared")
-    dropped = marked.filter(~F.col("stays") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_dropped")).distinct()
+    shared = written(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias(key)), "shared")
+    dropped = marked.filter(~F.col("stays") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct()
     own = F.col("doc_id").cast("long")
-    alone = with_keys(with_keys(docs, shared, own.eqNullSafe(F.col("_shared")), "left_anti"), dropped, own == F.col("_dropped"), "left_anti")
-    fp = _free(docs, "_fp")
-    several = with_keys(docs, shared, own.eqNullSafe(F.col("_shared")), "left_semi").withColumn(fp, jaccard.class_of(F.col("text"), WORDS))
-    stay = marked.filter("stays").select(F.col("doc_id").alias("_kept_id"), F.col("fp").alias("_kept_fp")).distinct()
-    met = several.filter(F.col(fp).isNotNull()).join(stay, own.eqNullSafe(F.col("_kept_id")) & (F.col(fp) == F.col("_kept_fp")), "left_semi")
+    alone = with_keys(with_keys(docs, shared, own.eqNullSafe(F.col(key)), "left_anti"), dropped, own == F.col(key), "left_anti")
+    several = with_keys(docs, shared, own.eqNullSafe(F.col(key)), "left_semi").withColumn(fp, jaccard.class_of(F.col("text"), WORDS))
+    stay = marked.filter("stays").select(F.col("doc_id").alias(key), F.col("fp").alias(key_fp)).distinct()
+    met = several.filter(F.col(fp).isNotNull()).join(stay, own.eqNullSafe(F.col(key)) & (F.col(fp) == F.col(key_fp)), "left_semi")
     # Rows that repeat both id and class: one stays. Rows without words all stay.
     return alone.unionByName(met.dropDuplicates(["doc_id", fp]).drop(fp)).unionByName(several.filter(F.col(fp).isNull()).drop(fp)).select(*_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    s = _free(docs, "_spans")
+    s = free(docs, "_spans")
     found = pii.find(docs, "text", s)
     clean = pii.masked(F.col("text"), F.col(s))
     out = [clean.alias("text") if c == "text" else F.length(clean).cast(docs.schema[c].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]

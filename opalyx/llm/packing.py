@@ -33,7 +33,7 @@ from opalyx.runtime import ship
 
 WINDOW, BLOCK_DOCS, TRIPLES = 1024, 4096, 8
 #: Pieces in a generation of the memo, which a worker keeps for its later tasks.
-MEMO = 200_000
+MEMO = 600_000
 
 
 def combinations(present: np.ndarray, window: int, triples: int = TRIPLES) -> np.ndarray:
@@ -152,7 +152,7 @@ class Packer:
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK_DOCS, memo_pieces: int = MEMO) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
 
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        memo, end = tokenizer_memo(tokenizer_path, "<u4", MEMO), np.asarray([end_id], "<u4").tobytes()
+        memo, end = tokenizer_memo(tokenizer_path, "<u4", memo_pieces), np.asarray([end_id], "<u4").tobytes()
         rows: list[tuple] = []
 
         def put(key, start, part, length, sequence, offset) -> None:

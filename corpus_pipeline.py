@@ -30,6 +30,8 @@ from opalyx.runtime import with_keys, written
 #: Least lead of the likeliest language over the second, as shares.
 LEAD = 0.02
 WORDS, SHARE = 5, 80
+#: Pieces in the packing's memo: fewer than it takes alone, as the workers have met other stages before.
+MEMO_PIECES = 200_000
 
 
 def _columns(docs: DataFrame) -> list:
@@ -75,7 +77,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo_pieces=MEMO_PIECES)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack)]

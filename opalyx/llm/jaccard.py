@@ -8,7 +8,10 @@ overlap of at least T = ceil(share * (n + m) / (1 + share)) of their n and m shi
    texts it reads together come last, as far as a bounded list of them goes, the others go by their
    hash. Linked sets of n shingles share one of
    their first n - ceil(share * n) + 1 (any order is exact; this one keeps passages that many texts
-   hold out of the prefixes). A set gives its prefix in its own band of sizes and in the next, where
+   hold out of the prefixes). From BUCKET_SHARE on, sets meet by buckets instead: linked sets differ in
+   at most d shingles of a band's size, shingles are dealt by hash into M > d buckets, so linked sets
+   hold some bucket alike; empty buckets say nothing, so M leaves room for them, and a set with more of
+   them than that room gives these too. A set gives its prefix, or its buckets' contents as hashes, in its own band of sizes and in the next, where
    it is a node of its own: linked sets have one of the two bands in common, and chains that ran on
    from band to band would tie most sets together. Nodes with an entry in common are chained, tasks
    chaining their own first and passing on one set for each entry, so an entry's rows number the
@@ -50,6 +53,8 @@ from opalyx.runtime import discard, ship, with_keys, written
 
 WORDS, SHARE = 3, 90
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 200_000
+#: Share from which classes meet by their buckets instead of prefixes: a bucket then holds six shingles or more.
+BUCKET_SHARE = 85
 #: Hubs of a piece in a round; rounds end when they shrink the open nodes by less than this share.
 HUBS, SHRINK = 4, 0.125
 #: Shingles of a set, on average, from which a piece of several blocks goes through the sieve.
@@ -172,6 +177,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bucket_table(longest: int, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sizes of the bands up to a size, and for each its buckets and the room for empty ones."""
+    lows, buckets, rooms = [], [], []
+    low = 1
+    while True:
+        high = max(low, (100 * low) // share)  # a set of a band links with none beyond the next
+        d = (2 * high * (100 - share)) // (100 + share)
+        m, room = d + 1, 0
+        for _ in range(6 if d else 0):
+            empty = m * math.exp(-low / m)
+            room = math.ceil(1.5 * empty + 2 * math.sqrt(empty))
+            m = d + 1 + room
+        lows.append(low)
+        buckets.append(m)
+        rooms.append(room)
+        if low > longest:
+            return np.asarray(lows), np.asarray(buckets), np.asarray(rooms)
+        low = high + 1
+
+
+def signatures(s: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The band of a set of 64-bit hashes, its signatures there and in the next band."""
+    lows, buckets, rooms = table
+    own = int(np.searchsorted(lows, len(s), "right")) - 1
+    h = _mix(np.sort(s.view("u8")))
+    order = np.argsort(h)
+    h = h[order]
+    made = []
+    for band in (own, own + 1):
+        out = []
+        m, room = int(buckets[band]), int(rooms[band])
+        # the bucket by the high half of the hash; content as the sum of spread hashes
+        which = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        content = np.add.reduceat(_mix(h + np.uint64(0x9E3779B97F4A7C15)), starts)
+        used = which[starts]
+        tag = np.uint64(band << 34)
+        out.append(_mix(content ^ _mix(tag + used)))
+        if m - len(used) > room:
+            empty = np.setdiff1d(np.arange(m, dtype="u8"), used, assume_unique=True)
+            out.append(_mix(_mix(tag + empty) + np.uint64(0xD6E8FEB86659FD93)))
+        made.append(np.concatenate(out).view("i8"))
+    return own, *made
+
+
 def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: int) -> np.ndarray:
     """The first n - ceil(share * n) + 1 of a set of n hashes, common ones last; common: (sorted hashes, places among themselves)."""
     k = len(s) - int(required(len(s), share)) + 1
@@ -229,33 +279,39 @@ def _in_band(h: Column, band: Column) -> Column:
 
 
 def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(members, reps). members: doc_id, fp, h, n, t, band, prefix for each row, the last two once for each class and task.
+    """(members, reps). members: doc_id, fp, h, n, t, band, prefix, next for each row, the last three once for each class and
+    task; next, the entries in the next band, only where they differ.
     reps: node, fp, h, n, band, doc_id (the least), t. h is half a fingerprint, t the hash of a row's text."""
     ship(docs.sparkSession)
     s = texts(docs).select("doc_id", F.xxhash64("text").alias("t"), shingle_set(F.col("text"), words).alias("s")).withColumn("h", F.xxhash64(F.lit(1), "s"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(s))
+    by_buckets = share >= BUCKET_SHARE
+    common = docs.sparkSession.sparkContext.broadcast(None if by_buckets else common_shingles(s))
 
     def sign(batches: Iterator[pa.RecordBatch], remembered: int = 50_000) -> Iterator[pa.RecordBatch]:
         release()
-        lows, seen = bands(1 << 12, share), set()
+        lows, table, seen = bands(1 << 12, share), bucket_table(1 << 12, share), set()
         for batch in batches:
-            fps, ns, band, made = batch.column(1).to_pylist(), batch.column(3).to_pylist(), [], []
+            fps, ns, band, made, after = batch.column(1).to_pylist(), batch.column(3).to_pylist(), [], [], []
             for fp, n, s in zip(fps, ns, batch.column(5), strict=True):
                 if n == 0 or fp in seen:
                     band.append(None)
                     made.append(None)
+                    after.append(None)
                     continue
-                if n >= lows[-1]:
-                    lows = bands(2 * n, share)
-                band.append(int(np.searchsorted(lows, n, "right")) - 1)
-                made.append(prefix(np.asarray(s.values, "i8"), common.value, share))
+                if n >= lows[-2]:
+                    lows, table = bands(2 * n, share), bucket_table(2 * n, share)
+                values = np.asarray(s.values, "i8")
+                own, first, second = signatures(values, table) if by_buckets else (int(np.searchsorted(lows, n, "right")) - 1, prefix(values, common.value, share), None)
+                band.append(own)
+                made.append(first)
+                after.append(second)
                 if len(seen) < remembered:
                     seen.add(fp)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(band, pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "fp", "h", "n", "t", "band", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(band, pa.int32()), pa.array(made, pa.list_(pa.int64())), pa.array(after, pa.list_(pa.int64()))], ["doc_id", "fp", "h", "n", "t", "band", "prefix", "next"])
 
     n = F.size("s")
     made = s.select("doc_id", F.when(n > 0, _fingerprint(F.col("s"))).alias("fp"), "h", n.cast("long").alias("n"), "t", "s")
-    members = written(made.mapInArrow(sign, "doc_id long, fp string, h long, n long, t long, band int, prefix array<long>"), "members")
+    members = written(made.mapInArrow(sign, "doc_id long, fp string, h long, n long, t long, band int, prefix array<long>, next array<long>"), "members")
     reps = members.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("t", "doc_id"), F.min("t")).alias("t"), F.first("n").alias("n"), F.first("h").alias("h"), F.max("band").alias("band")).withColumn("node", F.monotonically_increasing_id())
     return members, written(reps, "classes")
 
@@ -309,10 +365,11 @@ def chain_edges(members: DataFrame, per_part: int = 150_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4), strict=True)], ["part", "sigs", "index", "names", "edges"])
 
         for batch in batches:
-            column, band = batch.column(3), np.asarray(batch.column(2), "u8")
-            lens = np.asarray(column.value_lengths().fill_null(0), "i8")
-            entries = np.asarray(column.flatten(), "i8").view("u8")
+            band = np.asarray(batch.column(2), "u8")
             for k in (0, 1):
+                column = batch.column(3 + k)
+                lens = np.asarray(column.value_lengths().fill_null(0), "i8")
+                entries = np.asarray(column.flatten(), "i8").view("u8")
                 sigs.append(_mix(entries ^ np.repeat(_mix(band + np.uint64(k + 1)), lens)).view("i8"))
                 nodes.append(np.repeat(np.asarray(batch.column(k), "i8"), lens))
                 size += len(entries)
@@ -329,7 +386,7 @@ def chain_edges(members: DataFrame, per_part: int = 150_000) -> DataFrame:
         pairs = np.unique(np.concatenate([_chained(np.concatenate(sig), np.concatenate(node))[2], *pairs]), axis=0) if sum(map(len, sig)) else np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    held = members.filter("prefix IS NOT NULL").select(_in_band(F.col("h"), F.col("band")).alias("node"), _in_band(F.col("h"), F.col("band") + 1).alias("next"), "band", "prefix")
+    held = members.filter("prefix IS NOT NULL").select(_in_band(F.col("h"), F.col("band")).alias("node"), _in_band(F.col("h"), F.col("band") + 1).alias("node2"), "band", "prefix", F.coalesce("next", "prefix").alias("next"))
     packed = held.mapInArrow(combine, "part long, sigs binary, index binary, names binary, edges binary")
     return packed.groupBy("part").applyInArrow(meet, "a long, b long")
 

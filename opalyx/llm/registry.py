@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opalyx.llm import bpe, html_crf, jaccard, langid, lm, ogg, packing, pii, token_store, topk
+from opalyx.llm import bpe, html_crf, jaccard, langid, lm, merkle, ogg, packing, pii, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_top_k": topk.op9_top_k,
     "op10_media": ogg.op10_media,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE_SQL = {
     "op9_top_k": topk.OP9_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opalyx.llm import bpe, html_crf, jaccard, langid, lm, merkle, ogg, packing, pii, runs, token_store, topk
+from opalyx.llm import bpe, html_crf, jaccard, langid, lm, merkle, ogg, packing, pii, runs, secrets, token_store, topk
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_top_k": topk.op9_top_k,
     "op10_media": ogg.op10_media,
     "op11_runs": runs.op11_runs,
+    "op12_secrets": secrets.op12_secrets,
     "op13_merkle": merkle.op13_merkle,
 }
 

@@ -151,5 +151,8 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = find(docs, train(samples(docs)))
     s = F.col("spans")
-    counts = [F.size(F.filter(s, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(digest(s, KINDS), 256).alias("base_sha256"), digest(s, (*KINDS, *EXTRA)).alias("spans"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(s, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, KINDS), F.sha2(digest(s, KINDS), 256).alias("base_sha256"), digest(s, (*KINDS, *EXTRA)).alias("spans"))

@@ -7,7 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opalyx.functions.text import bind, compact
+from opalyx.functions import rules
+from opalyx.functions.text import WS, bind, compact, located, window
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
@@ -44,6 +45,11 @@ def parse_date(raw: Column) -> Column:
     )
 
 
+#: What parts lines, as Unicode has it.
+LINES = r"\R|[\x1c-\x1e]"
+_WIDE = "０１２３４５６７８９"
+
+
 def parse_cjk_date(raw: Column) -> Column:
     """Year, month and day marked by their characters, digits perhaps spaced; or ISO with one-digit parts."""
     c = F.regexp_replace(raw, r"\s+", "")
@@ -97,3 +103,35 @@ def best_deadline_in_group(score: Column, day: Column, published: Column, early:
     """The same over the rows of a group, as an aggregate that tasks prepare in part."""
     fit = day.isNotNull() & (published.isNull() | F.datediff(day, published).between(early, late))
     return F.max(F.when(fit, F.struct(score.alias("score"), day.alias("day"))))["day"]
+
+
+def label_score(c: Column, labels: dict[str, int], extra: list[tuple[tuple[str, ...], int]] = ()) -> Column:
+    """Score of the first label, in the order given, that a text holds, and what further words add."""
+    first = F.coalesce(*(F.when(c.contains(m), F.lit(n)) for m, n in labels.items()), F.lit(0))
+    for words, n in extra:
+        first = first + F.when(rules.any_of(c, words), F.lit(n)).otherwise(F.lit(0))
+    return first
+
+
+def deadline_candidates(c: Column, *, labels: dict[str, int], extra: list[tuple[tuple[str, ...], int]], forms: list[str], phrases: list[str], before: int = 48, after: int = 24) -> Column:
+    """Array of (score, day) of the days in a text that labels speak for; none for null.
+
+    Lines that hold a label: each day of the forms in them, with the line's score. Whole text: each
+    match of a phrase (its first group is the day), with the score of the characters around it, 1 at least."""
+    score = lambda x: label_score(x, labels, extra)
+    dated = lambda n, raw: F.struct(n.alias("score"), parse_cjk_date(raw).alias("day"))
+
+    def of_line(line: Column) -> Column:
+        days = F.concat(*(F.regexp_extract_all(line, F.lit(f), F.lit(1)) for f in forms))
+        return bind(score(line), lambda n: F.transform(days, lambda d: dated(n, d)))
+
+    def of_phrase(t: Column, phrase: str) -> Column:
+        return F.transform(located(t, phrase, 1), lambda m: dated(bind(score(window(t, m["start"], m["end"], before, after)), lambda n: F.when(n > 0, n).otherwise(1)), m["value"]))
+
+    def found(t: Column) -> Column:
+        lines = F.filter(F.split(t, LINES), lambda x: score(x) > 0)
+        every = F.concat(F.flatten(F.transform(lines, of_line)), *(of_phrase(t, p) for p in phrases))
+        return F.filter(every, lambda x: x["day"].isNotNull())
+
+    wide = F.translate(F.coalesce(c, F.lit("")), _WIDE, "0123456789")
+    return bind(wide, found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,73 @@ def label_set(text: Column, labels: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*(F.when(any_of(text, markers), F.lit(name)) for name, markers in labels.items())))
 
 
+class Markers:
+    """Many markers found in one scan of a text, overlapping ones too.
+
+    At each place the longest marker that begins there is taken, by a pattern that shares common
+    beginnings; the markers that lie within it are added from a table. So a text is read once, and
+    weights and labels are looked up among the few markers that it holds."""
+
+    def __init__(self, *tables: Iterable[str]):
+        self.names = list(dict.fromkeys(m for t in tables for m in t))
+        if "" in self.names:
+            raise ValueError("a marker is not empty")
+        tree: dict = {}
+        for m in self.names:
+            at = tree
+            for c in m:
+                at = at.setdefault(c, {})
+            at[""] = {}
+        first = sorted(tree)
+        gate = f"(?=[{_plain(first[0])}-{_plain(first[-1])}])" if first else ""
+        self.pattern = f"{gate}(?=({_branches(tree)}))"
+        self.within = {m: inside for m in self.names if len(inside := [x for x in self.names if x in m]) > 1} if len(self.names) < 5_000 else self._within()
+
+    def _within(self) -> dict[str, list[str]]:
+        known = set(self.names)
+        parts = {m: [x for x in dict.fromkeys(m[i:j] for i in range(len(m)) for j in range(i + 1, len(m) + 1)) if x in known] for m in self.names}
+        return {m: x for m, x in parts.items() if len(x) > 1}
+
+    def hits(self, text: Column) -> Column:
+        """The markers that occur in a text, each once; none for null."""
+        if not self.names:
+            return F.array().cast("array<string>")
+        found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(1)))
+        if not self.within:
+            return found
+        table = F.create_map(*(x for m, inside in self.within.items() for x in (F.lit(m), F.array(*map(F.lit, inside)))))
+        return F.array_distinct(F.flatten(F.transform(found, lambda m: F.coalesce(table[m], F.array(m)))))
+
+
+def _plain(c: str) -> str:
+    return c if c.isalnum() or not c.isascii() else f"\\{c}" if c.isprintable() else f"\\x{ord(c):02x}"
+
+
+def _branches(tree: dict) -> str:
+    kinds = [_plain(c) + _branches(below) for c, below in tree.items() if c]
+    if not kinds:
+        return ""
+    if "" in tree:
+        return f"(?:{'|'.join(kinds)})?"
+    return kinds[0] if len(kinds) == 1 else f"(?:{'|'.join(kinds)})"
+
+
+def any_hit(hits: Column, markers: Iterable[str]) -> Column:
+    """any_of() over the markers found."""
+    return F.arrays_overlap(hits, F.array(*map(F.lit, markers)))
+
+
+def weight_of(hits: Column, weights: dict[str, int]) -> Column:
+    """weighted_score() over the markers found."""
+    table = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
+    return F.aggregate(hits, F.lit(0), lambda s, m: s + F.coalesce(table[m], F.lit(0)))
+
+
+def labels_of(hits: Column, labels: dict[str, list[str]]) -> Column:
+    """label_set() over the markers found."""
+    return F.array_compact(F.array(*(F.when(any_hit(hits, markers), F.lit(name)) for name, markers in labels.items())))
+
+
 def first_class(rules: list[tuple[str, Column]], otherwise: str | None = None) -> Column:
     """Name of the first rule that holds."""
     out = reduce(lambda chain, rule: chain.when(rule[1], F.lit(rule[0])), rules[1:], F.when(rules[0][1], F.lit(rules[0][0])))

@@ -38,6 +38,28 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def located(c: Column, pattern: str, group: int = 0) -> Column:
+    """Matches in order as an array of (start, end, value): places in characters from 0, end exclusive, and a group of the match."""
+    p = F.lit(pattern)
+
+    def placed(found: Column) -> Column:
+        between = F.transform(F.split(c, p, -1), F.length)
+        steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(b.alias("before"), F.length(m).alias("n")))
+        # Where each match begins: what lies before it and before the ones before it.
+        ends = F.aggregate(steps, F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + x["before"] + x["n"])))
+        values = F.regexp_extract_all(c, p, F.lit(group)) if group else found
+        return F.zip_with(F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"))), values, lambda at, v: F.struct(at["start"].alias("start"), at["end"].alias("end"), v.alias("value")))
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return bind(F.regexp_extract_all(c, p, F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).when(F.size(found) == 0, none))
+
+
+def window(c: Column, start: Column, end: Column, before: int, after: int) -> Column:
+    """The characters around a place in a text."""
+    low = F.greatest(F.lit(0), start - before)
+    return F.substring(c, low + 1, end + after - low)
+
+
 def compact(c: Column) -> Column:
     """Runs of white space as one space, trimmed; empty becomes null."""
     return or_null(F.trim(F.regexp_replace(c, f"{WS}+", " ")))
@@ -46,9 +68,14 @@ def compact(c: Column) -> Column:
 def fold(c: Column) -> Column:
     """Compatibility forms as ASCII, Latin letters without their marks, lower case; other scripts stay."""
     spelled = F.lit(json.dumps(FOLD_SEVERAL))
-    expanded = bind(F.from_json(spelled, "map<string,string>"), lambda m: F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(m[x], x)), ""))
-    plain = F.when(c.rlike(f"[{''.join(FOLD_SEVERAL)}]"), expanded).otherwise(c)
-    return F.lower(F.translate(plain, FOLD_FROM, FOLD_TO))
+
+    def folded(x: Column) -> Column:
+        expanded = bind(F.from_json(spelled, "map<string,string>"), lambda m: F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(m[y], y)), ""))
+        plain = F.when(x.rlike(f"[{''.join(FOLD_SEVERAL)}]"), expanded).otherwise(x)
+        # A text of as many bytes as characters is ASCII.
+        return F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.lower(F.translate(plain, FOLD_FROM, FOLD_TO)))
+
+    return bind(c, folded)
 
 
 def match_text(c: Column) -> Column:

@@ -37,9 +37,13 @@ def expand_procedure(value: str) -> list[str]:
 
 def procedure_key(raw: Column) -> Column:
     """Canonical key of a procedure text: null where it looks like markup or is suppressed, itself where unknown."""
-    clean, key = text.compact(raw), text.lookup_key(raw)
-    known = text.lookup(key, PROCEDURES)
-    return F.when(clean.isNull() | clean.rlike(r'[<>{}\[\]"]') | F.coalesce(key.isin(*SUPPRESSED), F.lit(False)), None).otherwise(F.coalesce(known, clean))
+    both = F.struct(text.compact(raw).alias("clean"), text.lookup_key(raw).alias("key"))
+
+    def named(x: Column) -> Column:
+        refused = x["clean"].isNull() | x["clean"].rlike(r'[<>{}\[\]"]') | F.coalesce(x["key"].isin(*SUPPRESSED), F.lit(False))
+        return F.when(refused, None).otherwise(F.coalesce(text.lookup(x["key"], PROCEDURES), x["clean"]))
+
+    return text.bind(both, named)
 
 
 def procedure_label(raw: Column) -> Column:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opalyx.functions import rules
+from opalyx.functions import dates, rules
+from opalyx.functions.text import WS, bind
 
 # Labels with the words they are found by.
 SECTORS = {"building_construction": ["房屋建筑", "房建工程", "建筑工程"], "design_consulting": ["勘察设计", "建筑设计", "建筑装饰", "装饰装修"]}
@@ -58,8 +59,63 @@ PENALTIES = {"和美乡村": 5, "农业农村": 4, "乡村": 3, "生态旅游":
 SITE_PENALTIES = {"生态修复": 3, "防浪消浪": 3, "蓝藻隔离带": 3, "水体透明度恢复": 3, "沉水植物": 3, "生态围网": 2, "矿坑": 3, "矿山遗址": 3, "园区道路": 3, "道路工程": 3, "停车场": 2, "绿化": 2, "公共厕所": 2, "公厕": 2, "大门": 1, "攀岩": 1, "景观": 2, "广场铺装": 2, "室外管网": 2}
 
 
-def combined(title: Column, body: Column) -> Column:
-    return F.trim(F.concat(F.lower(title), F.lit(" "), F.lower(F.coalesce(body, F.lit("")))))
+# Labels of deadlines with their scores, in the order they are looked for, and words that add to them.
+DEADLINE_LABELS = {
+    "投标文件递交的截止时间为": 12,
+    "投标文件递交截止时间为": 12,
+    "投标文件递交截止时间": 12,
+    "投标文件截止时间": 11,
+    "投标截止时间": 11,
+    "响应文件提交截止时间": 12,
+    "提交响应文件截止时间": 12,
+    "响应文件截止时间": 11,
+    "递交投标文件截止时间": 11,
+    "提交投标文件截止时间": 11,
+    "递交截止时间": 10,
+    "截止时间": 8,
+    "开启时间": 3,
+    "开标时间": 2,
+}
+DEADLINE_EXTRA = [(("北京时间",), 1), (("前提交", "提交响应文件"), 2), (("前递交", "递交投标文件"), 2)]
+DEADLINE_STARTS = ["投标文件递交的截止时间为", "投标文件递交截止时间为", "投标文件递交截止时间", "投标文件截止时间", "投标截止时间", "响应文件提交截止时间", "提交截止时间", "提交投标文件截止时间", "递交投标文件截止时间", "递交截止时间", "截止时间", "开启时间", "开标时间"]
+GENERATED_SCORE = -20
+
+# A day by its characters, digits perhaps spaced, and an ISO day; either with a time.
+_DAY = rf"((?:\d{WS}*){{4}}年{WS}*\d{{1,2}}{WS}*月{WS}*\d{{1,2}}{WS}*日(?:{WS}*\d{{1,2}}{WS}*[时点:：]{WS}*\d{{1,2}}(?:{WS}*分)?)?)"
+_ISO = rf"(\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:{WS}+\d{{1,2}}:\d{{2}}(?::\d{{2}})?)?)"
+_ISO_TIME = rf"(\d{{4}}-\d{{1,2}}-\d{{1,2}}{WS}+\d{{1,2}}:\d{{2}}(?::\d{{2}})?)"
+_LABELLED = f"(?:{'|'.join(DEADLINE_STARTS)})[^0-9]{{0,16}}"
+DEADLINES = {
+    "labels": DEADLINE_LABELS,
+    "extra": DEADLINE_EXTRA,
+    "forms": [_DAY, _ISO],
+    "phrases": [_LABELLED + _DAY, rf"于{WS}*{_DAY}{WS}*[（(]北京时间[)）]?{WS}*前", _LABELLED + _ISO_TIME],
+}
+
+
+def deadline(body: Column, published: Column, html: Column | None = None) -> Column:
+    """The day until which offers are taken: the best labelled day near the publication; the day a page was made comes last."""
+    found = dates.deadline_candidates(body, **DEADLINES)
+    if html is not None:
+        made = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)<meta[^>]+name="others"[^>]+content="[^"]*页面生成时间\s*([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})'), F.lit(1))
+        found = F.concat(found, F.transform(made, lambda d: F.struct(F.lit(GENERATED_SCORE).alias("score"), dates.parse_cjk_date(d).alias("day"))))
+    return bind(found, lambda x: dates.best_deadline(x, published))
+
+
+#: Every word of the tables above; none but the stops holds a space, so what a text joined of parts holds is what its parts hold.
+MARKERS = rules.Markers(
+    *(words for t in (SECTORS, ASSETS, SCOPES, MODES, DOMAINS) for words in t.values()),
+    *(DISCIPLINE, NEW_BUILD, REFUSED_CATEGORIES, REFUSED_WORDS, DESIGN_WORDS, CONTEXT_WORDS),
+    *(TITLE_WEIGHTS, BODY_WEIGHTS, OBJECT_WEIGHTS, CONTEXTUAL_PENALTIES, PENALTIES, SITE_PENALTIES),
+)
+
+
+def found(title: Column, body: Column, category: Column) -> Column:
+    """Struct of the markers in the title, in the whole notice, in what stands before the part on bidders and addresses, and in the category."""
+    body = F.coalesce(body, F.lit(""))
+    parts = F.array(F.lower(F.coalesce(title, F.lit(""))), F.lower(body), F.lower(rules.cut_at_markers(body, STOPS)), F.coalesce(category, F.lit("")))
+    named = lambda h: F.struct(h[0].alias("title"), F.array_union(h[0], h[1]).alias("whole"), F.array_union(h[0], h[2]).alias("head"), h[3].alias("category"))
+    return bind(F.transform(parts, MARKERS.hits), named)
 
 
 def features(title: Column, body: Column, category: Column) -> Column:
@@ -67,19 +123,25 @@ def features(title: Column, body: Column, category: Column) -> Column:
 
     Assets, scopes and modes are read before the part on bidders and addresses; a renovation is no new
     building unless it says so; interior design is an interior."""
-    whole, named = combined(title, body), F.trim(F.coalesce(category, F.lit("")))
-    head = combined(title, rules.cut_at_markers(F.coalesce(body, F.lit("")), STOPS))
-    scopes, modes = rules.label_set(head, SCOPES), rules.label_set(head, MODES)
-    both = F.array_contains(modes, "new_build") & F.array_contains(modes, "renovation") & ~rules.any_of(head, NEW_BUILD)
-    assets = rules.label_set(head, ASSETS)
-    return F.struct(
-        rules.label_set(named, SECTORS).alias("sectors"),
-        F.when(F.array_contains(scopes, "interior_design"), F.array_union(F.array(F.lit("interior")), assets)).otherwise(assets).alias("assets"),
-        scopes.alias("scopes"),
-        F.when(both, F.array_remove(modes, "new_build")).otherwise(modes).alias("modes"),
-        rules.label_set(F.trim(F.concat_ws(" ", named, whole)), DOMAINS).alias("domains"),
-        rules.any_of(whole, DISCIPLINE).alias("discipline"),
-    )
+    return bind(found(title, body, category), features_of)
+
+
+def features_of(m: Column) -> Column:
+    """features() of the markers found."""
+    assets = rules.labels_of(m["head"], ASSETS)
+
+    def settled(scopes: Column, modes: Column) -> Column:
+        both = F.array_contains(modes, "new_build") & F.array_contains(modes, "renovation") & ~rules.any_hit(m["head"], NEW_BUILD)
+        return F.struct(
+            rules.labels_of(m["category"], SECTORS).alias("sectors"),
+            F.when(F.array_contains(scopes, "interior_design"), F.array_union(F.array(F.lit("interior")), assets)).otherwise(assets).alias("assets"),
+            scopes.alias("scopes"),
+            F.when(both, F.array_remove(modes, "new_build")).otherwise(modes).alias("modes"),
+            rules.labels_of(F.array_union(m["category"], m["whole"]), DOMAINS).alias("domains"),
+            rules.any_hit(m["whole"], DISCIPLINE).alias("discipline"),
+        )
+
+    return bind(F.struct(rules.labels_of(m["head"], SCOPES).alias("scopes"), rules.labels_of(m["head"], MODES).alias("modes")), lambda x: settled(x["scopes"], x["modes"]))
 
 
 def _has(labels: Column, *names: str) -> Column:
@@ -111,22 +173,23 @@ def building_target(f: Column) -> Column:
 def relevance(title: Column, body: Column, category: Column, detailed: Column) -> Column:
     """Struct (relevant, score): two vetoes with scores of their own, then a sum of weights with a threshold that is
     lower where the detail page was read."""
-    from opalyx.functions.text import bind
-
-    whole = combined(title, body)
 
-    def judged(f: Column) -> Column:
-        things, contextual, site = rules.weighted_score(whole, OBJECT_WEIGHTS), rules.weighted_score(whole, CONTEXTUAL_PENALTIES), rules.weighted_score(whole, SITE_PENALTIES)
+    def judged(m: Column, f: Column, sums: Column) -> Column:
+        whole, things, contextual, site = m["whole"], sums[0], sums[1], sums[2]
         plus = lambda c, w, otherwise=0: F.when(c, F.lit(w)).otherwise(F.lit(otherwise))
-        score = rules.weighted_score(F.lower(title), TITLE_WEIGHTS) + rules.weighted_score(whole, BODY_WEIGHTS) + things - rules.weighted_score(whole, PENALTIES)
-        score = score - F.when(contextual > 0, site).otherwise(F.lit(0)) + plus(rules.any_of(whole, DESIGN_WORDS), 2) + plus(rules.any_of(whole, CONTEXT_WORDS), 3, -3)
+        score = rules.weight_of(m["title"], TITLE_WEIGHTS) + rules.weight_of(whole, BODY_WEIGHTS) + things - rules.weight_of(whole, PENALTIES)
+        score = score - F.when(contextual > 0, site).otherwise(F.lit(0)) + plus(rules.any_hit(whole, DESIGN_WORDS), 2) + plus(rules.any_hit(whole, CONTEXT_WORDS), 3, -3)
         score = score + plus(F.size(f["sectors"]) > 0, 3) + plus(f["discipline"], 2) + plus(strong_asset(f), 2) - 3 * F.size(f["domains"])
         veto = ((contextual >= 5) & (things == 0)) | ((contextual >= 3) & (site >= things + 3)) | ~building_target(f)
-        return F.struct((~veto & (score >= F.when(detailed, 7).otherwise(10))).alias("relevant"), score.cast("int").alias("score"))
+        return bind(score, lambda n: F.struct((~veto & (n >= F.when(detailed, 7).otherwise(10))).alias("relevant"), n.cast("int").alias("score")))
+
+    def weighed(m: Column) -> Column:
+        sums = F.array(*(rules.weight_of(m["whole"], t) for t in (OBJECT_WEIGHTS, CONTEXTUAL_PENALTIES, SITE_PENALTIES)))
+        scored = bind(features_of(m), lambda f: bind(sums, lambda x: judged(m, f, x)))
+        refused = lambda score: F.struct(F.lit(False).alias("relevant"), F.lit(score).alias("score"))
+        return F.when(rules.any_hit(m["category"], REFUSED_CATEGORIES), refused(-120)).when(rules.any_hit(m["whole"], REFUSED_WORDS), refused(-100)).otherwise(scored)
 
-    refused = lambda score: F.struct(F.lit(False).alias("relevant"), F.lit(score).alias("score"))
-    by_category = rules.any_of(F.trim(F.coalesce(category, F.lit(""))), REFUSED_CATEGORIES)
-    return F.when(by_category, refused(-120)).when(rules.any_of(whole, REFUSED_WORDS), refused(-100)).otherwise(bind(features(title, body, category), judged))
+    return bind(found(title, body, category), weighed)
 
 
 def project_types(f: Column) -> Column:

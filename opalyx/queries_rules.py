@@ -519,3 +519,61 @@ def narrow_list(spark, sf):
 def professional_items(spark, sf):
     shown = Q.professional(Q.feed_item(Q.visible(opportunities(spark, sf), Q.Query(), TODAY)))
     return shown.select("id", "title", "deadline_label", F.lit(bool(set(shown.columns) & set(Q.INTERNAL))).alias("has_internal"))
+
+
+# --- many markers in one scan --------------------------------------------------------------------
+_SYLLABLES = ["er", "or", "th", "in", "an", "he", "re", "on", "it", "ti"]
+
+
+@query("allow_list_names", f"""WITH s AS (SELECT unnest({_SYLLABLES}) AS x), names AS (SELECT a.x || b.x || c.x AS name FROM s a, s b, s c)
+  SELECT doc_id, string_agg(name, ' ' ORDER BY name) AS names, CAST(count(*) AS INTEGER) AS n FROM documents JOIN names ON contains(lower(text), name) GROUP BY doc_id""")
+def allow_list_names(spark, sf):
+    """Which of 1,000 names each document's whole text holds."""
+    names = rules.Markers(a + b + c for a in _SYLLABLES for b in _SYLLABLES for c in _SYLLABLES)
+    d = table(spark, sf, "documents").select("doc_id", F.array_sort(names.hits(F.lower("text"))).alias("h")).filter(F.size("h") > 0)
+    return d.select("doc_id", F.array_join("h", " ").alias("names"), F.size("h").alias("n"))
+
+
+# --- deadlines in whole texts --------------------------------------------------------------------
+_D, _M = "CAST(1 + doc_id % 28 AS VARCHAR)", "CAST(3 + doc_id % 7 AS VARCHAR)"
+_DATED = f"""CASE doc_id % 6
+  WHEN 0 THEN '开标时间：2026年0' || {_M} || '月 ' || {_D} || ' 日 09时30分' || chr(10) || '投标文件递交截止时间：2026年 0' || {_M} || ' 月 29 日'
+  WHEN 1 THEN '项目概况：供应商应于 202 6 年 ' || {_M} || ' 月 ' || {_D} || ' 日 13 时 30分（北京时间）前提交响应文件。'
+  WHEN 2 THEN '递交截止时间：2026-' || {_M} || '-' || {_D} || ' 10:30:00'
+  WHEN 3 THEN '5.1 投标文件递交的截止时间（下同）' || chr(10) || '截止时间' || chr(10) || '为 2026-' || {_M} || '-' || {_D} || ' 09:00。'
+  WHEN 4 THEN '截止时间：2031年1月1日，开启时间 2026-0' || {_M} || '-' || {_D} || ' 9:00'
+  ELSE '2026-' || {_M} || '-' || {_D} END"""
+_W = r"[\s\x{3000}]"
+_SQL_DAY = rf"(?:\d{_W}*){{4}}年{_W}*\d{{1,2}}{_W}*月{_W}*\d{{1,2}}{_W}*日(?:{_W}*\d{{1,2}}{_W}*[时点:：]{_W}*\d{{1,2}}(?:{_W}*分)?)?"
+_SQL_STARTS = f"(?:{'|'.join(notices.DEADLINE_STARTS)})[^0-9]{{0,16}}"
+_SQL_PHRASES = [f"{_SQL_STARTS}({_SQL_DAY})", rf"于{_W}*({_SQL_DAY}){_W}*[（(]北京时间[)）]?{_W}*前", rf"{_SQL_STARTS}(\d{{4}}-\d{{1,2}}-\d{{1,2}}{_W}+\d{{1,2}}:\d{{2}}(?::\d{{2}})?)"]
+
+
+def _sql_score(c: str) -> str:
+    first = "CASE " + " ".join(f"WHEN contains({c}, '{m}') THEN {n}" for m, n in (("投标文件递交的截止时间为", 12), ("投标文件递交截止时间为", 12), ("投标文件递交截止时间", 12), ("投标文件截止时间", 11), ("投标截止时间", 11), ("响应文件提交截止时间", 12), ("提交响应文件截止时间", 12), ("响应文件截止时间", 11), ("递交投标文件截止时间", 11), ("提交投标文件截止时间", 11), ("递交截止时间", 10), ("截止时间", 8), ("开启时间", 3), ("开标时间", 2))) + " ELSE 0 END"
+    return f"({first} + CASE WHEN contains({c}, '北京时间') THEN 1 ELSE 0 END + CASE WHEN contains({c}, '前提交') OR contains({c}, '提交响应文件') THEN 2 ELSE 0 END + CASE WHEN contains({c}, '前递交') OR contains({c}, '递交投标文件') THEN 2 ELSE 0 END)"
+
+
+def _sql_phrase(p: str) -> str:
+    return f"""SELECT doc_id, CASE WHEN {_sql_score('ctx')} > 0 THEN {_sql_score('ctx')} ELSE 1 END AS score, value FROM (
+    SELECT doc_id, value, substr(t, CAST(greatest(0, s - 48) + 1 AS BIGINT), CAST(s + length(m) + 24 - greatest(0, s - 48) AS BIGINT)) AS ctx FROM (
+      SELECT doc_id, t, ms[i] AS m, vs[i] AS value, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s FROM (
+        SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', 1) AS vs, string_split_regex(t, '{p}') AS parts FROM d WHERE regexp_matches(t, '{p}')))))"""
+
+
+@query("deadline_candidates", f"""WITH d AS (SELECT doc_id, substr(text, 1, length(text) // 2) || chr(10) || {_DATED} || chr(10) || substr(text, length(text) // 2 + 1) AS t FROM documents),
+  lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+  raw AS (SELECT doc_id, {_sql_score('line')} AS score, unnest(list_concat(regexp_extract_all(line, '{_SQL_DAY}'), regexp_extract_all(line, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}'))) AS value FROM lines WHERE {_sql_score('line')} > 0
+    UNION ALL {' UNION ALL '.join(map(_sql_phrase, _SQL_PHRASES))}),
+  p AS (SELECT doc_id, score, regexp_extract(regexp_replace(value, '{_W}', '', 'g'), '(\\d{{4}})年(\\d{{1,2}})月(\\d{{1,2}})日', ['y', 'm', 'd']) AS a, regexp_extract(value, '(\\d{{4}})-(\\d{{1,2}})-(\\d{{1,2}})', ['y', 'm', 'd']) AS b FROM raw),
+  c AS (SELECT doc_id, score, coalesce(try_cast(a.y || '-' || lpad(a.m, 2, '0') || '-' || lpad(a.d, 2, '0') AS DATE), try_cast(b.y || '-' || lpad(b.m, 2, '0') || '-' || lpad(b.d, 2, '0') AS DATE)) AS day FROM p)
+  SELECT d.doc_id, CAST(count(c.day) AS INTEGER) AS n, CAST(coalesce(sum(c.score) FILTER (c.day IS NOT NULL), 0) AS INTEGER) AS scores,
+    max_by(c.day, (c.score, c.day)) FILTER (date_diff('day', DATE '2026-05-01' + CAST(d.doc_id % 90 AS INTEGER), c.day) BETWEEN -7 AND 365) AS best
+  FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""")
+def deadline_candidates(spark, sf):
+    """Labelled days in the middle of each document's whole text: candidates, their scores, the best one."""
+    k, half = F.col("doc_id"), F.floor(F.length("text") / 2).cast("int")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit("\n"), F.expr(_DATED.replace("AS VARCHAR", "AS STRING")), F.lit("\n"), F.substring(F.col("text"), half + 1, F.length("text"))).alias("t"))
+    published = F.date_add(F.lit("2026-05-01").cast("date"), (k % 90).cast("int"))
+    c = d.withColumn("c", dates.deadline_candidates(F.col("t"), **notices.DEADLINES))
+    return c.select("doc_id", F.size("c").alias("n"), F.aggregate("c", F.lit(0), lambda s, x: s + x["score"]).alias("scores"), dates.best_deadline(F.col("c"), published).alias("best"))

@@ -91,10 +91,38 @@ def precision_value(precision: Column, table: dict[str, int], otherwise: int) ->
     return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[precision], F.lit(otherwise))
 
 
-def acceptable_geocode(kind: Column, diagonal_km: Column) -> Column:
-    """Whether an answer is local enough for what was asked: a place may be wide, a street may not."""
-    widest = F.when(kind.isin("city", "locality"), 80.0).when(kind.isin("site", "square"), 15.0).otherwise(5.0)
-    return diagonal_km.isNotNull() & (diagonal_km <= widest)
+# Types and categories of a geocoder's answers.
+REFUSED_TYPES = ["city", "county", "country", "municipality", "postcode", "province", "region", "state", "town"]
+EXACT_TYPES = ["amenity", "building", "commercial", "construction", "farm", "hamlet", "hospital", "house", "industrial", "isolated_dwelling", "locality", "neighbourhood", "neighborhood", "office", "residential", "retail", "road", "school", "service", "square", "suburb", "village"]
+BROAD_TYPES = ["city", "hamlet", "locality", "municipality", "neighbourhood", "neighborhood", "place", "quarter", "road", "square", "suburb", "town", "village"]
+CATEGORIES, SITE_CATEGORIES, LOCALITY_CATEGORIES = ["building", "highway", "landuse", "place"], ["amenity", "building", "landuse"], ["boundary", "place"]
+# Widest diagonals in km.
+WIDEST = {"town": 14.0, "municipality": 10.0, "locality": 18.0, "site": 8.0, "street_address": 4.0, "street": 18.0}
+
+
+def acceptable_geocode(kind: Column, diagonal_km: Column, category: Column | None = None, address_type: Column | None = None, place_type: Column | None = None, house_number: Column | None = None) -> Column:
+    """Whether a geocoder's answer fits what was asked (kind: locality, site, street, street_address).
+
+    Its types must not be wider than an address unless a locality was asked, its category must fit the
+    kind, and its box must not be too wide; what an answer doesn't tell doesn't speak against it."""
+    said = lambda c: F.lower(F.coalesce(c, F.lit(""))) if c is not None else F.lit("")
+    category, address, place = said(category), said(address_type), said(place_type)
+    numbered = F.coalesce(house_number != "", F.lit(False)) if house_number is not None else F.lit(False)
+    locality, site, street = kind == "locality", kind == "site", kind == "street"
+    narrow = locality | ~(address.isin(REFUSED_TYPES) | place.isin(REFUSED_TYPES))
+    fitting = (category == "") | category.isin(CATEGORIES) | (locality & category.isin(LOCALITY_CATEGORIES)) | (site & category.isin(SITE_CATEGORIES))
+    exact = (address == "") | ((address == "place") & numbered) | address.isin(EXACT_TYPES) | locality | (street & (address.isin(BROAD_TYPES) | place.isin(BROAD_TYPES)))
+    towns = address.isin("city", "town") | place.isin("city", "town")
+    municipal = (address == "municipality") | (place == "municipality")
+    widest = F.when(locality, F.when(towns, WIDEST["town"]).when(municipal, WIDEST["municipality"]).otherwise(WIDEST["locality"])).when(site, WIDEST["site"]).when(kind == "street_address", WIDEST["street_address"]).otherwise(WIDEST["street"])
+    return narrow & fitting & exact & (diagonal_km.isNull() | (diagonal_km <= widest))
+
+
+def geocode_precision(kind: Column, address_type: Column, place_type: Column) -> Column:
+    """What a geocoder's answer is precise to."""
+    said = F.lower(F.coalesce(F.nullif(address_type, F.lit("")), place_type, F.lit("")))
+    square = said == "square"
+    return F.when(kind == "locality", "locality").when(kind == "site", F.when(square, "square").otherwise("site")).when(square, "square").when(said.isin("city", "town", "municipality"), "city").when(kind == "street_address", "address").otherwise("street")
 
 
 def query_variants(addresses: Column, places: Column) -> Column:

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Markers up to which a text is simply named again for each.
+FEW = 4
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def any_of(text: Column, markers: list[str] | tuple[str, ...]) -> Column:
-    return reduce(lambda a, m: a | F.coalesce(text.contains(m), F.lit(False)), markers, F.lit(False))
+    held = lambda t: reduce(lambda a, m: a | F.coalesce(t.contains(m), F.lit(False)), markers, F.lit(False))
+    return held(text) if len(markers) <= FEW else _once(text, held)
 
 
 def weighted_score(text: Column, weights: dict[str, int]) -> Column:
     """Sum of the weights of the markers that the text holds."""
-    return reduce(lambda a, kv: a + F.when(text.contains(kv[0]), F.lit(kv[1])).otherwise(F.lit(0)), weights.items(), F.lit(0))
+    return _once(text, lambda t: reduce(lambda a, kv: a + F.when(t.contains(kv[0]), F.lit(kv[1])).otherwise(F.lit(0)), weights.items(), F.lit(0)))
 
 
 def label_set(text: Column, labels: dict[str, list[str]]) -> Column:
     """Labels whose markers occur, in the order given."""
-    return F.array_compact(F.array(*(F.when(any_of(text, markers), F.lit(name)) for name, markers in labels.items())))
+    return _once(text, lambda t: F.array_compact(F.array(*(F.when(any_of(t, markers), F.lit(name)) for name, markers in labels.items()))))
 
 
 class Markers:
@@ -121,8 +131,9 @@ def relevant(text: Column, categories: Column, codes: Column, *, negative: list[
     gates = [(has & student & ~professional, False)]
     if professional_only:
         gates.append((has & ~professional, False))
+    said = _once(text, lambda t: F.struct(any_of(t, negative).alias("negative"), any_of(t, positive).alias("positive")))
     by_code = F.exists(codes, lambda c: reduce(lambda a, p: a | c.startswith(p), prefixes, F.lit(False)))
-    return decide([*gates, (any_of(text, negative), False), (any_of(text, positive), True), (F.coalesce(by_code, F.lit(False)), True)], False)
+    return decide([*gates, (said["negative"], False), (said["positive"], True), (F.coalesce(by_code, F.lit(False)), True)], False)
 
 
 def run_status(documents: Column, upserted: Column, failures: Column) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opalyx.runtime import written
+
 
 def snapshot(df: DataFrame) -> DataFrame:
     """Total, verified and officially evidenced records, in one pass."""
@@ -65,6 +70,25 @@ def top_in_group(df: DataFrame, key: str, order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def by_tiers(records: DataFrame, tiers: list[DataFrame], key: str, choose: Callable[[DataFrame], DataFrame], candidate: str | None = None) -> DataFrame:
+    """What choose() makes of the first tier of candidates that gives a record (key) anything.
+
+    A later tier meets only the records that the earlier ones left open; candidate: a column whose values,
+    once met by a record in a tier, aren't tried again in later ones."""
+    found, open_, seen = [], records.select(key).distinct(), None
+    for at, tier in enumerate(tiers):
+        met = tier.join(open_, key, "left_semi")
+        if candidate and seen is not None:
+            met = met.join(seen, [key, candidate], "left_anti")
+        got = written(choose(met), "tier")
+        found.append(got)
+        if at + 1 < len(tiers):
+            open_ = open_.join(got.select(key), key, "left_anti")
+            tried = tier.select(key, candidate) if candidate else None
+            seen = tried if seen is None else seen.unionByName(tried).distinct()
+    return reduce(DataFrame.unionByName, found)
+
+
 def first_passing(df: DataFrame, key: str, order: list[Column], k: int, passes: Column) -> DataFrame:
     """Of each group's k best rows the first that passes."""
     return top_in_group(df, key, order, k, "_r").filter(passes).groupBy(key).agg(F.min_by(F.struct(*df.columns), "_r").alias("_v")).select("_v.*")

@@ -81,20 +81,25 @@ def competition_types(haystack: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("architecture"))).otherwise(found)
 
 
+#: Words of categories and of project types, found in one scan each.
+CATEGORY_MARKERS = rules.Markers(*L.CATEGORY_WORDS.values())
+PROJECT_MARKERS = rules.Markers(*L.PROJECT_WORDS.values())
+
+
 def building_categories(words: Column, types: Column, explicit: Column) -> Column:
-    """Explicit categories in the fixed order, else those whose words or competition types occur."""
+    """Explicit categories in the fixed order, else those whose words or competition types occur. words: hits of CATEGORY_MARKERS."""
     given = semi.in_order(explicit, L.BUILDING_CATEGORIES)
-    found = F.array_compact(F.array(*(F.when(rules.any_of(words, L.CATEGORY_WORDS[c]) | (F.array_contains(types, L.CATEGORY_TYPES[c]) if c in L.CATEGORY_TYPES else F.lit(False)), F.lit(c)) for c in L.BUILDING_CATEGORIES)))
+    found = F.array_compact(F.array(*(F.when(rules.any_hit(words, L.CATEGORY_WORDS[c]) | (F.array_contains(types, L.CATEGORY_TYPES[c]) if c in L.CATEGORY_TYPES else F.lit(False)), F.lit(c)) for c in L.BUILDING_CATEGORIES)))
     return F.when(F.size(given) > 0, given).otherwise(found)
 
 
 def project_types(words: Column, types: Column, categories: Column, procedure: Column, explicit: Column) -> Column:
-    """Explicit types in the fixed order, else the first class that fits."""
+    """Explicit types in the fixed order, else the first class that fits. words: hits of PROJECT_MARKERS."""
     given = semi.in_order(explicit, L.PROJECT_TYPES)
 
     def fits(kind: str) -> Column:
         by_type = F.arrays_overlap(types, F.array(*map(F.lit, L.PROJECT_TYPES_BY_COMPETITION[kind])))
-        return rules.any_of(words, L.PROJECT_WORDS.get(kind, [])) | F.coalesce(by_type, F.lit(False))
+        return (rules.any_hit(words, L.PROJECT_WORDS[kind]) if kind in L.PROJECT_WORDS else F.lit(False)) | F.coalesce(by_type, F.lit(False))
 
     planning = fits("urban_planning") | text.match_text(procedure).contains("planning_competition")
     first = rules.first_class([
@@ -115,8 +120,17 @@ def with_classes(df: DataFrame) -> DataFrame:
     types = F.transform(get("competition_types"), text.fold)
     place = text.match_text(F.concat_ws(" ", col("title"), col("eligibility_summary"), col("authority_name"), col("organizer")))
     work = text.match_text(F.concat_ws(" ", col("title"), col("eligibility_summary"), col("procedure_type"), col("implementation_path")))
-    out = df.withColumn("building_categories", building_categories(place, types, get("building_categories")))
-    return out.withColumn("project_types", project_types(work, types, F.col("building_categories"), col("procedure_type"), get("project_types")))
+    found = F.struct(CATEGORY_MARKERS.hits(place).alias("place"), PROJECT_MARKERS.hits(work).alias("work"), types.alias("types"))
+    given_categories, given_types = get("building_categories"), get("project_types")
+
+    def classes(f: Column) -> Column:
+        named = building_categories(f["place"], f["types"], given_categories)
+        return text.bind(named, lambda b: F.struct(b.alias("categories"), project_types(f["work"], f["types"], b, col("procedure_type"), given_types).alias("projects")))
+
+    at = "_classes"
+    while at in df.columns:
+        at = "_" + at
+    return df.withColumn(at, text.bind(found, classes)).withColumns({"building_categories": F.col(f"{at}.categories"), "project_types": F.col(f"{at}.projects")}).drop(at)
 
 
 def qualification_score(*, evidence: Column, notice_id: Column, path: Column, architect: Column, partner: Column, value: Column, value_text: Column, registration: Column, submission: Column, authority: Column) -> Column:

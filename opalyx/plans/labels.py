@@ -28,7 +28,7 @@ IMPLEMENTATION_LABELS = {
 }
 EVIDENCE_LABELS = {"official_notice": "Official notice", "official_listing": "Official listing", "authority_page": "Authority page", "secondary": "Secondary source", "tertiary": "Tertiary source"}
 PROJECT_TYPES = ["urban_regeneration", "environment_design", "urban_planning", "interior_project", "building_project"]
-BUILDING_CATEGORIES = ["healthcare", "education", "housing", "civic_public", "sport_leisure", "culture_heritage", "transport_infrastructure"]
+BUILDING_CATEGORIES = ["education", "healthcare", "housing", "civic_public", "sport_leisure", "culture_heritage", "transport_infrastructure"]
 PROCEDURE_ALIASES = {
     "design_contest": ["design_contest", "project_competition"],
     "planning_competition": ["planning_competition"],
@@ -51,15 +51,15 @@ OPPORTUNITY_TYPE_ALIASES = {
     "unknown": ["unknown"],
 }
 CATEGORY_WORDS = {
-    "healthcare": ["hospital", "clinic", "clinique", "ospedale", "ospedal", "healthcare", "medical"],
     "education": ["school", "schule", "scuola", "ecole", "college", "grundschule", "groupe scolaire", "campus scolaire"],
+    "healthcare": ["hospital", "clinic", "clinique", "ospedale", "ospedal", "healthcare", "medical"],
     "housing": ["housing", "logement", "wohn", "wohnung", "residential", "residenziale"],
     "civic_public": ["library", "bibliothe", "town hall", "mairie", "rathaus", "feuerwache", "community centre", "community center", "begegnungszentrum", "cimiter", "cemeter"],
     "sport_leisure": ["sport", "sportif", "sportivo", "stadium", "arena", "leisure", "loisir", "loisirs", "complexe sportif"],
     "culture_heritage": ["archaeolog", "museum", "heritage", "patrimoine", "restoration", "restauro", "monument", "sanctuary"],
     "transport_infrastructure": ["rail", "station", "tunnel", "bridge", "underbridge", "tram", "metro", "bahn", "transport", "passenger access"],
 }
-CATEGORY_TYPES = {"healthcare": "healthcare", "education": "education", "housing": "housing", "civic_public": "public_building"}
+CATEGORY_TYPES = {"education": "education", "healthcare": "healthcare", "housing": "housing", "civic_public": "public_building"}
 PROJECT_WORDS = {
     "urban_regeneration": ["urban regeneration", "rigenerazione urbana", "renouvellement urbain", "adaptive reuse", "historic center", "centro storico"],
     "environment_design": ["landscape", "public realm", "park", "garden", "plaza", "square", "waterfront"],

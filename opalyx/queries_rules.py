@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opalyx.functions import dates, geo, links, money, rules, semi, text
 from opalyx.operators import review, store
-from opalyx.plans import classify, notices
+from opalyx.plans import classify, labels, notices
 from opalyx.plans import query as Q
 from opalyx.plans.view import TODAY, opportunities, table
 from opalyx.queries import V, query
@@ -482,13 +482,24 @@ def competition_kinds(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.when(F.array_contains(found, "landscape"), "landscape").otherwise(F.array_join(found, "|")).alias("has"))
 
 
-@query("geocode_accept", "SELECT k, CASE WHEN k % 3 = 0 THEN k % 100 <= 80 WHEN k % 3 = 1 THEN k % 100 <= 15 ELSE k % 100 <= 5 END AS ok, k % 200 <= 90 AS valid, CASE WHEN k % 2 = 0 THEN 'A 1, Town|A 1, Land|B, Town|B, Land' ELSE 'A 1|B' END AS asked FROM (SELECT o_orderkey AS k FROM orders)")
+_ASKED = """SELECT o_orderkey AS k, ['locality', 'site', 'street_address', 'street'][o_orderkey % 4 + 1] AS kind, CASE WHEN o_orderkey % 11 > 0 THEN (o_orderkey % 43) / 2.0 END AS km,
+  [NULL, 'building', 'amenity', 'boundary', 'shop', 'place', 'Highway'][o_orderkey % 7 + 1] AS category, ['', 'city', 'town', 'municipality', 'house', 'Road', 'quarter', 'place', 'retail'][o_orderkey % 9 + 1] AS address, [NULL, 'yes', 'county', 'village', 'town'][o_orderkey % 5 + 1] AS type, o_orderkey % 2 = 0 AS numbered FROM orders"""
+
+
+@query("geocode_accept", f"""SELECT k, coalesce((kind = 'locality' OR NOT (address IN ('city', 'town', 'municipality') OR coalesce(type, '') IN ('county', 'town')))
+  AND (category IS NULL OR category IN ('building', 'place', 'Highway') OR (kind = 'locality' AND category = 'boundary') OR (kind = 'site' AND category = 'amenity'))
+  AND (address IN ('', 'house', 'Road', 'retail') OR (address = 'place' AND numbered) OR kind = 'locality' OR (kind = 'street' AND (address IN ('city', 'town', 'municipality', 'Road', 'quarter', 'place') OR type IN ('village', 'town'))))
+  AND (km IS NULL OR km <= CASE kind WHEN 'locality' THEN CASE WHEN address IN ('city', 'town') OR type = 'town' THEN 14 WHEN address = 'municipality' THEN 10 ELSE 18 END WHEN 'site' THEN 8 WHEN 'street_address' THEN 4 ELSE 18 END), false) AS ok,
+  CASE WHEN kind = 'locality' THEN 'locality' WHEN kind = 'site' THEN 'site' WHEN coalesce(nullif(address, ''), type, '') IN ('city', 'town', 'municipality') THEN 'city' WHEN kind = 'street_address' THEN 'address' ELSE 'street' END AS precision,
+  k % 200 <= 90 AS valid, CASE WHEN k % 2 = 0 THEN 'A 1, Town|A 1, Land|B, Town|B, Land' ELSE 'A 1|B' END AS asked FROM ({_ASKED})""")
 def geocode_accept(spark, sf):
-    k = F.col("k")
-    kind = F.when(k % 3 == 0, "city").when(k % 3 == 1, "square").otherwise("street")
+    k, pick = F.col("k"), lambda values: F.get(F.array(*map(F.lit, values)), (F.col("k") % len(values)).cast("int"))
+    kind, address, place = pick(["locality", "site", "street_address", "street"]), pick(["", "city", "town", "municipality", "house", "Road", "quarter", "place", "retail"]), pick([None, "yes", "county", "village", "town"])
+    ok = geo.acceptable_geocode(kind, F.when(k % 11 > 0, (k % 43) / 2), pick([None, "building", "amenity", "boundary", "shop", "place", "Highway"]), address, place, F.when(k % 2 == 0, "7"))
     places = F.when(k % 2 == 0, F.array(F.lit("Town"), F.lit("Land"), F.lit("Town"))).otherwise(F.array(F.lit("")))
     asked = geo.query_variants(F.array(F.lit("A 1"), F.lit("B")), places)
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).select("k", geo.acceptable_geocode(kind, (k % 100).cast("double")).alias("ok"), geo.valid_coordinates((k % 200).cast("double"), F.lit(0.0)).alias("valid"), F.array_join(asked, "|").alias("asked"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    return o.select("k", ok.alias("ok"), geo.geocode_precision(kind, address, place).alias("precision"), geo.valid_coordinates((k % 200).cast("double"), F.lit(0.0)).alias("valid"), F.array_join(asked, "|").alias("asked"))
 
 
 @query("money_euro_only", "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN l_extendedprice END AS eur FROM lineitem")
@@ -577,3 +588,85 @@ def deadline_candidates(spark, sf):
     published = F.date_add(F.lit("2026-05-01").cast("date"), (k % 90).cast("int"))
     c = d.withColumn("c", dates.deadline_candidates(F.col("t"), **notices.DEADLINES))
     return c.select("doc_id", F.size("c").alias("n"), F.aggregate("c", F.lit(0), lambda s, x: s + x["score"]).alias("scores"), dates.best_deadline(F.col("c"), published).alias("best"))
+
+
+# --- values of the rules -------------------------------------------------------------------------
+_KIND_WORDS = [("stadium", 1), ("school", 2), ("museum", 4), ("hospital", 8), ("housing", 16), ("tunnel", 32), ("library", 64)]
+
+
+@query("category_order", f"""{V} SELECT id, array_to_string(list_filter([CASE WHEN id & 2 > 0 THEN 'education' END, CASE WHEN id & 8 > 0 THEN 'healthcare' END, CASE WHEN id & 16 > 0 THEN 'housing' END, CASE WHEN id & 64 > 0 THEN 'civic_public' END,
+  CASE WHEN id & 1 > 0 THEN 'sport_leisure' END, CASE WHEN id & 4 > 0 THEN 'culture_heritage' END, CASE WHEN id & 32 > 0 THEN 'transport_infrastructure' END], lambda x: x IS NOT NULL), '|') AS building_categories FROM v""")
+def category_order(spark, sf):
+    """Several categories of one title, in the fixed order."""
+    titles = F.concat_ws(" ", *(F.when(F.col("id").bitwiseAND(bit) > 0, word) for word, bit in _KIND_WORDS))
+    none = {c: F.lit(None).cast("string") for c in ("eligibility_summary", "authority_name", "organizer", "implementation_path")}
+    return classify.with_classes(opportunities(spark, sf).withColumns({"title": titles, "procedure_type": F.lit("open"), **none})).select("id", F.array_join("building_categories", "|").alias("building_categories"))
+
+
+def _plain_sql(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_PHRASES = ["Advance Notice:", "a notice of information", "advance notification to the market", "early indication only", "is not the commencement of a tender process", "will not form part of any future tender.", "intention to release a tender", "Future procurement opportunities", "no information from suppliers is requested", "future opportunity", "prior information", "early market"]
+_SUBJECTS = ["Architectural services for a boardwalk", "Design-builder for the town hall", "Landscape design, concept design", "Paper supply to a facility", "Urban design of a museum"]
+
+
+@query("preannouncement", f"""WITH d AS (SELECT doc_id, {_plain_sql(f"{_SUBJECTS}[doc_id % 5 + 1] || ' ' || substr(text, 1, length(text) // 2) || ' ' || {_PHRASES}[doc_id % 12 + 1] || ' ' || substr(text, length(text) // 2 + 1)")} AS t FROM documents),
+  b AS (SELECT *, {_any('t', ['design build', 'design builder', 'design-builder', 'infrastructure', 'stormwater', 'watermain', 'shared path', 'boardwalk', 'hall', 'pavilion', 'facility', 'facilities', 'public realm', 'street', 'camp'])} AS built FROM d)
+  SELECT doc_id, {_any('t', ['advance notice', 'notice of information', 'advance notification to the market', 'early indication only', 'not the commencement of a tender process', 'will not form part of any future tender', 'intention to release a tender', 'future procurement opportunities', 'no information from suppliers is requested'])} AS announces,
+    {_any('t', ['design build', 'design builder', 'design services', 'architectural services', 'concept design', 'detailed design', 'preliminary design', 'architectural', 'architecture', 'architect', 'landscape architecture', 'landscape design', 'urban design', 'planning competition', 'project competition'])} AND (built OR {_any('t', labels.BUILT_WORDS)}) AS relevant,
+    CASE WHEN {_any('t', ['architect', 'architecture', 'architectural'])} THEN 5 ELSE 0 END + CASE WHEN {_any('t', ['urban design', 'landscape architecture', 'landscape design'])} THEN 4 ELSE 0 END + CASE WHEN {_any('t', ['design build', 'design and build', 'design builder'])} THEN 4 ELSE 0 END
+      + CASE WHEN {_any('t', ['concept design', 'detailed design', 'preliminary design'])} THEN 3 ELSE 0 END + CASE WHEN {_any('t', ['design services', 'architectural services'])} THEN 3 ELSE 0 END + CASE WHEN built THEN 1 ELSE 0 END AS score FROM b""")
+def preannouncement(spark, sf):
+    """The feed's rules over whole texts: announcements, relevance, score."""
+    k, half = F.col("doc_id"), F.floor(F.length("text") / 2).cast("int")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    t = F.concat_ws(" ", pick(_SUBJECTS), F.substring(F.col("text"), F.lit(1), half), pick(_PHRASES), F.substring(F.col("text"), half + 1, F.length("text")))
+    w = F.col("w")
+    d = table(spark, sf, "documents").select("doc_id", connectors.feed_judged(text.plain_text(t)).alias("w"))
+    return d.select("doc_id", w["announces"].alias("announces"), w["relevant"].alias("relevant"), w["score"].alias("score"))
+
+
+def _pages_sql(url: str = "url") -> str:
+    return f"""p AS (SELECT page_id, {url} AS url, url AS own, html, nullif(trim(regexp_replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title,
+    {_plain_sql("regexp_extract(html, '(?i)<title>([^<]+)</title>', 1)")} AS named, {_plain_sql("regexp_replace(replace(replace(replace(html, '&quot;', chr(34)), '&lt;', '<'), '&amp;', '&'), '<[^>]+>', ' ', 'g')")} AS body, {_plain_sql(url)} AS plain_url FROM pages),
+  w AS (SELECT *, string_split({_plain_sql("coalesce(title, '')")}, ' ') AS t0, string_split({_plain_sql('own')}, ' ') AS u0 FROM p),
+  r AS (SELECT page_id AS id, list_filter(t0, lambda x: length(x) >= 6 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ('concours', 'ouvert', 'selection', 'project', 'competition', 'planung', 'projets')) AS t1, list_filter(u0, lambda x: length(x) >= 6 AND NOT regexp_matches(x, '^[0-9]+$')) AS u1 FROM w),
+  k AS (SELECT id, list_filter(t1, lambda x, i: list_position(t1, x) = i)[1:12] AS tokens, list_filter(u1, lambda x, i: list_position(u1, x) = i)[1:12] AS buyer FROM r),
+  c AS (SELECT id, page_id, url, list_sum(list_prepend(0, list_transform(tokens, lambda x: CASE WHEN contains(plain_url, x) THEN length(x) ELSE 0 END))) + CASE WHEN ends_with(lower(url), '.html') THEN 15 ELSE 0 END
+      + CASE WHEN {_any('lower(url)', ['ausschreibung', 'ausschreibungen', 'wettbewerb', 'projekte-und-ausschreibungen', 'planung-ausfuehrung', 'hochbauvorhaben'])} THEN 10 ELSE 0 END - CASE WHEN contains(lower(url), '/content/dam/') THEN 20 ELSE 0 END AS by_url,
+    list_sum(list_prepend(0, list_transform(tokens, lambda x: CASE WHEN contains(named, x) THEN 4 * length(x) WHEN contains(body, x) THEN 2 * length(x) ELSE 0 END))) + list_sum(list_prepend(0, list_transform(buyer, lambda x: CASE WHEN contains(body, x) THEN length(x) ELSE 0 END))) AS by_page
+    FROM k JOIN w ON page_id BETWEEN id AND id + 2)"""
+
+
+def _candidates(spark, sf):
+    pages = table(spark, sf, "pages")
+    records = pages.select(F.col("page_id").alias("id"), text.html_title(F.col("html")).alias("title"), F.col("url").alias("authority_name"), F.lit(None).cast("string").alias("official_url"), F.lit(None).cast("string").alias("evidence_note"))
+    near = pages.withColumn("id", F.explode(F.sequence(F.col("page_id") - 2, F.col("page_id")))).filter("id >= 0")
+    return records, near
+
+
+@query("page_match", f"WITH {_pages_sql()} SELECT id, page_id, CAST(by_url + by_page AS INTEGER) AS score FROM c")
+def page_match(spark, sf):
+    """How well each of three pages fits the title of the first."""
+    from opalyx.sources import parsers
+
+    records, near = _candidates(spark, sf)
+    met = near.join(records, "id")
+    return met.select("id", "page_id", parsers.page_score(F.col("url"), F.col("html"), F.col("title"), F.col("authority_name")).alias("score"))
+
+
+_BEST = "SELECT id, arg_min(url, (-by_url, url)) AS official_url FROM c WHERE by_url > 0 AND by_url + by_page >= 30"
+_MARKED = "url || '/wettbewerb'"
+
+
+@query("official_pages", f"""WITH {_pages_sql(_MARKED)} SELECT k.id, coalesce(a.official_url, b.official_url) AS official_url FROM k
+  LEFT JOIN ({_BEST} AND id % 3 = 0 AND page_id > id GROUP BY id) a USING (id) LEFT JOIN ({_BEST} AND page_id = id GROUP BY id) b USING (id)""")
+def official_pages(spark, sf):
+    """Verification by tiers: for every third record the pages after its own; for all that is left open its own, as rendered."""
+    from opalyx.sources import parsers
+
+    records, near = _candidates(spark, sf)
+    marked = near.withColumn("url", F.concat(F.col("url"), F.lit("/wettbewerb")))
+    first, second = marked.filter("id % 3 = 0 AND page_id > id"), marked.filter("page_id = id")
+    return parsers.official_pages(records, first, second).select("id", "official_url")

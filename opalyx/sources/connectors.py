@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from opalyx.functions import dates, money, rules, semi, text
 from opalyx.plans import labels as L
+from opalyx.plans import notices
 from opalyx.sources.catalog import Source
 
 NOTICE = ("title", "buyer", "noticeId", "deadline", "summary", "officialUrl", "opportunityType", "procedureType", "implementationPath", "evidenceLevel", "evidenceNote", "publishedAt", "estimatedValueEur", "estimatedValueText", "location", "cpv")
@@ -146,32 +147,56 @@ def table_fields(description: Column) -> Column:
     return F.map_from_entries(F.array_distinct(F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())))
 
 
+# Words of a feed's design notices, its own words for what is built, and phrases of notices that only announce.
+FEED_DESIGN = ["design build", "design builder", "design-builder", "design services", "architectural services", "concept design", "detailed design", "preliminary design", "architectural", "architecture", "architect", "landscape architecture", "landscape design", "urban design", "planning competition", "project competition"]
+FEED_BUILT = ["design build", "design builder", "design-builder", "infrastructure", "stormwater", "watermain", "shared path", "boardwalk", "hall", "pavilion", "facility", "facilities", "public realm", "street", "camp"]
+PREANNOUNCEMENT_WORDS = ["advance notice", "notice of information", "advance notification to the market", "early indication only", "not the commencement of a tender process", "will not form part of any future tender", "intention to release a tender", "future procurement opportunities", "no information from suppliers is requested"]
 # Weights of the feed score.
 FEED_WEIGHTS = [(("architect", "architecture", "architectural"), 5), (("urban design", "landscape architecture", "landscape design"), 4), (("design build", "design and build", "design builder"), 4), (("concept design", "detailed design", "preliminary design"), 3), (("design services", "architectural services"), 3)]
-PREANNOUNCEMENT_WORDS = ["future opportunity", "advance notice", "prior information", "pre announcement", "early market"]
 
 
-def feed_score(words: Column) -> Column:
-    terms = [F.when(rules.any_of(words, m), F.lit(w)).otherwise(F.lit(0)) for m, w in FEED_WEIGHTS]
-    return reduce(lambda a, b: a + b, terms) + F.when(rules.any_of(words, L.BUILT_WORDS), F.lit(1)).otherwise(F.lit(0))
+FEED_MARKERS = rules.Markers(FEED_DESIGN, FEED_BUILT, L.BUILT_WORDS, PREANNOUNCEMENT_WORDS, *(m for m, _ in FEED_WEIGHTS))
 
 
-def preannouncement(words: Column) -> Column:
-    return rules.any_of(words, PREANNOUNCEMENT_WORDS)
+def feed_judged(words: Column) -> Column:
+    """Struct (relevant, announces, score) of a feed's notice. Relevant: a design notice about something built, in the
+    common words or the feed's own. Announces: it only tells that a notice will come."""
+
+    def judged(h: Column) -> Column:
+        terms = [F.when(rules.any_hit(h, m), F.lit(w)).otherwise(F.lit(0)) for m, w in FEED_WEIGHTS]
+        score = reduce(lambda a, b: a + b, terms) + F.when(rules.any_hit(h, FEED_BUILT), F.lit(1)).otherwise(F.lit(0))
+        relevant = rules.any_hit(h, FEED_DESIGN) & rules.any_hit(h, FEED_BUILT + L.BUILT_WORDS)
+        return F.struct(relevant.alias("relevant"), rules.any_hit(h, PREANNOUNCEMENT_WORDS).alias("announces"), score.alias("score"))
+
+    return text.bind(FEED_MARKERS.hits(words), judged)
+
+
+def cell_lines(description: Column, key: str) -> Column:
+    """Lines of the cell beside a key in a description's table."""
+    cell = F.regexp_extract(description, rf"(?is)<tr[^>]*>\s*<t[hd][^>]*>\s*(?:<b>)?\s*{key}\s*:?\s*(?:</b>)?\s*</t[hd]>\s*<td[^>]*>(.*?)</td>", 1)
+    return F.array_compact(F.transform(F.split(cell, r"(?i)<br\s*/?>|\R"), text.strip_html))
 
 
 def rss_notices(feeds: DataFrame, source: Source, limit: int = 20, start: date | None = None, *, require_professional: bool = False, scored: bool = True) -> DataFrame:
-    """RSS notices: the best scores first, then the latest; or, without score, in the order of the feed."""
+    """RSS notices: the best scores first, then the latest; or, without score, in the order of the feed.
+
+    Scored feeds take design notices about something built that are more than an announcement; the others
+    go by the common rule and its gates on categories."""
     items = rss_items(feeds)
-    summary = text.strip_html(F.col("description"))
-    words = text.plain_text(F.concat_ws(" ", "title", summary, F.array_join("category", " ")))
-    fit = is_relevant([F.col("title"), summary], categories=F.col("category"), professional_only=require_professional)
+    told = table_fields(F.col("description"))
+    summary = F.coalesce(told["overview"], told["description"], text.strip_html(F.col("description"))) if scored else text.strip_html(F.col("description"))
+    listed = F.concat_ws(" ", F.array_join(F.coalesce("category", F.array().cast("array<string>")), " "), F.array_join(cell_lines(F.col("description"), "categories"), " "))
+    words = text.plain_text(F.concat_ws(" ", "title", summary, listed))
+    judged = F.col("_j")
+    items = items.withColumn("_j", feed_judged(words))
     if scored:
-        fit = fit & rules.any_of(words, L.BUILT_WORDS)
-    kept = items.withColumns({"_p": dates.parse_date(F.col("pubDate")), "_s": feed_score(words)}).filter(fit & since(F.col("_p"), start))
+        fit = judged["relevant"] & ~judged["announces"]
+    else:
+        fit = is_relevant([F.col("title"), summary], categories=F.col("category"), professional_only=require_professional)
+    kept = items.withColumns({"_p": dates.parse_date(F.col("pubDate")), "_s": judged["score"]}).filter(fit & since(F.col("_p"), start))
     top = kept.orderBy(F.desc("_s"), F.col("_p").desc_nulls_last(), "at").limit(limit) if scored else kept.orderBy("at").limit(limit)
-    f = table_fields(F.col("description"))
-    status = F.when(preannouncement(words), "archived")
+    f = told
+    status = F.when(judged["announces"], "archived")
     return documents(top, source, F.col("link"), title=text.compact(F.col("title")), summary=summary, buyer=F.coalesce(f["buyer"], f["organisation"]), noticeId=F.coalesce(f["reference"], f["rfx_id"]), deadline=dates.parse_date(F.coalesce(f["close_date"], f["deadline"])), officialUrl=F.col("link"), publishedAt=F.col("_p"), statusHint=status, opportunityType=F.lit("public_design_services_procurement"), evidenceLevel=F.lit("official_listing" if scored else "secondary"))
 
 
@@ -199,6 +224,23 @@ def atom_notices(feeds: DataFrame, details: DataFrame, source: Source, limit: in
     return documents(once, source, F.col("url"), title=F.coalesce(text.field(F.col("html"), "Objeto del contrato"), F.trim("title")), buyer=text.field(F.col("plain"), "[oó]rgano de contrataci[oó]n"), noticeId=F.col("notice"), deadline=dates.parse_date(text.field(F.col("html"), "Fecha de presentaci[oó]n")), summary=F.coalesce("plain", "title"), officialUrl=F.col("url"), cpv=F.col("cpv"), estimatedValueEur=money.parse_amount(F.col("value")), estimatedValueText=money.amount_text(money.parse_amount(F.col("value")), F.lit("EUR"), F.col("value")), procedureType=text.field(F.col("html"), "Procedimiento"), publishedAt=F.col("_p"), **_service("official_notice", "Official syndication entry with its public detail page."))
 
 
+# What planning services, steering and building sites are called in buyers' profiles.
+DIRECT_SERVICES = ["objektplanung", "fachplanung", "planungsleistung", "planungsleistungen", "architektenleistung", "architektenleistungen", "ingenieurleistung", "ingenieurleistungen", "generalplanung", "gesamtplanung", "freianlagenplanung", "landschaftsarchitektur", "stadtplanung", "projektleitung", "generalplaner", "bauakustik", "raum und bauakustik"]
+STEERING = ["projektsteuerung", "projektsteuerer", "projektsteuererleistungen", "kostenplanung"]
+BUILDING_SITES = ["gebaude", "hochbau", "neubau", "umbau", "sanierung", "feuerwache", "schule", "bibliothek", "museum", "campus", "haltestelle", "stadtteilschule", "bibliothek", "sport", "quartier", "txl"]
+
+
+def municipal_relevant(*words: Column) -> Column:
+    """The common rule, a planning service by name, or steering of something built."""
+    plain = text.plain_text(F.concat_ws(" ", *words))
+    return is_relevant(list(words)) | rules.any_of(plain, DIRECT_SERVICES) | (rules.any_of(plain, STEERING) & rules.any_of(plain, BUILDING_SITES))
+
+
+def municipal_candidate(*words: Column) -> Column:
+    """What a listing's row has to hold so that its detail page is worth reading."""
+    return municipal_relevant(*words) | rules.any_of(text.plain_text(F.concat_ws(" ", *words)), DIRECT_SERVICES + STEERING)
+
+
 def page_route(payload: Column) -> Column:
     """Which parser a landed page needs."""
     head = F.lower(F.substring(F.ltrim(payload), 1, 600))
@@ -214,7 +256,7 @@ def buyer_pages(pages: DataFrame, source: Source, limit: int = 20, start: date |
     for route, pattern in row.items():
         rows = routed.filter(F.col("route") == route).select("source_url", F.posexplode(text.all_matches(F.col("payload"), pattern)).alias("at", "row"))
         title, href = text.strip_html(F.regexp_extract("row", r"(?is)<a[^>]*>(.*?)</a>", 1)), text.or_null(F.regexp_extract("row", '(?i)href="([^"]+)"', 1))
-        kept = rows.filter(title.isNotNull() & is_relevant([text.strip_html(F.col("row"))])).orderBy("source_url", "at").limit(limit)
+        kept = rows.filter(title.isNotNull() & municipal_relevant(text.strip_html(F.col("row")))).orderBy("source_url", "at").limit(limit)
         url = text.resolve_url(F.col("source_url"), href)
         parts.append(documents(kept, source, url, title=title, summary=text.strip_html(F.col("row")), officialUrl=url, deadline=dates.parse_date(text.strip_html(F.col("row"))), evidenceLevel=F.lit("authority_page")))
     whole = routed.filter("route = 'page'").select(F.lit(source.source_id).alias("source_id"), "source_url", "payload")
@@ -237,6 +279,27 @@ def scored_search(hits: DataFrame, details: DataFrame, source: Source, limit: in
     return documents(top, source, F.col("url"), title=F.col("title"), noticeId=F.col("id").cast("string"), summary=F.substring(body, 1, 4000), officialUrl=F.col("url"), publishedAt=F.col("published"), evidenceLevel=F.lit("official_notice"))
 
 
+def notice_search(hits: DataFrame, details: DataFrame, source: Source, limit: int, start: date | None = None) -> DataFrame:
+    """The term-search register: hits (id, title, url, published, province, business, information) met once each,
+    joined with landed details (id, html, category), judged by the notice rules, the best scores first, then the latest.
+
+    A hit without a detail page is judged by its title, with the higher threshold."""
+    once = hits.dropDuplicates(["id"]).filter(since(dates.parse_date(F.col("published")), start))
+    met = once.join(details.select("id", "html", "category"), "id", "left")
+    body = F.coalesce(text.strip_html(F.col("html")), F.lit(""))
+    met = met.withColumns({"_b": body, "_d": F.col("html").isNotNull()})
+    met = met.withColumns({"_r": notices.relevance(F.col("title"), F.col("_b"), F.col("category"), F.col("_d")), "_p": dates.parse_date(F.col("published"))})
+    top = met.filter("_r.relevant").orderBy(F.desc("_r.score"), F.col("_p").desc_nulls_last(), "id").limit(limit)
+    top = top.withColumn("_f", notices.features(F.col("title"), F.col("_b"), F.col("category")))
+    f, score = F.col("_f"), F.col("_r.score").cast("string")
+    note = F.when(F.col("_d"), F.concat(F.lit(f"Official {source.name} notice detail. Relevance score "), score, F.lit(" after detail validation."))).otherwise(F.concat(F.lit(f"Official {source.name} listing retained after detail fetch failed. Relevance score "), score, F.lit(" from title-only screening.")))
+    procedure = F.when(F.col("business") == "政府采购", "public_design_services_tender").when(F.coalesce("information", F.lit("")).contains("招标"), "open")
+    values = {"title": F.col("title"), "noticeId": F.col("id").cast("string"), "deadline": notices.deadline(F.col("_b"), F.col("_p"), F.col("html")), "summary": F.coalesce(text.or_null(F.substring("_b", 1, 4000)), F.col("title"))}
+    values |= {"procedureType": procedure, "publishedAt": F.col("_p"), "location": F.col("province"), "detailUrl": F.col("url")} | _service("official_notice", "") | {"evidenceLevel": F.when(F.col("_d"), "official_notice").otherwise("official_listing"), "evidenceNote": note}
+    values |= {"competitionTypes": notices.competition_types(f), "projectTypes": notices.project_types(f), "buildingCategories": notices.building_categories(f), "officialSectors": F.array_sort(f["sectors"]), "builtAssetTypes": F.array_sort(f["assets"]), "designScopes": F.array_sort(f["scopes"]), "projectModes": F.array_sort(f["modes"])}
+    return documents(top, source, F.col("url"), **values)
+
+
 def scaffold(spark: SparkSession, source: Source, *_args, **_more) -> DataFrame:
     """A source that is only prepared: no documents; an error if it is enabled."""
     if source.enabled:
@@ -272,6 +335,7 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "atom": atom_notices,
     "buyer_pages": buyer_pages,
     "scored_search": scored_search,
+    "notice_search": notice_search,
     "scaffold": scaffold,
 }
 

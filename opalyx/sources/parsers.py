@@ -140,8 +140,10 @@ def verifier(name: str):
     return add
 
 
-# Words of paths that publish notices.
-PATH_WORDS = ["ausschreibung", "vergabe", "bekanntmachung", "wettbewerb", "bandi", "gare", "marches", "avis"]
+# Words of paths that publish notices, words of titles that tell pages little, and the least score of a page.
+PATH_WORDS = ["ausschreibung", "ausschreibungen", "wettbewerb", "projekte-und-ausschreibungen", "planung-ausfuehrung", "hochbauvorhaben"]
+TITLE_STOPS = ["concours", "ouvert", "selection", "sous", "reserve", "obtention", "credit", "lotissement", "renovation", "partielle", "densification", "fuer", "pour", "selection", "maitre", "oeuvre", "offener", "projektwettbewerb", "generalplanende", "verfahren", "project", "competition", "competitione", "planung", "projets", "prozedura", "verfahren", "wohnen", "stadt", "zurich"]
+PAGE_SCORE, PAGES_TRIED = 30, 5
 
 
 def url_score(url: Column, tokens: Column) -> Column:
@@ -152,17 +154,41 @@ def url_score(url: Column, tokens: Column) -> Column:
     return by_words + F.when(low.endswith(".html"), 15).otherwise(0) + F.when(rules.any_of(low, PATH_WORDS), 10).otherwise(0) - F.when(low.contains("/content/dam/"), 20).otherwise(0)
 
 
+def page_score(url: Column, html: Column, title: Column, authority: Column) -> Column:
+    """How well a page fits a record: its address, the title's words in its title (four times) or else its text
+    (twice), and the authority's words in its text; each word counts its letters."""
+    weigh = lambda words, of: F.aggregate(words, F.lit(0), lambda s, t: s + of(t))
+
+    def judged(p: Column) -> Column:
+        by_title = weigh(p["tokens"], lambda t: F.when(p["named"].contains(t), 4 * F.length(t)).when(p["body"].contains(t), 2 * F.length(t)).otherwise(0))
+        by_buyer = weigh(p["buyer"], lambda t: F.when(p["body"].contains(t), F.length(t)).otherwise(0))
+        return url_score(url, p["tokens"]) + by_title + by_buyer
+
+    named = text.plain_text(F.regexp_extract(html, "(?i)<title>([^<]+)</title>", 1))
+    parts = F.struct(text.keywords(title, TITLE_STOPS).alias("tokens"), text.keywords(F.coalesce(authority, F.lit("")), TITLE_STOPS).alias("buyer"), named.alias("named"), text.plain_text(text.strip_html(html)).alias("body"))
+    return text.bind(parts, judged)
+
+
 @verifier("official_pages")
-def official_pages(records: DataFrame, pages: DataFrame) -> DataFrame:
-    """Records with the best-fitting of their candidate pages (id, url, html): the five best addresses, then the first
-    whose text holds enough of the title's words."""
-    from opalyx.operators.aggregates import first_passing
-
-    tokens = text.keywords(F.col("title"), ["architect", "planning", "services"])
-    met = records.select("id", "title").withColumn("tokens", tokens).join(pages, "id").withColumn("s", url_score(F.col("url"), F.col("tokens")))
-    body = text.plain_text(text.strip_html(F.col("html")))
-    fit = F.aggregate("tokens", F.lit(0), lambda s, t: s + F.when(body.contains(t), F.length(t)).otherwise(0))
-    best = first_passing(met.withColumn("fit", fit), "id", [F.desc("s"), F.asc("url")], 5, F.col("fit") >= 30).select("id", F.col("url").alias("_url"))
+def official_pages(records: DataFrame, pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """Records with the best-fitting of their candidate pages (id, url, html).
+
+    The five best addresses with a score are tried in order and the first page that fits is taken; pages as a
+    browser rendered them are a second tier, for the records that the first left open. A page's canonical
+    address stands for it."""
+    from opalyx.operators.aggregates import by_tiers, first_passing
+
+    authority = F.col("authority_name") if "authority_name" in records.columns else F.lit(None).cast("string")
+    asked = records.select("id", "title", authority.alias("authority_name"))
+
+    def choose(met: DataFrame) -> DataFrame:
+        known = met.select("id", "url", "html").join(asked, "id").withColumn("s", url_score(F.col("url"), text.keywords(F.col("title"), TITLE_STOPS))).filter("s > 0")
+        fit = page_score(F.col("url"), F.col("html"), F.col("title"), F.col("authority_name"))
+        best = first_passing(known.withColumn("fit", fit), "id", [F.desc("s"), F.asc("url")], PAGES_TRIED, F.col("fit") >= PAGE_SCORE)
+        canonical = text.or_null(F.trim(F.regexp_extract("html", '(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"', 1)))
+        return best.select("id", F.coalesce(canonical, F.col("url")).alias("_url"))
+
+    best = by_tiers(asked, [pages] if rendered is None else [pages, rendered], "id", choose)
     out = records.join(best, "id", "left")
     note = F.when(F.col("_url").isNotNull(), text.append_note(F.col("evidence_note"), F.lit("Official page found by title."))).otherwise(F.col("evidence_note"))
     return out.withColumns({"official_url": F.coalesce("_url", "official_url"), "evidence_note": note}).drop("_url")

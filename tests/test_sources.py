@@ -143,3 +143,58 @@ def test_scored_search_keeps_4000_characters(spark):
     details = spark.createDataFrame([("n1", "<p>" + "museum " * 400 + "deadline</p>" + "x" * 2000)], "id string, html string")
     got = payloads(connectors.scored_search(hits, details, S, 5, title_weights={"museum": 9}, body_weights={}, negative={}))
     assert len(got[0]["summary"]) == 4000 and "deadline" in got[0]["summary"]
+
+
+def test_feed_takes_designs_of_built_things_and_no_announcements(spark):
+    cells = lambda **kv: "<table>" + "".join(f"<tr><td><b>{k}: </b></td><td>{v}</td></tr>" for k, v in kv.items()) + "</table>"
+    item = lambda t, d: f"<item><title>{t}</title><link>https://x/{len(t)}</link><description><![CDATA[{d}]]></description></item>"
+    items = [
+        item("Shared path along the shore", cells(Organisation="Agency", Categories="81100000 - Professional services<br>71200000 - Architectural services", Overview="Detailed design of a boardwalk")),
+        item("Concept design of a pavilion", cells(Overview="This is an Advance Notice. No information from suppliers is requested.")),
+        item("Architectural models", cells(Overview="Toys")),
+        item("Supply of pipes to a facility", cells(Overview="Stormwater")),
+    ]
+    got = payloads(connectors.rss_notices(spark.createDataFrame([("<rss><channel>" + "".join(items) + "</channel></rss>",)], "payload string"), S))
+    assert [(g["title"], g["buyer"], g["summary"]) for g in got] == [("Shared path along the shore", "Agency", "Detailed design of a boardwalk")]
+
+
+def test_municipal_rows_by_service_and_by_steering(spark):
+    rows = ["Objektplanung Gebäude und Innenräume", "Projektsteuerung für den Neubau einer Schule", "Projektsteuerung für Software", "Lieferung von Papier", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select(connectors.municipal_relevant(F.col("t")).alias("r"), connectors.municipal_candidate(F.col("t")).alias("c"))
+    assert [tuple(map(bool, r)) for r in df.collect()] == [(True, True), (True, True), (False, True), (False, False), (False, False)]
+
+
+def test_notice_search_uses_the_notice_rules(spark):
+    hits = spark.createDataFrame([(i, t, f"https://s.org/{i}", "2026-05-08", "山东省", "工程建设", "招标公告") for i, t in (("a", "市民文化中心建筑设计招标公告"), ("a", "市民文化中心建筑设计招标公告"), ("b", "油气钻井工程设计"), ("c", "医院病房改造施工图设计服务"), ("d", "水利工程方案设计"), ("e", "办公用品"))], "id string, title string, url string, published string, province string, business string, information string")
+    details = spark.createDataFrame([("a", "<p>建筑方案设计</p>\n<p>投标文件递交截止时间：2026年05月19日 09时30分</p>", None), ("d", "<p>方案设计 医院</p>", "水利工程")], "id string, html string, category string")
+    got = {g["noticeId"]: g for g in payloads(connectors.notice_search(hits, details, S, 10))}
+    assert set(got) == {"a", "c"}
+    assert (got["a"]["deadline"], got["a"]["evidenceLevel"], got["a"]["procedureType"], got["a"]["location"]) == ("2026-05-19", "official_notice", "open", "山东省")
+    assert "civic_culture" in got["a"]["builtAssetTypes"] and got["c"]["projectModes"] == ["renovation"] and got["c"]["evidenceLevel"] == "official_listing" and "title-only" in got["c"]["evidenceNote"]
+
+
+def test_pages_by_tiers(spark):
+    rec = spark.createDataFrame([(k, "Extension municipal library quarter", "Library authority", None, None) for k in "abc"], "id string, title string, authority_name string, official_url string, evidence_note string")
+    fits = "<title>Municipal library</title><p>Extension of the quarter</p>"
+    pages = spark.createDataFrame([("a", "https://x/library/1", "nothing"), ("a", "https://x/library/2", fits + '<link rel="canonical" href="https://x/own">'), ("b", "https://x/library/1", ""), ("c", "https://x/none", fits)], "id string, url string, html string")
+    rendered = spark.createDataFrame([("a", "https://x/library/3", fits), ("b", "https://x/library/1", fits)], "id string, url string, html string")
+    assert {r.id: r.official_url for r in parsers.official_pages(rec, pages, rendered).collect()} == {"a": "https://x/own", "b": "https://x/library/1", "c": None}
+
+
+def test_tiers_leave_out_candidates_that_were_tried(spark):
+    from opalyx.operators import aggregates
+
+    rec = spark.createDataFrame([("a",), ("b",)], "id string")
+    first = spark.createDataFrame([("a", "x", 1), ("b", "x", 1)], "id string, c string, score int")
+    second = spark.createDataFrame([("a", "x", 9), ("a", "y", 9), ("b", "x", 9)], "id string, c string, score int")
+    choose = lambda df: aggregates.first_passing(df, "id", [F.asc("c")], 5, F.col("score") > 5)
+    assert sorted(map(tuple, aggregates.by_tiers(rec, [first, second], "id", choose, "c").collect())) == [("a", "y", 9)]
+    assert sorted(map(tuple, aggregates.by_tiers(rec, [first, second], "id", choose).collect())) == [("a", "x", 9), ("b", "x", 9)]
+
+
+def test_page_scores_of_a_city_page(spark):
+    """A project's page under the paths that publish tenders: 34 for its address (24 letters of words, path words), and its words in title or text."""
+    url = "https://www.city.example/de/projekte-und-ausschreibungen/hochbauvorhaben/wohnsiedlung-herbstweg.html"
+    title = "Lotissement Herbstweg, rénovation partielle et densification ; concours ouvert"
+    got = spark.range(1).select(parsers.url_score(F.lit(url), F.array(F.lit("herbstweg"))).alias("u"), parsers.page_score(F.lit(url), F.lit("<title>Wohnsiedlung Herbstweg</title><p>Amt fuer Hochbauten</p>"), F.lit(title), F.lit("HBD - Amt für Hochbauten (AHB)")).alias("p")).first()
+    assert got.u == 9 + 15 + 10 and got.p == got.u + 4 * 9 + len("hochbauten")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opalyx.functions import dates, geo, links, money, rules, semi, text
+from opalyx.functions import dates, geo, links, money, places, rules, semi, text
 from opalyx.operators import review, store
 from opalyx.plans import classify, labels, notices
 from opalyx.plans import query as Q
@@ -670,3 +670,48 @@ def official_pages(spark, sf):
     marked = near.withColumn("url", F.concat(F.col("url"), F.lit("/wettbewerb")))
     first, second = marked.filter("id % 3 = 0 AND page_id > id"), marked.filter("page_id = id")
     return parsers.official_pages(records, first, second).select("id", "official_url")
+
+
+# --- places --------------------------------------------------------------------------------------
+_SNIPPETS = ["; inmueble sito en C/ Mayántigo, Barrio Acorán, Distrito Suroeste; ", ". Lavori in via Vitulanese 104. ", ", parcheggi nel Campus Bizzozero di Varese, e poi Via Roma 1 e ancora via Roma 1, Frazione Alta. ", ": edifício sito na Rua das Flores 12, em Porto. ", " (pand aan Kerkstraat 12, Amsterdam). ", " fastighet på Storgatan 5; przy ul. Noniewicza 31 w Suwałkach. ", ". Nuova sede in Via Progetto Alfa 9, lotto 3. "]
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _sql_group(n: int, kind: str, pattern: str) -> str:
+    p = _sql_text(pattern)
+    tails = ", ".join(f"nullif(regexp_extract(tail, {_sql_text(x)}, 1), '')" for x in places.ADDRESS_TAILS)
+    return f"""SELECT doc_id, {n} AS g, i, '{kind}' AS kind, regexp_replace(v, '[\\s,;:.]+$', '') AS address, coalesce({tails}) AS hint FROM (
+    SELECT doc_id, i, vs[i] AS v, substr(t, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) + 1 AS BIGINT), 120) AS tail FROM (
+      SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, 1) AS vs, string_split_regex(t, {p}) AS parts FROM d WHERE regexp_matches(t, {p}))))"""
+
+
+@query("address_candidates", f"""WITH d AS (SELECT doc_id, regexp_replace(translate(substr(text, 1, length(text) // 2) || list_extract([{', '.join(map(_sql_text, _SNIPPETS))}], CAST(doc_id % 7 + 1 AS BIGINT)) || substr(text, length(text) // 2 + 1), '–—', '--'), '\\s+', ' ', 'g') AS t FROM documents),
+  c AS ({' UNION ALL '.join(_sql_group(n, k, p) for n, (k, p) in enumerate(places.ADDRESS_GROUPS))}),
+  f AS (SELECT *, lower(strip_accents(address)) AS key FROM c WHERE NOT regexp_matches(address, '(?i)(?:^|\\W)(?:cup|cig|codice|missione|lotto|pnrr|investimento|procedura|intervento|progetto|servizio|lavori|adeguamento|bando|pratica)(?:\\W|$)') AND NOT regexp_matches(address, {_sql_text('(?i)^(?:' + places.REFUSED_WHOLE + ')$')})),
+  m AS (SELECT doc_id, kind, key, arg_min(address, (g, i)) AS address, arg_max(hint, (length(hint), -g, -i)) FILTER (hint IS NOT NULL) AS hint, min((g, i)) AS place FROM f GROUP BY doc_id, kind, key)
+  SELECT doc_id, string_agg(kind || ':' || address || coalesce(' @ ' || hint, ''), '|' ORDER BY place) AS found, CAST(count(*) AS INTEGER) AS n FROM m GROUP BY doc_id""")
+def address_candidates(spark, sf):
+    """Addresses in each document's whole text, with one of several written into its middle."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    snippet = F.get(F.array(*map(F.lit, _SNIPPETS)), (F.col("doc_id") % 7).cast("int"))
+    t = F.concat(F.substring(F.col("text"), F.lit(1), half), snippet, F.substring(F.col("text"), half + 1, F.length("text")))
+    d = table(spark, sf, "documents").select("doc_id", places.address_candidates(t).alias("c")).filter(F.size("c") > 0)
+    shown = F.transform("c", lambda x: F.concat(x["kind"], F.lit(":"), x["address"], F.coalesce(F.concat(F.lit(" @ "), x["hint"]), F.lit(""))))
+    return d.select("doc_id", F.array_join(shown, "|").alias("found"), F.size("c").alias("n"))
+
+
+_BUYERS = ["Comune di {}", "Gemeente {} (Centrum)", "{} kommune v/ Eiendom", "Gmina Miasto {}", "{} kaupunki", "Provincia di {} - Ufficio", "Ayuntamiento de {}", "Ministry of works"]
+
+
+@query("explicit_city", """SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 7 THEN n_name WHEN o_orderkey % 3 = 0 THEN 'Radovljica' WHEN o_orderkey % 3 = 1 THEN '黄山市徽州区' END AS city
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
+def explicit_city(spark, sf):
+    """The place in an authority's name, or else in the title, by the first pattern that gives a useful one."""
+    k = F.col("o_orderkey")
+    names = F.array(*(F.replace(F.lit(b), F.lit("{}"), F.col("n_name")) for b in _BUYERS))
+    title = F.when(k % 8 < 7, "Works on a roof").when(k % 3 == 0, "Objekt na naslovu Prešernova cesta 11, Radovljica, z upoštevanjem").when(k % 3 == 1, "黄山市徽州区2026年老旧小区改造").otherwise("三江新区大学城片区")
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return rows.select("o_orderkey", places.explicit_city(title, F.get(names, (k % 8).cast("int"))).alias("city"))

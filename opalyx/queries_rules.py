@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opalyx.functions import dates, geo, links, money, places, rules, semi, text
-from opalyx.operators import review, store
+from opalyx.functions import dates, geo, linked, links, money, places, rules, semi, text
+from opalyx.operators import review, store, versions
 from opalyx.plans import classify, labels, notices
 from opalyx.plans import query as Q
 from opalyx.plans.view import TODAY, opportunities, table
 from opalyx.queries import V, query
-from opalyx.runtime import ship
+from opalyx.runtime import shared_dir, ship
 from opalyx.sources import connectors, definitions
 from opalyx.sources.catalog import Source
+from opalyx.streaming import jobs
 
 S = Source("reg", "Register", "register", "europe", "https://base.org")
 
@@ -715,3 +716,84 @@ def explicit_city(spark, sf):
     title = F.when(k % 8 < 7, "Works on a roof").when(k % 3 == 0, "Objekt na naslovu Prešernova cesta 11, Radovljica, z upoštevanjem").when(k % 3 == 1, "黄山市徽州区2026年老旧小区改造").otherwise("三江新区大学城片区")
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.select("o_orderkey", places.explicit_city(title, F.get(names, (k % 8).cast("int"))).alias("city"))
+
+
+# --- linked data ---------------------------------------------------------------------------------
+def _script(k, url) -> str:
+    return (
+        """'<script type="application/ld+json">{"@graph": [{"name": "Hall", "address": {"@type": "PostalAddress", "streetAddress": "Street ' || """ + k + """ || '", "addressLocality": "Town", "postalCode": 7}}], "url": [[{"contentUrl": "' || """ + url + """ || '/a.png", "width": 640, "caption": "The hall"}, "/b.png"]],"""
+        """ "meta": {"url": "no.png", "deep": [{"documentsSourceUrl": [{"x": "/docs/' || """ + k + """ || '"}], "documentsSourceNote": "see https://n.example/' || """ + k + """ || ', or (www.x.example)."}]}}</script><script type="application/ld+json">{broken</script>'"""
+    )
+
+
+@query("linked_data", f"""WITH p AS (SELECT page_id, url, replace(html, '</article>', {_script('page_id', 'url')} || '</article>') AS html FROM pages),
+  q AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, regexp_extract(html, 'contentUrl": "([^"]*)"', 1) AS image, regexp_extract(html, 'streetAddress": "([^"]*)"', 1) AS street, regexp_extract(html, '"x": "([^"]*)"', 1) AS docs, regexp_extract(html, 'see ([^ ,]*),', 1) AS note FROM p WHERE contains(html, 'ld+json'))
+  SELECT page_id, 'address' AS kind, NULL AS value, street, 'Town' AS locality, NULL AS descriptor, NULL AS width FROM q
+  UNION ALL SELECT page_id, 'image', image, NULL, NULL, 'jsonld The hall', '640' FROM q UNION ALL SELECT page_id, 'image', root || '/b.png', NULL, NULL, 'jsonld', NULL FROM q
+  UNION ALL SELECT page_id, 'link', root || docs, NULL, NULL, NULL, NULL FROM q UNION ALL SELECT page_id, 'link', note, NULL, NULL, NULL, NULL FROM q UNION ALL SELECT page_id, 'link', 'https://www.x.example', NULL, NULL, NULL, NULL FROM q""")
+def linked_data(spark, sf):
+    """Addresses, images and links of linked data that stands in each page's own html."""
+    pages = table(spark, sf, "pages").withColumn("html", F.replace(F.col("html"), F.lit("</article>"), F.concat(F.expr(_script("page_id", "url")), F.lit("</article>"))))
+    return linked.linked_data(pages, "page_id").select(F.col("id").alias("page_id"), "kind", "value", "street", "locality", "descriptor", "width")
+
+
+@query("page_body_div", "SELECT page_id, html AS body FROM pages")
+def page_body_div(spark, sf):
+    """A whole page within a notice's division, cut out again at the tag that closes it."""
+    ship(spark)
+    html = F.concat(F.lit('<p>x</p><div id="mycontent"><DIV class="x detail_content">'), F.col("html"), F.lit("</div><div>after</div></div>"))
+    return table(spark, sf, "pages").select("page_id", semi.balanced_div(html).alias("body"))
+
+
+# --- streams and commits -------------------------------------------------------------------------
+def _files(df, path: str, part) -> None:
+    """Rows as files that arrive in the order of a part number."""
+    for n in range(4):
+        df.filter(part == n).coalesce(1).write.mode("append").parquet(path)
+
+
+_EVENT_SQL = "SELECT user_id, event_id, event_type, CAST(value AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+
+
+@query("stream_keyed_state", _EVENT_SQL)
+def stream_keyed_state(spark, sf):
+    """The last event of each user over several micro-batches with a restart between them; state in buckets."""
+    root, events = shared_dir(spark, "keyed"), table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    part, stream = F.pmod(F.col("event_id"), F.lit(3)), lambda: jobs.landed(spark, f"{root}/in", events.schema, files=1)
+    fold = jobs.last_rows("user_id", ["ts", "event_id"])
+    events.filter(part < 2).repartition(2, part).write.parquet(f"{root}/in")
+    jobs.run_keyed_fold(stream(), f"{root}/state", f"{root}/checkpoint", "user_id", fold)
+    events.filter(part == 2).write.mode("append").parquet(f"{root}/in")
+    return jobs.run_keyed_fold(stream(), f"{root}/state", f"{root}/checkpoint", "user_id", fold).select("user_id", "event_id", "event_type", "value")
+
+
+@query("stream_late_rows", """WITH b AS (SELECT *, ntile(3) OVER (ORDER BY ts, event_id) AS third FROM events)
+  SELECT event_id, user_id FROM b WHERE NOT (third = 1 AND event_id % 10 = 0 AND ts < (SELECT max(ts) FROM b WHERE third = 2) - INTERVAL 1 HOUR)""")
+def stream_late_rows(spark, sf):
+    """Events once each within an hour of the latest: every tenth of the first third comes at the end and is too late,
+    every seventh of the second third comes twice. Spark holds a batch against the time seen before the last one."""
+    root = shared_dir(spark, "late")
+    e = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    # Thirds by rank, from two cuts: the rows at one and two thirds in the order of time.
+    total = e.count()
+    cuts = [r.o for r in e.orderBy("ts", "event_id").limit(2 * (total // 3) + min(total % 3, 2)).select(F.struct("ts", "event_id").alias("o"), F.monotonically_increasing_id().alias("n")).orderBy(F.desc("n")).limit(1).collect()]
+    first = e.orderBy("ts", "event_id").limit(total // 3 + min(total % 3, 1)).agg(F.max(F.struct("ts", "event_id")).alias("o")).first().o
+    at, before = F.struct("ts", "event_id"), lambda o: F.struct(F.lit(o.ts).alias("ts"), F.lit(o.event_id).alias("event_id"))
+    third = F.when(at <= before(first), 0).when(at <= before(cuts[0]), 1).otherwise(2)
+    arrives = F.when((third == 0) & (F.col("event_id") % 10 == 0), 3).otherwise(third)
+    sent = e.withColumn("part", arrives).withColumn("again", F.explode(F.when((third == 1) & (F.col("event_id") % 7 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("again")
+    _files(sent, f"{root}/in", F.col("part"))
+    stream = jobs.landed(spark, f"{root}/in", e.schema, files=1)
+    return jobs.once_in_time(stream, "ts", ["event_id"], "1 hour", root).select("event_id", "user_id")
+
+
+@query("saved_searches_committed", "SELECT CAST(n + 1 AS BIGINT) AS id, 'w' || (n % 2) AS workspace_key, n_name AS name, CAST(1 + CASE WHEN n_nationkey < 2 THEN 1 ELSE 0 END AS BIGINT) AS touched FROM (SELECT n_name, n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS n FROM nation WHERE n_nationkey < 4)")
+def saved_searches_committed(spark, sf):
+    """Saved searches through the version log, the first two saved twice."""
+    root = shared_dir(spark, "saved")
+    names = [(r.n_nationkey, r.n_name) for r in table(spark, sf, "nation").filter("n_nationkey < 4").orderBy("n_nationkey").collect()]  # at most four
+    empty = spark.createDataFrame([], "id long, workspace_key string, name string, filters_json string, created_at long, updated_at long")
+    for k, name in names + names[:2]:
+        versions.update(spark, root, lambda t, k=k, name=name: store.save_search(empty if t is None else t, f"w{k % 2}", name, '{"search":"x"}', (F.lit(1) if t is None else F.lit(t.count() + 1)).cast("long")))
+    t = versions.current(spark, root)
+    return t.select("id", "workspace_key", "name", F.when(F.col("updated_at") > F.col("created_at"), 2).otherwise(1).cast("long").alias("touched"))

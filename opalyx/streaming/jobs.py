@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opalyx.operators import store
+from opalyx.operators import store, versions
 from opalyx.runtime import shared_dir
 from opalyx.sources.sinks import latest_version, write_version
 
@@ -47,6 +47,40 @@ def latest_state(spark: SparkSession, folder: str, schema, pattern: str, key: st
     return run_fold(stream, f"{root}/state", f"{root}/checkpoint", fold)
 
 
+def run_keyed_fold(stream: DataFrame, root: str, checkpoint: str, key: str, fold: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = 64) -> DataFrame:
+    """Fold each micro-batch into keyed state of which it rewrites only the buckets it touches. A restart goes on
+    where the checkpoint ends; a micro-batch that was committed before it is not folded again."""
+    spark = stream.sparkSession
+    
+    def step(batch: DataFrame, n: int) -> None:
+        versions.fold_keyed(batch, root, key, fold, buckets, n)
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return versions.current(spark, root)
+
+
+def last_rows(key: str, order: list[str]) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """A fold that keeps the last row of each key."""
+
+    def fold(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch if state is None else state.unionByName(batch)
+        others = [c for c in batch.columns if c != key]
+        return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_v")).select(key, "_v.*")
+
+    return fold
+
+
+def once_in_time(stream: DataFrame, time: str, keys: list[str], delay: str, root: str) -> DataFrame:
+    """Rows of a stream once for each key while its time is open: what is older than the latest time seen, as of the
+    batch before the last, by more than the delay is dropped, and keys older than that are forgotten, so the state
+    stays bounded. Appended to Parquet."""
+    out = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(out.schema).parquet(f"{root}/out")
+
+
 def seen_once(spark: SparkSession, folder: str, schema, pattern: str, keys: list[str], table: str = "seen") -> DataFrame:
     """First occurrence of each key within the run: stateful deduplication, appended to Parquet."""
     root = shared_dir(spark, table)

@@ -29,6 +29,8 @@ IMPLEMENTATION_LABELS = {
 EVIDENCE_LABELS = {"official_notice": "Official notice", "official_listing": "Official listing", "authority_page": "Authority page", "secondary": "Secondary source", "tertiary": "Tertiary source"}
 PROJECT_TYPES = ["urban_regeneration", "environment_design", "urban_planning", "interior_project", "building_project"]
 BUILDING_CATEGORIES = ["education", "healthcare", "housing", "civic_public", "sport_leisure", "culture_heritage", "transport_infrastructure"]
+DESIGN_SCOPES = ["interior_design", "architectural_design", "scheme", "preliminary", "construction_docs", "planning", "design_service"]
+PROJECT_MODES = ["new_build", "renovation", "extension"]
 PROCEDURE_ALIASES = {
     "design_contest": ["design_contest", "project_competition"],
     "planning_competition": ["planning_competition"],

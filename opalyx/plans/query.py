@@ -15,7 +15,7 @@ from opalyx.plans import classify
 from opalyx.plans import labels as L
 
 SORTS = ("deadline", "latest", "highest_value")
-_ENUMS = {"project_types": L.PROJECT_TYPES, "building_categories": L.BUILDING_CATEGORIES}
+_ENUMS = {"project_types": L.PROJECT_TYPES, "building_categories": L.BUILDING_CATEGORIES, "design_scopes": L.DESIGN_SCOPES, "project_modes": L.PROJECT_MODES}
 _NUMBERS = ("min_value", "max_value", "min_score", "published_within_days")
 
 
@@ -243,7 +243,7 @@ def facets(df: DataFrame, q: Query) -> DataFrame:
     pick = lambda values, chosen: F.array_sort(F.array_distinct(F.concat(values, F.array(*map(F.lit, chosen)).cast("array<string>"))))
     many = lambda name: F.array_distinct(F.flatten(F.collect_set(name))) if name in df.columns else F.array().cast("array<string>")
     procedure = [k for k in [_presented(q.procedure_type)] if k]
-    out = rows.agg(F.collect_set("_j").alias("_js"), F.collect_set("_p").alias("_ps"), F.collect_set("_i").alias("_is"), many("project_types").alias("_t"), many("building_categories").alias("_b"), F.count("*").alias("total"))
+    out = rows.agg(F.collect_set("_j").alias("_js"), F.collect_set("_p").alias("_ps"), F.collect_set("_i").alias("_is"), many("project_types").alias("_t"), many("building_categories").alias("_b"), many("design_scopes").alias("_d"), many("project_modes").alias("_m"), F.count("*").alias("total"))
     empty = F.col("total") == 0
     nothing = F.array().cast("array<string>")
     return out.select(
@@ -252,6 +252,8 @@ def facets(df: DataFrame, q: Query) -> DataFrame:
         F.when(empty, nothing).otherwise(pick(F.col("_is"), [q.implementation_path] if q.implementation_path else [])).alias("implementation_paths"),
         F.when(empty, nothing).otherwise(semi.in_order(F.concat("_t", F.array(*map(F.lit, q.project_types)).cast("array<string>")), L.PROJECT_TYPES)).alias("project_types"),
         F.when(empty, nothing).otherwise(semi.in_order(F.concat("_b", F.array(*map(F.lit, q.building_categories)).cast("array<string>")), L.BUILDING_CATEGORIES)).alias("building_categories"),
+        F.when(empty, nothing).otherwise(semi.in_order(F.concat("_d", F.array(*map(F.lit, q.design_scopes)).cast("array<string>")), L.DESIGN_SCOPES)).alias("design_scopes"),
+        F.when(empty, nothing).otherwise(semi.in_order(F.concat("_m", F.array(*map(F.lit, q.project_modes)).cast("array<string>")), L.PROJECT_MODES)).alias("project_modes"),
         "total",
     )
 

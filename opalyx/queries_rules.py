@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opalyx.functions import dates, geo, linked, links, money, places, rules, semi, text
 from opalyx.operators import review, store, versions
-from opalyx.plans import classify, labels, notices
+from opalyx.plans import classify, labels, notices, saved
 from opalyx.plans import query as Q
 from opalyx.plans.view import TODAY, opportunities, table
 from opalyx.queries import V, query
@@ -797,3 +797,31 @@ def saved_searches_committed(spark, sf):
         versions.update(spark, root, lambda t, k=k, name=name: store.save_search(empty if t is None else t, f"w{k % 2}", name, '{"search":"x"}', (F.lit(1) if t is None else F.lit(t.count() + 1)).cast("long")))
     t = versions.current(spark, root)
     return t.select("id", "workspace_key", "name", F.when(F.col("updated_at") > F.col("created_at"), 2).otherwise(1).cast("long").alias("touched"))
+
+
+# --- stored filters and all facets ---------------------------------------------------------------
+_STORED = """'{"search": "  ' || event_type || '  x ", "projectTypes": ["interior_project", "interior_project", ' || event_id || ', "nope"], "sort": ' || CASE event_id % 3 WHEN 0 THEN '"latest"' WHEN 1 THEN '"oldest"' ELSE '1' END || ', "limit": 999, "includeExpired": ' || CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '"true"' ELSE '1' END
+  || ', "designScopes": ' || CASE event_id % 5 WHEN 0 THEN '["scheme", "invalid", "scheme", "planning"]' WHEN 1 THEN '"scheme"' WHEN 2 THEN '[]' ELSE '[null, ["scheme"]]' END || ', "minEstimatedValueEur": ' || CASE event_id % 4 WHEN 0 THEN user_id || '.5' WHEN 1 THEN '"7"' WHEN 2 THEN CAST(user_id AS VARCHAR) ELSE 'null' END || ', "jurisdiction": ' || CASE event_id % 2 WHEN 0 THEN '"   "' ELSE '"it"' END || CASE WHEN event_id % 11 = 0 THEN '' ELSE '}' END"""
+
+
+@query("stored_filters", f"""WITH f AS (SELECT *, {_STORED} AS raw FROM events)
+  SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '{{}}' ELSE '{{' || array_to_string(list_filter([CASE WHEN event_id % 5 = 0 THEN '"designScopes":["scheme","planning"]' END, CASE WHEN event_id % 4 = 0 THEN '"includeExpired":true' END, CASE WHEN event_id % 2 = 1 THEN '"jurisdiction":"it"' END,
+    CASE event_id % 4 WHEN 0 THEN '"minEstimatedValueEur":' || user_id || '.5' WHEN 2 THEN '"minEstimatedValueEur":' || user_id END, '"projectTypes":["interior_project"]', '"search":"' || event_type || ' x"', CASE WHEN event_id % 3 = 0 THEN '"sort":"latest"' END], lambda x: x IS NOT NULL), ',') || '}}' END AS filters, length(raw) AS n FROM f""")
+def stored_filters(spark, sf):
+    """A table of stored filters, cleaned: unknown members, wrong types and unknown values go."""
+    raw = table(spark, sf, "events").select("event_id", F.expr(_STORED.replace("AS VARCHAR", "AS STRING")).alias("raw"))
+    return raw.select("event_id", saved.clean_filters(F.col("raw")).alias("filters"), F.length("raw").cast("long").alias("n"))
+
+
+@query("facet_sets", f"""{V}, c AS (SELECT id, ['scheme', 'planning', 'interior_design'][CAST(id % 4 AS BIGINT) + 1] AS scope, ['extension', 'new_build'][CAST(id % 3 AS BIGINT) + 1] AS mode, ['housing', 'education'][CAST(id % 3 AS BIGINT) + 1] AS cat, ['building_project', 'urban_planning'][CAST(id % 3 AS BIGINT) + 1] AS kind FROM v WHERE estimated_contract_value_eur >= 200000),
+  a AS (SELECT list(scope) AS s, list(mode) AS m, list(cat) AS b, list(kind) AS k, count(*) AS total FROM c)
+  SELECT array_to_string(list_filter(['interior_design', 'architectural_design', 'scheme', 'preliminary', 'construction_docs', 'planning', 'design_service'], lambda x: list_contains(s, x) OR x = 'preliminary'), '|') AS design_scopes,
+    array_to_string(list_filter(['new_build', 'renovation', 'extension'], lambda x: list_contains(m, x)), '|') AS project_modes, array_to_string(list_filter(['education', 'healthcare', 'housing'], lambda x: list_contains(b, x)), '|') AS building_categories,
+    array_to_string(list_filter(['urban_regeneration', 'environment_design', 'urban_planning', 'interior_project', 'building_project'], lambda x: list_contains(k, x)), '|') AS project_types, total FROM a""")
+def facet_sets(spark, sf):
+    """The four facets of fixed values of a slice, with a selected one added."""
+    k = F.col("id")
+    one = lambda values: F.filter(F.array(F.get(F.array(*map(F.lit, values)), (k % (len(values) + 1)).cast("int"))), lambda x: x.isNotNull())
+    o = opportunities(spark, sf).filter("estimated_contract_value_eur >= 200000").withColumns({"design_scopes": one(["scheme", "planning", "interior_design"]), "project_modes": one(["extension", "new_build"]), "building_categories": one(["housing", "education"]), "project_types": one(["building_project", "urban_planning"])})
+    out = Q.facets(o, Q.Query(design_scopes=["preliminary"]))
+    return out.select(*(F.array_join(c, "|").alias(c) for c in ("design_scopes", "project_modes", "building_categories", "project_types")), "total")

@@ -682,7 +682,7 @@ def _sql_text(value: str) -> str:
 
 
 def _sql_group(n: int, kind: str, pattern: str) -> str:
-    p = _sql_text(pattern)
+    p = _sql_text(places.plain_pattern(pattern))
     tails = ", ".join(f"nullif(regexp_extract(tail, {_sql_text(x)}, 1), '')" for x in places.ADDRESS_TAILS)
     return f"""SELECT doc_id, {n} AS g, i, '{kind}' AS kind, regexp_replace(v, '[\\s,;:.]+$', '') AS address, coalesce({tails}) AS hint FROM (
     SELECT doc_id, i, vs[i] AS v, substr(t, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) + 1 AS BIGINT), 120) AS tail FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalyx.functions import rules
@@ -47,12 +47,28 @@ def geocoded(records: DataFrame, cache: DataFrame) -> DataFrame:
     return records.withColumn("_k", key).join(hit, "_k", "left").withColumns({"geo_lat": F.col("_lat"), "geo_lng": F.col("_lng"), "geo_confidence": F.col("_c")}).drop("_k", "_lat", "_lng", "_c")
 
 
-def geocode_misses(records: DataFrame, cache: DataFrame) -> DataFrame:
-    """Places that no cache row, known miss included, answers."""
+def geocode_misses(records: DataFrame, cache: DataFrame, now: Column | None = None, expires_days: int = 30) -> DataFrame:
+    """Places that no cache row, known miss included, answers. With now, misses fetched more than so many days before are asked again."""
     from opalyx.functions import text
 
     key = F.concat_ws(":", F.coalesce(F.lower(F.replace(F.col("jurisdiction"), F.lit("-"), F.lit("_"))), F.lit("unknown")), text.location_key(F.col("location_label")))
-    return records.filter(F.col("location_label").isNotNull()).select(key.alias("location_key"), "location_label", "jurisdiction").distinct().join(cache.select("location_key"), "location_key", "left_anti")
+    return records.filter(F.col("location_label").isNotNull()).select(key.alias("location_key"), "location_label", "jurisdiction").distinct().join(fresh(cache, now, expires_days).select("location_key"), "location_key", "left_anti")
+
+
+def fresh(cache: DataFrame, now: Column | None = None, expires_days: int = 30) -> DataFrame:
+    """Cache rows that count: answers for ever, misses until they expire."""
+    if now is None:
+        return cache
+    return cache.filter(F.col("lat").isNotNull() | (F.col("fetched_at") > now - F.make_dt_interval(F.lit(expires_days))))
+
+
+def remember(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """The cache with new answers (location_key, lat, lng, confidence, fetched_at, failed): a place that isn't known is
+    kept as a miss, a failed request as nothing, and an answer replaces a miss."""
+    told = answers.filter(~F.coalesce("failed", F.lit(False))).select(*cache.columns)
+    rows = cache.unionByName(told)
+    others = [c for c in cache.columns if c != "location_key"]
+    return rows.groupBy("location_key").agg(F.max_by(F.struct(*others), F.struct(F.col("lat").isNotNull(), "fetched_at")).alias("_v")).select("location_key", "_v.*")
 
 
 def run_batch(jobs: list, continue_on_error: bool = True) -> list[tuple[str, Exception | None]]:

@@ -30,12 +30,11 @@ def _got(docs, *names: str):
     return docs.select("source_url", *(F.trim(semi.at(v, n)).alias(n) for n in names))
 
 
-_SMALL = "c_custkey < 60"  # what one register answers in its first pages
-_ALL = 1_000_000
+_ALL, _PAGE = 1_000_000_000, 100
 
 
 # --- registers -----------------------------------------------------------------------------------
-@query("csv_notices", "SELECT 'https://n.org/' || c_custkey AS source_url, CAST(c_custkey AS VARCHAR) AS \"officialNoticeId\", 'Progettazione museo ' || c_name AS title FROM customer WHERE c_custkey % 3 = 0 ORDER BY c_custkey")
+@query("csv_notices", "SELECT 'https://n.org/' || c_custkey AS source_url, CAST(c_custkey AS VARCHAR) AS \"officialNoticeId\", 'Progettazione museo ' || c_name AS title FROM customer WHERE c_custkey % 3 = 0")
 def csv_notices(spark, sf):
     k = F.col("c_custkey")
     none = F.lit(None).cast("string")
@@ -48,12 +47,12 @@ def csv_notices(spark, sf):
 def sitemap_urls(spark, sf):
     p = table(spark, sf, "part")
     root = F.concat(F.lit("https://s"), F.col("p_size").cast("string"), F.lit(".org/map.xml"))
-    inner = F.concat(F.lit("https://s"), F.col("p_size").cast("string"), F.lit(".org/m"), (F.col("p_partkey") % 7).cast("string"), F.lit(".xml"))
+    inner = F.concat(F.lit("https://s"), F.col("p_size").cast("string"), F.lit(".org/m"), F.floor(F.col("p_partkey") / 1000).cast("string"), F.lit(".xml"))
     loc = lambda c: F.concat(F.lit("<loc> "), c, F.lit(" </loc>"))
     page = F.regexp_replace(F.concat(root, F.lit("|page"), F.col("p_partkey").cast("string")), r"map\.xml\|", "")
     maps = p.groupBy(inner.alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc(page)), ""), F.lit("</urlset>")).alias("xml")).withColumn("root", F.lit(None).cast("string"))
     top = p.select(root.alias("url"), inner.alias("i")).distinct().groupBy("url").agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(loc(F.col("i"))), ""), F.lit("</sitemapindex>")).alias("xml")).withColumn("root", F.col("url"))
-    return connectors.sitemap_pages(maps.unionByName(top).select("root", "url", "xml"))
+    return connectors.sitemap_pages(maps.unionByName(top).select("root", "url", "xml"), nested=_ALL)
 
 
 @query("parser_codes", "SELECT page_id, '71200000,' || CAST(71220000 + page_id % 10 AS VARCHAR) AS codes, 'Bau ' || page_id AS title FROM pages")
@@ -96,34 +95,35 @@ def simap_notices(spark, sf):
     return _got(definitions.simap(pages, details, S, limit=_ALL), "title", "officialNoticeId", "location")
 
 
-@query("anac_notices", f"SELECT 'https://pubblicitalegale.anticorruzione.it/' || CASE WHEN c_custkey % 2 = 0 THEN 'esiti/' ELSE 'bandi/' END || c_custkey || '?ricercaArchivio=true' AS source_url, CAST(c_custkey AS VARCHAR) AS \"officialNoticeId\", 'Restauro architettonico ' || c_custkey AS title, c_name AS buyer, CAST(c_custkey AS VARCHAR) AS \"estimatedValueEur\" FROM customer WHERE {_SMALL} AND c_custkey < 50 AND c_custkey % 5 <> 0")
+@query("anac_notices", f"SELECT 'https://pubblicitalegale.anticorruzione.it/' || CASE WHEN c_custkey % 2 = 0 THEN 'esiti/' ELSE 'bandi/' END || c_custkey || '?ricercaArchivio=true' AS source_url, CAST(c_custkey AS VARCHAR) AS \"officialNoticeId\", 'Restauro architettonico ' || c_custkey AS title, c_name AS buyer, CAST(c_custkey AS VARCHAR) AS \"estimatedValueEur\" FROM customer WHERE c_custkey % 5 <> 0")
 def anac_notices(spark, sf):
     k = F.col("c_custkey")
     item = F.struct(k.cast("string").alias("valore_affidamento"))
     sections = F.array(F.struct(F.lit(None).cast("struct<soggetti_sa:array<struct<denominazione_amministrazione:string>>>").alias("fields"), F.array(item).alias("items")), F.struct(F.struct(F.array(F.struct(F.col("c_name").alias("denominazione_amministrazione"))).alias("soggetti_sa")).alias("fields"), F.lit(None).cast("array<struct<valore_affidamento:string>>").alias("items")))
     title = F.when(k % 5 == 0, "Stampa").otherwise(F.concat(F.lit("Restauro architettonico "), k.cast("string")))
     template = F.array(F.struct(F.struct(F.struct(title.alias("titolo")).alias("metadata"), sections.alias("sections")).alias("template")))
-    pages = _landed(table(spark, sf, "customer"), "c_custkey", "content", 10, idAvviso=k.cast("string"), codiceScheda=F.when(k % 2 == 0, "AD5").otherwise("P1"), dataPubblicazione=F.lit("1998-05-01"), template=template)
-    return _got(definitions.anac(pages, S, limit=_ALL), "officialNoticeId", "title", "buyer", "estimatedValueEur")
+    pages = _landed(table(spark, sf, "customer"), "c_custkey", "content", _PAGE, idAvviso=k.cast("string"), codiceScheda=F.when(k % 2 == 0, "AD5").otherwise("P1"), dataPubblicazione=F.lit("1998-05-01"), template=template)
+    return _got(definitions.anac(pages, S, limit=_ALL, most=_ALL), "officialNoticeId", "title", "buyer", "estimatedValueEur")
 
 
-@query("doffin_notices", "SELECT 'https://www.doffin.no/notices/' || c_custkey AS source_url, CASE WHEN c_custkey % 2 = 0 THEN 'Arkitekt school ' ELSE 'Landskap architect ' END || c_custkey AS title, c_name AS buyer FROM customer WHERE c_custkey BETWEEN 20 AND 54 AND c_custkey % 3 <> 0 ORDER BY c_custkey LIMIT 5")
+@query("doffin_notices", "SELECT 'https://www.doffin.no/notices/' || c_custkey AS source_url, CASE WHEN c_custkey % 2 = 0 THEN 'Arkitekt school ' ELSE 'Landskap architect ' END || c_custkey AS title, c_name AS buyer FROM customer WHERE c_custkey % 3 <> 0")
 def doffin_notices(spark, sf):
-    k, c = F.col("c_custkey"), table(spark, sf, "customer").filter("c_custkey < 90")
+    k, c = F.col("c_custkey"), table(spark, sf, "customer")
     heading = F.concat(F.when(k % 3 == 0, "Poster of a ").when(k % 2 == 0, "Arkitekt school ").otherwise("Landskap architect "), k.cast("string"))
-    pages = _landed(c.filter("c_custkey < 55 OR c_custkey >= 60"), "c_custkey", "hits", 20, id=k.cast("string"), heading=F.lit("listed"), buyer=F.array(F.struct(F.col("c_name").alias("name"))))
+    pages = _landed(c, "c_custkey", "hits", _PAGE, id=k.cast("string"), heading=F.lit("listed"), buyer=F.array(F.struct(F.col("c_name").alias("name"))))
+    pages = pages.withColumn("page", F.col("page") + 1)
     details = c.select(k.cast("string").alias("id"), F.to_json(F.struct(heading.alias("heading"), F.when(k % 3 == 0, "logo").otherwise("architect building").alias("description"))).alias("payload"))
-    got = definitions.doffin(pages, details, S, limit=5)
+    got = definitions.doffin(pages, details, S, limit=_ALL, most=_ALL, size=_PAGE)
     return _got(got, "title", "buyer")
 
 
-@query("tenderned_notices", "SELECT 'https://base.org/' || c_custkey AS source_url, CAST(c_custkey AS VARCHAR) AS \"noticeId\", 'Architect museum ' || c_custkey AS title, 'https://www.tenderned.nl/p' || c_custkey AS \"briefPdfUrl\" FROM customer WHERE c_custkey < 60 AND c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+@query("tenderned_notices", "SELECT 'https://base.org/' || c_custkey AS source_url, CAST(c_custkey AS VARCHAR) AS \"noticeId\", 'Architect museum ' || c_custkey AS title, 'https://www.tenderned.nl/p' || c_custkey AS \"briefPdfUrl\" FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
 def tenderned_notices(spark, sf):
     k, c = F.col("c_custkey"), table(spark, sf, "customer")
     kind = lambda x: F.struct(F.lit(x).alias("code"))
-    pages = _landed(c, "c_custkey", "content", 10, publicatieId=k.cast("string"), typePublicatie=F.struct(F.when(k % 2 == 0, "AAO").otherwise("VOR").alias("code")), typeOpdracht=kind("D"), publicatiestatus=kind("PUB"), sluitingsDatum=F.lit("1998-07-01"), aanbestedingNaam=F.when(k % 3 == 0, "Architect uitzendkrachten").otherwise("Architect"))
+    pages = _landed(c, "c_custkey", "content", _PAGE, publicatieId=k.cast("string"), typePublicatie=F.struct(F.when(k % 2 == 0, "AAO").otherwise("VOR").alias("code")), typeOpdracht=kind("D"), publicatiestatus=kind("PUB"), sluitingsDatum=F.lit("1998-07-01"), aanbestedingNaam=F.when(k % 3 == 0, "Architect uitzendkrachten").otherwise("Architect"))
     details = c.select(k.cast("string").alias("id"), F.to_json(F.struct(F.concat(F.lit("Architect museum "), k.cast("string")).alias("aanbestedingNaam"), F.struct(F.struct(F.concat(F.lit("/p"), k.cast("string")).alias("href")).alias("pdf")).alias("links"))).alias("payload"))
-    return _got(definitions.tenderned(pages, details, S, limit=_ALL), "noticeId", "title", "briefPdfUrl")
+    return _got(definitions.tenderned(pages, details, S, limit=_ALL, most=_ALL), "noticeId", "title", "briefPdfUrl")
 
 
 # --- notice rules --------------------------------------------------------------------------------

@@ -117,10 +117,10 @@ def section_items(sections: Column) -> Column:
     return F.flatten(F.transform(sections, lambda x: F.coalesce(F.try_variant_get(x, "$.items", "array<variant>"), F.array().cast("array<variant>"))))
 
 
-def anac(pages: DataFrame, source: Source, limit: int = 20, start: date | None = None) -> DataFrame:
-    """Notices whose fields lie in the sections of a template, at most five pages of them."""
+def anac(pages: DataFrame, source: Source, limit: int = 20, start: date | None = None, most: int = 5) -> DataFrame:
+    """Notices whose fields lie in the sections of a template, of at most so many pages."""
     v, t = F.col("v"), F.col("t")
-    rows = _items(pages.filter("page < 5"), "content").withColumn("t", F.try_variant_get(v, "$.template[0].template", "variant"))
+    rows = _items(pages.filter(F.col("page") < most), "content").withColumn("t", F.try_variant_get(v, "$.template[0].template", "variant"))
     sections = F.coalesce(F.try_variant_get(t, "$.sections", "array<variant>"), F.array().cast("array<variant>"))
     rows = rows.withColumns({"sections": sections, "items": section_items(sections)})
     head = F.get("items", F.lit(0))
@@ -142,11 +142,11 @@ def notice_page(notice: Column, result: Column) -> Column:
     return F.concat(F.lit("https://pubblicitalegale.anticorruzione.it/"), F.when(result, "esiti").otherwise("bandi"), F.lit("/"), clean, F.lit("?ricercaArchivio=true"))
 
 
-def doffin(pages: DataFrame, details: DataFrame, source: Source, limit: int = 20, start: date | None = None) -> DataFrame:
-    """Hits of a faceted search, at most five pages up to a short one, with their details by id."""
+def doffin(pages: DataFrame, details: DataFrame, source: Source, limit: int = 20, start: date | None = None, most: int = 5, size: int | None = None) -> DataFrame:
+    """Hits of a faceted search, at most so many pages up to a short one, with their details by id."""
     v, d = F.col("v"), F.col("d")
-    size = page_size(limit, 3, 20)
-    rows = _items(until_short(pages.filter("page BETWEEN 1 AND 5"), "hits", size), "hits").withColumn("notice", text.or_null(F.trim(semi.at(v, "id"))))
+    size = size or page_size(limit, 3, 20)
+    rows = _items(until_short(pages.filter(F.col("page").between(1, most)), "hits", size), "hits").withColumn("notice", text.or_null(F.trim(semi.at(v, "id"))))
     met = listed_details(rows, _details(details), "notice", F.col("notice").isNotNull())
     either = lambda *paths: F.coalesce(semi.first_value(d, list(paths)), semi.first_value(v, list(paths)))
     title, described, published = either("heading"), F.coalesce(either("description"), F.lit("")), dates.parse_date(either("publicationDate"))
@@ -157,10 +157,10 @@ def doffin(pages: DataFrame, details: DataFrame, source: Source, limit: int = 20
     return documents(_first(met, fit, limit), source, page, title=title, buyer=either("buyer[0].name"), noticeId=F.col("notice"), deadline=dates.parse_date(either("deadline")), estimatedValueEur=money.euro_only(amount, currency), estimatedValueText=money.amount_text(amount, currency, semi.at(d, "core.estimatedValue.fullLocalizedText")), summary=described, officialUrl=page, cpv=codes, opportunityType=F.lit("public_design_services_procurement"), procedureType=F.coalesce(semi.first_value(d, ["noticeType"]), semi.first_value(v, ["type"])), implementationPath=F.lit("service_contract_award_after_competitive_selection"), evidenceLevel=F.lit("official_notice"), publishedAt=published.cast("string"))
 
 
-def tenderned(pages: DataFrame, details: DataFrame, source: Source, limit: int = 20, start: date | None = None) -> DataFrame:
-    """Open service publications, six pages at most; a cheap title rule before the details, the full one after."""
+def tenderned(pages: DataFrame, details: DataFrame, source: Source, limit: int = 20, start: date | None = None, most: int = 6) -> DataFrame:
+    """Open service publications of at most so many pages; a cheap title rule before the details, the full one after."""
     v, d = F.col("v"), F.col("d")
-    rows = _items(pages.filter("page < 6"), "content").withColumn("notice", text.or_null(F.trim(semi.at(v, "publicatieId"))))
+    rows = _items(pages.filter(F.col("page") < most), "content").withColumn("notice", text.or_null(F.trim(semi.at(v, "publicatieId"))))
     published = dates.parse_date(semi.at(v, "publicatieDatum"))
     listed = _words(semi.at(v, "aanbestedingNaam"), semi.at(v, "opdrachtBeschrijving"))
     kind = (semi.at(v, "typePublicatie.code") == "AAO") & (semi.at(v, "typeOpdracht.code") == "D") & (semi.at(v, "publicatiestatus.code") == "PUB") & semi.first_value(v, ["sluitingsDatum"]).isNotNull()

@@ -149,6 +149,11 @@ def record_status(url: Column, title: Column, code: Column, kind: Column, source
     return F.when(gone, "archived").otherwise("discovered")
 
 
+def announcement_changes(df: DataFrame, announces: Column, organizer: str, order: list[Column], most: int | None = None) -> DataFrame:
+    """(id, status) of a feed's open records that only announce a notice: they are discarded."""
+    return backfill(status_candidates(df, organizer), "status", F.when(announces, "discarded").otherwise(F.col("status")), order, most)
+
+
 def geocode_changes(df: DataFrame, answers: DataFrame, key: str, columns: list[str], order: list[Column], limit: int = 50) -> DataFrame:
     """(key, columns) of the records that answers change: six times as many are looked at as may change."""
     looked = df.orderBy(*order).limit(6 * limit)
@@ -165,6 +170,19 @@ def removed(rows: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~hit), rows.agg((F.count_if(hit) > 0).alias("changed"))
 
 
+def watched_ids(entries: DataFrame, workspace: str) -> DataFrame:
+    """All ids that a workspace watches, in the order of listing()."""
+    return entries.filter(F.col("workspace_key") == workspace).orderBy(F.desc("updated_at"), F.desc("opportunity_id")).select("opportunity_id")
+
+
+def with_watched(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked (workspace_key, opportunity_id) with watched: whether the workspace watches it. Blank space around either doesn't count."""
+    known = entries.select("workspace_key", "opportunity_id").distinct().withColumn("_there", F.lit(True))
+    clean = asked.withColumns({"_w": F.trim("workspace_key"), "_o": F.trim("opportunity_id")})
+    met = clean.join(known.withColumnsRenamed({"workspace_key": "_kw", "opportunity_id": "_ko"}), (F.col("_w") == F.col("_kw")) & (F.col("_o") == F.col("_ko")), "left")
+    return met.select(*asked.columns, F.coalesce("_there", F.lit(False)).alias("watched"))
+
+
 def listing(rows: DataFrame, workspace: str, limit: int = 50) -> DataFrame:
     """A workspace's saved searches or watched ids, the last touched first."""
     return rows.filter(F.col("workspace_key") == workspace).orderBy(F.desc("updated_at"), F.desc("id" if "id" in rows.columns else "opportunity_id")).limit(limit)

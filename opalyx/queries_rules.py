@@ -825,3 +825,19 @@ def facet_sets(spark, sf):
     o = opportunities(spark, sf).filter("estimated_contract_value_eur >= 200000").withColumns({"design_scopes": one(["scheme", "planning", "interior_design"]), "project_modes": one(["extension", "new_build"]), "building_categories": one(["housing", "education"]), "project_types": one(["building_project", "urban_planning"])})
     out = Q.facets(o, Q.Query(design_scopes=["preliminary"]))
     return out.select(*(F.array_join(c, "|").alias(c) for c in ("design_scopes", "project_modes", "building_categories", "project_types")), "total")
+
+
+@query("announcement_backfill", f"""{V} SELECT id, 'discarded' AS status FROM v WHERE id % 3 > 0 AND status NOT IN ('archived', 'discarded') AND (id % 12) < 9""")
+def announcement_backfill(spark, sf):
+    """A feed's open records whose summary only announces a notice."""
+    summary = F.concat_ws(" ", "title", F.get(F.array(*map(F.lit, _PHRASES)), (F.col("id") % 12).cast("int")))
+    o = opportunities(spark, sf).withColumns({"organizer": F.when(F.col("id") % 3 > 0, "GETS Open Tenders").otherwise("Other"), "w": text.plain_text(summary)})
+    return store.announcement_changes(o, connectors.feed_judged(F.col("w"))["announces"], "GETS Open Tenders", [F.asc("id")])
+
+
+@query("watch_membership", "SELECT o_orderkey AS id, 'w' || (o_orderkey % 3) AS workspace_key, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 40 AND l_suppkey % 3 = o_orderkey % 3) AS watched FROM orders")
+def watch_membership(spark, sf):
+    """Whether each workspace watches an opportunity."""
+    entries = table(spark, sf, "lineitem").filter("l_quantity >= 40").select(F.concat(F.lit("w"), (F.col("l_suppkey") % 3).cast("string")).alias("workspace_key"), F.col("l_orderkey").cast("string").alias("opportunity_id"))
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("w"), (F.col("o_orderkey") % 3).cast("string")).alias("workspace_key"), F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("opportunity_id"))
+    return store.with_watched(asked, entries).select("id", "workspace_key", "watched")

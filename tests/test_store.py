@@ -112,3 +112,21 @@ def test_codes_of_every_row(spark, tmp_path):
     assert made == {7: "71200000 71240007", 1_000_000: "71200000 71241000", 12_345_678_901: "71200000 71241234", None: None}
     found = {r.doc_id: r.codes for r in queries.QUERIES["code_extract_text"](spark, str(tmp_path)).collect()}
     assert found == {7: "45000000 71200000", 1_000_000: "71240000", 12_345_678_901: "", None: "98341000"}
+
+
+def test_announcements_are_discarded(spark):
+    from opalyx.functions import text
+    from opalyx.sources import connectors
+
+    notice = "This Notice of Information (NOI) – Advance Notice is provided as an early indication only and is NOT the commencement of a tender process."
+    rows = [("a", "GETS Open Tenders", "discovered", "Shared Use Path", notice), ("b", "GETS Open Tenders", "discovered", "Utilities Investigation", "This Request for Tender invites suitable qualified companies."), ("c", "Other", "discovered", "x", notice), ("d", "GETS Open Tenders", "archived", "x", notice)]
+    df = spark.createDataFrame(rows, "id string, organizer string, status string, title string, eligibility_summary string")
+    announces = connectors.feed_judged(text.plain_text(F.concat_ws(" ", "title", "eligibility_summary")))["announces"]
+    assert [tuple(r) for r in store.announcement_changes(df, announces, "GETS Open Tenders", [F.asc("id")], 10).collect()] == [("a", "discarded")]
+
+
+def test_watched_ids_and_membership(spark):
+    entries = spark.createDataFrame([("w", "a", 1), ("w", "b", 3), ("w", "c", 3), ("x", "a", 9)], "workspace_key string, opportunity_id string, updated_at int")
+    assert [r[0] for r in store.watched_ids(entries, "w").collect()] == ["c", "b", "a"]
+    asked = spark.createDataFrame([(" w ", "a"), ("x", "b"), (None, "a"), ("w", None)], "workspace_key string, opportunity_id string")
+    assert {(r.workspace_key, r.opportunity_id): r.watched for r in store.with_watched(asked, entries).collect()} == {(" w ", "a"): True, ("x", "b"): False, (None, "a"): False, ("w", None): False}

@@ -40,7 +40,7 @@ def csv_notices(spark, sf):
     none = F.lit(None).cast("string")
     rows = table(spark, sf, "customer").select(k.cast("string").alias("id_avviso"), F.concat(F.when(k % 3 == 0, "Progettazione museo ").otherwise("Stampa museo "), "c_name").alias("descrizione_avviso"), F.lit("1998-05-01").alias("data_pubblicazione_scp"), F.lit("Avviso").alias("tipo_avviso"), F.lit("Comune").alias("denominazione_stazione_appaltante"), F.concat(F.lit(" https://n.org/"), k.cast("string")).alias("url_avviso"), F.lit("1998-07-01").alias("scadenza_avviso"))
     rows = rows.withColumns({c: none for c in ("importo_lotto", "cpv", "descrizione_cpv", "scadenza") if c not in rows.columns})
-    return _got(connectors.contract_notices_csv(rows, S, limit=_ALL), "officialNoticeId", "title")
+    return _got(connectors.contract_notices_csv(rows, S, limit=None), "officialNoticeId", "title")
 
 
 @query("sitemap_urls", "SELECT 'https://s' || p_size || '.org/map.xml' AS root, 'https://s' || p_size || '.org/page' || p_partkey AS url FROM part")
@@ -72,7 +72,7 @@ def ted_notices(spark, sf):
     k = F.col("c_custkey")
     title = F.concat(F.when(k % 4 == 0, "Architectural services ").when(k % 4 == 1, "Architecture construction work ").when(k % 4 == 2, "Cleaning ").otherwise("Works "), k.cast("string"))
     pages = _landed(table(spark, sf, "customer"), "c_custkey", "notices", 500, **{"notice-title": F.struct(title.alias("eng")), "classification-cpv": F.array(F.when(k % 4 == 3, "71200000").otherwise("45000000")), "publication-number": F.concat(F.lit("T-"), k.cast("string")), "organisation-name-buyer": F.struct(F.array("c_mktsegment").alias("eng")), "links": F.struct(F.struct(F.concat(F.lit("https://t.org/"), k.cast("string")).alias("ENG")).alias("html"))})
-    return _got(definitions.ted(pages, S, limit=_ALL), "noticeId", "title", "buyer")
+    return _got(definitions.ted(pages, S, limit=None), "noticeId", "title", "buyer")
 
 
 @query("boamp_notices", "SELECT 'https://b.org/' || c_custkey AS source_url, 'Architecte ' || c_custkey AS title, '71200000' AS codes, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS DOUBLE) END AS amount FROM customer WHERE c_custkey % 3 <> 0")
@@ -81,7 +81,7 @@ def boamp_notices(spark, sf):
     k = F.col("c_custkey")
     nested = F.to_json(F.struct(F.struct(F.when(k % 2 == 0, "EUR").otherwise("CHF").alias("@currencyID"), k.cast("double").cast("string").alias("#text")).alias("montant"), F.lit("71200000-1").alias("cpv")))
     pages = _landed(table(spark, sf, "customer"), "c_custkey", "results", 500, objet=F.concat(F.lit("Architecte "), k.cast("string")), nomacheteur=F.col("c_name"), nature_libelle=F.when(k % 3 == 0, "Résultat de marché").otherwise("Avis"), dateparution=F.lit("1998-05-01"), donnees=nested, url=F.concat(F.lit("https://b.org/"), k.cast("string")), descripteur_libelle=F.array(F.lit("Building")))
-    got = definitions.boamp(pages, S, limit=_ALL)
+    got = definitions.boamp(pages, S, limit=None)
     v = F.parse_json("payload")
     return got.select("source_url", semi.at(v, "title").alias("title"), semi.at(v, "cpv[0]").alias("codes"), semi.at(v, "estimatedValueEur", "double").alias("amount"))
 
@@ -92,7 +92,7 @@ def simap_notices(spark, sf):
     pages = _landed(c, "c_custkey", "projects", 500, id=k.cast("string"), pubType=F.when(k % 2 == 0, "competition").otherwise("tender"), title=F.struct(F.concat(F.lit("Architettura "), k.cast("string")).alias("it")), publicationNumber=F.concat(F.lit("L-"), k.cast("string")), publicationDate=F.lit("1998-05-01"))
     detail = F.to_json(F.struct(F.struct(F.struct(F.struct(F.lit("City").alias("de")).alias("city")).alias("procOfficeAddress")).alias("project-info"), F.struct(F.concat(F.lit("P-"), k.cast("string")).alias("publicationNumber")).alias("base")))
     details = c.filter(k % 4 == 0).select(k.cast("string").alias("id"), detail.alias("payload"))
-    return _got(definitions.simap(pages, details, S, limit=_ALL), "title", "officialNoticeId", "location")
+    return _got(definitions.simap(pages, details, S, limit=None), "title", "officialNoticeId", "location")
 
 
 @query("anac_notices", f"SELECT 'https://pubblicitalegale.anticorruzione.it/' || CASE WHEN c_custkey % 2 = 0 THEN 'esiti/' ELSE 'bandi/' END || c_custkey || '?ricercaArchivio=true' AS source_url, CAST(c_custkey AS VARCHAR) AS \"officialNoticeId\", 'Restauro architettonico ' || c_custkey AS title, c_name AS buyer, CAST(c_custkey AS VARCHAR) AS \"estimatedValueEur\" FROM customer WHERE c_custkey % 5 <> 0")
@@ -103,7 +103,7 @@ def anac_notices(spark, sf):
     title = F.when(k % 5 == 0, "Stampa").otherwise(F.concat(F.lit("Restauro architettonico "), k.cast("string")))
     template = F.array(F.struct(F.struct(F.struct(title.alias("titolo")).alias("metadata"), sections.alias("sections")).alias("template")))
     pages = _landed(table(spark, sf, "customer"), "c_custkey", "content", _PAGE, idAvviso=k.cast("string"), codiceScheda=F.when(k % 2 == 0, "AD5").otherwise("P1"), dataPubblicazione=F.lit("1998-05-01"), template=template)
-    return _got(definitions.anac(pages, S, limit=_ALL, most=_ALL), "officialNoticeId", "title", "buyer", "estimatedValueEur")
+    return _got(definitions.anac(pages, S, limit=None, most=_ALL), "officialNoticeId", "title", "buyer", "estimatedValueEur")
 
 
 @query("doffin_notices", "SELECT 'https://www.doffin.no/notices/' || c_custkey AS source_url, CASE WHEN c_custkey % 2 = 0 THEN 'Arkitekt school ' ELSE 'Landskap architect ' END || c_custkey AS title, c_name AS buyer FROM customer WHERE c_custkey % 3 <> 0")
@@ -113,7 +113,7 @@ def doffin_notices(spark, sf):
     pages = _landed(c, "c_custkey", "hits", _PAGE, id=k.cast("string"), heading=F.lit("listed"), buyer=F.array(F.struct(F.col("c_name").alias("name"))))
     pages = pages.withColumn("page", F.col("page") + 1)
     details = c.select(k.cast("string").alias("id"), F.to_json(F.struct(heading.alias("heading"), F.when(k % 3 == 0, "logo").otherwise("architect building").alias("description"))).alias("payload"))
-    got = definitions.doffin(pages, details, S, limit=_ALL, most=_ALL, size=_PAGE)
+    got = definitions.doffin(pages, details, S, limit=None, most=_ALL, size=_PAGE)
     return _got(got, "title", "buyer")
 
 
@@ -123,7 +123,7 @@ def tenderned_notices(spark, sf):
     kind = lambda x: F.struct(F.lit(x).alias("code"))
     pages = _landed(c, "c_custkey", "content", _PAGE, publicatieId=k.cast("string"), typePublicatie=F.struct(F.when(k % 2 == 0, "AAO").otherwise("VOR").alias("code")), typeOpdracht=kind("D"), publicatiestatus=kind("PUB"), sluitingsDatum=F.lit("1998-07-01"), aanbestedingNaam=F.when(k % 3 == 0, "Architect uitzendkrachten").otherwise("Architect"))
     details = c.select(k.cast("string").alias("id"), F.to_json(F.struct(F.concat(F.lit("Architect museum "), k.cast("string")).alias("aanbestedingNaam"), F.struct(F.struct(F.concat(F.lit("/p"), k.cast("string")).alias("href")).alias("pdf")).alias("links"))).alias("payload"))
-    return _got(definitions.tenderned(pages, details, S, limit=_ALL, most=_ALL), "noticeId", "title", "briefPdfUrl")
+    return _got(definitions.tenderned(pages, details, S, limit=None, most=_ALL), "noticeId", "title", "briefPdfUrl")
 
 
 # --- notice rules --------------------------------------------------------------------------------

@@ -59,13 +59,13 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
 
 
-def contract_notices_csv(rows: DataFrame, source: Source, limit: int = 20, start: date | None = None) -> DataFrame:
+def contract_notices_csv(rows: DataFrame, source: Source, limit: int | None = 20, start: date | None = None) -> DataFrame:
     """One language, buyers by allow-list; the latest publications first, those without a date last."""
     c = F.col
     title = text.or_null(F.trim(c("descrizione_avviso")))
     published, plain = dates.parse_date(c("data_pubblicazione_scp")), text.plain_text(title)
     kept = rows.withColumn("_p", published).filter(title.isNotNull() & is_relevant([title, c("tipo_avviso"), c("denominazione_stazione_appaltante")]) & buyer_allowed(c("denominazione_stazione_appaltante"), source.buyer_allowlist) & (built_context(title) | rules.any_of(plain, ["architett", "progettazione", "maitrise d oeuvre"])) & since(F.col("_p"), start))
-    top = kept.orderBy(F.col("_p").desc_nulls_last(), c("id_avviso")).limit(limit)
+    top = kept if limit is None else kept.orderBy(F.col("_p").desc_nulls_last(), c("id_avviso")).limit(limit)
     return documents(top, source, c("url_avviso"), officialNoticeId=c("id_avviso"), title=title, buyer=F.trim(c("denominazione_stazione_appaltante")), procedureType=c("tipo_avviso"), deadline=dates.parse_date(c("scadenza_avviso")), publicationDate=F.col("_p").cast("string"), summary=c("tipo_avviso"), url=c("url_avviso"))
 
 

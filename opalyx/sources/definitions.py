@@ -57,18 +57,20 @@ def _details(details: DataFrame) -> DataFrame:
     return details.select(F.col("id").alias("notice"), F.try_parse_json("payload").alias("d"))
 
 
-def _first(items: DataFrame, keep: Column, limit: int) -> DataFrame:
-    return items.filter(keep).orderBy("page", "at").limit(limit)
+def _first(items: DataFrame, keep: Column, limit: int | None) -> DataFrame:
+    """The first of the items that fit; without a limit all of them."""
+    kept = items.filter(keep)
+    return kept if limit is None else kept.orderBy("page", "at").limit(limit)
 
 
 def _words(*columns: Column) -> Column:
     return text.plain_text(F.concat_ws(" ", *columns))
 
 
-def ted(pages: DataFrame, source: Source, limit: int = 20) -> DataFrame:
+def ted(pages: DataFrame, source: Source, limit: int | None = 20) -> DataFrame:
     """The server filters by code and date; the limit is the server's, so the title rule comes after it."""
     v = F.col("v")
-    rows = _items(pages, "notices").orderBy("page", "at").limit(limit)
+    rows = _first(_items(pages, "notices"), F.lit(True), limit)
     title = semi.localized(v, "notice-title", ("eng", "ENG"))
     codes = F.array_distinct(F.filter(F.transform(semi.at(v, "classification-cpv", "array<string>"), lambda c: F.trim(c)), lambda c: c != ""))
     codes, plain = F.coalesce(codes, F.array().cast("array<string>")), text.plain_text(title)
@@ -79,7 +81,7 @@ def ted(pages: DataFrame, source: Source, limit: int = 20) -> DataFrame:
     return documents(kept, source, url, title=title, noticeId=F.coalesce(first("publication-number"), first("notice-identifier")), buyer=F.coalesce(semi.localized(v, "organisation-name-buyer", ("eng", "ENG")), F.lit("Unknown authority")), procedureType=F.coalesce(first("procedure-type"), F.lit("open")), deadline=first("deadline-receipt-expressions-date-lot"), estimatedValueEur=first("estimated-value-lot"), cpv=codes, publicationDate=first("publication-date"))
 
 
-def boamp(pages: DataFrame, source: Source, limit: int = 20, start: date | None = None) -> DataFrame:
+def boamp(pages: DataFrame, source: Source, limit: int | None = 20, start: date | None = None) -> DataFrame:
     """A field of each row is a JSON text of its own; result notices go; the limit counts what is left."""
     v = F.col("v")
     title, described = text.or_null(F.trim(semi.at(v, "objet"))), F.array_join(F.coalesce(semi.at(v, "descripteur_libelle", "array<string>"), F.array().cast("array<string>")), " ")
@@ -93,7 +95,7 @@ def boamp(pages: DataFrame, source: Source, limit: int = 20, start: date | None
     return documents(kept, source, url, officialNoticeId=semi.first_value(v, ["id", "idweb"]), title=title, buyer=text.or_null(F.trim(semi.at(v, "nomacheteur"))), procedureType=semi.at(v, "procedure_libelle"), deadline=dates.parse_date(semi.at(v, "datelimitereponse")), publicationDate=published.cast("string"), estimatedValueEur=money.euro_only(amount, currency), estimatedValueText=money.amount_text(amount, currency, F.lit(None).cast("string")), cpv=semi.codes_in(F.coalesce(nested, F.lit(""))), summary=text.or_null(described), url=F.coalesce(url, F.lit(source.base_url)))
 
 
-def simap(pages: DataFrame, details: DataFrame, source: Source, limit: int = 20, start: date | None = None) -> DataFrame:
+def simap(pages: DataFrame, details: DataFrame, source: Source, limit: int | None = 20, start: date | None = None) -> DataFrame:
     """Projects of the landed pages (each names the last item of the one before) with their publications' details, by project id."""
     v, d = F.col("v"), F.col("d")
     rows = _items(pages, "projects").withColumn("notice", text.or_null(F.trim(semi.at(v, "id"))))
@@ -117,7 +119,7 @@ def section_items(sections: Column) -> Column:
     return F.flatten(F.transform(sections, lambda x: F.coalesce(F.try_variant_get(x, "$.items", "array<variant>"), F.array().cast("array<variant>"))))
 
 
-def anac(pages: DataFrame, source: Source, limit: int = 20, start: date | None = None, most: int = 5) -> DataFrame:
+def anac(pages: DataFrame, source: Source, limit: int | None = 20, start: date | None = None, most: int = 5) -> DataFrame:
     """Notices whose fields lie in the sections of a template, of at most so many pages."""
     v, t = F.col("v"), F.col("t")
     rows = _items(pages.filter(F.col("page") < most), "content").withColumn("t", F.try_variant_get(v, "$.template[0].template", "variant"))
@@ -142,10 +144,10 @@ def notice_page(notice: Column, result: Column) -> Column:
     return F.concat(F.lit("https://pubblicitalegale.anticorruzione.it/"), F.when(result, "esiti").otherwise("bandi"), F.lit("/"), clean, F.lit("?ricercaArchivio=true"))
 
 
-def doffin(pages: DataFrame, details: DataFrame, source: Source, limit: int = 20, start: date | None = None, most: int = 5, size: int | None = None) -> DataFrame:
+def doffin(pages: DataFrame, details: DataFrame, source: Source, limit: int | None = 20, start: date | None = None, most: int = 5, size: int | None = None) -> DataFrame:
     """Hits of a faceted search, at most so many pages up to a short one, with their details by id."""
     v, d = F.col("v"), F.col("d")
-    size = size or page_size(limit, 3, 20)
+    size = size or page_size(limit or 0, 3, 20)
     rows = _items(until_short(pages.filter(F.col("page").between(1, most)), "hits", size), "hits").withColumn("notice", text.or_null(F.trim(semi.at(v, "id"))))
     met = listed_details(rows, _details(details), "notice", F.col("notice").isNotNull())
     either = lambda *paths: F.coalesce(semi.first_value(d, list(paths)), semi.first_value(v, list(paths)))
@@ -157,7 +159,7 @@ def doffin(pages: DataFrame, details: DataFrame, source: Source, limit: int = 20
     return documents(_first(met, fit, limit), source, page, title=title, buyer=either("buyer[0].name"), noticeId=F.col("notice"), deadline=dates.parse_date(either("deadline")), estimatedValueEur=money.euro_only(amount, currency), estimatedValueText=money.amount_text(amount, currency, semi.at(d, "core.estimatedValue.fullLocalizedText")), summary=described, officialUrl=page, cpv=codes, opportunityType=F.lit("public_design_services_procurement"), procedureType=F.coalesce(semi.first_value(d, ["noticeType"]), semi.first_value(v, ["type"])), implementationPath=F.lit("service_contract_award_after_competitive_selection"), evidenceLevel=F.lit("official_notice"), publishedAt=published.cast("string"))
 
 
-def tenderned(pages: DataFrame, details: DataFrame, source: Source, limit: int = 20, start: date | None = None, most: int = 6) -> DataFrame:
+def tenderned(pages: DataFrame, details: DataFrame, source: Source, limit: int | None = 20, start: date | None = None, most: int = 6) -> DataFrame:
     """Open service publications of at most so many pages; a cheap title rule before the details, the full one after."""
     v, d = F.col("v"), F.col("d")
     rows = _items(pages.filter(F.col("page") < most), "content").withColumn("notice", text.or_null(F.trim(semi.at(v, "publicatieId"))))

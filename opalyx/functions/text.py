@@ -89,6 +89,15 @@ def plain_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_only, "[^a-z0-9]+", " "))
 
 
+def driver_plain(value: str) -> str:
+    """plain_text() of a value on the driver."""
+    import re
+
+    table = str.maketrans(dict(zip(FOLD_FROM, FOLD_TO + "\0" * (len(FOLD_FROM) - len(FOLD_TO)), strict=True)))
+    folded = "".join(FOLD_SEVERAL.get(x, x) for x in value).translate(table).lower()
+    return re.sub("[^a-z0-9]+", " ", "".join(x for x in folded if x.isascii() and x != "\0")).strip()
+
+
 def lookup_key(c: Column) -> Column:
     """Key for alias lookups: folded ASCII with runs of other characters as one underscore; empty becomes null."""
     ascii_only = F.regexp_replace(fold(compact(c)), r"[^\x00-\x7f]", "")

@@ -198,3 +198,15 @@ def test_page_scores_of_a_city_page(spark):
     title = "Lotissement Herbstweg, rénovation partielle et densification ; concours ouvert"
     got = spark.range(1).select(parsers.url_score(F.lit(url), F.array(F.lit("herbstweg"))).alias("u"), parsers.page_score(F.lit(url), F.lit("<title>Wohnsiedlung Herbstweg</title><p>Amt fuer Hochbauten</p>"), F.lit(title), F.lit("HBD - Amt für Hochbauten (AHB)")).alias("p")).first()
     assert got.u == 9 + 15 + 10 and got.p == got.u + 4 * 9 + len("hochbauten")
+
+
+def test_allow_list_of_many_buyers(spark):
+    from opalyx.functions import text
+
+    names = [f"Comune n. {k}" for k in range(1_500)] + ["Città di Forlì", "Straße & Söhne", "ﬁnance Ⅻ"]
+    assert {r.t: r.p for r in spark.createDataFrame([(n,) for n in names[-5:]], "t string").select("t", text.plain_text(F.col("t")).alias("p")).collect()} == {n: text.driver_plain(n) for n in names[-5:]}
+    buyers = ["COMUNE N 1499 - ufficio", "comune n x", "La CITTA DI FORLI'", "Strasse", "stra e sohne", None, ""]
+    df = spark.createDataFrame([(b,) for b in buyers], "b string").select("b", connectors.buyer_allowed(F.col("b"), names).alias("ok"))
+    plain = {b: any(text.driver_plain(n) in text.driver_plain(b or "") for n in names) for b in buyers}
+    assert {r.b: r.ok for r in df.collect()} == plain and plain["COMUNE N 1499 - ufficio"] and not plain["comune n x"]
+    assert df.sparkSession.range(1).select(connectors.buyer_allowed(F.lit("x"), ["--"]).alias("a"), connectors.buyer_allowed(F.lit("x"), []).alias("b")).first() == (True, True)

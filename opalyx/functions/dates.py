@@ -107,10 +107,14 @@ def best_deadline_in_group(score: Column, day: Column, published: Column, early:
 
 def label_score(c: Column, labels: dict[str, int], extra: list[tuple[tuple[str, ...], int]] = ()) -> Column:
     """Score of the first label, in the order given, that a text holds, and what further words add."""
-    first = F.coalesce(*(F.when(c.contains(m), F.lit(n)) for m, n in labels.items()), F.lit(0))
-    for words, n in extra:
-        first = first + F.when(rules.any_of(c, words), F.lit(n)).otherwise(F.lit(0))
-    return first
+
+    def scored(hits: Column) -> Column:
+        score = F.coalesce(*(F.when(F.array_contains(hits, m), F.lit(n)) for m, n in labels.items()), F.lit(0))
+        for words, n in extra:
+            score = score + F.when(rules.any_hit(hits, words), F.lit(n)).otherwise(F.lit(0))
+        return F.when(F.size(hits) == 0, 0).otherwise(score)
+
+    return bind(rules.Markers(labels, *(words for words, _ in extra)).hits(c), scored)
 
 
 def deadline_candidates(c: Column, *, labels: dict[str, int], extra: list[tuple[tuple[str, ...], int]], forms: list[str], phrases: list[str], before: int = 48, after: int = 24) -> Column:
@@ -123,15 +127,15 @@ def deadline_candidates(c: Column, *, labels: dict[str, int], extra: list[tuple[
 
     def of_line(line: Column) -> Column:
         days = F.concat(*(F.regexp_extract_all(line, F.lit(f), F.lit(1)) for f in forms))
-        return bind(score(line), lambda n: F.transform(days, lambda d: dated(n, d)))
+        none = F.array().cast("array<struct<score:int,day:date>>")
+        return bind(score(line), lambda n: F.when(n > 0, F.transform(days, lambda d: dated(n, d))).otherwise(none))
 
     def of_phrase(t: Column, phrase: str) -> Column:
         return F.transform(located(t, phrase, 1), lambda m: dated(bind(score(window(t, m["start"], m["end"], before, after)), lambda n: F.when(n > 0, n).otherwise(1)), m["value"]))
 
     def found(t: Column) -> Column:
-        lines = F.filter(F.split(t, LINES), lambda x: score(x) > 0)
-        every = F.concat(F.flatten(F.transform(lines, of_line)), *(of_phrase(t, p) for p in phrases))
+        every = F.concat(F.flatten(F.transform(F.split(t, LINES), of_line)), *(of_phrase(t, p) for p in phrases))
         return F.filter(every, lambda x: x["day"].isNotNull())
 
-    wide = F.translate(F.coalesce(c, F.lit("")), _WIDE, "0123456789")
-    return bind(wide, found)
+    narrow = lambda t: F.when(t.rlike(f"[{_WIDE}]"), F.translate(t, _WIDE, "0123456789")).otherwise(t)
+    return bind(bind(F.coalesce(c, F.lit("")), narrow), found)

@@ -84,7 +84,8 @@ GENERATED_SCORE = -20
 _DAY = rf"((?:\d{WS}*){{4}}年{WS}*\d{{1,2}}{WS}*月{WS}*\d{{1,2}}{WS}*日(?:{WS}*\d{{1,2}}{WS}*[时点:：]{WS}*\d{{1,2}}(?:{WS}*分)?)?)"
 _ISO = rf"(\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:{WS}+\d{{1,2}}:\d{{2}}(?::\d{{2}})?)?)"
 _ISO_TIME = rf"(\d{{4}}-\d{{1,2}}-\d{{1,2}}{WS}+\d{{1,2}}:\d{{2}}(?::\d{{2}})?)"
-_LABELLED = f"(?:{'|'.join(DEADLINE_STARTS)})[^0-9]{{0,16}}"
+# The look-ahead, from the least to the greatest first character, changes no match but spares the engine most places.
+_LABELLED = f"(?=[{min(m[0] for m in DEADLINE_STARTS)}-{max(m[0] for m in DEADLINE_STARTS)}])(?:{'|'.join(DEADLINE_STARTS)})[^0-9]{{0,16}}"
 DEADLINES = {
     "labels": DEADLINE_LABELS,
     "extra": DEADLINE_EXTRA,

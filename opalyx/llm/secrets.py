@@ -11,9 +11,10 @@ and is a span of the kind random where the score is at least BITS, and PER_CHAR
 Labelled samples: random are the keys that the base patterns found anywhere in the corpus and
 GENERATED strings of each of four forms (hexadecimal, base64, its URL form, capitals with digits),
 written from SHA-256 digests; ordinary are the words and identifiers, outside base spans, of the first
-SAMPLE_CHARS characters of at most SAMPLE_DOCS documents, those with the least hashes. The transitions
-are counted by Spark; two tables of some 4,600 counts come to the driver, whatever the corpus, and go
-back as one array of milli-bits inside the expression. Nothing is shuffled but those counts.
+SAMPLE_CHARS characters of at most SAMPLE_DOCS differing texts, those with the least hashes. The
+transitions are counted by Spark; two tables of some 4,600 counts come to the driver, whatever the
+corpus, and go back as one array of milli-bits inside the expression. Nothing is shuffled but those
+counts, the hashes of texts and the sample.
 
 Patterns are written without backtracking; each is equal to the plain form of its contract.
 
@@ -103,7 +104,10 @@ def samples(docs: DataFrame, text: str = "text", *, generated: int = GENERATED,
     code = F.base64(digest)
     forms = F.array(F.lower(F.hex(digest)), code, F.translate(code, "+/", "-_"), F.upper(F.regexp_replace(code, "[^A-Za-z0-9]", "")))
     made = docs.sparkSession.range(generated).select(F.explode(F.transform(forms, lambda f: F.substring(f, 1, 40))).alias("token"))
-    some = docs.select(F.xxhash64(t).alias("h"), F.substring(t, 1, sample_chars).alias("t")).orderBy("h", "t").limit(sample_docs)
+    # The cut among the hashes first, so that no task gathers texts; copies of a text are one.
+    hashed = docs.select(F.xxhash64(t).alias("h"), F.substring(t, 1, sample_chars).alias("t"))
+    cut = hashed.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h").alias("h")).first()["h"]
+    some = hashed.filter(F.col("h") <= F.lit(cut).cast("long")).groupBy("h").agg(F.min("t").alias("t"))
     words = F.regexp_extract_all(_outside(F.col("t"), base_spans(F.col("t"))), F.lit(f"{_RUN}{{{SHORTEST},}}+"), F.lit(0))
     plain = some.select(F.explode(words).alias("token"))
     named = lambda df, yes: df.select(F.lit(yes).alias("random"), F.regexp_replace("token", "[^A-Za-z0-9+/_=-]", "").alias("token")).filter("token <> ''")

@@ -533,6 +533,11 @@ def professional_items(spark, sf):
     return shown.select("id", "title", "deadline_label", F.lit(bool(set(shown.columns) & set(Q.INTERNAL))).alias("has_internal"))
 
 
+def _where_any(values):
+    """Rows whose array isn't empty, with the array; a filter on it would compute it twice."""
+    return F.explode(text.bind(values, lambda x: F.when(F.size(x) > 0, F.array(x))))
+
+
 # --- many markers in one scan --------------------------------------------------------------------
 _SYLLABLES = ["er", "or", "th", "in", "an", "he", "re", "on", "it", "ti"]
 
@@ -542,7 +547,7 @@ _SYLLABLES = ["er", "or", "th", "in", "an", "he", "re", "on", "it", "ti"]
 def allow_list_names(spark, sf):
     """Which of 1,000 names each document's whole text holds."""
     names = rules.Markers(a + b + c for a in _SYLLABLES for b in _SYLLABLES for c in _SYLLABLES)
-    d = table(spark, sf, "documents").select("doc_id", F.array_sort(names.hits(F.lower("text"))).alias("h")).filter(F.size("h") > 0)
+    d = table(spark, sf, "documents").select("doc_id", _where_any(F.array_sort(names.hits(F.lower("text")))).alias("h"))
     return d.select("doc_id", F.array_join("h", " ").alias("names"), F.size("h").alias("n"))
 
 
@@ -699,7 +704,7 @@ def address_candidates(spark, sf):
     half = F.floor(F.length("text") / 2).cast("int")
     snippet = F.get(F.array(*map(F.lit, _SNIPPETS)), (F.col("doc_id") % 7).cast("int"))
     t = F.concat(F.substring(F.col("text"), F.lit(1), half), snippet, F.substring(F.col("text"), half + 1, F.length("text")))
-    d = table(spark, sf, "documents").select("doc_id", places.address_candidates(t).alias("c")).filter(F.size("c") > 0)
+    d = table(spark, sf, "documents").select("doc_id", _where_any(places.address_candidates(t)).alias("c"))
     shown = F.transform("c", lambda x: F.concat(x["kind"], F.lit(":"), x["address"], F.coalesce(F.concat(F.lit(" @ "), x["hint"]), F.lit(""))))
     return d.select("doc_id", F.array_join(shown, "|").alias("found"), F.size("c").alias("n"))
 

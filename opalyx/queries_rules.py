@@ -836,8 +836,8 @@ def facet_sets(spark, sf):
 def announcement_backfill(spark, sf):
     """A feed's open records whose summary only announces a notice."""
     summary = F.concat_ws(" ", "title", F.get(F.array(*map(F.lit, _PHRASES)), (F.col("id") % 12).cast("int")))
-    o = opportunities(spark, sf).withColumns({"organizer": F.when(F.col("id") % 3 > 0, "GETS Open Tenders").otherwise("Other"), "w": text.plain_text(summary)})
-    return store.announcement_changes(o, connectors.feed_judged(F.col("w"))["announces"], "GETS Open Tenders", [F.asc("id")])
+    o = opportunities(spark, sf).withColumns({"organizer": F.when(F.col("id") % 3 > 0, "National feed").otherwise("Other"), "w": text.plain_text(summary)})
+    return store.announcement_changes(o, connectors.feed_judged(F.col("w"))["announces"], "National feed", [F.asc("id")])
 
 
 @query("watch_membership", "SELECT o_orderkey AS id, 'w' || (o_orderkey % 3) AS workspace_key, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 40 AND l_suppkey % 3 = o_orderkey % 3) AS watched FROM orders")

@@ -118,11 +118,11 @@ def test_announcements_are_discarded(spark):
     from opalyx.functions import text
     from opalyx.sources import connectors
 
-    notice = "This Notice of Information (NOI) – Advance Notice is provided as an early indication only and is NOT the commencement of a tender process."
-    rows = [("a", "GETS Open Tenders", "discovered", "Shared Use Path", notice), ("b", "GETS Open Tenders", "discovered", "Utilities Investigation", "This Request for Tender invites suitable qualified companies."), ("c", "Other", "discovered", "x", notice), ("d", "GETS Open Tenders", "archived", "x", notice)]
+    notice = "An Advance Notice: it is an early indication only and is NOT the commencement of a tender process, says the authority."
+    rows = [("a", "National feed", "discovered", "New path along a river", notice), ("b", "National feed", "discovered", "Survey of pipes", "Firms are invited to offer the survey of a site."), ("c", "Other", "discovered", "x", notice), ("d", "National feed", "archived", "x", notice)]
     df = spark.createDataFrame(rows, "id string, organizer string, status string, title string, eligibility_summary string")
     announces = connectors.feed_judged(text.plain_text(F.concat_ws(" ", "title", "eligibility_summary")))["announces"]
-    assert [tuple(r) for r in store.announcement_changes(df, announces, "GETS Open Tenders", [F.asc("id")], 10).collect()] == [("a", "discarded")]
+    assert [tuple(r) for r in store.announcement_changes(df, announces, "National feed", [F.asc("id")], 10).collect()] == [("a", "discarded")]
 
 
 def test_watched_ids_and_membership(spark):

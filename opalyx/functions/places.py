@@ -32,6 +32,14 @@ AFTER_DASH = r"chemin|rue|route|avenue|avenues|boulevard|all[eé]e|impasse|quai|
 # Units of administration in Han script, and tails that name a site.
 HAN_UNITS, HAN_SITES = "市|县|镇|乡|街道|新区|开发区|自治州|自治县", "片区|街区|地块|小区|校区|院区|园区|基地"
 
+# Forms of places in titles, each with the place as its first group.
+HAN_LEAD = rf"^(?:\d{{4}}年)?((?:[\p{{IsHan}}]{{1,12}}(?:{HAN_UNITS}|区)){{1,4}})"
+BEFORE_ADDRESS = r",\s*([^,\d.;][^,.;]{1,79})\s*,\s*([^,.;]{1,120})\s*$"
+BEFORE_TAIL = r",\s*([^,\d.;][^,.;]{1,79})\s*,\s*(?:z|with|con|w|v|u|em|en|nel|in|na|no)\b"
+AFTER_COMMA = r",\s*(?:\d{4,5}\s+)?([^,\d.;][^,.;]{1,79})\s*$"
+AFTER_PREPOSITION = r"\b(?:a|à|au|aux|in|en|em|nel|nella|na|no|w|v|u|sur|sous|l[eè]s)\s+([^,.;()]{2,80})(?:\s*(?:\((?:[A-Z]{2}|\d{2,5})\)|\d{2,5})?\s*)$"
+MUNICIPAL_TERM = r"\bt[eé]rmino municipal de\s+(.+?)(?:\s+de la provincia|\s*[.;,]|$)"
+
 _END = r"(?:\s+v/.*|\s*\(|\s+-|$)"
 _I = "(?iuU)"
 
@@ -88,9 +96,7 @@ def first_useful(candidates: list[Column]) -> Column:
 def explicit_city(title: Column, authority: Column) -> Column:
     """The place that a notice names: in Han script at the title's head, in the authority's name, then in the title."""
     title, authority = F.coalesce(title, F.lit("")), F.coalesce(authority, F.lit(""))
-    han = _group(title, rf"^(?:\d{{4}}年)?((?:[\p{{IsHan}}]{{1,12}}(?:{HAN_UNITS}|区)){{1,4}})")
-    han = bind(han, lambda h: F.when(h.rlike(HAN_UNITS) & ~h.rlike(f"(?:{HAN_SITES})$"), h))
-    before_tail = r",\s*([^,\d.;][^,.;]{1,79})\s*,\s*([^,.;]{1,120})\s*$"
+    han = bind(_group(title, HAN_LEAD), lambda h: F.when(h.rlike(HAN_UNITS) & ~h.rlike(f"(?:{HAN_SITES})$"), h))
     parts = F.filter(F.transform(F.split(title, r"\s*[–—-]\s*"), lambda s: F.regexp_replace(s, r"^[«»\"“”'\s]+|[«»\"“”'\s]+$", "")), lambda s: s != "")
 
     def dashed(p: Column) -> Column:
@@ -105,12 +111,12 @@ def explicit_city(title: Column, authority: Column) -> Column:
         _group(authority, rf"{_I}^(?:{BEFORE_TOWN})\s+(.+?){_END}"),
         _group(authority, rf"{_I}^(.+?)\s+(?:{AFTER_PLACE}){_END}"),
         _group(authority, rf"{_I}^(.+?)\s+(?:{AFTER_TOWN}){_END}"),
-        F.when(address_like(tidy_place(F.regexp_extract(title, before_tail, 2))), _group(title, before_tail)),
-        _group(title, rf"{_I},\s*([^,\d.;][^,.;]{{1,79}})\s*,\s*(?:z|with|con|w|v|u|em|en|nel|in|na|no)\b"),
-        _group(title, r",\s*(?:\d{4,5}\s+)?([^,\d.;][^,.;]{1,79})\s*$"),
+        F.when(address_like(tidy_place(F.regexp_extract(title, BEFORE_ADDRESS, 2))), _group(title, BEFORE_ADDRESS)),
+        _group(title, _I + BEFORE_TAIL),
+        _group(title, AFTER_COMMA),
         bind(parts, lambda p: F.when(F.size(p) > 1, dashed(p))),
-        _group(title, rf"{_I}\b(?:a|à|au|aux|in|en|em|nel|nella|na|no|w|v|u|sur|sous|l[eè]s)\s+([^,.;()]{{2,80}})(?:\s*(?:\((?:[A-Z]{{2}}|\d{{2,5}})\)|\d{{2,5}})?\s*)$"),
-        _group(title, rf"{_I}\bt[eé]rmino municipal de\s+(.+?)(?:\s+de la provincia|\s*[.;,]|$)"),
+        _group(title, _I + AFTER_PREPOSITION),
+        _group(title, _I + MUNICIPAL_TERM),
     ])
 
 

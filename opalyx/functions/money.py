@@ -48,12 +48,28 @@ def euro_only(amount: Column, currency: Column) -> Column:
     return F.when(F.upper(F.trim(currency)) == "EUR", amount)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many decimals as C's printf writes it: the double itself is rounded, not its shortest
+    spelling, and what lies exactly between goes to the even digit."""
+    scale, size = 10**places, F.abs(value)
+
+    def rounded(x: Column) -> Column:
+        # The double as two halves of few bits: their products by 2 * scale and their distance from the odd number between two results are exact.
+        below, high = F.floor(x["size"] * scale), x["split"] - (x["split"] - x["size"])
+        gap = (high * (2.0 * scale) - (2 * below + 1)) + (x["size"] - high) * (2.0 * scale)
+        units = F.when((gap > 0) | ((gap == 0) & (below % 2 == 1)), below + 1).otherwise(below)
+        return F.format_string(f"%.{places}f", F.when(value < 0, -units.cast("double")).otherwise(units.cast("double")) / scale)
+
+    parts = F.struct(size.alias("size"), (size * 134217729.0).alias("split"))
+    return F.when(size < 1e12, bind(parts, rounded)).when(value.isNotNull(), F.format_string(f"%.{places}f", value))
+
+
 def value_label(value: Column, text: Column, prize: Column) -> Column:
-    millions = F.concat(F.lit("Estimated service value EUR "), F.format_string("%.2f", value / 1_000_000), F.lit("M"))
+    millions = F.concat(F.lit("Estimated service value EUR "), fixed(value / 1_000_000, 2), F.lit("M"))
     return F.when(value.isNotNull(), millions).otherwise(F.coalesce(or_null(text), or_null(prize), F.lit("Commercial value pending")))
 
 
 def fee_label(registration: Column, submission: Column) -> Column:
     free = (F.coalesce(registration, F.lit(0.0)) == 0) & (F.coalesce(submission, F.lit(0.0)) == 0)
-    part = lambda c, what: F.when(c.isNotNull(), F.concat(F.lit("EUR "), F.format_string("%.0f", c), F.lit(f" {what}")))
+    part = lambda c, what: F.when(c.isNotNull(), F.concat(F.lit("EUR "), fixed(c, 0), F.lit(f" {what}")))
     return F.when(free, "No participation fee").otherwise(F.concat_ws(" / ", part(registration, "registration"), part(submission, "submission")))

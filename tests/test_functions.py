@@ -58,6 +58,15 @@ def test_parse_amount(spark, raw, amount):
     assert one(spark, money.parse_amount, raw) == amount
 
 
+def test_numbers_are_rounded_as_printf_does(spark):
+    """Shortest spellings that end in a five: 0.435 is less than it says, 0.005 more, 0.125 exactly that."""
+    values = [0.435, 0.285, 0.845, 2.675, 0.005, 0.125, 0.375, 0.29, 1.0, 0.0, 0.995, -0.435, -0.125, 2.5e11 + 0.125, 3e15, None] + [(10_000 * i + 5_000) / 1_000_000 for i in range(200)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", money.fixed(F.col("v"), 2).alias("two"), money.fixed(F.col("v"), 0).alias("none"), money.value_label(F.col("v") * 1_000_000, F.lit(None).cast("string"), F.lit(None).cast("string")).alias("label")).collect()
+    for r in rows:
+        assert (r.two, r.none) == (None if r.v is None else f"{r.v:.2f}", None if r.v is None else f"{r.v:.0f}")
+    assert rows[0].label == "Estimated service value EUR 0.43M"
+
+
 def test_fee_and_value_labels(spark):
     row = spark.sql("select cast(null as double) a, 0.0d b, 50.0d c, 2500000.0d v").select(money.fee_label(F.col("a"), F.col("b")).alias("free"), money.fee_label(F.col("c"), F.col("a")).alias("paid"), money.value_label(F.col("v"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("v")).first()
     assert tuple(row) == ("No participation fee", "EUR 50 registration", "Estimated service value EUR 2.50M")

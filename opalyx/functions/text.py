@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, for Java's regular expressions.
-WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WIDE_WS = r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+WS = rf"[\s\x{{85}}\x{{a0}}{_WIDE_WS}]"
+#: Runs of white space other than one plain space.
+_UNEVEN = rf"[\t-\r\x{{85}}\x{{a0}}{_WIDE_WS}]{WS}*+| {WS}++"
 
 
 def _folding_table() -> tuple[str, str, dict[str, str]]:
@@ -26,7 +29,25 @@ def _folding_table() -> tuple[str, str, dict[str, str]]:
     return "".join(one) + marks, "".join(one.values()), several
 
 
+def _class_of(chars: Iterable[str]) -> str:
+    """A character class for Java's regular expressions. Java tries each part of a class in turn, so neighbours are
+    one range and a few wide ranges, asked first, spare all other characters the rest."""
+    exact, wide = [], []
+    for n in sorted(map(ord, chars)):
+        for ranges, gap in ((exact, 1), (wide, 0x400)):
+            if ranges and n - ranges[-1][1] <= gap:
+                ranges[-1][1] = n
+            else:
+                ranges.append([n, n])
+    shown = lambda ranges: "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+    return f"[{shown(wide)}&&[{shown(exact)}]]"
+
+
 FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _folding_table()
+SEVERAL_CLASS = _class_of(FOLD_SEVERAL)
+
+
+_MARK = "\x01"
 
 
 def or_null(c: Column) -> Column:
@@ -39,19 +60,29 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def located(c: Column, pattern: str, group: int = 0) -> Column:
-    """Matches in order as an array of (start, end, value): places in characters from 0, end exclusive, and a group of the match."""
+    """Matches in order as an array of (start, end, value): places in characters from 0, end exclusive, and a group of the match.
+
+    One scan writes marks around each match and its group, which part the text; a text that holds the mark itself is
+    scanned for each of the parts."""
     p = F.lit(pattern)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def placed(found: Column) -> Column:
-        between = F.transform(F.split(c, p, -1), F.length)
-        steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(b.alias("before"), F.length(m).alias("n")))
+    def placed(between: Column, found: Column, values: Column) -> Column:
+        steps = F.zip_with(found, F.slice(F.transform(between, F.length), 1, F.size(found)), lambda m, b: F.struct(b.alias("before"), F.length(m).alias("n")))
         # Where each match begins: what lies before it and before the ones before it.
         ends = F.aggregate(steps, F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + x["before"] + x["n"])))
-        values = F.regexp_extract_all(c, p, F.lit(group)) if group else found
         return F.zip_with(F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"))), values, lambda at, v: F.struct(at["start"].alias("start"), at["end"].alias("end"), v.alias("value")))
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return bind(F.regexp_extract_all(c, p, F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).when(F.size(found) == 0, none))
+    def parted(pieces: Column) -> Column:
+        every = lambda k: F.filter(pieces, lambda x, i: i % 3 == k)
+        return F.when(F.size(pieces) > 1, placed(every(0), every(1), every(2))).when(F.size(pieces) == 1, none)
+
+    def scanned(found: Column) -> Column:
+        values = F.regexp_extract_all(c, p, F.lit(group)) if group else found
+        return F.when(F.size(found) > 0, placed(F.split(c, p, -1), found, values)).when(F.size(found) == 0, none)
+
+    marked = F.split(F.regexp_replace(c, p, F.lit(f"{_MARK}$0{_MARK}${group}{_MARK}")), _MARK, -1)
+    return F.when(c.contains(_MARK), bind(F.regexp_extract_all(c, p, F.lit(0)), scanned)).otherwise(bind(marked, parted))
 
 
 def window(c: Column, start: Column, end: Column, before: int, after: int) -> Column:
@@ -60,9 +91,14 @@ def window(c: Column, start: Column, end: Column, before: int, after: int) -> Co
     return F.substring(c, low + 1, end + after - low)
 
 
+def even(c: Column) -> Column:
+    """Runs of white space as one space."""
+    return F.regexp_replace(c, _UNEVEN, " ")
+
+
 def compact(c: Column) -> Column:
     """Runs of white space as one space, trimmed; empty becomes null."""
-    return or_null(F.trim(F.regexp_replace(c, f"{WS}+", " ")))
+    return or_null(F.trim(even(c)))
 
 
 def fold(c: Column) -> Column:
@@ -70,10 +106,12 @@ def fold(c: Column) -> Column:
     spelled = F.lit(json.dumps(FOLD_SEVERAL))
 
     def folded(x: Column) -> Column:
-        expanded = bind(F.from_json(spelled, "map<string,string>"), lambda m: F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(m[y], y)), ""))
-        plain = F.when(x.rlike(f"[{''.join(FOLD_SEVERAL)}]"), expanded).otherwise(x)
+        # The few characters that a text holds are replaced one after the other: none of their forms holds another one.
+        held = F.array_distinct(F.regexp_extract_all(x, F.lit(SEVERAL_CLASS), F.lit(0)))
+        forms = lambda h: bind(F.from_json(spelled, "map<string,string>"), lambda m: F.transform(h, lambda y: F.struct(y.alias("from"), m[y].alias("to"))))
+        expanded = bind(held, lambda h: F.when(F.size(h) > 0, F.aggregate(forms(h), x, lambda s, y: F.replace(s, y["from"], y["to"]))).otherwise(x))
         # A text of as many bytes as characters is ASCII.
-        return F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.lower(F.translate(plain, FOLD_FROM, FOLD_TO)))
+        return F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.lower(F.translate(expanded, FOLD_FROM, FOLD_TO)))
 
     return bind(c, folded)
 

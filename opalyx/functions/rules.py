@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Markers up to which a text is simply named again for each.
 FEW = 4
+#: Markers up to which a text is searched for each: a plain search is much cheaper than a step of a pattern.
+SEARCHED = 100
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -34,9 +36,9 @@ def label_set(text: Column, labels: dict[str, list[str]]) -> Column:
 
 
 class Markers:
-    """Many markers found in one scan of a text, overlapping ones too.
+    """Many markers found in a text, overlapping ones too: up to SEARCHED by a search for each, more in one scan.
 
-    At each place the longest marker that begins there is taken, by a pattern that shares common
+    In the scan, at each place the longest marker that begins there is taken, by a pattern that shares common
     beginnings; the markers that lie within it are added from a table. So a text is read once, and
     weights and labels are looked up among the few markers that it holds."""
 
@@ -64,6 +66,8 @@ class Markers:
         """The markers that occur in a text, each once; none for null."""
         if not self.names:
             return F.array().cast("array<string>")
+        if len(self.names) <= SEARCHED:
+            return _once(F.coalesce(text, F.lit("")), lambda t: F.array_compact(F.array(*(F.when(t.contains(m), F.lit(m)) for m in self.names))))
         found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(1)))
         if not self.within:
             return found

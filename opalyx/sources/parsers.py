@@ -154,19 +154,29 @@ def url_score(url: Column, tokens: Column) -> Column:
     return by_words + F.when(low.endswith(".html"), 15).otherwise(0) + F.when(rules.any_of(low, PATH_WORDS), 10).otherwise(0) - F.when(low.contains("/content/dam/"), 20).otherwise(0)
 
 
+def page_texts(html: Column) -> Column:
+    """Struct (named, body): what a page's title and its text hold, as plain words."""
+    named = text.plain_text(F.regexp_extract(html, "(?i)<title>([^<]+)</title>", 1))
+    return F.struct(named.alias("named"), text.plain_text(text.strip_html(html)).alias("body"))
+
+
+def sought(title: Column, authority: Column) -> Column:
+    """Struct (tokens, buyer): the words by which a record's page is known."""
+    return F.struct(text.keywords(title, TITLE_STOPS).alias("tokens"), text.keywords(F.coalesce(authority, F.lit("")), TITLE_STOPS).alias("buyer"))
+
+
+def texts_score(url: Column, page: Column, words: Column) -> Column:
+    """page_score() of page_texts() and the words sought()."""
+    weigh = lambda ws, of: F.aggregate(ws, F.lit(0), lambda s, t: s + of(t))
+    by_title = weigh(words["tokens"], lambda t: F.when(page["named"].contains(t), 4 * F.length(t)).when(page["body"].contains(t), 2 * F.length(t)).otherwise(0))
+    by_buyer = weigh(words["buyer"], lambda t: F.when(page["body"].contains(t), F.length(t)).otherwise(0))
+    return url_score(url, words["tokens"]) + by_title + by_buyer
+
+
 def page_score(url: Column, html: Column, title: Column, authority: Column) -> Column:
     """How well a page fits a record: its address, the title's words in its title (four times) or else its text
     (twice), and the authority's words in its text; each word counts its letters."""
-    weigh = lambda words, of: F.aggregate(words, F.lit(0), lambda s, t: s + of(t))
-
-    def judged(p: Column) -> Column:
-        by_title = weigh(p["tokens"], lambda t: F.when(p["named"].contains(t), 4 * F.length(t)).when(p["body"].contains(t), 2 * F.length(t)).otherwise(0))
-        by_buyer = weigh(p["buyer"], lambda t: F.when(p["body"].contains(t), F.length(t)).otherwise(0))
-        return url_score(url, p["tokens"]) + by_title + by_buyer
-
-    named = text.plain_text(F.regexp_extract(html, "(?i)<title>([^<]+)</title>", 1))
-    parts = F.struct(text.keywords(title, TITLE_STOPS).alias("tokens"), text.keywords(F.coalesce(authority, F.lit("")), TITLE_STOPS).alias("buyer"), named.alias("named"), text.plain_text(text.strip_html(html)).alias("body"))
-    return text.bind(parts, judged)
+    return text.bind(F.struct(page_texts(html).alias("page"), sought(title, authority).alias("words")), lambda p: texts_score(url, p["page"], p["words"]))
 
 
 @verifier("official_pages")
@@ -179,12 +189,12 @@ def official_pages(records: DataFrame, pages: DataFrame, rendered: DataFrame | N
     from opalyx.operators.aggregates import by_tiers, first_passing
 
     authority = F.col("authority_name") if "authority_name" in records.columns else F.lit(None).cast("string")
-    asked = records.select("id", "title", authority.alias("authority_name"))
+    asked = records.select("id", sought(F.col("title"), authority).alias("words"))
 
     def choose(met: DataFrame) -> DataFrame:
-        known = met.select("id", "url", "html").join(asked, "id").withColumn("s", url_score(F.col("url"), text.keywords(F.col("title"), TITLE_STOPS))).filter("s > 0")
-        fit = page_score(F.col("url"), F.col("html"), F.col("title"), F.col("authority_name"))
-        best = first_passing(known.withColumn("fit", fit), "id", [F.desc("s"), F.asc("url")], PAGES_TRIED, F.col("fit") >= PAGE_SCORE)
+        known = met.select("id", "url", "html").join(asked, "id").withColumn("s", url_score(F.col("url"), F.col("words")["tokens"])).filter("s > 0")
+        # Only pages that are tried are read.
+        best = first_passing(known, "id", [F.desc("s"), F.asc("url")], PAGES_TRIED, text.bind(page_texts(F.col("html")), lambda p: texts_score(F.col("url"), p, F.col("words")) >= PAGE_SCORE))
         canonical = text.or_null(F.trim(F.regexp_extract("html", '(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"', 1)))
         return best.select("id", F.coalesce(canonical, F.col("url")).alias("_url"))
 

@@ -657,9 +657,12 @@ def page_match(spark, sf):
     """How well each of three pages fits the title of the first."""
     from opalyx.sources import parsers
 
-    records, near = _candidates(spark, sf)
-    met = near.join(records, "id")
-    return met.select("id", "page_id", parsers.page_score(F.col("url"), F.col("html"), F.col("title"), F.col("authority_name")).alias("score"))
+    # A page is read once and then meets the words of up to three records.
+    records, _ = _candidates(spark, sf)
+    asked = records.select("id", parsers.sought(F.col("title"), F.col("authority_name")).alias("words"))
+    near = asked.withColumn("page_id", F.explode(F.sequence(F.col("id"), F.col("id") + 2)))
+    read = table(spark, sf, "pages").select("page_id", "url", parsers.page_texts(F.col("html")).alias("page"))
+    return near.join(read, "page_id").select("id", "page_id", parsers.texts_score(F.col("url"), F.col("page"), F.col("words")).alias("score"))
 
 
 _BEST = "SELECT id, arg_min(url, (-by_url, url)) AS official_url FROM c WHERE by_url > 0 AND by_url + by_page >= 30"

@@ -6,13 +6,14 @@ in order and the next pattern is only evaluated where the ones before gave nothi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opalyx.functions import rules
-from opalyx.functions.text import WS, bind, fold, located, match_text, or_null, window
+from opalyx.functions.text import WS, bind, even, fold, located, match_text, or_null, window
 
 # --- localities ----------------------------------------------------------------------------------
 # Words that rule a locality out.
@@ -152,8 +153,22 @@ _NAME = rf"(?:{_LINK}\s+)?{_WORD}(?:\s+(?:{_LINK}\s+)?{_WORD}){{0,4}}"
 _NUMBER = r"\d{1,4}[A-Za-z]?(?:\s*[-/]\s*\d{1,4}[A-Za-z]?)?"
 _SIGN = r"(?:n[°ºo.]\.?\s*|nr\.?\s*|no\.?\s*)?"
 _PREFIX = rf"(?i:c/|c\.|via|viale|piazza|piazzale|corso|largo|vicolo|lungomare|strada|boulevard|avenue|avenida|avda\.?|rue|route|calle|camino|carretera|plaza|paseo|ronda|rua|travessa|estrada|pra[çc]a|cal[çc]ada|rotunda|ul\.|ulica|aleja|bulevard|calea)"
+#: The first letters of the prefixes of streets and of sites.
+_PREFIX_STARTS = ["c/", "c.", "cor", "cal", "cam", "car", "via", "vic", "pia", "pla", "pas", "pra", "lar", "lun", "str", "bou", "bul", "ave", "avd", "rue", "rua", "rou", "ron", "rot", "tra", "est", "ul.", "uli", "ale"]
+_SITE_STARTS = ["cam", "col", "par", "urb", "res", "rés", "gro", "lyc", "gym", "mus"]
+
+
+def _ahead(starts: list[str]) -> str:
+    """Look-ahead for one of some beginnings in any case, by their first letters."""
+    either = lambda c: f"[{c}{c.upper()}]" if c.isascii() and c.isalpha() else re.escape(c)
+    after: dict[str, list[str]] = {}
+    for x in starts:
+        after.setdefault(x[0], []).append("".join(map(either, x[1:])))
+    return f"(?=[{''.join(c + c.upper() for c in after)}])(?={'|'.join(either(c) + '(?:' + '|'.join(rest) + ')' for c, rest in after.items())})"
+
+
 #: Look-ahead that changes no match but spares the engine most places: a run of letters before a number, first letters of prefixes.
-_RUN_AHEAD, _STREET_AHEAD, _SITE_AHEAD = r"(?=[\p{L}'’/-]++\s+\d)", "(?=[a-eA-EIil-pL-PrR-vR-V])", "(?=[cCpPuUrRgGlLmM])"
+_RUN_AHEAD, _STREET_AHEAD, _SITE_AHEAD = r"(?=[\p{L}'’/-]++\s+\d)", _ahead(_PREFIX_STARTS), _ahead(_SITE_STARTS)
 #: Kinds in the order their candidates are listed, with patterns whose first group is the address.
 ADDRESS_GROUPS = [
     ("street_address", rf"{_START}{_STREET_AHEAD}({_PREFIX}\s+{_NAME}(?:\s*,\s*|\s+){_SIGN}{_NUMBER})"),
@@ -214,7 +229,7 @@ def address_candidates(c: Column, noise: Callable[[Column, Column, Column], Colu
         every = F.concat(*(of_group(t, kind, pattern) for kind, pattern in groups))
         return bind(every, lambda e: F.when(F.size(e) > 0, merged(e)).otherwise(F.array().cast(_CANDIDATES)))
 
-    return bind(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "–—", "--"), f"{WS}+", " "), found)
+    return bind(even(F.regexp_replace(F.coalesce(c, F.lit("")), "[–—]", "-")), found)
 
 
 # --- noise on pages ------------------------------------------------------------------------------
@@ -227,7 +242,6 @@ PROJECT = ["description", "descrizione", "planinhalt", "projekt", "subject of th
 
 def _spoken(markers: list[str]) -> list[str]:
     """Markers as the folded text spells them."""
-    import re
     import unicodedata
 
     plain = lambda m: "".join(x for x in unicodedata.normalize("NFKD", m) if not unicodedata.combining(x)).lower()

@@ -47,13 +47,16 @@ SHARD_TOKENS, FAN = 4_000_000, 32
 PLACES = (-2, -1, 1, 2)
 PAD = BUCKETS
 STEP = 4_096
+#: Ranges of buckets in which tasks send their counts.
+SLICES = 64
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, ids): the buckets of a text's words, written once and read by each pass."""
-    words = F.filter(F.split(F.lower(F.col("text")), "[ \\t-\\r]+"), lambda w: w != "")
-    ids = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    return written(texts(docs).select("doc_id", ids.alias("ids")), "tokens")
+    kept = texts(docs).select("doc_id", F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")).alias("text"))
+    words = F.transform(F.split("text", "[ \\t-\\r]+"), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    ids = F.when(F.col("text") == "", F.array().cast("array<int>")).otherwise(words)
+    return written(kept.select("doc_id", ids.alias("ids")), "tokens")
 
 
 class Tree:
@@ -115,6 +118,8 @@ class Turns:
         # chains go from the leaf to the root, and nodes are numbered from the root, so those without a vector come first
         self.length = live[start + whole] - live[start]
         self.start = start + whole - self.length
+        top = np.concatenate([[0], np.cumsum(node < min(TOP, OWN))])
+        self.top = top[start + whole] - top[start]  # the last ones
         self.rest = (cost[start] - cost[start + whole]).astype("f4")
 
     def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,53 +146,66 @@ def hidden(x: np.ndarray) -> np.ndarray:
     return h
 
 
-def _add_up(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, sums of their values)."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows.take(order)
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])[: len(rows)])
-    return rows.take(first), np.add.reduceat(values.take(order, axis=0), first, axis=0) if len(rows) else values
+def _add_up(rows: np.ndarray, values: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows of so many, sums of their values)."""
+    met = np.zeros(many, bool)
+    met[rows] = True
+    used, width = np.flatnonzero(met), values.shape[1]
+    place = np.empty(many, "i8")
+    place[used] = np.arange(0, width * len(used), width)
+    cell = place.take(rows)[:, None] + np.arange(width)
+    return used, np.bincount(cell.ravel(), values.ravel(), width * len(used)).astype("f4").reshape(-1, width)
+
+
+def _wrong(z: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """By how much the turns' probabilities of the second side are off."""
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (turn & 1).astype("f4")
 
 
 def train_windows(params: list[np.ndarray], turns: Turns, windows: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.1) -> int:
     """Adaptive gradient steps in place, one for each (context rows, tokens) batch; the number of windows."""
     emb, scale, out = params
     g_emb, g_scale, g_out = np.full(len(emb), 0.1, "f4"), np.full_like(scale, 0.1), np.full(len(out), 0.1, "f4")
-    n = 0
+    n, odds = 0, np.zeros(TOP, "f4")
+    odds[: len(turns.odds)] = turns.odds[:TOP]
     for ctx, tokens in windows:
         n += len(tokens)
-        less = -turns.length.take(tokens)
-        by = np.argsort(less, kind="stable")  # longest first, so that a step of all paths is a slice
-        ctx, less, start = ctx.take(by, axis=0), less.take(by), turns.start.take(tokens.take(by))
+        less = turns.top.take(tokens) - turns.length.take(tokens)
+        by = np.argsort(less, kind="stable")  # longest below the top first, so that a step of all paths is a slice
+        ctx, tokens, less = ctx.take(by, axis=0), tokens.take(by), less.take(by)
+        if not turns.length.take(tokens).any():
+            continue
+        start = turns.start.take(tokens)
         e = emb.take(ctx, axis=0)  # windows x places x width
         h = hidden(np.einsum("kpw,pw->kw", e, scale))
-        d_h, steps = np.zeros_like(h), []
-        for j in range(-less[0]):
+        # All windows meet the top nodes in one product; only the turns on their way count.
+        lens, below = turns.top.take(tokens), -less
+        turn = turns.all.take(np.arange(lens.sum()) + np.repeat(start + below - np.cumsum(lens) + lens, lens))
+        at = np.repeat(np.arange(0, TOP * len(lens), TOP), lens) + (turn >> 1)
+        top = out[:TOP]
+        table = np.zeros((len(ctx), TOP), "f4")
+        table.ravel()[at] = _wrong((h @ top.T + odds).ravel().take(at), turn)
+        d_h, steps = table @ top, []
+        for j in range(below[0]):
             m = int(np.searchsorted(less, -j))
             turn = turns.all.take(start[:m] + j)
             row = turn >> 1
             w = out.take(row, axis=0)
-            z = np.einsum("kw,kw->k", h[:m], w) + turns.odds.take(row)
-            wrong = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (turn & 1).astype("f4")
+            wrong = _wrong(np.einsum("kw,kw->k", h[:m], w) + turns.odds.take(row), turn)
             w *= wrong[:, None]
             d_h[:m] += w
-            steps.append((np.arange(m), row, wrong))
-        if not steps:
-            continue
-        who, rows, wrong = (np.concatenate(x) for x in zip(*steps, strict=True))
-        rows = rows.astype("u2")  # sorted by radix
-        top = rows < TOP
-        table = np.zeros((len(ctx), TOP), "f4")
-        table.ravel()[who[top] * TOP + rows[top]] = wrong[top]
-        who, rows, wrong = who[~top], rows[~top], wrong[~top]
-        below = h.take(who, axis=0)
-        below *= wrong[:, None]
+            steps.append((row, h[:m] * wrong[:, None]))
+        changes = [(out, g_out, np.arange(TOP), table.T @ h)]
+        if steps:
+            rows, low = (np.concatenate(x) for x in zip(*steps, strict=True))
+            changes.append((out, g_out, *_add_up(rows, low, OWN)))
         d_x = d_h[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
         d_e = (d_x[:, None, :] * scale).reshape(-1, WIDTH)
         d_scale = np.einsum("kpw,kw->pw", e, d_x)
         g_scale += d_scale * d_scale
         scale -= rate * d_scale / np.sqrt(g_scale)
-        for w, g, used, d in ((out, g_out, np.arange(TOP), table.T @ h), (out, g_out, *_add_up(rows, below)), (emb, g_emb, *_add_up(ctx.ravel().astype("u2"), d_e))):
+        changes.append((emb, g_emb, *_add_up(ctx.ravel(), d_e, len(emb))))
+        for w, g, used, d in changes:
             own = g.take(used) + np.einsum("uw,uw->u", d, d) / d.shape[1]  # one rate for a row
             g[used] = own
             d *= (rate / np.sqrt(own))[:, None]
@@ -255,12 +273,40 @@ def unpacked(data: bytes) -> list[np.ndarray]:
         return [z[k] for k in z.files]
 
 
+def counted(ids: DataFrame) -> DataFrame:
+    """(k, n): tokens in each bucket of the SLICES ranges. A task sends a row for each range, however many tokens it has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(BUCKETS, "i8"), [], 0
+        for batch in batches:
+            held.append(np.asarray(batch.column(0).flatten(), "i4"))
+            size += len(held[-1])
+            if size >= 2 * BUCKETS:
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                held, size = [], 0
+        if size:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"k": pa.array(range(SLICES), pa.int32()), "n": pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())})
+
+    def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in tables:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(n.as_py(), "i8")
+        if sums:
+            yield pa.RecordBatch.from_pydict({"k": pa.array(list(sums), pa.int32()), "n": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    return ids.select("ids").mapInArrow(count, "k int, n binary").repartition("k").mapInArrow(add, "k int, n binary")
+
+
 def corpus_counts(ids: DataFrame) -> np.ndarray:
-    """Tokens in each bucket, over the whole corpus; at most a row for each bucket comes to the driver."""
-    got = ids.select(F.explode("ids").alias("b")).groupBy("b").agg(F.count("*").alias("n")).toArrow()
-    out = np.zeros(BUCKETS)
-    out[np.asarray(got.column("b"))] = np.asarray(got.column("n"))
-    return out
+    """Tokens in each bucket, over the whole corpus."""
+    got = counted(ids).toArrow()
+    out = np.zeros((SLICES, BUCKETS // SLICES))
+    for k, n in zip(got.column("k").to_pylist(), got.column("n"), strict=True):
+        out[k] = np.frombuffer(n.as_py(), "i8")
+    return out.ravel()
 
 
 def shards(ids: DataFrame, tokens: int) -> DataFrame:

@@ -331,6 +331,47 @@ def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
     assert len(one) == len(rows)
 
 
+def test_counts_are_sent_as_ranges_of_buckets(spark):
+    """A task sends a row for each range, not one for each bucket; white space at a text's ends makes no token."""
+    rows = [(k, prose(k, 40)) for k in range(300)] + [(900, " \t\x0b one\x1ftwo \n"), (901, " \r\x0c")] + EDGES
+    ids = lm.tokens(table(spark, rows).repartition(3))
+    sent = lm.counted(ids)
+    assert sent.count() <= lm.SLICES
+    held = {r.doc_id: r.ids for r in ids.filter("doc_id IN (900, 901)").collect()}
+    assert len(held[900]) == 1 and held[901] == []
+    plain = np.bincount(np.concatenate([r.ids for r in ids.collect() if r.ids]), minlength=lm.BUCKETS)
+    assert (lm.corpus_counts(ids) == plain).all()
+    assert not lm.corpus_counts(lm.tokens(table(spark, []))).any()
+
+
+def test_a_step_of_training_is_the_plain_gradient():
+    """One step of train_windows against loops over windows and turns, for nodes within the top table and below it."""
+    counts = np.zeros(lm.BUCKETS)
+    counts[np.arange(400) * 7] = np.arange(1, 401)
+    turns, rng = lm.Turns(lm.Tree(counts)), np.random.default_rng(4)
+    start = [rng.normal(0, 0.3, (lm.ROWS + 1, lm.WIDTH)).astype("f4"), np.ones((4, lm.WIDTH), "f4"), rng.normal(0, 0.3, (lm.OWN, lm.WIDTH + 1)).astype("f4")]
+    tokens, ctx = rng.integers(0, 400, 50) * 7, rng.integers(0, 40, (50, 4)).astype("u2")
+    assert (turns.top.take(tokens) < turns.length.take(tokens)).any()
+    got = [x.copy() for x in start]
+    assert lm.train_windows(got, turns, iter([(ctx, tokens)])) == 50
+    emb, scale, out = (x.astype("f8") for x in start)
+    d = [np.zeros_like(emb), np.zeros_like(scale), np.zeros_like(out)]
+    for rows, token in zip(ctx, tokens, strict=True):
+        h = np.append(np.tanh((emb[rows] * scale).sum(0)), 1.0)
+        d_h = np.zeros(lm.WIDTH + 1)
+        for turn in turns.all[turns.start[token] : turns.start[token] + turns.length[token]]:
+            wrong = 1 / (1 + np.exp(-(turns.odds[turn >> 1] + h @ out[turn >> 1]))) - (turn & 1)
+            d_h += wrong * out[turn >> 1]
+            d[2][turn >> 1] += wrong * h
+        d_x = d_h[:-1] * (1 - h[:-1] ** 2)
+        for place, row in enumerate(rows):
+            d[0][row] += d_x * scale[place]
+            d[1][place] += d_x * emb[row]
+    for k, x in enumerate((emb, scale, out)):
+        own = 0.1 + (d[k] ** 2 if k == 1 else (d[k] ** 2).mean(1, keepdims=True))
+        assert np.allclose(got[k], x - 0.1 * d[k] / np.sqrt(own), atol=1e-4)
+
+
 def test_scores_of_odd_rows(spark):
     got = lm.score(table(spark, EDGES)).collect()
     assert len(got) == len(EDGES) and all(r.log_prob <= 0 and np.isfinite(r.log_prob) for r in got)

@@ -8,10 +8,13 @@ overlap of at least T = ceil(share * (n + m) / (1 + share)) of their n and m shi
    texts it reads together come last, as far as a bounded list of them goes, the others go by their
    hash. Linked sets of n shingles share one of
    their first n - ceil(share * n) + 1 (any order is exact; this one keeps passages that many texts
-   hold out of the prefixes). From BUCKET_SHARE on, sets meet by buckets instead: linked sets differ in
+   hold out of the prefixes). From BUCKET_SHARE on, and below it in bands from BUCKET_SIZE on, sets meet by
+   buckets instead: linked sets differ in
    at most d shingles of a band's size, shingles are dealt by hash into M > d buckets, so linked sets
-   hold some bucket alike; empty buckets say nothing, so M leaves room for them, and a set with more of
-   them than that room gives these too. A set gives its prefix, or its buckets' contents as hashes, in its own band of sizes and in the next, where
+   hold some bucket alike; empty buckets, and those of frequent shingles alone, say little, so M
+   leaves room for them: a set gives the latter too where both are more than that room, and the former where
+   they alone are. A long set's prefix has hundreds of shingles, of which in a growing
+   corpus ever more sets hold one; a bucket alike takes all that either set has there. A set gives its prefix, or its buckets' contents as hashes, in its own band of sizes and in the next, where
    it is a node of its own: linked sets have one of the two bands in common, and chains that ran on
    from band to band would tie most sets together. Nodes with an entry in common are chained, tasks
    chaining their own first and passing on one set for each entry, so an entry's rows number the
@@ -27,8 +30,8 @@ overlap of at least T = ceil(share * (n + m) / (1 + share)) of their n and m shi
    linked. Pairs already connected in that block pair are skipped; what is returned is a
    forest of true links, no list of pairs. In a piece of long sets, which many short passages tie
    together, blocks first meet with a fifth of the hash space of each set: that bounds an overlap
-   from above, so most pairs are certain not to be linked, and those left are compared whole. A
-   piece without a large core still costs the square of its open blocks.
+   from above, so most pairs are certain not to be linked, and what can be linked forms smaller
+   pieces. A piece without a large core that doesn't fall apart still costs the square of its open blocks.
 5. Components of the links; each gets its least document.
 
 Defined results: null or empty text, or white space alone: no shingles, n_shingles 0, component_id
@@ -55,10 +58,14 @@ WORDS, SHARE = 3, 90
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 200_000
 #: Share from which classes meet by their buckets instead of prefixes: a bucket then holds six shingles or more.
 BUCKET_SHARE = 85
+#: First size of the bands that meet by buckets whatever the share.
+BUCKET_SIZE = 100
+#: Texts that hold a shingle, as far as tasks have met it more than once, from which it says little in a bucket.
+FREQUENT = 16
 #: Hubs of a piece in a round; rounds end when they shrink the open nodes by less than this share.
 HUBS, SHRINK = 4, 0.125
 #: Shingles of a set, on average, from which a piece of several blocks goes through the sieve.
-LONG_SET = 1000
+LONG_SET = 100
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -197,16 +204,24 @@ def bucket_table(longest: int, share: int = SHARE) -> tuple[np.ndarray, np.ndarr
         low = high + 1
 
 
-def signatures(s: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
-    """The band of a set of 64-bit hashes, its signatures there and in the next band."""
+def _often(s: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some hashes are among the sorted ones, and where."""
+    at = np.searchsorted(hashes, s)
+    at[at == len(hashes)] = 0
+    return hashes[at] == s if len(hashes) else np.zeros(len(s), bool), at
+
+
+def signatures(s: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], common: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """The band of a set of 64-bit hashes, its signatures there and in the next band; common: sorted hashes that say little."""
     lows, buckets, rooms = table
     own = int(np.searchsorted(lows, len(s), "right")) - 1
-    h = _mix(np.sort(s.view("u8")))
+    s = np.sort(s.view("u8"))
+    h = _mix(s)
     order = np.argsort(h)
     h = h[order]
+    rare = None if common is None else ~_often(s.view("i8"), common)[0][order]
     made = []
     for band in (own, own + 1):
-        out = []
         m, room = int(buckets[band]), int(rooms[band])
         # the bucket by the high half of the hash; content as the sum of spread hashes
         which = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -214,7 +229,9 @@ def signatures(s: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray])
         content = np.add.reduceat(_mix(h + np.uint64(0x9E3779B97F4A7C15)), starts)
         used = which[starts]
         tag = np.uint64(band << 34)
-        out.append(_mix(content ^ _mix(tag + used)))
+        entries = _mix(content ^ _mix(tag + used))
+        telling = np.ones(len(used), bool) if rare is None else np.logical_or.reduceat(rare, starts)
+        out = [entries if m - np.count_nonzero(telling) > room else entries[telling]]
         if m - len(used) > room:
             empty = np.setdiff1d(np.arange(m, dtype="u8"), used, assume_unique=True)
             out.append(_mix(_mix(tag + empty) + np.uint64(0xD6E8FEB86659FD93)))
@@ -226,18 +243,17 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: int) ->
     """The first n - ceil(share * n) + 1 of a set of n hashes, common ones last; common: (sorted hashes, places among themselves)."""
     k = len(s) - int(required(len(s), share)) + 1
     hashes, places = common
-    at = np.searchsorted(hashes, s)
-    at[at == len(hashes)] = 0
-    often = hashes[at] == s if len(hashes) else np.zeros(len(s), bool)
+    often, at = _often(s, hashes)
     rare = s[~often]
     if len(rare) > k:
         return np.partition(rare, k - 1)[:k]
     return np.concatenate([rare, s[often][np.argsort(places[at[often]])[: k - len(rare)]]])
 
 
-def common_shingles(sets: DataFrame, most: int = 1_000_000, together: int = 1_500_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(sets: DataFrame, most: int = 1_000_000, together: int = 1_500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles that recur among the texts a task reads together, at most so many of the commonest, from the rarest on:
-    (sorted hashes, places). sets: h, s of every row. All rows are met, but what comes of it only sets an order."""
+    (sorted hashes, places, sorted hashes of the frequent ones). sets: h, s of every row. All rows are met, but what
+    comes of it only sets an order and what buckets are told apart by; links are the same whatever it is."""
 
     def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -267,10 +283,10 @@ def common_shingles(sets: DataFrame, most: int = 1_000_000, together: int = 1_50
             yield counted()
 
     each = sets.select("h", "s").mapInArrow(recur, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
-    got = each.orderBy(F.desc("n"), "x").limit(most).select("x").toArrow()
-    hashes = np.asarray(got.column("x"), "i8")[::-1]
+    got = each.orderBy(F.desc("n"), "x").limit(most).toArrow()
+    hashes, n = np.asarray(got.column("x"), "i8")[::-1], np.asarray(got.column("n"), "i8")[::-1]
     order = np.argsort(hashes)
-    return hashes[order], order.astype("i4")
+    return hashes[order], order.astype("i4"), np.sort(hashes[n >= FREQUENT])
 
 
 def _in_band(h: Column, band: Column) -> Column:
@@ -287,6 +303,15 @@ def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[Da
     by_buckets = share >= BUCKET_SHARE
     common = docs.sparkSession.sparkContext.broadcast(None if by_buckets else common_shingles(s))
 
+    def entries(s: np.ndarray, lows: np.ndarray, table: tuple) -> tuple[int, np.ndarray, np.ndarray | None]:
+        if by_buckets:
+            return signatures(s, table)
+        own = int(np.searchsorted(lows, len(s), "right")) - 1
+        if lows[own] >= BUCKET_SIZE:
+            return signatures(s, table, common.value[2])
+        first = prefix(s, common.value[:2], share)
+        return own, first, signatures(s, table, common.value[2])[2] if lows[own + 1] >= BUCKET_SIZE else None
+
     def sign(batches: Iterator[pa.RecordBatch], remembered: int = 50_000) -> Iterator[pa.RecordBatch]:
         release()
         lows, table, seen = bands(1 << 12, share), bucket_table(1 << 12, share), set()
@@ -301,7 +326,7 @@ def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[Da
                 if n >= lows[-2]:
                     lows, table = bands(2 * n, share), bucket_table(2 * n, share)
                 values = np.asarray(s.values, "i8")
-                own, first, second = signatures(values, table) if by_buckets else (int(np.searchsorted(lows, n, "right")) - 1, prefix(values, common.value, share), None)
+                own, first, second = entries(values, lows, table)
                 band.append(own)
                 made.append(first)
                 after.append(second)
@@ -336,13 +361,14 @@ def _chained(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sig[head], node[head], pairs
 
 
-def chain_edges(members: DataFrame, per_part: int = 150_000) -> DataFrame:
+def chain_edges(members: DataFrame, per_part: int = 450_000) -> DataFrame:
     """Edges (a, b) between nodes of bands, whose connected pieces hold all links.
 
     Prefix entries, mixed with their band, are dealt into parts by range. A task sends each part one row
-    of sorted entries, as differences, with their nodes, about 8 bytes for an entry."""
+    of sorted entries, 48 bits of each, as differences, with their nodes, about 6 bytes for an entry. Entries that
+    are alike in these bits by chance only add an edge."""
     spark = members.sparkSession
-    total = 2 * members.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    total = members.agg(F.coalesce(F.sum(F.size("prefix") + F.size(F.coalesce("next", "prefix"))), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // per_part))
 
     def combine(batches: Iterator[pa.RecordBatch], limit: int = 300_000) -> Iterator[pa.RecordBatch]:
@@ -351,8 +377,8 @@ def chain_edges(members: DataFrame, per_part: int = 150_000) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            sig, node, pairs = _chained(np.concatenate(sigs).view("u8"), np.concatenate(nodes))
-            part = (sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            sig, node, pairs = _chained(np.concatenate(sigs), np.concatenate(nodes))
+            part = (sig >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)
             cuts = np.searchsorted(part, np.arange(parts + 1, dtype="u8"))
             rows = []
             for k in range(parts):
@@ -370,7 +396,7 @@ def chain_edges(members: DataFrame, per_part: int = 150_000) -> DataFrame:
                 column = batch.column(3 + k)
                 lens = np.asarray(column.value_lengths().fill_null(0), "i8")
                 entries = np.asarray(column.flatten(), "i8").view("u8")
-                sigs.append(_mix(entries ^ np.repeat(_mix(band + np.uint64(k + 1)), lens)).view("i8"))
+                sigs.append(_mix(entries ^ np.repeat(_mix(band + np.uint64(k + 1)), lens)) >> np.uint64(16))
                 nodes.append(np.repeat(np.asarray(batch.column(k), "i8"), lens))
                 size += len(entries)
             if size >= limit:
@@ -453,10 +479,11 @@ def _dealt(placed: DataFrame, carried: list[str]) -> DataFrame:
     return met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "core", "node", "open", "held", *carried)
 
 
-def sieve(sets: list[np.ndarray], n: np.ndarray, left: list[int], right: list[int], core: np.ndarray, share: int) -> list[tuple[int, int]]:
-    """Pairs that can be linked, judged by a part of the hash space: sets are what n shingles each have there.
+def sieve(sets: list[np.ndarray], n: np.ndarray, left: list[int], right: list[int], label: np.ndarray, share: int) -> list[tuple[int, int]]:
+    """A forest of pairs that can be linked, judged by a part of the hash space: sets are what n shingles each have there.
 
-    What two sets have in common is at most what they have in common there and the rest of the smaller one."""
+    What two sets have in common is at most what they have in common there and the rest of the smaller one. Sets with one
+    label are known to be connected."""
     if not left or not right:
         return []
     owner = np.repeat(np.asarray(right), [len(sets[d]) for d in right])
@@ -464,8 +491,10 @@ def sieve(sets: list[np.ndarray], n: np.ndarray, left: list[int], right: list[in
     order = np.argsort(flat, kind="stable")
     u, first, many = np.unique(flat[order], return_index=True, return_counts=True)
     owner, place, rest, out = owner[order], np.asarray(right), n - np.asarray([len(x) for x in sets]), []
-    same = left == right
     for q in left:
+        apart = label[place] != label[q]
+        if not apart.any():
+            continue
         at = np.searchsorted(u, sets[q])
         at = at[u[np.minimum(at, len(u) - 1)] == sets[q]] if len(u) else at[:0]
         lens = many[at]
@@ -473,14 +502,16 @@ def sieve(sets: list[np.ndarray], n: np.ndarray, left: list[int], right: list[in
         common = np.bincount(met, minlength=len(sets))[place]
         m = n[place]
         need = -((-share * (n[q] + m)) // (100 + share)) - np.minimum(rest[q], rest[place])
-        fit = (common >= need) & (100 * np.minimum(n[q], m) >= share * np.maximum(n[q], m)) & ~(core[q] & core[place]) & (place > q if same else place != q)
-        out += [(q, d) for d in place[fit].tolist()]
+        for d in place[apart & (common >= need) & (100 * np.minimum(n[q], m) >= share * np.maximum(n[q], m))]:
+            if label[d] != label[q]:
+                label[label == label[q]] = label[d]
+                out.append((q, int(d)))
     return out
 
 
-def sieved_links(sets: DataFrame, cores: DataFrame, share: int, block_rows: int, block_shingles: int) -> DataFrame:
-    """(a, b): links of pieces of long sets. Blocks meet with a fifth of the hash space, in 32 bits, of each set; which
-    pairs can be linked is certain from that, and these are compared whole."""
+def sieved_pairs(sets: DataFrame, cores: DataFrame, share: int, block_rows: int, block_shingles: int) -> DataFrame:
+    """(a, b): pairs that connect all nodes of a piece that can be linked. Blocks meet with a fifth of the hash space, in 32
+    bits, of each set, by which it is certain of most pairs that they can't."""
     part = F.transform(F.filter("s", lambda x: F.pmod(x, F.lit(5)) == 0), lambda x: F.shiftright(x, 32).cast("int"))
     # the part is taken before anything is shuffled
     parts = written(sets.select("component", "node", F.col("n").cast("long").alias("n"), part.alias("s")), "parts")
@@ -492,18 +523,15 @@ def sieved_links(sets: DataFrame, cores: DataFrame, share: int, block_rows: int,
         parts = [np.sort(np.asarray(s.values, "i4")) for s in table.column("s")]
         left = [k for k, x in enumerate(block) if x == i]
         right = left if i == j else [k for k, x in enumerate(block) if x == j]
-        found = sieve(parts, np.asarray(n), left, right, np.asarray(core, bool), share)
+        label = np.arange(len(parts))
+        held = np.flatnonzero(core)
+        label[held] = held[:1].sum()
+        found = sieve(parts, np.asarray(n), left, right, label, share)
         return pa.table({"a": pa.array([node[x] for x, _ in found], pa.int64()), "b": pa.array([node[y] for _, y in found], pa.int64())})
 
     placed = written(_placed(cores.select("component", "node", "core"), sides.filter("open > 0")), "placed")
     members = parts.join(_small(placed, 4 * F.size("with") + 40), ["component", "node"])
-    pairs = written(_dealt(members, ["n", "s"]).groupBy("component", "i", "j").applyInArrow(search, "a long, b long"), "pairs")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    met = with_keys(sets, named, "node", "left_semi")
-    one, two = (met.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    met = one.join(_small(pairs, 16), "a").join(two, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum"), both.alias("both"))
-    return met.filter(100 * F.col("both") >= share * (F.col("sum") - F.col("both"))).select("a", "b")
+    return _dealt(members, ["n", "s"]).groupBy("component", "i", "j").applyInArrow(search, "a long, b long")
 
 
 def true_links(docs: DataFrame, reps: DataFrame, pieces: DataFrame, words: int, share: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES, long_set: int = LONG_SET) -> DataFrame:
@@ -516,13 +544,15 @@ def true_links(docs: DataFrame, reps: DataFrame, pieces: DataFrame, words: int,
     sets = written(with_text_sets(docs, large, words), "sets")
     cores, links = hub_links(sets, share, block_rows, block_shingles)
     core = F.coalesce("core", F.lit(False))
-    lengthy = large.select("component", "long").distinct()
-    if not lengthy.filter("long").isEmpty():
-        only = lengthy.filter("long").select("component")
-        links = [*links, sieved_links(sets.join(only, "component", "left_semi"), cores.join(only, "component", "left_semi"), share, block_rows, block_shingles)]
-        size = size.join(only, "component", "left_anti")
-    cores = cores.select("component", "node", "core")
-    of = size.join(cores, ["component", "node"], "left").withColumn("core", core)
+    only = written(large.filter("long").select("component").distinct(), "long")
+    if not only.isEmpty():
+        can = sieved_pairs(sets.join(only, "component", "left_semi"), cores.join(only, "component", "left_semi"), share, block_rows, block_shingles)
+        for more in links:
+            can = can.unionByName(more)
+        # Such a piece falls into smaller ones, with its core in one of them; a node in none has no link.
+        apart = large.join(only, "component", "left_semi").drop("component", "long").join(components(can), "node")
+        size = written(size.join(only, "component", "left_anti").unionByName(apart), "apart")
+    of = size.join(cores.select("node", "core"), "node", "left").withColumn("core", core)
     sides = of.groupBy("component").agg(*(_blocks(F.count_if(c), F.sum(F.when(c, F.col("n"))), block_rows, block_shingles).alias(a) for a, c in (("open", ~F.col("core")), ("held", F.col("core")))))
     placed = written(_placed(of, sides.filter("open > 0")), "placed")
     dealt = _dealt(with_text_sets(docs, placed, words), ["s"])

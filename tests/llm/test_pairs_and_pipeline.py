@@ -133,6 +133,64 @@ def test_components_of_a_long_ascending_path(spark):
     assert {r["component"]: r["count"] for r in got} == {5: 10_000, 20_000: 501}
 
 
+def test_labels_are_followed_once_for_each_round_of_a_node(spark, monkeypatch):
+    """Pairs that are done in the first round aren't joined again for each round of a long path beside them."""
+    rows, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: (out := write(df, name), rows.append(out.count()) if name == "labels" else None)[0])
+    pairs = spark.range(2000).selectExpr("1000 + 2 * id AS a", "1001 + 2 * id AS b")
+    got = graph.components(pairs.union(spark.range(300).selectExpr("id AS a", "id + 1 AS b"))).groupBy("component").count().collect()
+    assert sorted(r["count"] for r in got) == [2] * 2000 + [301]
+    assert len(rows) > 3 and sum(rows) < 3 * 4301
+
+
+def test_long_sets_meet_by_buckets_that_tell(spark):
+    """Sets that have a common passage, or one shingle, don't meet for that; linked ones do, also where most is common."""
+    rng = np.random.default_rng(8)
+    new = lambda n: rng.integers(-(1 << 63), (1 << 63) - 1, n)
+    passage, one = np.sort(new(60)), new(1)
+    table = jaccard.bucket_table(4096, 80)
+    made = [[dict(zip((own, own + 1), map(set, (map(int, a), map(int, b))), strict=True)) for own, a, b in [jaccard.signatures(s, table, passage)]][0] for s in (np.concatenate([passage, one, new(900)]) for _ in range(40))]
+    meet = lambda x, y: any(x[k] & y.get(k, set()) for k in x)
+    assert sum(meet(x, y) for i, x in enumerate(made) for y in made[:i]) < 40  # of 780 pairs
+    for n, common in ((100, 0), (150, 149), (400, 100), (1000, 900), (1000, 1000)):
+        for _ in range(20):
+            base = new(n)
+            drop = rng.permutation(n)[: n // 5]
+            other = np.delete(base, drop)
+            x, y = ({own: set(map(int, a)), own + 1: set(map(int, b))} for own, a, b in (jaccard.signatures(s, table, np.sort(base[:common])) for s in (base, other)))
+            assert meet(x, y)
+
+
+@pytest.mark.parametrize("frequent", [2, 16])
+def test_groups_of_long_texts_with_common_passages(spark, monkeypatch, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    passages = [prose(700 + k, 40) for k in range(4)]
+    texts = []
+    for k in range(30):
+        own = prose(800 + k, 60 + 12 * k)
+        texts += [f"{passages[k % 4]} {own}", f"{own} {passages[(k + 1) % 4]}", f"{own} {prose(2000 + k, 5 + k)} {passages[k % 4]}"]
+    texts += [" ".join(passages), " ".join(passages[::-1]), " ".join([*passages, "and a few more words"]), f"{passages[0]} {passages[1]} {passages[2]}"]
+    groups, _ = plain_groups(texts, 5, 80)
+    docs = table(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, 5, 80, block_rows=4, long_set=1).collect()}
+    assert [got[i] for i in range(len(texts))] == groups
+    assert 4 < len(set(groups)) < len(texts)
+
+
+def test_sieve_keeps_what_can_be_linked_connected():
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 1 << 40, n) for n in (60, 60, 200, 1000) for _ in range(4)]
+    sets = [np.unique(np.concatenate([np.delete(b, rng.integers(0, len(b), 3)), rng.integers(0, 1 << 40, 3)])) for b in base for _ in range(6)]
+    parts, n, every = [s[s % 5 == 0] for s in sets], np.asarray([len(s) for s in sets]), list(range(len(sets)))
+    found, mine = jaccard.sieve(parts, n, every, every, np.arange(len(sets)), 80), jaccard.Forest(len(sets))
+    assert all(mine.join(a, b) for a, b in found)  # a forest
+    for i in every:
+        for j in range(i):
+            if jaccard.overlaps_enough(len(np.intersect1d(sets[i], sets[j])), int(n[i]), int(n[j]), 80):
+                assert mine.root(i) == mine.root(j)
+    assert len({mine.root(x) for x in every}) >= 16
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100)] + [(500, 500 + k) for k in range(1, 300)] + [(900, 900)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
